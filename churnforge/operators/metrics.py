@@ -20,8 +20,8 @@ def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc")
               .agg(F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))
     run = prefix_sums(dist, ["_s"], ["_neg"], group_cols)
     return run.groupBy(*group_cols).agg(
-        (F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0))
-         / (F.sum("_pos") * F.sum("_neg"))).alias(out),
+        F.try_divide(F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0)),
+                     (F.sum("_pos") * F.sum("_neg")).cast("double")).alias(out),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
 
 

@@ -593,3 +593,191 @@ GROUP BY nation ORDER BY rate DESC, nation LIMIT 5""")
 def q_t2(spark, sf):
     f = _orders(spark, sf).filter(F.col("split") == "train")
     return f.groupBy("nation").agg(r6(F.avg("label")).alias("rate")).orderBy(F.desc("rate"), "nation").limit(5)
+
+
+# =============================================================== 2.6 joins, 2.9 unions, pseudo-labels
+@register("j1_align_predictions", with_orders() + """
+SELECT o.id, o.label, s.score FROM order_frame o JOIN score_tables s ON o.id = s.id
+WHERE o.split = 'score' AND s.model = 'a'""")
+def q_j1(spark, sf):
+    from churnforge.operators.joins import align_predictions
+    f = _orders(spark, sf).filter(F.col("split") == "score").select("id", "label")
+    p = frames.score_tables(spark, sf).filter(F.col("model") == "a").select("id", "score")
+    return align_predictions(f, p)
+
+
+@register("j2_sum_tables", with_orders() + """
+SELECT id, round(sum(score), 6) AS score, count(*) AS n_tables FROM score_tables GROUP BY id""")
+def q_j2(spark, sf):
+    from churnforge.operators.joins import sum_tables
+    s = frames.score_tables(spark, sf)
+    t = sum_tables({m: s.filter(F.col("model") == m) for m in ("a", "b", "c")})
+    return t.select("id", r6("score").alias("score"), "n_tables")
+
+
+@register("j3_id_coverage", with_orders(
+    "l AS (SELECT DISTINCT id FROM score_tables WHERE model = 'a' AND split = 'train')",
+    "r AS (SELECT DISTINCT id FROM score_tables WHERE model = 'b')") + """
+SELECT count(*) FILTER (WHERE r.id IS NULL) AS left_only, count(*) FILTER (WHERE l.id IS NULL) AS right_only,
+       count(*) FILTER (WHERE l.id IS NOT NULL AND r.id IS NOT NULL) AS both
+FROM l FULL OUTER JOIN r ON l.id = r.id""")
+def q_j3(spark, sf):
+    from churnforge.operators.joins import id_coverage
+    s = frames.score_tables(spark, sf)
+    return id_coverage(s.filter((F.col("model") == "a") & (F.col("split") == "train")), s.filter(F.col("model") == "b"))
+
+
+@register("u1_union_tagged", with_orders() + """
+SELECT id, 'train' AS part FROM order_frame WHERE split = 'train'
+UNION ALL SELECT id, 'score' AS part FROM order_frame WHERE split = 'score'""")
+def q_u1(spark, sf):
+    from churnforge.operators.shift import tag_union
+    f = _orders(spark, sf).select("id", "split")
+    return tag_union(f.filter("split = 'train'").drop("split"), f.filter("split = 'score'").drop("split"),
+                     split_col="part")
+
+
+PSEUDO_SQL = [
+    "sa AS (SELECT id, score FROM score_tables WHERE model = 'a' AND split = 'score')",
+    "rk AS (SELECT id, ((rank() OVER (ORDER BY score) - 1) + (count(*) OVER (PARTITION BY score) + 1) / 2.0) "
+    "/ count(*) OVER () AS rp FROM sa)",
+    "inj AS (SELECT id, label, false AS is_pseudo FROM order_frame WHERE split = 'train' UNION ALL "
+    "SELECT id, CASE WHEN rp >= 0.985 THEN 1 ELSE 0 END AS label, true AS is_pseudo FROM rk WHERE rp >= 0.985 OR rp <= 0.015)",
+]
+
+
+def _pseudo(spark, sf):
+    from churnforge.operators.shift import pseudo_label
+    f = _orders(spark, sf).select("id", "label", "split")
+    s = frames.score_tables(spark, sf).filter((F.col("model") == "a") & (F.col("split") == "score"))
+    preds = metrics.average_rank(s.select("id", "score"), "score", out="rank_pct") \
+        .select("id", F.col("rank_pct").alias("score"))
+    return pseudo_label(f.filter("split = 'train'").drop("split"), f.filter("split = 'score'").drop("split"),
+                        preds, "id", "label")
+
+
+@register("l20_u3_pseudo_labels", with_orders(*PSEUDO_SQL) + "SELECT id, label, is_pseudo FROM inj")
+def q_l20(spark, sf):
+    return _pseudo(spark, sf).select("id", "label", "is_pseudo")
+
+
+@register("l21_honest_auc", with_orders(
+    *PSEUDO_SQL,
+    "sc AS (SELECT i.label, i.is_pseudo, s.score FROM inj i JOIN score_tables s ON i.id = s.id AND s.model = 'b')",
+    auc_sql("sc", None).strip().replace("run AS", "run_all AS"),
+    auc_sql("(SELECT * FROM sc WHERE NOT is_pseudo)", None).strip().replace("dist AS", "dist2 AS")
+    .replace("FROM dist", "FROM dist2").replace("run AS", "run_orig AS")) + """
+SELECT 'all' AS subset, round(sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM run_all
+UNION ALL
+SELECT 'original' AS subset, round(sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM run_orig""")
+def q_l21(spark, sf):
+    from churnforge.operators.shift import honest_auc
+    inj = _pseudo(spark, sf)
+    b = frames.score_tables(spark, sf).filter(F.col("model") == "b").select("id", "score")
+    return honest_auc(inj.join(b, "id"), "label", "score").select("subset", r6("auc").alias("auc"))
+
+
+# =============================================================== 2.10 combination operators
+def _grid_sql(step=0.1):
+    from churnforge.operators.ensemble import simplex_grid
+    rows = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE))"
+                     for i, (a, b, c) in enumerate(simplex_grid(3, step)))
+    return f"g(wid, w_a, w_b, w_c) AS (VALUES {rows})"
+
+
+@register("l12_blend_grid_auc", with_orders(
+    "tr AS (SELECT id, label, max(CASE WHEN model = 'a' THEN score END) AS s_a, max(CASE WHEN model = 'b' THEN score END) AS s_b, "
+    "max(CASE WHEN model = 'c' THEN score END) AS s_c FROM score_tables WHERE split = 'train' GROUP BY id, label)",
+    _grid_sql(),
+    "bl AS (SELECT wid, w_a, w_b, w_c, label, 0.0 + w_a * s_a + w_b * s_b + w_c * s_c AS score FROM tr CROSS JOIN g)",
+    auc_sql("bl", "wid, w_a, w_b, w_c").strip().replace("PARTITION BY wid, w_a, w_b, w_c", "PARTITION BY wid")) + """
+SELECT wid, w_a, w_b, w_c, round(sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc
+FROM run GROUP BY wid, w_a, w_b, w_c""")
+def q_l12(spark, sf):
+    from churnforge.operators.ensemble import blend_grid_auc, simplex_grid
+    s = frames.score_tables(spark, sf).filter(F.col("split") == "train")
+    res = blend_grid_auc(s, ["a", "b", "c"], simplex_grid(3, 0.1))
+    return res.select("wid", "w_a", "w_b", "w_c", r6("auc").alias("auc"))
+
+
+@register("l13_weighted_blend", with_orders() + """
+SELECT id, round(sum(score * CASE model WHEN 'a' THEN 0.5 WHEN 'b' THEN 0.3 ELSE 0.2 END), 6) AS score
+FROM score_tables GROUP BY id""")
+def q_l13(spark, sf):
+    from churnforge.operators.ensemble import weighted_blend
+    s = frames.score_tables(spark, sf)
+    return weighted_blend(s, {"a": 0.5, "b": 0.3, "c": 0.2}).select("id", r6("score").alias("score"))
+
+
+VARIANTS = [(0.95, 0.05), (0.90, 0.10), (0.85, 0.15), (0.80, 0.20)]
+
+
+@register("l14_fixed_blends", with_orders(
+    "p AS (SELECT a.id, a.score AS sa, b.score AS sb FROM score_tables a JOIN score_tables b ON a.id = b.id "
+    "WHERE a.model = 'a' AND b.model = 'b')",
+    "v(variant, wa, wb) AS (VALUES " + ", ".join(
+        f"('{int(round(a * 100)):02d}_{int(round(b * 100)):02d}', CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))"
+        for a, b in VARIANTS) + ")") + """
+SELECT variant, id, round(sa * wa + sb * wb, 6) AS score FROM p CROSS JOIN v""")
+def q_l14(spark, sf):
+    from churnforge.operators.ensemble import fixed_blends
+    s = frames.score_tables(spark, sf)
+    out = fixed_blends(s.filter(F.col("model") == "a"), s.filter(F.col("model") == "b"), VARIANTS)
+    return out.select("variant", "id", r6("score").alias("score"))
+
+
+@register("l15_equal_blend", with_orders() + """
+SELECT id, round(avg(score), 6) AS score FROM score_tables GROUP BY id""")
+def q_l15(spark, sf):
+    from churnforge.operators.ensemble import equal_blend
+    return equal_blend(frames.score_tables(spark, sf)).select("id", r6("score").alias("score"))
+
+
+@register("l16_rank_power_average", with_orders(RANK_SQL) + """
+SELECT id, round(avg(pow(avg_rank / n, 2.5)), 6) AS score, count(*) AS n_tables FROM ranked GROUP BY id""")
+def q_l16(spark, sf):
+    from churnforge.operators.ensemble import rank_power_average
+    out = rank_power_average(frames.score_tables(spark, sf), power=2.5)
+    return out.select("id", r6("score").alias("score"), "n_tables")
+
+
+@register("l17_calibrate", with_orders(
+    "br AS (SELECT avg(CAST(label AS DOUBLE)) AS rate FROM order_frame WHERE split = 'train')",
+    "sa AS (SELECT id, score FROM score_tables WHERE model = 'a' AND split = 'score')",
+    "ms AS (SELECT avg(score) AS m FROM sa)") + """
+SELECT id, round(greatest(least(score * rate / m, 0.9999), 0.0001), 6) AS score FROM sa, br, ms""")
+def q_l17(spark, sf):
+    from churnforge.operators.ensemble import calibrate
+    f = _orders(spark, sf)
+    rate = f.filter(F.col("split") == "train").select(F.avg(F.col("label").cast("double"))).scalar()
+    sa = frames.score_tables(spark, sf).filter((F.col("model") == "a") & (F.col("split") == "score"))
+    return calibrate(sa.select("id", "score"), rate).select("id", r6("score").alias("score"))
+
+
+# =============================================================== 2.5 cluster profile / rate model (fixed assignment)
+@register("k8_cluster_profile", with_orders(
+    MODE_SQL.format(name="mp", g="segment", c="priority", out="priority_mode", src="order_frame").strip(),
+    MODE_SQL.format(name="mf", g="segment", c="flag", out="flag_mode", src="order_frame").strip()) + """
+SELECT o.segment AS cluster, count(*) AS size, round(avg(CAST(o.label AS DOUBLE)), 6) AS label_rate,
+  round(avg(o.tenure), 6) AS tenure_mean, round(avg(o.monthly), 6) AS monthly_mean, round(avg(o.total), 6) AS total_mean,
+  any_value(mp.priority_mode) AS priority_mode, any_value(mf.flag_mode) AS flag_mode
+FROM order_frame o LEFT JOIN mp ON o.segment = mp.segment LEFT JOIN mf ON o.segment = mf.segment GROUP BY o.segment""")
+def q_k8(spark, sf):
+    from churnforge.operators.cluster import cluster_profile
+    f = _orders(spark, sf)
+    prof = cluster_profile(f, "segment", "label", NUMS, ["priority", "flag"])
+    return prof.select(F.col("segment").alias("cluster"), "size", r6("label_rate").alias("label_rate"),
+                       *[r6(f"{c}_mean").alias(f"{c}_mean") for c in NUMS], "priority_mode", "flag_mode")
+
+
+@register("k9_cluster_rate_predict", with_orders(
+    "rt AS (SELECT segment, avg(CAST(label AS DOUBLE)) AS rate FROM order_frame WHERE split = 'train' GROUP BY segment)",
+    "gm AS (SELECT avg(CAST(label AS DOUBLE)) AS g FROM order_frame WHERE split = 'train')") + """
+SELECT o.id, round(coalesce(rt.rate, gm.g), 6) AS score FROM order_frame o LEFT JOIN rt ON o.segment = rt.segment, gm
+WHERE o.split = 'score'""")
+def q_k9(spark, sf):
+    from churnforge.operators.cluster import apply_cluster_rate, fit_cluster_rate
+    f = _orders(spark, sf)
+    fitted = fit_cluster_rate(f.filter(F.col("split") == "train"), "segment", "label")
+    out = apply_cluster_rate(f.filter(F.col("split") == "score"), fitted, "segment", "score")
+    return out.select("id", r6("score").alias("score"))
