@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from churnforge.operators.quantiles import exact_quantiles
 from churnforge.operators.running import prefix_sums, row_numbers
+from churnforge.session import cut_lineage
 
-# Fitted maps at or under this many rows are broadcast; larger ones use a shuffle join.
+# Fitted maps up to MAX_LITERAL_ENTRIES rows are inlined as literal maps; up to MAX_BROADCAST_ROWS
+# they are broadcast; larger ones use a shuffle join (AQE splits a hot key's partition).
+MAX_LITERAL_ENTRIES = 5_000
 MAX_BROADCAST_ROWS = 2_000_000
 
 
@@ -39,12 +42,13 @@ def fit_scaler(df: DataFrame, cols) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols, suffix: str = "") -> DataFrame:
-    """D2 apply: (x - mean) / std; a zero-variance column gives 0. Stats enter as scalar
-    subqueries over the one-row table (Spark merges them into one job)."""
+    """D2 apply: (x - mean) / std; a zero-variance column gives 0. The fitted state is two numbers
+    per column, read once and inlined as literals (a flat plan Catalyst can constant-fold)."""
+    row = stats.first()
     out = {}
     for c in cols:
-        mean = stats.select(f"{c}__mean").scalar()
-        std = stats.select(f"{c}__std").scalar()
+        mean = F.lit(row[f"{c}__mean"]).cast("double")
+        std = F.lit(row[f"{c}__std"]).cast("double")
         z = F.try_divide(F.col(c) - mean, F.nullif(std, F.lit(0.0)))
         out[c + suffix] = F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.coalesce(z, F.lit(0.0)))
     return df.withColumns(out)
@@ -63,7 +67,29 @@ def fit_ordinal(df: DataFrame, cols) -> DataFrame:
 
 def apply_lookup(df: DataFrame, fitted: DataFrame, cols, value: str, default, suffix: str,
                  extra_keys=()) -> DataFrame:
-    """Join one value per (feature, key[, extra_keys]) onto each listed column; unknown -> default."""
+    """Put one value per (feature, key[, extra_keys]) onto each listed column; unknown -> default.
+
+    Size-checked strategy: a map of at most MAX_LITERAL_ENTRIES rows (checked by fetching one row
+    more than the bound) is inlined as a literal map lookup (pure projection, no join); larger
+    maps are broadcast up to MAX_BROADCAST_ROWS, beyond that joined with a shuffle."""
+    dflt = None if default is None else (default if isinstance(default, Column) else F.lit(default))
+    if not extra_keys:
+        head = fitted.select("feature", "key", value).limit(MAX_LITERAL_ENTRIES + 1).collect()
+        if len(head) <= MAX_LITERAL_ENTRIES:
+            by_col: dict = {}
+            for r in head:
+                if r["key"] is not None:
+                    by_col.setdefault(r["feature"], []).append((r["key"], r[value]))
+            out = {}
+            for c in cols:
+                pairs = by_col.get(c, [])
+                if pairs:
+                    m = F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
+                    looked = F.try_element_at(m, F.col(c).cast("string"))
+                else:
+                    looked = F.lit(None)
+                out[c + suffix] = F.coalesce(looked, dflt) if dflt is not None else looked
+            return df.withColumns(out)
     table = broadcast_if_small(fitted)
     out = df
     for c in cols:
@@ -74,8 +100,7 @@ def apply_lookup(df: DataFrame, fitted: DataFrame, cols, value: str, default, su
         for k in extra_keys:
             cond = cond & (out[k] == part[f"_lk_{k}"])
         out = out.join(part, cond, "left").drop("_lk_key", *[f"_lk_{k}" for k in extra_keys])
-        if default is not None:
-            dflt = default if isinstance(default, Column) else F.lit(default)
+        if dflt is not None:
             out = out.withColumn(c + suffix, F.coalesce(F.col(c + suffix), dflt))
     return out
 
@@ -150,12 +175,12 @@ def fit_target_encoder(df: DataFrame, cols, label: str, smoothing: float = 20.0,
                        min_samples_leaf: float = 20.0) -> DataFrame:
     """D7 fit on all given rows: (feature, key, n, enc, prior). Null keys are a category of their own."""
     y = F.col(label).cast("double")
-    prior = df.select(F.avg(y)).scalar()
+    prior = F.lit(df.select(F.avg(y)).first()[0]).cast("double")
     stats = long_form(df.select(*cols, label), cols, keep=[label]).groupBy("feature", "key").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("s"))
-    return persist_small(stats.select("feature", "key", "n", _smooth(F.col("n"), F.col("s"), prior, smoothing,
-                                                                     min_samples_leaf).alias("enc"),
-                                      prior.alias("prior")))
+    return cut_lineage(stats.select("feature", "key", "n", _smooth(F.col("n"), F.col("s"), prior, smoothing,
+                                                                   min_samples_leaf).alias("enc"),
+                                    prior.alias("prior")))
 
 
 def fit_fold_target_encoder(df: DataFrame, cols, label: str, fold_col: str, k: int,
@@ -178,9 +203,9 @@ def fit_fold_target_encoder(df: DataFrame, cols, label: str, fold_col: str, k: i
     joined = grid.join(per_fold, ["feature", "key", fold_col], "left").join(F.broadcast(folds), fold_col)
     n = F.col("n_all") - F.coalesce(F.col("n_f"), F.lit(0))
     s = F.col("s_all") - F.coalesce(F.col("s_f"), F.lit(0.0))
-    return persist_small(joined.select(F.col(fold_col).alias("fold"), "feature", "key", n.alias("n"),
-                                       _smooth(n, s, F.col("prior"), smoothing, min_samples_leaf).alias("enc"),
-                                       "prior"))
+    return cut_lineage(joined.select(F.col(fold_col).alias("fold"), "feature", "key", n.alias("n"),
+                                     _smooth(n, s, F.col("prior"), smoothing, min_samples_leaf).alias("enc"),
+                                     "prior"))
 
 
 def _all():
@@ -192,7 +217,7 @@ def apply_target_encoding(df: DataFrame, fitted: DataFrame, cols, fold: int | No
                           suffix: str = "_te") -> DataFrame:
     """D7 apply (wide): each column gets its encoding; unseen key -> prior of that fit."""
     table = fitted if fold is None else fitted.filter(F.col("fold") == fold)
-    prior = table.select(F.max("prior")).scalar()
+    prior = F.lit(table.select(F.max("prior")).first()[0]).cast("double")
     return apply_lookup(df, table.select("feature", "key", "enc"), cols, "enc", prior, suffix)
 
 
@@ -221,7 +246,7 @@ def ordered_target_encoding(df: DataFrame, cols, label: str, id_col: str, a: flo
     (s_before + a * prior) / (n_before + a). Skew-safe: the running sums are two-phase, so a key
     holding a third of the rows is spread over many tasks."""
     from churnforge.operators.folds import shuffle_key
-    prior = df.select(F.avg(F.col(label).cast("double"))).scalar()
+    prior = F.lit(df.select(F.avg(F.col(label).cast("double"))).first()[0]).cast("double")
     rows = long_form(df.select(id_col, label, *cols).withColumn("_perm", shuffle_key(id_col, seed)), cols,
                      keep=[id_col, label, "_perm"]).withColumn("_y", F.col(label).cast("double")) \
         .withColumn("_one", F.lit(1).cast("long"))
@@ -256,5 +281,5 @@ def apply_group_mean(df: DataFrame, fitted: DataFrame, key: Column | str, out: s
 
 def class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Positives weighted by negatives / positives (scale_pos_weight), negatives by 1."""
-    ratio = df.select((F.sum(1 - F.col(label)) / F.sum(F.col(label))).cast("double")).scalar()
-    return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
+    ratio = df.select(F.try_divide(F.sum(1 - F.col(label)), F.sum(F.col(label))).cast("double")).first()[0]
+    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))

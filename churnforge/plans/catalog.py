@@ -781,3 +781,113 @@ def q_k9(spark, sf):
     fitted = fit_cluster_rate(f.filter(F.col("split") == "train"), "segment", "label")
     out = apply_cluster_rate(f.filter(F.col("split") == "score"), fitted, "segment", "score")
     return out.select("id", r6("score").alias("score"))
+
+
+# =============================================================== 2.10 model operators (rows-only: no SQL oracle)
+@register("l1_crossfit_logreg_oof")
+def q_l1(spark, sf):
+    from churnforge.plans.presets import crossfit_oof
+    oof, _ = crossfit_oof(spark, sf, "logreg", k=5, C=1.0)
+    return oof
+
+
+@register("l1_crossfit_score_average")
+def q_l1_test(spark, sf):
+    from churnforge.plans.presets import crossfit_oof
+    _, test = crossfit_oof(spark, sf, "logreg", k=5, C=1.0)
+    return test
+
+
+@register("l2_l8_trimodel_oof")
+def q_l8(spark, sf):
+    from churnforge.operators.models import multi_crossfit
+    from churnforge.plans.presets import BASE_NUMS, CATS, RESIDUALS, folded_train
+    tr, sc = folded_train(spark, sf, k=3)
+    te_map = encode.fit_fold_target_encoder(tr, CATS, "label", "fold", 3, smoothing=20.0)
+    oof, _ = multi_crossfit(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3, ["gbt", "gbt_shallow", "logreg"],
+                            te_cols=CATS, te_map=te_map, params={"gbt": {"maxIter": 10}, "gbt_shallow": {"maxIter": 10}})
+    return oof
+
+
+@register("l9_gbt_early_stopping_oof")
+def q_l9(spark, sf):
+    from churnforge.plans.presets import crossfit_oof
+    oof, _ = crossfit_oof(spark, sf, "gbt", k=3, early_stopping=True, maxIter=15)
+    return oof
+
+
+@register("l10_random_search_trials")
+def q_l10(spark, sf):
+    from churnforge.operators.models import random_search
+    from churnforge.plans.presets import BASE_NUMS, CATS, RESIDUALS, model_frame
+    tr = model_frame(spark, sf).filter(F.col("split") == "train")
+    trials, _best = random_search(tr, BASE_NUMS + RESIDUALS, "label", "id", n_trials=3, te_cols=CATS, max_iter=8)
+    return trials
+
+
+@register("l11_stack_oof")
+def q_l11(spark, sf):
+    from churnforge.operators.models import stack
+    s = frames.score_tables(spark, sf)
+    oof, _ = stack(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "score"), ["a", "b", "c"], "label")
+    return oof
+
+
+@register("l18_adversarial_importance")
+def q_l18(spark, sf):
+    from churnforge.operators.models import adversarial_validation
+    from pyspark.ml.feature import StringIndexer
+    d = frames.doc_frame(spark, sf)
+    d = StringIndexer(inputCols=["lang", "source"], outputCols=["lang_idx", "source_idx"],
+                      handleInvalid="keep").fit(d).transform(d)
+    _auc, _drift, imps, _flagged = adversarial_validation(d, ["n_chars", "lang_idx", "source_idx"], id_col="doc_id",
+                                                         k=3, maxIter=10)
+    return imps
+
+
+@register("l22_automl_leaderboard")
+def q_l22(spark, sf):
+    from churnforge.operators.models import automl
+    from churnforge.plans.presets import BASE_NUMS, RESIDUALS, folded_train
+    tr, sc = folded_train(spark, sf, k=3)
+    board, _oof, _test = automl(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3, families=("gbt", "rf", "logreg"),
+                                score_rows=sc, params={"gbt": {"maxIter": 10}, "rf": {"numTrees": 20}})
+    return board
+
+
+@register("k1_k3_kmeans_embeddings")
+def q_k1(spark, sf):
+    from churnforge.operators.cluster import kmeans_features
+    e = frames.embedding_frame(spark, sf)
+    out = kmeans_features(e, e, k=10, array_col="embedding", n_init=3)
+    return out.drop("embedding")
+
+
+@register("k4_reference_kmeans")
+def q_k4(spark, sf):
+    from churnforge.operators.cluster import kmeans_features
+    f = _orders(spark, sf)
+    f = f.withColumn("surcharge", fe.charge_residual("total", "monthly", "tenure"))
+    cols = ["tenure", "monthly", "total", "surcharge"]
+    return kmeans_features(f.select("id", *cols), f.filter(F.col("split") == "train"), k=8, cols=cols, n_init=3)
+
+
+@register("k5_cosine_clusters")
+def q_k5(spark, sf):
+    from churnforge.operators.cluster import cosine_cluster_pipeline
+    f = _orders(spark, sf)
+    model = cosine_cluster_pipeline(NUMS, ["segment", "priority"], k=3).fit(f.filter(F.col("split") == "train"))
+    centers = model.stages[-1].clusterCenters()
+    from churnforge.operators.cluster import centroid_distances
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(f).withColumn("_f", vector_to_array("features"))
+    return centroid_distances(out, [list(c) for c in centers], array_col="_f", prefix="cos_dist_") \
+        .select("id", "cluster", *[f"cos_dist_{j}" for j in range(3)])
+
+
+@register("k6_silhouette_scan")
+def q_k6(spark, sf):
+    from churnforge.operators.cluster import array_to_features, choose_k_by_silhouette
+    e = array_to_features(frames.embedding_frame(spark, sf), "embedding")
+    _k, scores = choose_k_by_silhouette(e, k_min=2, k_max=6)
+    return spark.createDataFrame(scores, "k int, silhouette double")

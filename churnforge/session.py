@@ -20,6 +20,7 @@ def get_session(app: str = "churnforge", master: str | None = None,
     builder = (builder
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.driver.memory", os.environ.get("CHURNFORGE_DRIVER_MEMORY", "8g"))
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -60,3 +61,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 500_000) -> DataFrame:
+    """Fewer, fuller partitions for iterative ML jobs: coalesce (no shuffle) to about
+    n_rows / rows_per_partition partitions when the frame is over-partitioned."""
+    want = max(1, -(-int(n_rows) // rows_per_partition))
+    have = df.rdd.getNumPartitions()
+    return df.coalesce(want) if want < have else df
