@@ -31,7 +31,7 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
 
 
 def prefix_sums(df: DataFrame, order_cols, sum_cols, group_cols=(), num_partitions: int | None = None,
-                inclusive: bool = False, suffix: str = "_before", persist: bool = True) -> DataFrame:
+                inclusive: bool = False, suffix: str = "_before", persist: bool = False) -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over rows strictly before (or up to, if inclusive)
     each row in ``order_cols`` order, restarting per ``group_cols``. Order keys should be
     unique within a group (reduce to distinct values first, or add a tie-breaker)."""
@@ -41,7 +41,8 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols, group_cols=(), num_partitio
     ranged = df.repartitionByRange(n, *[F.col(c) for c in group_cols + order_cols]) \
                .withColumn(PID, F.spark_partition_id())
     if persist:
-        # The partition id is read twice (totals and rows); keep one materialisation.
+        # Optional: both branches below read ``ranged``; by default AQE reuses the one range
+        # exchange for both (ReusedExchange), which beats caching a copy of every row.
         ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     totals = ranged.groupBy(PID, *group_cols).agg(*[F.sum(c).alias(f"{c}__pt") for c in sum_cols])
     w_off = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \

@@ -891,3 +891,40 @@ def q_k6(spark, sf):
     e = array_to_features(frames.embedding_frame(spark, sf), "embedding")
     _k, scores = choose_k_by_silhouette(e, k_min=2, k_max=6)
     return spark.createDataFrame(scores, "k int, silhouette double")
+
+
+# =============================================================== 2.1 sources and sinks
+def _scratch(spark, name):
+    import uuid
+    from churnforge.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("s1_s8_csv_typed_roundtrip", REGISTRY["p4_numeric_coerce"][1])
+def q_s1(spark, sf):
+    from pyspark.sql import types as T
+    from churnforge.sources import tables
+    raw = frames.raw_order_frame(spark, sf).select("id", *[f"{c}_txt" for c in NUMS])
+    path = _scratch(spark, "orders-csv")
+    tables.write_table(raw, path, fmt="csv")  # S8 (CSV with header)
+    schema = T.StructType([T.StructField("id", T.LongType())] +
+                          [T.StructField(f"{c}_txt", T.StringType()) for c in NUMS])
+    # Declared schema; keep blanks as text so P4 decides what is a number
+    back = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return back.select("id", *[r6(clean.to_number(f"{c}_txt")).alias(c) for c in NUMS])
+
+
+@register("s5_s6_prediction_sources", REGISTRY["l16_rank_power_average"][1])
+def q_s5(spark, sf):
+    from churnforge.operators.ensemble import rank_power_average
+    from churnforge.sources import tables
+    s = frames.score_tables(spark, sf)
+    base = _scratch(spark, "predictions")
+    for m in ("a", "b", "c"):
+        tables.write_predictions(s.filter(F.col("model") == m).select("id", "score"), f"{base}/{m}")  # S8
+    paths = tables.existing_sources(spark, [f"{base}/{m}" for m in ("a", "b", "missing", "c")])  # S6
+    long = tables.union_sources([tables.read_predictions(spark, p).withColumn("model", F.lit(p.rsplit("/", 1)[1]))
+                                 for p in paths])  # S5
+    out = rank_power_average(long, power=2.5)
+    return out.select("id", r6("score").alias("score"), "n_tables")
