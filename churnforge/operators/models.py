@@ -69,12 +69,16 @@ def _pipeline(feature_cols, est):
 
 def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
              family: str = "logreg", score_rows: DataFrame | None = None, te_cols=(), te_map: DataFrame | None = None,
-             model_name: str | None = None, early_stopping: bool = False, **params):
+             model_name: str | None = None, early_stopping: bool = False, parallelism: int | None = None,
+             **params):
     """L1: K models, each fitted on the other folds; every training row is scored once (OOF) and the
     score rows are scored by every fold model and averaged. With ``te_map`` (from
     encode.fit_fold_target_encoder) fold f's model, validation and score rows all use map f.
     L9: early_stopping carves a validation slice out of fold-train (never the scored fold).
+    Up to ``parallelism`` (default: all K, at most 10) fold models are fitted concurrently, as
+    CrossValidator's parallelism does; each fit is still a distributed job.
     Returns (oof: model,id,fold,label,score ; test: model,id,score)."""
+    from concurrent.futures import ThreadPoolExecutor
     name = model_name or family
     # K fits read the same rows: size the partitions to the row count, then cut the lineage once
     # (reliable checkpoint in the shared folder, so a lost executor re-reads rather than recomputes)
@@ -84,8 +88,8 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
         score_rows = cut_lineage(right_size(score_rows, score_rows.count()))
     te_out = [c + "_te" for c in te_cols]
     feats = list(feature_cols) + te_out
-    oofs, tests = [], []
-    for f in range(k):
+
+    def one_fold(f: int):
         tr, va = train.filter(F.col(fold_col) != f), train.filter(F.col(fold_col) == f)
         sc = score_rows
         if te_map is not None and te_cols:
@@ -99,12 +103,17 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
             tr = tr.withColumn("_es_val", F.pmod(F.xxhash64(F.col(id_col), F.lit(f)), F.lit(10)) == 0)
             kw.update(validationIndicatorCol="_es_val", validationTol=0.001)
         model = _pipeline(feats, estimator(family, label, n_rows=n_rows, **kw)).fit(tr)
-        oofs.append(_positive_score(model.transform(va)).select(
-            F.lit(name).alias("model"), id_col, F.lit(f).alias("fold"), label, "score"))
-        if sc is not None:
-            tests.append(_positive_score(model.transform(sc)).select(id_col, "score"))
-    oof = reduce(DataFrame.unionByName, oofs)
+        oof_f = _positive_score(model.transform(va)).select(
+            F.lit(name).alias("model"), id_col, F.lit(f).alias("fold"), label, "score")
+        test_f = _positive_score(model.transform(sc)).select(id_col, "score") if sc is not None else None
+        return oof_f, test_f
+
+    workers = min(k, 10) if parallelism is None else max(1, min(parallelism, k))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        results = list(pool.map(one_fold, range(k)))
+    oof = reduce(DataFrame.unionByName, [r[0] for r in results])
     test = None
+    tests = [r[1] for r in results if r[1] is not None]
     if tests:
         test = reduce(DataFrame.unionByName, tests).groupBy(id_col).agg(F.avg("score").alias("score")) \
             .withColumn("model", F.lit(name))

@@ -928,3 +928,69 @@ def q_s5(spark, sf):
                                  for p in paths])  # S5
     out = rank_power_average(long, power=2.5)
     return out.select("id", r6("score").alias("score"), "n_tables")
+
+
+# =============================================================== remaining inventory items (rows-only)
+@register("d1_preprocessor_features")
+def q_d1(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    f = clean.clean_frame(_orders(spark, sf), categorical=CATS)
+    model = encode.preprocessor(NUMS + ["acctbal"], CATS).fit(f.filter(F.col("split") == "train"))
+    return model.transform(f).select("id", "split", vector_to_array("features").alias("features"))
+
+
+@register("d8_noisy_target_encoding")
+def q_d8(spark, sf):
+    f = clean.clean_frame(_orders(spark, sf), categorical=CATS)
+    fitted = encode.fit_target_encoder(f.filter(F.col("split") == "train"), CATS, "label", smoothing=20.0)
+    enc = encode.apply_target_encoding(f, fitted, CATS)
+    noisy = encode.add_noise(enc, [f"{c}_te" for c in CATS], sigma=0.01, seed=42,
+                             only_when=F.col("split") == "train")
+    return noisy.select("id", "split", *[f"{c}_te" for c in CATS])
+
+
+@register("l12_search_blend_weights")
+def q_l12_search(spark, sf):
+    from churnforge.operators.ensemble import search_blend_weights
+    s = frames.score_tables(spark, sf).filter(F.col("split") == "train")
+    weights, best = search_blend_weights(s, ["a", "b", "c"], step=0.1, refine_step=0.02)
+    return spark.createDataFrame([(m, float(w), float(best)) for m, w in weights.items()],
+                                 "model string, weight double, auc double")
+
+
+@register("l19_prune_drifting_features")
+def q_l19(spark, sf):
+    from churnforge.operators.models import adversarial_validation
+    from churnforge.operators.shift import prune_features
+    from churnforge.plans.presets import BASE_NUMS, RESIDUALS, model_frame
+    mf = model_frame(spark, sf)
+    _auc, _drift, _imps, flagged = adversarial_validation(mf, BASE_NUMS + RESIDUALS, k=3, maxIter=10)
+    return prune_features(mf, flagged)
+
+
+@register("l23_s10_s12_saved_model_scoring")
+def q_l23(spark, sf):
+    from churnforge.operators.models import fit_final, score_with
+    from churnforge.plans.presets import BASE_NUMS, RESIDUALS, model_frame
+    from churnforge.sources import tables
+    mf = model_frame(spark, sf)
+    model = fit_final(mf.filter(F.col("split") == "train"), BASE_NUMS + RESIDUALS, "label", "gbt", maxIter=10)
+    path = _scratch(spark, "best-model")
+    tables.save_model(model, path)                       # S10
+    reloaded = tables.load_model(path)                   # S11
+    return score_with(reloaded, mf.filter(F.col("split") == "score"))  # S12: positive-class probability
+
+
+@register("s9_run_metrics")
+def q_s9(spark, sf):
+    from churnforge.sources import tables
+    s = frames.score_tables(spark, sf).filter(F.col("split") == "train")
+    aucs = {f"auc_{r['model']}": r["auc"] for r in metrics.auc(s, "label", "score", ["model"]).collect()}
+    return tables.append_run_metrics(spark, _scratch(spark, "run-metrics"), "bench-run", aucs)
+
+
+@register("l7_mlp_crossfit_oof")
+def q_l7(spark, sf):
+    from churnforge.plans.presets import crossfit_oof
+    oof, _ = crossfit_oof(spark, sf, "mlp", k=3, maxIter=20)
+    return oof
