@@ -35,7 +35,17 @@ def holdout(df: DataFrame, id_col: str, label: str, valid_share_folds: int = 5,
                  .drop("_ho_fold")
 
 
+TOP_N_LIMIT = 10_000
+
+
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """M2: exactly n rows without replacement, reproducible (top-n by a hashed order;
-    Spark plans this as a per-partition top-n, no full sort)."""
-    return df.orderBy(shuffle_key(id_col, seed), F.col(id_col)).limit(n)
+    """M2: exactly n rows without replacement, reproducible: the first n rows in a hashed order.
+
+    Small n: Spark's top-n (TakeOrderedAndProject; each partition keeps n rows, so one task merges
+    n x partitions). Large n: a skew-safe running row number over the hashed order, then a filter,
+    so no task ever holds more than one range partition."""
+    if n <= TOP_N_LIMIT:
+        return df.orderBy(shuffle_key(id_col, seed), F.col(id_col)).limit(n)
+    key = "_sample_order"
+    ranked = row_numbers(df.withColumn(key, shuffle_key(id_col, seed)), [key, id_col], out="_sample_idx")
+    return ranked.filter(F.col("_sample_idx") < n).drop(key, "_sample_idx")

@@ -31,7 +31,7 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
 
 
 def prefix_sums(df: DataFrame, order_cols, sum_cols, group_cols=(), num_partitions: int | None = None,
-                inclusive: bool = False, suffix: str = "_before", persist: bool = False) -> DataFrame:
+                inclusive: bool = False, suffix: str = "_before") -> DataFrame:
     """Add ``<c><suffix>`` = sum of ``c`` over rows strictly before (or up to, if inclusive)
     each row in ``order_cols`` order, restarting per ``group_cols``. Order keys should be
     unique within a group (reduce to distinct values first, or add a tie-breaker)."""
@@ -40,10 +40,12 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols, group_cols=(), num_partitio
     n = num_partitions or shuffle_partitions(spark)
     ranged = df.repartitionByRange(n, *[F.col(c) for c in group_cols + order_cols]) \
                .withColumn(PID, F.spark_partition_id())
-    if persist:
-        # Optional: both branches below read ``ranged``; by default AQE reuses the one range
-        # exchange for both (ReusedExchange), which beats caching a copy of every row.
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    # Both branches below must see the SAME range bounds. Two range exchanges over the same rows do
+    # not guarantee that: each samples its bounds with a seed tied to its own RDD, and column pruning
+    # can make the two branches' exchanges differ so they are not reused. Persisting makes both
+    # branches read one RDD with one partitioner; a lost block is recomputed through that same
+    # shuffle dependency, so the bounds never change.
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     totals = ranged.groupBy(PID, *group_cols).agg(*[F.sum(c).alias(f"{c}__pt") for c in sum_cols])
     w_off = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
         .orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)

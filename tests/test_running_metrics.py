@@ -81,3 +81,18 @@ def test_no_single_partition_exchange_on_rows(spark):
             # only the per-range-partition totals (at most N rows) may meet in one task
             assert "HashAggregate(keys=[_range_pid" in lines[i + 1], plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_sample_rows_both_paths_agree(spark):
+    df = spark.range(30000).withColumnRenamed("id", "k").withColumn("v", F.col("k") % 7)
+    small = {r["k"] for r in folds.sample_rows(df, "k", 10000, seed=3).collect()}
+    big = {r["k"] for r in folds.sample_rows(df, "k", 10001, seed=3).collect()}
+    assert len(small) == 10000 and len(big) == 10001 and small < big
+
+
+def test_prefix_sums_with_pruned_extra_columns(spark):
+    # an extra column that only one branch needs must not split the range partitioning in two
+    df = spark.range(20000).withColumn("extra", F.col("id") % 3).withColumn("o", F.md5(F.col("id").cast("string")))
+    from churnforge.operators.running import row_numbers
+    r = row_numbers(df, ["o"], out="idx").filter(F.col("idx") < 5000)
+    assert r.count() == 5000
