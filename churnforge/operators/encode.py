@@ -11,9 +11,10 @@ from churnforge.operators.quantiles import exact_quantiles
 from churnforge.operators.running import prefix_sums, row_numbers
 from churnforge.session import cut_lineage
 
-# Fitted maps up to MAX_LITERAL_ENTRIES rows are inlined as literal maps; up to MAX_BROADCAST_ROWS
-# they are broadcast; larger ones use a shuffle join (AQE splits a hot key's partition).
-MAX_LITERAL_ENTRIES = 5_000
+# Fitted maps up to MAX_LITERAL_ENTRIES rows are inlined as literal maps (a lookup in a literal map
+# scans its keys, so this stays small); up to MAX_BROADCAST_ROWS they are broadcast (hash probe);
+# larger ones use a shuffle join (AQE splits a hot key's partition).
+MAX_LITERAL_ENTRIES = 64
 MAX_BROADCAST_ROWS = 2_000_000
 
 
