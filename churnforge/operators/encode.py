@@ -151,6 +151,30 @@ def fit_quantile_bins(df: DataFrame, col: str, q: int) -> DataFrame:
     return qs.agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
 
 
+def fit_quantile_bins_multi(df: DataFrame, bins: dict) -> DataFrame:
+    """D6 fit for several columns in ONE distributed pass: rows (feature, edges). The columns go to
+    long form (feature, value); each feature keeps only its own probabilities."""
+    probs = sorted({i / q for q in bins.values() for i in range(q + 1)})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                                         for c in bins])).alias("_kv")).select("_kv.feature", "_kv.x")
+    qs = exact_quantiles(long, "x", probs, ["feature"])
+    wanted = F.create_map(*[x for c, q in bins.items()
+                            for x in (F.lit(c), F.array(*[F.lit(i / q) for i in range(q + 1)]))])
+    keep = qs.filter(F.array_contains(F.element_at(wanted, F.col("feature")), F.col("p")))
+    return keep.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
+
+
+def apply_quantile_bins_multi(df: DataFrame, fitted: DataFrame, cols, suffix: str = "_bin") -> DataFrame:
+    """D6 apply for the columns fitted together: ONE scalar subquery yields a feature -> edges map,
+    so the shared fit runs once."""
+    edge_map = fitted.agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges")))).scalar()
+    out = df.withColumn("_bin_edges", edge_map)
+    out = out.withColumns({c + suffix: bin_expr(F.col(c), F.coalesce(F.element_at(F.col("_bin_edges"), F.lit(c)),
+                                                                      F.array().cast("array<double>")))
+                           for c in cols})
+    return out.drop("_bin_edges")
+
+
 def bin_expr(x: Column, edges: Column) -> Column:
     """Right-closed bins (lo, hi], lowest edge included; outside the edges or fewer than two edges -> null."""
     below = F.size(F.filter(edges, lambda e: e < x))

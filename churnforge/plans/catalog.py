@@ -386,9 +386,8 @@ def _plist(q):
     for c in BINS) + " FROM order_frame, e")
 def q_d6(spark, sf):
     f = _orders(spark, sf)
-    out = f
-    for c, q in BINS.items():
-        out = encode.apply_quantile_bins(out, encode.fit_quantile_bins(f, c, q), c)
+    fitted = encode.fit_quantile_bins_multi(f, BINS)  # all columns in one pass
+    out = encode.apply_quantile_bins_multi(f, fitted, list(BINS))
     return out.select("id", *[f"{c}_bin" for c in BINS])
 
 
