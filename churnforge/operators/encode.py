@@ -67,12 +67,15 @@ def fit_ordinal(df: DataFrame, cols) -> DataFrame:
 
 
 def apply_lookup(df: DataFrame, fitted: DataFrame, cols, value: str, default, suffix: str,
-                 extra_keys=()) -> DataFrame:
+                 extra_keys=(), id_col: str | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Put one value per (feature, key[, extra_keys]) onto each listed column; unknown -> default.
 
     Size-checked strategy: a map of at most MAX_LITERAL_ENTRIES rows (checked by fetching one row
     more than the bound) is inlined as a literal map lookup (pure projection, no join); larger
-    maps are broadcast up to MAX_BROADCAST_ROWS, beyond that joined with a shuffle."""
+    maps are broadcast (row count checked) up to ``max_broadcast_rows``. Beyond that, with a unique
+    ``id_col`` and several columns, the rows go to long form (id, feature, key) for ONE shuffle join
+    and are regrouped by id (3 shuffles whatever the column count, instead of one per column);
+    otherwise each column is joined with a shuffle (AQE splits a hot key's partition)."""
     dflt = None if default is None else (default if isinstance(default, Column) else F.lit(default))
     if not extra_keys:
         head = fitted.select("feature", "key", value).limit(MAX_LITERAL_ENTRIES + 1).collect()
@@ -91,7 +94,12 @@ def apply_lookup(df: DataFrame, fitted: DataFrame, cols, value: str, default, su
                     looked = F.lit(None)
                 out[c + suffix] = F.coalesce(looked, dflt) if dflt is not None else looked
             return df.withColumns(out)
-    table = broadcast_if_small(fitted)
+    table = persist_small(fitted)
+    n_rows = table.count()
+    if n_rows <= max_broadcast_rows:
+        table = F.broadcast(table)
+    elif id_col is not None and not extra_keys and len(cols) > 1:
+        return _apply_lookup_long(df, table, cols, value, dflt, suffix, id_col)
     out = df
     for c in cols:
         part = table.filter(F.col("feature") == c).select(
@@ -106,6 +114,19 @@ def apply_lookup(df: DataFrame, fitted: DataFrame, cols, value: str, default, su
     return out
 
 
+def _apply_lookup_long(df: DataFrame, table: DataFrame, cols, value: str, dflt, suffix: str,
+                       id_col: str) -> DataFrame:
+    """Large-map path of apply_lookup: explode -> one join on (feature, key) -> regroup by id."""
+    rows = long_form(df.select(id_col, *cols), cols, keep=[id_col])
+    looked = rows.join(table.select("feature", "key", F.col(value).alias("_lk_v")), ["feature", "key"], "left")
+    wide = looked.groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == c, F.col("_lk_v"))).alias(c + suffix)
+                                        for c in cols])
+    out = df.join(wide, id_col, "left")
+    if dflt is not None:
+        out = out.withColumns({c + suffix: F.coalesce(F.col(c + suffix), dflt) for c in cols})
+    return out
+
+
 def apply_ordinal(df: DataFrame, fitted: DataFrame, cols, unknown: int = -1, suffix: str = "_ord") -> DataFrame:
     """D3 apply: unknown or null -> -1."""
     return apply_lookup(df, fitted, cols, "code", unknown, suffix)
@@ -241,11 +262,14 @@ def _all():
 
 
 def apply_target_encoding(df: DataFrame, fitted: DataFrame, cols, fold: int | None = None,
-                          suffix: str = "_te") -> DataFrame:
-    """D7 apply (wide): each column gets its encoding; unseen key -> prior of that fit."""
+                          suffix: str = "_te", id_col: str | None = None,
+                          max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """D7 apply (wide): each column gets its encoding; unseen key -> prior of that fit.
+    Give ``id_col`` (unique) to allow the long-form path for maps too large to broadcast."""
     table = fitted if fold is None else fitted.filter(F.col("fold") == fold)
     prior = F.lit(table.select(F.max("prior")).first()[0]).cast("double")
-    return apply_lookup(df, table.select("feature", "key", "enc"), cols, "enc", prior, suffix)
+    return apply_lookup(df, table.select("feature", "key", "enc"), cols, "enc", prior, suffix,
+                        id_col=id_col, max_broadcast_rows=max_broadcast_rows)
 
 
 def oof_target_encoding(df: DataFrame, fitted_folds: DataFrame, id_col: str, fold_col: str, cols) -> DataFrame:

@@ -93,9 +93,9 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
         tr, va = train.filter(F.col(fold_col) != f), train.filter(F.col(fold_col) == f)
         sc = score_rows
         if te_map is not None and te_cols:
-            tr = encode.apply_target_encoding(tr, te_map, te_cols, fold=f)
-            va = encode.apply_target_encoding(va, te_map, te_cols, fold=f)
-            sc = encode.apply_target_encoding(sc, te_map, te_cols, fold=f) if sc is not None else None
+            tr = encode.apply_target_encoding(tr, te_map, te_cols, fold=f, id_col=id_col)
+            va = encode.apply_target_encoding(va, te_map, te_cols, fold=f, id_col=id_col)
+            sc = encode.apply_target_encoding(sc, te_map, te_cols, fold=f, id_col=id_col) if sc is not None else None
         kw = dict(params)
         if family == "mlp":
             kw.setdefault("layers", [len(feats), 512, 256, 128, 2])

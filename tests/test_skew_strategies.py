@@ -49,3 +49,20 @@ def test_fold_encoder_hot_key_one_fold_key(spark):
     for f in range(5):
         sub = pdf[(pdf.fold != f) & (pdf.c == "HOT")]
         assert hot.loc[f, "n"] == len(sub)
+
+
+def test_all_three_large_map_paths_agree(spark):
+    pdf = _hot_frame()
+    pdf["d"] = pdf["c"].str[::-1]
+    df = spark.createDataFrame(pdf)
+    fitted = encode.fit_target_encoder(df, ["c", "d"], "y", smoothing=5.0)
+    cols = ["id", "c_te", "d_te"]
+    bcast = encode.apply_target_encoding(df, fitted, ["c", "d"]).select(*cols).toPandas().sort_values("id")
+    per_col = encode.apply_target_encoding(df, fitted, ["c", "d"], max_broadcast_rows=0).select(*cols) \
+        .toPandas().sort_values("id")
+    long = encode.apply_target_encoding(df, fitted, ["c", "d"], id_col="id", max_broadcast_rows=0)
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan  # long-form path (Spark may still broadcast a tiny map itself)
+    long = long.select(*cols).toPandas().sort_values("id")
+    for other in (per_col, long):
+        assert np.allclose(bcast[["c_te", "d_te"]].to_numpy(), other[["c_te", "d_te"]].to_numpy(), atol=1e-12)
