@@ -70,14 +70,15 @@ def _pipeline(feature_cols, est):
 def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
              family: str = "logreg", score_rows: DataFrame | None = None, te_cols=(), te_map: DataFrame | None = None,
              model_name: str | None = None, early_stopping: bool = False, parallelism: int | None = None,
-             **params):
+             keep_models: bool = False, **params):
     """L1: K models, each fitted on the other folds; every training row is scored once (OOF) and the
     score rows are scored by every fold model and averaged. With ``te_map`` (from
     encode.fit_fold_target_encoder) fold f's model, validation and score rows all use map f.
     L9: early_stopping carves a validation slice out of fold-train (never the scored fold).
     Up to ``parallelism`` (default: all K, at most 10) fold models are fitted concurrently, as
     CrossValidator's parallelism does; each fit is still a distributed job.
-    Returns (oof: model,id,fold,label,score ; test: model,id,score)."""
+    Returns (oof: model,id,fold,label,score ; test: model,id,score), plus the K fitted pipelines
+    when ``keep_models``."""
     from concurrent.futures import ThreadPoolExecutor
     name = model_name or family
     # K fits read the same rows: size the partitions to the row count, then cut the lineage once
@@ -106,7 +107,7 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
         oof_f = _positive_score(model.transform(va)).select(
             F.lit(name).alias("model"), id_col, F.lit(f).alias("fold"), label, "score")
         test_f = _positive_score(model.transform(sc)).select(id_col, "score") if sc is not None else None
-        return oof_f, test_f
+        return oof_f, test_f, model
 
     workers = min(k, 10) if parallelism is None else max(1, min(parallelism, k))
     with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -117,9 +118,26 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
     if tests:
         test = reduce(DataFrame.unionByName, tests).groupBy(id_col).agg(F.avg("score").alias("score")) \
             .withColumn("model", F.lit(name))
+    if keep_models:
+        return oof, test, [r[2] for r in results]
     return oof, test
 
 
+def fold_importances(spark, fold_models, feature_cols, how: str = "mean") -> DataFrame:
+    """A9 (mean over the fold models) / A10 (sum): tree feature importances x 100, sorted.
+    The table has one row per feature, so it is built on the driver."""
+    import numpy as np
+    mats = np.array([m.stages[-1].featureImportances.toArray() for m in fold_models])
+    agg = mats.mean(axis=0) if how == "mean" else mats.sum(axis=0)
+    rows = sorted(((c, float(v) * 100.0) for c, v in zip(feature_cols, agg)), key=lambda t: -t[1])
+    return spark.createDataFrame(rows, "feature string, importance_pct double")
+
+
+def top_features(importances: DataFrame, k: int = 5) -> DataFrame:
+    """The k most important features."""
+    return importances.orderBy(F.desc("importance_pct"), "feature").limit(k)
+
+
 def multi_crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int, families,
                    score_rows: DataFrame | None = None, te_cols=(), te_map=None, params=None):
     """Several families on the same folds -> one long OOF table and one long test table."""
@@ -205,18 +223,18 @@ def stack(oof_long: DataFrame, test_long: DataFrame | None, models, label: str,
 def adversarial_validation(df: DataFrame, feature_cols, split_col: str = "split", score_tag: str = "score",
                            id_col: str = "id", k: int = 5, family: str = "gbt", drift_auc: float = 0.52,
                            importance_pct: float = 15.0, **params):
-    """Classify score rows against training rows. Returns (auc, drifted?, importances
-    DataFrame(feature, importance_pct) sorted, [features above the threshold])."""
+    """Classify score rows against training rows with K cross-fitted models. Returns (OOF AUC,
+    drifted?, importances DataFrame(feature, importance_pct) averaged over the fold models (A9) and
+    sorted (T1), [features above the threshold])."""
     from churnforge.operators.folds import stratified_folds
     lab = df.withColumn("_is_score", (F.col(split_col) == score_tag).cast("int"))
     lab = stratified_folds(lab, id_col, "_is_score", k=k, out="_adv_fold")
-    oof, _ = crossfit(lab, feature_cols, "_is_score", id_col, "_adv_fold", k, family, **params)
+    oof, _, fold_models = crossfit(lab, feature_cols, "_is_score", id_col, "_adv_fold", k, family,
+                                   keep_models=True, **params)
     a = auc_value(oof, "_is_score", "score")
-    model = _pipeline(feature_cols, estimator(family, "_is_score", **params)).fit(lab)
-    imp = model.stages[-1].featureImportances.toArray()
-    rows = sorted(((c, float(v) * 100.0) for c, v in zip(feature_cols, imp)), key=lambda t: -t[1])
-    imps = df.sparkSession.createDataFrame(rows, "feature string, importance_pct double")
-    return a, a > drift_auc, imps, [c for c, v in rows if v > importance_pct]
+    imps = fold_importances(df.sparkSession, fold_models, feature_cols, "mean")
+    flagged = [r["feature"] for r in imps.collect() if r["importance_pct"] > importance_pct]
+    return a, a > drift_auc, imps, flagged
 
 
 def leaderboard(oof_long: DataFrame, label: str = "label", top: int = 15) -> DataFrame:

@@ -66,3 +66,14 @@ def test_kmeans_distances_argmin(spark):
     d = out[[f"kmeans_dist_{j}" for j in range(3)]].to_numpy()
     assert (d.argmin(axis=1).astype(str) == out["kmeans_cluster_id"].to_numpy()).all()
     assert out.groupby("kmeans_cluster_id").size().sort_values().tolist() == [60, 60, 60]
+
+
+def test_fold_importances_mean_and_sum(spark):
+    df = folds.stratified_folds(_planted(spark, 600, 4), "id", "label", k=3)
+    _oof, _t, fm = models.crossfit(df, ["x1", "x2", "noise"], "label", "id", "fold", 3, "gbt",
+                                   keep_models=True, maxIter=5)
+    mean = {r["feature"]: r["importance_pct"] for r in models.fold_importances(spark, fm, ["x1", "x2", "noise"]).collect()}
+    tot = {r["feature"]: r["importance_pct"] for r in models.fold_importances(spark, fm, ["x1", "x2", "noise"], "sum").collect()}
+    assert abs(sum(mean.values()) - 100.0) < 1e-6 and abs(sum(tot.values()) - 300.0) < 1e-6
+    top = models.top_features(models.fold_importances(spark, fm, ["x1", "x2", "noise"]), 1).first()["feature"]
+    assert top in ("x1", "x2")
