@@ -174,30 +174,37 @@ def _draw(rng: random.Random, spec):
 
 
 def random_search(train: DataFrame, feature_cols, label: str, id_col: str, n_trials: int = 30, seed: int = 42,
-                  space=None, te_cols=(), family: str = "gbt", max_iter: int = 20):
+                  space=None, te_cols=(), family: str = "gbt", max_iter: int = 20, parallelism: int = 4):
     """Seeded random search on a stratified 80/20 hold-out (M1); target-encoding smoothing is
-    searched jointly. Returns (trials DataFrame(trial, params, auc), best params dict)."""
+    searched jointly. Parameters are drawn up front from one seeded generator, so the trial list does
+    not depend on ``parallelism`` (trials run concurrently, as TrainValidationSplit's parallelism).
+    Returns (trials DataFrame(trial, params, auc), best params dict)."""
+    from concurrent.futures import ThreadPoolExecutor
     from churnforge.operators.folds import holdout
     space = dict(space or DEFAULT_SPACE)
     rng = random.Random(seed)
-    ho = holdout(train, id_col, label, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    draws = [{k: _draw(rng, v) for k, v in space.items()} for _ in range(n_trials)]
+    ho = cut_lineage(holdout(train, id_col, label, seed=seed))
     fit, valid = ho.filter(F.col("holdout") == "fit"), ho.filter(F.col("holdout") == "valid")
-    rows = []
-    for t in range(n_trials):
-        p = {k: _draw(rng, v) for k, v in space.items()}
+
+    def trial(t: int):
+        p = dict(draws[t])
         smoothing = p.pop("te_smoothing", 20.0)
         tr, va, feats = fit, valid, list(feature_cols)
         if te_cols:
             m = encode.fit_target_encoder(fit, te_cols, label, smoothing=smoothing)
-            tr = encode.apply_target_encoding(fit, m, te_cols)
-            va = encode.apply_target_encoding(valid, m, te_cols)
+            tr = encode.apply_target_encoding(fit, m, te_cols, id_col=id_col)
+            va = encode.apply_target_encoding(valid, m, te_cols, id_col=id_col)
             feats += [c + "_te" for c in te_cols]
         model = _pipeline(feats, estimator(family, label, maxIter=max_iter, **p)).fit(tr)
         a = auc_value(_positive_score(model.transform(va)), label, "score")
         p["te_smoothing"] = smoothing
-        rows.append((t, json.dumps(p, sort_keys=True), float(a)))
+        return (t, json.dumps(p, sort_keys=True), float(a))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_trials))) as pool:
+        rows = list(pool.map(trial, range(n_trials)))
     trials = train.sparkSession.createDataFrame(rows, "trial int, params string, auc double")
-    best = max(rows, key=lambda r: r[2])
+    best = max(rows, key=lambda r: (r[2], -r[0]))
     return trials, json.loads(best[1])
 
 

@@ -993,3 +993,41 @@ def q_l7(spark, sf):
     from churnforge.plans.presets import crossfit_oof
     oof, _ = crossfit_oof(spark, sf, "mlp", k=3, maxIter=20)
     return oof
+
+
+# =============================================================== v19 / v20 pattern: bins -> all pair crosses -> fold TE
+PAIR_SRC = CATS + [f"{c}_bin" for c in BINS]
+
+
+def _bin_sql(c):
+    return (f"CASE WHEN len({c}_e) >= 2 AND {c} >= {c}_e[1] AND {c} <= {c}_e[len({c}_e)] "
+            f"THEN CAST(greatest(len(list_filter({c}_e, lambda x: x < {c})) - 1, 0) AS INTEGER) END")
+
+
+def _pair_te_sql(k=5, smoothing=20.0, msl=20.0):
+    from churnforge.functions.features import pair_names
+    pairs = pair_names(PAIR_SRC)
+    edges = "e AS (SELECT " + ", ".join(f"list_sort(list_distinct(quantile_cont({c}, {_plist(q)}))) AS {c}_e"
+                                        for c, q in BINS.items()) + " FROM order_frame)"
+    fb = ("fb AS (SELECT id, label, split, " + ", ".join(f"coalesce({c}, 'Missing') AS {c}" for c in CATS) + ", "
+          + ", ".join(f"coalesce(CAST({_bin_sql(c)} AS VARCHAR), 'Missing') AS {c}_bin" for c in BINS)
+          + " FROM order_frame, e)")
+    pr = ("pr AS (SELECT id, label, split, " + ", ".join(f"{a} || '_X_' || {b} AS {n}" for n, a, b in pairs)
+          + " FROM fb)")
+    lf = "lf AS (" + "\n  UNION ALL ".join(f"SELECT fold, label, '{n}' AS feature, {n} AS key FROM tr"
+                                           for n, _a, _b in pairs) + ")"
+    rest = te_map_sql(k, smoothing, msl)[3:]  # per_fold .. te, reading lf and tr
+    return with_orders(edges, fb, pr, folds_cte(k=k, source="pr"), "tr AS (SELECT * FROM folded)", lf, *rest)
+
+
+@register("e11_d6_d7_pair_te_fold_map", _pair_te_sql() + """
+SELECT fold, feature, key, n, round(enc, 6) AS enc FROM te""")
+def q_pair_te(spark, sf):
+    f = _orders(spark, sf)
+    binned = encode.apply_quantile_bins_multi(f, encode.fit_quantile_bins_multi(f, BINS), list(BINS))
+    filled = clean.clean_frame(binned.select("id", "label", "split", *PAIR_SRC), categorical=PAIR_SRC)
+    pairs = fe.all_pair_crosses(PAIR_SRC, sep="_X_", null_rule="fill")
+    wide = filled.select("id", "label", "split", *[v.alias(n) for n, v in pairs.items()])
+    tr = folds.stratified_folds(wide.filter(F.col("split") == "train"), "id", "label", k=5)
+    m = encode.fit_fold_target_encoder(tr, list(pairs), "label", "fold", 5, smoothing=20.0, min_samples_leaf=20.0)
+    return m.select(F.col("fold").cast("int"), "feature", "key", F.col("n").cast("long"), r6("enc").alias("enc"))
