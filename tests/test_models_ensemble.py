@@ -77,3 +77,12 @@ def test_fold_importances_mean_and_sum(spark):
     assert abs(sum(mean.values()) - 100.0) < 1e-6 and abs(sum(tot.values()) - 300.0) < 1e-6
     top = models.top_features(models.fold_importances(spark, fm, ["x1", "x2", "noise"]), 1).first()["feature"]
     assert top in ("x1", "x2")
+
+
+def test_random_search_trials_independent_of_parallelism(spark):
+    df = _planted(spark, 400, 5)
+    t1, b1 = models.random_search(df, ["x1", "x2"], "label", "id", n_trials=2, max_iter=3, parallelism=1)
+    t2, b2 = models.random_search(df, ["x1", "x2"], "label", "id", n_trials=2, max_iter=3, parallelism=2)
+    p1 = [r["params"] for r in t1.orderBy("trial").collect()]
+    p2 = [r["params"] for r in t2.orderBy("trial").collect()]
+    assert p1 == p2 and b1 == b2
