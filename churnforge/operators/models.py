@@ -22,8 +22,8 @@ from churnforge.session import cut_lineage, right_size
 def estimator(family: str, label: str = "label", features: str = "features", n_rows: int | None = None,
               **params):
     """Spark ML stand-ins for the reference's model families (parameter map in the README)."""
-    from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                           NaiveBayes, RandomForestClassifier)
+    from pyspark.ml.classification import (FMClassifier, GBTClassifier, LogisticRegression,
+                                           MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
     common = dict(labelCol=label, featuresCol=features)
     if family == "gbt":  # L2 / L3: boosted trees
         p = dict(maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=42, maxBins=64)
@@ -50,8 +50,14 @@ def estimator(family: str, label: str = "label", features: str = "features", n_r
         p = dict(maxIter=50, seed=42, blockSize=512)
         p.update(params)
         return MultilayerPerceptronClassifier(**common, **p)
-    if family == "nb":  # non-negative inputs only
-        return NaiveBayes(**common, **params)
+    if family == "nb":  # Gaussian NB: continuous inputs of any sign
+        p = dict(modelType="gaussian")
+        p.update(params)
+        return NaiveBayes(**common, **p)
+    if family == "fm":  # factorization machine (pairwise interactions)
+        p = dict(factorSize=8, maxIter=50, stepSize=0.05, seed=42)
+        p.update(params)
+        return FMClassifier(**common, **p)
     raise ValueError(f"unknown family {family}")
 
 
@@ -250,7 +256,8 @@ def leaderboard(oof_long: DataFrame, label: str = "label", top: int = 15) -> Dat
 
 
 def automl(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
-           families=("gbt", "rf", "logreg", "gbt_shallow"), score_rows: DataFrame | None = None, params=None):
+           families=("gbt", "rf", "logreg", "gbt_shallow", "fm", "nb"), score_rows: DataFrame | None = None,
+           params=None):
     """Cross-fit several families on the same folds, stack them, rank everything by OOF AUC.
     Returns (leaderboard DataFrame, oof_long, test_long)."""
     oof, test = multi_crossfit(train, feature_cols, label, id_col, fold_col, k, families, score_rows,

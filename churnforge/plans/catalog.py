@@ -849,8 +849,9 @@ def q_l22(spark, sf):
     from churnforge.operators.models import automl
     from churnforge.plans.presets import BASE_NUMS, RESIDUALS, folded_train
     tr, sc = folded_train(spark, sf, k=3)
-    board, _oof, _test = automl(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3, families=("gbt", "rf", "logreg"),
-                                score_rows=sc, params={"gbt": {"maxIter": 10}, "rf": {"numTrees": 20}})
+    board, _oof, _test = automl(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3,
+                                families=("gbt", "rf", "logreg", "fm", "nb"), score_rows=sc,
+                                params={"gbt": {"maxIter": 10}, "rf": {"numTrees": 20}, "fm": {"maxIter": 20}})
     return board
 
 

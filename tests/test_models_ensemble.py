@@ -86,3 +86,11 @@ def test_random_search_trials_independent_of_parallelism(spark):
     p1 = [r["params"] for r in t1.orderBy("trial").collect()]
     p2 = [r["params"] for r in t2.orderBy("trial").collect()]
     assert p1 == p2 and b1 == b2
+
+
+def test_fm_and_nb_families(spark):
+    df = folds.stratified_folds(_planted(spark, 600, 6), "id", "label", k=3)
+    oof, _ = models.multi_crossfit(df, ["x1", "x2"], "label", "id", "fold", 3, ["fm", "nb"],
+                                   params={"fm": {"maxIter": 20}})
+    board = {r["model"]: r["auc"] for r in models.leaderboard(oof).collect()}
+    assert board["fm"] > 0.75 and board["nb"] > 0.6
