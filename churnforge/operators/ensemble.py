@@ -71,15 +71,20 @@ def simplex_grid(n_models: int, step: float):
 
 def blend_grid_auc(oof_long: DataFrame, models, grid, label: str = "label", id_col: str = "id",
                    score: str = "score") -> DataFrame:
-    """L12 core: AUC of every weight vector in ``grid`` in one job. The grid is a fixed-size literal
-    expanded per row; the AUC is grouped by weight id (skew-safe running sums per group)."""
+    """L12 core: AUC of every weight vector in ``grid`` in one job. Rows are first reduced to distinct
+    score combinations with positive / negative counts; the grid is a fixed-size literal expanded per
+    combination; the AUC is grouped by weight id (skew-safe running sums per group)."""
     wide = wide_scores(oof_long, models, id_col, score, keep=[label])
+    # pre-aggregate: rows sharing all model scores blend identically, so count them once
+    y = F.col(label).cast("long")
+    cells = wide.filter(F.col(label).isNotNull()).groupBy(*[f"s_{m}" for m in models]).agg(
+        F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg"))
     arr = F.array(*[F.struct(F.lit(i).alias("wid"), *[F.lit(float(w)).alias(f"w_{m}") for w, m in zip(ws, models)])
                     for i, ws in enumerate(grid)])
-    ex = wide.select(label, *[f"s_{m}" for m in models], F.explode(arr).alias("_g"))
+    ex = cells.select("_pos", "_neg", *[f"s_{m}" for m in models], F.explode(arr).alias("_g"))
     blend = sum((F.col(f"_g.w_{m}") * F.col(f"s_{m}") for m in models), F.lit(0.0))
-    scored = ex.select("_g.*", label, blend.alias("_blend"))
-    res = auc(scored, label, "_blend", ["wid"] + [f"w_{m}" for m in models])
+    scored = ex.select("_g.*", "_pos", "_neg", blend.alias("_blend"))
+    res = auc(scored, label, "_blend", ["wid"] + [f"w_{m}" for m in models], counts=("_pos", "_neg"))
     return res.select("wid", *[f"w_{m}" for m in models], "auc")
 
 

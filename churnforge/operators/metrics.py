@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from churnforge.operators.running import prefix_sums
 
 
-def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc") -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc", counts=None) -> DataFrame:
     """R1 (no groups), R2 (group by fold), R3 (group by model), R5 (label = split flag).
 
     Ties count one half. Rows are first reduced to distinct scores (map-side combine), then a
-    skew-safe running count of negatives gives AUC = sum(pos * (neg_below + neg/2)) / (P * N)."""
+    skew-safe running count of negatives gives AUC = sum(pos * (neg_below + neg/2)) / (P * N).
+    ``counts=(pos_col, neg_col)``: the rows are already (score, positives, negatives) counts and
+    ``label`` is ignored."""
     group_cols = list(group_cols)
-    y = F.col(label).cast("long")
-    dist = (df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-              .groupBy(*group_cols, F.col(score).cast("double").alias("_s"))
-              .agg(F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))
+    if counts is None:
+        y = F.col(label).cast("long")
+        base = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+        pos, neg = y, F.lit(1) - y
+    else:
+        base = df.filter(F.col(score).isNotNull())
+        pos, neg = F.col(counts[0]).cast("long"), F.col(counts[1]).cast("long")
+    dist = (base.groupBy(*group_cols, F.col(score).cast("double").alias("_s"))
+                .agg(F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg")))
     run = prefix_sums(dist, ["_s"], ["_neg"], group_cols)
     return run.groupBy(*group_cols).agg(
         F.try_divide(F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0)),
