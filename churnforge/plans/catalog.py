@@ -1032,3 +1032,10 @@ def q_pair_te(spark, sf):
     tr = folds.stratified_folds(wide.filter(F.col("split") == "train"), "id", "label", k=5)
     m = encode.fit_fold_target_encoder(tr, list(pairs), "label", "fold", 5, smoothing=20.0, min_samples_leaf=20.0)
     return m.select(F.col("fold").cast("int"), "feature", "key", F.col("n").cast("long"), r6("enc").alias("enc"))
+
+
+@register("l6_pair_te_logreg_oof")
+def q_l6(spark, sf):
+    from churnforge.plans.presets import pair_logreg_oof
+    oof, _ = pair_logreg_oof(spark, sf, k=3, C=0.1)
+    return oof

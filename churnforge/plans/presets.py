@@ -50,3 +50,20 @@ def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
         F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("scope"), "auc", "n_pos", "n_neg")
     overall = metrics.auc(oof, "label", "score").select(F.lit("oof").alias("scope"), "auc", "n_pos", "n_neg")
     return overall.unionByName(per_fold)
+
+
+def pair_logreg_oof(spark: SparkSession, sf_dir: str, k: int = 3, C: float = 0.1):
+    """v20 pattern: quantile bins (fit on train + score, as the reference) -> all pair crosses of the
+    categories and bins -> leave-fold-out target encoding of every pair -> cross-fitted logistic
+    regression with C on the pair encodings (L6)."""
+    bins = {"tenure": 15, "monthly": 20, "total": 20}
+    f = frames.order_frame(spark, sf_dir)
+    binned = encode.apply_quantile_bins_multi(f, encode.fit_quantile_bins_multi(f, bins), list(bins))
+    src = CATS + [f"{c}_bin" for c in bins]
+    filled = clean.clean_frame(binned.select("id", "label", "split", *src), categorical=src)
+    pairs = fe.all_pair_crosses(src, sep="_X_", null_rule="fill")
+    wide = filled.select("id", "label", "split", *[v.alias(n) for n, v in pairs.items()])
+    tr = folds.stratified_folds(wide.filter(F.col("split") == "train"), "id", "label", k=k)
+    te_map = encode.fit_fold_target_encoder(tr, list(pairs), "label", "fold", k, smoothing=20.0)
+    return models.crossfit(tr, [], "label", "id", "fold", k, "logreg", score_rows=wide.filter(F.col("split") == "score"),
+                           te_cols=list(pairs), te_map=te_map, model_name="pair_logreg", C=C)
