@@ -1039,3 +1039,10 @@ def q_l6(spark, sf):
     from churnforge.plans.presets import pair_logreg_oof
     oof, _ = pair_logreg_oof(spark, sf, k=3, C=0.1)
     return oof
+
+
+@register("ref_distribution_booster_calibrated")
+def q_refdist_booster(spark, sf):
+    from churnforge.plans.presets import reference_distribution_booster
+    _oof, calibrated = reference_distribution_booster(spark, sf, k=3, max_iter=10)
+    return calibrated

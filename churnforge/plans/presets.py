@@ -67,3 +67,37 @@ def pair_logreg_oof(spark: SparkSession, sf_dir: str, k: int = 3, C: float = 0.1
     te_map = encode.fit_fold_target_encoder(tr, list(pairs), "label", "fold", k, smoothing=20.0)
     return models.crossfit(tr, [], "label", "id", "fold", k, "logreg", score_rows=wide.filter(F.col("split") == "score"),
                            te_cols=list(pairs), te_map=te_map, model_name="pair_logreg", C=C)
+
+
+def reference_distribution_features(df: DataFrame, ref: DataFrame, label: str = "label",
+                                    nums=("tenure", "monthly", "total"), k: int = 8, n_init: int = 3) -> DataFrame:
+    """Reference-distribution feature build against a reference population ``ref``:
+    E7 surcharge, E14/E15 class z-scores and quartile distances, K4 k-means fitted once on the
+    (unscaled) reference, E12 + D11 n-gram churn rate from the reference (unseen -> 0), E13 count."""
+    from churnforge.operators.cluster import kmeans_features
+    from churnforge.operators.refdist import class_stats, reference_features
+    add = lambda d: d.withColumn("surcharge", fe.charge_residual("total", "monthly", "tenure"))
+    df, ref = add(df), add(ref)
+    cols = list(nums) + ["surcharge"]
+    out = reference_features(df, class_stats(ref, label, cols), cols)
+    out = kmeans_features(out, ref, k=k, cols=cols, n_init=n_init)
+    ngram = fe.cross("priority", "segment", "flag", null_rule="text")
+    out = encode.apply_group_mean(out, encode.fit_group_mean(ref, ngram, label), ngram, "ngram_rate", 0.0)
+    return out.withColumn("n_flag_a_or_urgent", fe.count_equal(["flag"], "A") + fe.count_equal(["priority"], "1-URGENT"))
+
+
+def reference_distribution_booster(spark: SparkSession, sf_dir: str, k: int = 3, max_iter: int = 10):
+    """SURVEY 3.2 end to end: features against the labelled rows as reference population ->
+    cross-fitted GBT -> score predictions calibrated to the training base rate (L17).
+    Returns (oof, calibrated score-row predictions)."""
+    from churnforge.operators.ensemble import calibrate
+    f = frames.order_frame(spark, sf_dir)
+    ref = f.filter(F.col("split") == "train")
+    feats = reference_distribution_features(f, ref)
+    num_cols = [c for c in feats.columns if c.startswith(("zscore_", "dist_", "kmeans_dist_"))]
+    num_cols += ["ngram_rate", "n_flag_a_or_urgent", "surcharge", "tenure", "monthly", "total"]
+    tr = folds.stratified_folds(feats.filter(F.col("split") == "train"), "id", "label", k=k)
+    oof, test = models.crossfit(tr, num_cols, "label", "id", "fold", k, "gbt",
+                                score_rows=feats.filter(F.col("split") == "score"), maxIter=max_iter)
+    rate = ref.select(F.avg(F.col("label").cast("double"))).first()[0]
+    return oof, calibrate(test.select("id", "score"), rate)
