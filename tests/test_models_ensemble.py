@@ -94,3 +94,22 @@ def test_fm_and_nb_families(spark):
                                    params={"fm": {"maxIter": 20}})
     board = {r["model"]: r["auc"] for r in models.leaderboard(oof).collect()}
     assert board["fm"] > 0.75 and board["nb"] > 0.6
+
+
+def test_reference_distribution_features(spark):
+    from churnforge.plans.presets import reference_distribution_features
+    rng = np.random.default_rng(8)
+    n = 300
+    pdf = pd.DataFrame({"id": np.arange(n), "tenure": rng.integers(1, 8, n).astype(float),
+                        "monthly": rng.normal(100, 10, n), "total": rng.normal(500, 50, n),
+                        "priority": rng.choice(["1-URGENT", "2-HIGH"], n), "segment": rng.choice(["A", "B"], n),
+                        "flag": rng.choice(["A", "N", "R"], n), "label": rng.integers(0, 2, n)})
+    ref = spark.createDataFrame(pdf)
+    new = spark.createDataFrame(pdf.head(3).assign(id=[1000, 1001, 1002], segment="UNSEEN"))
+    out = reference_distribution_features(new, ref, k=3, n_init=1).toPandas()
+    assert (out["ngram_rate"] == 0.0).all()  # n-gram absent from the reference -> 0
+    pos = pdf[pdf.label == 1]["total"]
+    exp = (pdf.head(3)["total"].to_numpy() - pos.mean()) / (pos.std() + 1e-6)  # pandas std = sample std
+    assert np.allclose(out.sort_values("id")["zscore_pos_total"].to_numpy(), exp, atol=1e-9)
+    d = out[[f"kmeans_dist_{j}" for j in range(3)]].to_numpy()
+    assert (d.argmin(axis=1).astype(str) == out["kmeans_cluster_id"].to_numpy()).all()
