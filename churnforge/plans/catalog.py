@@ -1046,3 +1046,34 @@ def q_refdist_booster(spark, sf):
     from churnforge.plans.presets import reference_distribution_booster
     _oof, calibrated = reference_distribution_booster(spark, sf, k=3, max_iter=10)
     return calibrated
+
+
+# K2/K3 apply against fixed centroids (per-segment means of the training rows, in segment order),
+# so the distance and argmin expressions get an exact SQL check; the k-means fit itself is rows-only.
+KCOLS = ["tenure", "monthly", "total"]
+
+
+def _kcentroid_sql():
+    dist = " + ".join(f"pow({c} - c_{c}, 2)" for c in KCOLS)
+    return [
+        "cen AS (SELECT CAST(row_number() OVER (ORDER BY segment) - 1 AS INTEGER) AS j, "
+        + ", ".join(f"avg({c}) AS c_{c}" for c in KCOLS) + " FROM order_frame WHERE split = 'train' GROUP BY segment)",
+        f"dl AS (SELECT o.id, cen.j, sqrt(0.0 + {dist}) AS d FROM order_frame o CROSS JOIN cen)",
+        "am AS (SELECT id, j FROM (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY d, j) AS rn FROM dl) t WHERE rn = 1)",
+    ]
+
+
+@register("k2_k3_fixed_centroid_distances", with_orders(*_kcentroid_sql()) + "SELECT dl.id, " + ", ".join(
+    f"round(max(CASE WHEN dl.j = {j} THEN dl.d END), 6) AS kmeans_dist_{j}" for j in range(5))
+    + ", CAST(any_value(am.j) AS VARCHAR) AS kmeans_cluster_id FROM dl JOIN am ON dl.id = am.id GROUP BY dl.id")
+def q_k2_fixed(spark, sf):
+    from churnforge.operators.cluster import centroid_distances, nearest_cluster
+    f = _orders(spark, sf)
+    # k x d centroids (here 5 x 3): bounded, read once
+    cen = f.filter(F.col("split") == "train").groupBy("segment").agg(*[F.avg(c).alias(c) for c in KCOLS]) \
+        .orderBy("segment").collect()
+    centers = [[r[c] for c in KCOLS] for r in cen]
+    out = centroid_distances(f.select("id", *KCOLS), centers, cols=KCOLS)
+    out = out.withColumn("kmeans_cluster_id", nearest_cluster(len(centers)))
+    return out.select("id", *[r6(f"kmeans_dist_{j}").alias(f"kmeans_dist_{j}") for j in range(len(centers))],
+                      "kmeans_cluster_id")
