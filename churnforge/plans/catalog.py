@@ -949,12 +949,41 @@ def q_d8(spark, sf):
     return noisy.select("id", "split", *[f"{c}_te" for c in CATS])
 
 
-@register("l12_search_blend_weights")
+def _search_sql():
+    from churnforge.operators.ensemble import simplex_grid
+    fine = simplex_grid(3, 0.02)
+    fine_rows = ", ".join(f"(CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE), {i})"
+                          for i, (a, b, c) in enumerate(fine))
+    auc_expr = "sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg))"
+    return with_orders(
+        "tr AS (SELECT id, label, max(CASE WHEN model = 'a' THEN score END) AS s_a, max(CASE WHEN model = 'b' THEN score END) AS s_b, "
+        "max(CASE WHEN model = 'c' THEN score END) AS s_c FROM score_tables WHERE split = 'train' GROUP BY id, label)",
+        _grid_sql(),
+        "bl AS (SELECT wid, w_a, w_b, w_c, label, 0.0 + w_a * s_a + w_b * s_b + w_c * s_c AS score FROM tr CROSS JOIN g)",
+        auc_sql("bl", "wid").strip(),
+        f"coarse AS (SELECT wid, {auc_expr} AS auc FROM run GROUP BY wid)",
+        "best AS (SELECT g.* FROM g JOIN (SELECT wid FROM coarse ORDER BY auc DESC, wid LIMIT 1) b ON g.wid = b.wid)",
+        f"fg(w_a, w_b, w_c, pos_in_grid) AS (VALUES {fine_rows})",
+        "fsel AS (SELECT fg.w_a, fg.w_b, fg.w_c, CAST(row_number() OVER (ORDER BY pos_in_grid) - 1 AS INTEGER) AS wid "
+        "FROM fg, best WHERE abs(fg.w_a - best.w_a) <= 0.1 + 1e-9 AND abs(fg.w_b - best.w_b) <= 0.1 + 1e-9 "
+        "AND abs(fg.w_c - best.w_c) <= 0.1 + 1e-9)",
+        "bl2 AS (SELECT wid, label, 0.0 + w_a * s_a + w_b * s_b + w_c * s_c AS score FROM tr CROSS JOIN fsel)",
+        auc_sql("bl2", "wid").strip().replace("dist AS", "dist2 AS").replace("FROM dist", "FROM dist2")
+        .replace("run AS", "run2 AS"),
+        f"fine AS (SELECT wid, {auc_expr} AS auc FROM run2 GROUP BY wid)",
+        "win AS (SELECT f.w_a, f.w_b, f.w_c, fine.auc FROM fine JOIN fsel f ON f.wid = fine.wid ORDER BY fine.auc DESC, fine.wid LIMIT 1)",
+    ) + """
+SELECT 'a' AS model, w_a AS weight, round(auc, 6) AS auc FROM win
+UNION ALL SELECT 'b', w_b, round(auc, 6) FROM win
+UNION ALL SELECT 'c', w_c, round(auc, 6) FROM win"""
+
+
+@register("l12_search_blend_weights", _search_sql())
 def q_l12_search(spark, sf):
     from churnforge.operators.ensemble import search_blend_weights
     s = frames.score_tables(spark, sf).filter(F.col("split") == "train")
     weights, best = search_blend_weights(s, ["a", "b", "c"], step=0.1, refine_step=0.02)
-    return spark.createDataFrame([(m, float(w), float(best)) for m, w in weights.items()],
+    return spark.createDataFrame([(m, float(w), round(float(best), 6)) for m, w in weights.items()],
                                  "model string, weight double, auc double")
 
 
