@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe, langid, simhash
+from churnforge.llm import bpe, langid, simhash, substrings
 from churnforge.llm.textbatch import held_out
 
 
@@ -33,8 +33,38 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the passages of 35 words that stand anywhere else."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS body
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35) t
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY body) AS n FROM windows) t WHERE n > 1
+), covered AS (
+  SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM repeated) t
+), gone AS (
+  SELECT r, count(*) AS n_removed FROM covered GROUP BY r
+), words AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS body FROM words ANTI JOIN covered USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_language_id": (op2_language_id, None),
+    "op3_substring_dedup": (op3_substring_dedup, OP3_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
 }
