@@ -87,12 +87,11 @@ def _embed(fp: np.ndarray) -> np.ndarray:
 
 
 def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distance of packed embeddings."""
-    out = np.zeros(np.broadcast(a, b).shape, np.int16)
-    for shift in range(0, BITS, 2):
-        s, three = np.uint64(shift), np.uint64(3)
-        out += np.abs(((a >> s) & three).astype(np.int8) - ((b >> s) & three).astype(np.int8))
-    return out
+    """Manhattan distance of packed embeddings: coordinates 1 and 2 differ in both bits but by one."""
+    low = np.uint64(SEGMENT_LOW_BITS)
+    x = a ^ b
+    odd, even = x & low, (x >> np.uint64(1)) & low
+    return np.bitwise_count(odd) + 2 * np.bitwise_count(even & ~odd)
 
 
 def _signed(x: int) -> int:
@@ -126,7 +125,8 @@ def _forest(fps: np.ndarray, d: int) -> tuple[list[np.ndarray], list[np.ndarray]
             parent = np.full(len(rest), -1)
             for f in front:
                 todo = np.flatnonzero(parent < 0)
-                parent[todo[_near(fps[rest[todo]], fps[f], d)]] = f
+                others = fps[rest[todo]]
+                parent[todo[_near(others, np.broadcast_to(fps[f], others.shape), d)]] = f
             hit = parent >= 0
             left.append(fps[parent[hit]])
             right.append(fps[rest[hit]])
