@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe, langid, simhash, substrings
+from churnforge.llm import bpe, decontam, langid, simhash, substrings
 from churnforge.llm.textbatch import held_out
 
 
@@ -62,9 +62,48 @@ FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in an occurrence of a benchmark window, and the items they come from."""
+    out = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ASCII_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP7_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {ASCII_WORDS} AS w FROM documents
+), items AS (
+  SELECT item_id, {ASCII_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, w[i:i + 9] AS win FROM (
+    SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0) t
+), places AS (
+  SELECT r, i, n, w[i:i + n - 1] AS win FROM (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+    FROM docs, (SELECT DISTINCT len(win) AS n FROM windows) l WHERE len(w) >= n) t
+), hits AS (
+  SELECT r, i, n, item_id FROM places JOIN windows USING (win)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) t GROUP BY r
+), listed AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+    SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) t GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN listed USING (r)
+"""
+
+
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_language_id": (op2_language_id, None),
     "op3_substring_dedup": (op3_substring_dedup, OP3_SQL),
+    "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
 }
