@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe, decontam, langid, simhash, substrings
+from churnforge.llm import bpe, decontam, langid, licenses, simhash, substrings
 from churnforge.llm.textbatch import held_out
 
 
@@ -100,10 +100,57 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN listed USING (r)
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                      F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"),
+                      "score")
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+
+
+OP5_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text, {ASCII_WORDS} AS w FROM documents
+), phrases(phrase, label) AS (
+  VALUES {_values(list(licenses.PHRASES.items()))}
+), templates AS (
+  SELECT label, list_distinct(string_split(notice, ' ')) AS t
+  FROM (VALUES {_values(list(licenses.TEMPLATES.items()))}) v(label, notice)
+), places AS (
+  SELECT r, i - 1 AS start, label
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs) d, phrases
+  WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase
+), base AS (
+  SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY r
+), lines AS (
+  SELECT r, {ASCII_WORDS} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM docs) t
+), blocks AS (
+  SELECT r, label, len(list_intersect(t, w)) AS hit, len(t) AS n FROM lines, templates
+), met AS (
+  SELECT r, label, max(hit / n) AS score FROM blocks WHERE hit >= ceil(n * 0.8) GROUP BY r, label
+), labels AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM (SELECT r, label, score FROM met UNION ALL SELECT r, label, 1.0 FROM places) t GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (r) LEFT JOIN labels USING (r)
+"""
+
+
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_language_id": (op2_language_id, None),
     "op3_substring_dedup": (op3_substring_dedup, OP3_SQL),
+    "op5_license_scan": (op5_license_scan, OP5_SQL),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
 }
