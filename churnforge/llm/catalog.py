@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe, decontam, langid, licenses, simhash, substrings
+from churnforge.llm import bpe, decontam, embdedup, langid, licenses, simhash, substrings, urlfilter
 from churnforge.llm.textbatch import held_out
 
 
@@ -146,11 +146,62 @@ FROM docs LEFT JOIN base USING (r) LEFT JOIN labels USING (r)
 """
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate components of all embeddings with equal labels."""
+    return embdedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), good AS (
+  SELECT r, vec_id, label, v FROM vectors
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT r AS a, r AS b FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), components AS (
+  SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN vectors ON reach.b = vectors.r GROUP BY reach.a
+), counts AS (
+  SELECT a AS r, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors JOIN components USING (r) LEFT JOIN counts USING (r)
+"""
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of every page's url."""
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, urlfilter.RULES))
+
+
+OP9_SQL = f"""
+WITH rests AS (
+  SELECT row_number() OVER () AS r, page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), rules(h, p, v) AS (
+  VALUES {_values(urlfilter.RULES)}
+), best AS (
+  SELECT r, arg_max(h || p, (len(h || p), len(h))) AS rule, arg_max(v, (len(h || p), len(h))) AS v
+  FROM urls JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT JOIN best USING (r)
+"""
+
+
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_language_id": (op2_language_id, None),
     "op3_substring_dedup": (op3_substring_dedup, OP3_SQL),
     "op5_license_scan": (op5_license_scan, OP5_SQL),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
+    "op8_embedding_dedup": (op8_embedding_dedup, OP8_SQL),
+    "op9_url_filter": (op9_url_filter, OP9_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
 }
