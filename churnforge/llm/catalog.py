@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe, decontam, embdedup, langid, licenses, simhash, substrings, urlfilter
+from churnforge.llm import bpe, decontam, embdedup, langid, licenses, lm, quality, simhash, substrings, urlfilter
 from churnforge.llm.textbatch import held_out
 
 
@@ -62,6 +62,14 @@ FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text; learned from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality_model(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return quality.score_quality(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in an occurrence of a benchmark window, and the items they come from."""
     out = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -100,6 +108,12 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN listed USING (r)
 """
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every whole text under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_documents(docs, lm.fit_language_scorer(docs))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -199,7 +213,9 @@ REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_language_id": (op2_language_id, None),
     "op3_substring_dedup": (op3_substring_dedup, OP3_SQL),
+    "op4_lm_score": (op4_lm_score, None),
     "op5_license_scan": (op5_license_scan, OP5_SQL),
+    "op6_quality": (op6_quality, None),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_embedding_dedup": (op8_embedding_dedup, OP8_SQL),
     "op9_url_filter": (op9_url_filter, OP9_SQL),
