@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from churnforge.llm import bpe, decontam, embdedup, langid, licenses, lm, quality, simhash, substrings, urlfilter
 from churnforge.llm.textbatch import held_out
 
@@ -209,6 +210,11 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_language_id": (op2_language_id, None),
@@ -220,4 +226,5 @@ REGISTRY = {
     "op8_embedding_dedup": (op8_embedding_dedup, OP8_SQL),
     "op9_url_filter": (op9_url_filter, OP9_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
+    "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from churnforge.llm.textbatch import bounded_share, mix64, slices, texts
 
@@ -113,12 +113,13 @@ def score_texts(values: list[str], model: LanguageModel, config: LanguageIdConfi
 
 
 def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text",
-                      config: LanguageIdConfig = LanguageIdConfig()) -> DataFrame:
-    """All columns of df, then lang_pred and score (columns of these names in df are replaced).
+                      config: LanguageIdConfig = LanguageIdConfig(), pred_col: str = "lang_pred",
+                      score_col: str = "score") -> DataFrame:
+    """All columns of df, then the predicted language and its score (columns of those names in df are replaced).
 
-    lang_pred is a learned language, or `und` with score 0 if the text is null or empty, has no letters, or nothing was
-    learned. Only the text decides. Rows keep their partitions; repeated rows get equal answers."""
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    The prediction is a learned language, or `und` with score 0 if the text is null or empty, has no letters, or nothing
+    was learned. Only the text decides. Rows keep their partitions; repeated rows get equal answers."""
+    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (pred_col, score_col)])
     shared = df.sparkSession.sparkContext.broadcast(model)      # buckets x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +127,14 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
                 values = texts(part.column(text_col))
-                best, score = score_texts(values, known, config) if known.languages else (None, np.zeros(len(values)))
                 letters = np.array([bool(known.languages) and any(map(str.isalpha, v)) for v in values], bool)
-                names = [known.languages[b] if ok else UNKNOWN for b, ok in
-                         zip(best if best is not None else np.zeros(len(values), int), letters, strict=True)]
+                best, score = (score_texts(values, known, config) if known.languages
+                               else (np.zeros(len(values), int), np.zeros(len(values))))
+                names = [known.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(names, pa.string()),
-                     pa.array(np.where(letters, score, 0.0), pa.float64())], names=[*kept, "lang_pred", "score"])
+                    [*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())],
+                    names=[*part.schema.names, pred_col, score_col])
 
-    source = df.select(*[F.col(f"`{c}`") for c in kept])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    schema = T.StructType([*source.schema.fields, T.StructField(pred_col, T.StringType()),
+                           T.StructField(score_col, T.DoubleType())])
+    return source.mapInArrow(run, schema)
