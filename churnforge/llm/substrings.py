@@ -139,8 +139,8 @@ def _send(plan: PrefixPlan):
         block = Block.of(_column(_in_order(rows), "text"), plan.words)
         _, group, path, first = _paths(block, plan)
         group, path = group[first], path[first]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(group))
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = np.append(cuts, len(group))[1:]
         return pa.table({
             "grp": pa.array(group[cuts], pa.int32()),
             "block": pa.array(np.full(len(cuts), rows.column("block")[0].as_py(), np.int64)),
