@@ -86,29 +86,64 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     # the rarest shingle of each window that occurs at all
     scored = parts.join(F.broadcast(counts) if counts.count() <= config.broadcast_rows else counts, "key", "left")
-    rarest = (scored.groupBy("exact", "folded").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "key")).alias("p"))
+    rarest = materialise(
+        scored.groupBy("exact", "folded").agg(
+            F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "key")).alias("p"))
         .where("p.count > 0").select("exact", "folded", F.size("folded").alias("len"), F.col("p.at").alias("at"),
-                                     F.col("p.key").alias("key"),
-                                     F.least(F.size("folded"), F.lit(config.shingle)).alias("n")))
-    rarest = materialise(rarest)
+                                     F.col("p.key").alias("key"), F.least(F.size("folded"), F.lit(config.shingle)).alias("n")))
     small = rarest.count() <= config.broadcast_rows
+    # kept: the pieces with their capital letters, so that places can be decided without cutting the text again
+    both = texts.select("id", F.xxhash64("text").alias("body"), split_words(F.lower("text")).alias("pieces"),
+                        F.split("text", GAP_KEEPING_CASE).alias("kept"))
     out = None
     for k in lengths:
-        needles = rarest.where(F.col("n") == k).select("key", "exact", "folded", "len", "at")
-        start = F.col("i") - F.col("at")
-        first = lead(F.col("pieces"))
-        inside = (start >= first) & (start + F.col("len") <= first + count_words(F.col("pieces")))
-        alike = F.slice("pieces", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("folded")
-        same = ascii_lower(F.array_join(F.slice(F.split("text", GAP_KEEPING_CASE), F.greatest(start, F.lit(0)) + 1,
-                                                F.col("len")), " ")) == F.col("exact")
-        found = (keyed(pieces, k, "id", "text").join(F.broadcast(needles) if small else needles, "key")
-                 .where(F.when(inside, F.when(alike, same))).select(
-                     "id", F.xxhash64("text").alias("body"), (start - first).alias("start"), "len", "exact"))
+        needles = rarest.where(F.col("n") == k).drop("n")
+        found = _places(keyed, both, needles, k) if small else _places_by_shuffle(keyed, both, needles, k)
         out = found if out is None else out.unionByName(found)
     return _copies(rows), out.distinct()
 
 
+def _start() -> Column:
+    """The window's first piece, from the place of its shingle."""
+    return F.col("i") - F.col("at")
+
+
+def _inside(start: Column, first: Column, n_words: Column) -> Column:
+    return (start >= first) & (start + F.col("len") <= first + n_words)
+
+
+def _stands(kept: Column, start: Column, length: Column, exact: Column) -> Column:
+    """Do the window's words stand there? Capital letters beyond ASCII count."""
+    return ascii_lower(F.array_join(F.slice(kept, start + 1, length), " ")) == exact
+
+
+def _places(keyed, both: DataFrame, needles: DataFrame, k: int) -> DataFrame:
+    """Places of windows, with a broadcast of their rarest shingles: positions never leave the scan's tasks."""
+    start, first = _start(), lead(F.col("pieces"))
+    inside = _inside(start, first, count_words(F.col("pieces")))
+    alike = F.slice("pieces", start + 1, F.col("len")) == F.col("folded")
+    exact = _stands(F.col("kept"), start, F.col("len"), F.col("exact"))
+    return (keyed(both, k, "id", "body", "kept").join(F.broadcast(needles), "key")
+            .where(F.when(inside, F.when(alike, exact)))
+            .select("id", "body", (start - first).alias("start"), "len", "exact"))
+
+
+def _places_by_shuffle(keyed, both: DataFrame, needles: DataFrame, k: int) -> DataFrame:
+    """Places of windows for a benchmark that is too large to broadcast: narrow rows meet by shingle, and what is left
+    meets its text once."""
+    marked = both.withColumn("first", lead(F.col("pieces"))).withColumn("n_words", count_words(F.col("pieces")))
+    narrow = keyed(marked, k, "id", "body", "first", "n_words").select("id", "body", "first", "n_words", "i", "key")
+    start = _start()
+    near = (narrow.join(needles.drop("folded"), "key").where(_inside(start, F.col("first"), F.col("n_words")))
+            .select("id", "body", start.alias("at"), "first", "len", "exact").distinct()
+            .groupBy("id", "body", "first").agg(F.collect_list(F.struct("at", "len", "exact")).alias("near")))
+    texts = both.select("id", "body", "kept").dropDuplicates(["id", "body"]).alias("t")
+    met = near.alias("n").join(texts, F.expr("n.id <=> t.id AND n.body = t.body"))
+    good = F.filter("n.near", lambda c: _stands(F.col("t.kept"), c["at"], c["len"], c["exact"]))
+    return (met.select("n.id", "n.body", "n.first", F.explode(good).alias("c"))
+            .select("id", "body", (F.col("c.at") - F.col("first")).alias("start"), "c.len", "c.exact"))
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id", "body").agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
 
