@@ -17,14 +17,18 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 10, seed:
                      out: str = "fold", exact: bool = True) -> DataFrame:
     """Each row in exactly one of k folds; within a class, fold sizes differ by at most 1.
 
-    exact=True ranks rows within their class in shuffled order (skew-safe running count) and
-    deals them out round-robin. exact=False is the one-pass hash form pmod(xxhash64(id, seed), k)
-    (balanced only in expectation)."""
+    exact=True ranks the (id, label) pairs within their class in shuffled order (skew-safe running
+    count over those two columns only), deals them out round-robin and joins the fold back; rows that
+    repeat an id and label share a fold. exact=False is the one-pass hash form
+    pmod(xxhash64(id, seed), k) (balanced only in expectation)."""
     if not exact:
         return df.withColumn(out, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(k)).cast("int"))
-    key = "_fold_order"
-    ranked = row_numbers(df.withColumn(key, shuffle_key(id_col, seed)), [key], [label], out="_fold_rank")
-    return ranked.withColumn(out, (F.col("_fold_rank") % k).cast("int")).drop(key, "_fold_rank")
+    pairs = df.select(F.col(id_col).alias("_fold_id"), F.col(label).alias("_fold_label")).distinct()
+    keyed = pairs.withColumn("_fold_order", shuffle_key("_fold_id", seed))
+    ranked = row_numbers(keyed, ["_fold_order", "_fold_id"], ["_fold_label"], out="_fold_rank")
+    dealt = ranked.select("_fold_id", "_fold_label", (F.col("_fold_rank") % k).cast("int").alias("_fold_new"))
+    same = F.col(id_col).eqNullSafe(F.col("_fold_id")) & F.col(label).eqNullSafe(F.col("_fold_label"))
+    return df.drop(out).join(dealt, same).drop("_fold_id", "_fold_label").withColumnRenamed("_fold_new", out)
 
 
 def holdout(df: DataFrame, id_col: str, label: str, valid_share_folds: int = 5, seed: int = 42,
@@ -35,17 +39,11 @@ def holdout(df: DataFrame, id_col: str, label: str, valid_share_folds: int = 5,
                  .drop("_ho_fold")
 
 
-TOP_N_LIMIT = 10_000
-
-
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """M2: exactly n rows without replacement, reproducible: the first n rows in a hashed order.
-
-    Small n: Spark's top-n (TakeOrderedAndProject; each partition keeps n rows, so one task merges
-    n x partitions). Large n: a skew-safe running row number over the hashed order, then a filter,
-    so no task ever holds more than one range partition."""
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(shuffle_key(id_col, seed), F.col(id_col)).limit(n)
-    key = "_sample_order"
-    ranked = row_numbers(df.withColumn(key, shuffle_key(id_col, seed)), [key, id_col], out="_sample_idx")
-    return ranked.filter(F.col("_sample_idx") < n).drop(key, "_sample_idx")
+    """M2: n rows without replacement (all, if there are fewer), reproducible: the first n in a hashed order.
+
+    The ids get a skew-safe running row number over that order, whatever n is, and the n chosen ids pick
+    their rows; rows that repeat an id come together, as one."""
+    ids = df.select(F.col(id_col).alias("_sample_id")).distinct().withColumn("_sample_order", shuffle_key("_sample_id", seed))
+    chosen = row_numbers(ids, ["_sample_order", "_sample_id"], out="_sample_idx").filter(F.col("_sample_idx") < n)
+    return df.join(chosen.select("_sample_id"), F.col(id_col).eqNullSafe(F.col("_sample_id")), "left_semi")

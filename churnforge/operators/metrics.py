@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from churnforge.operators.running import prefix_sums
 
 
-def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc", counts=None) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc", counts=None,
+        num_bins: int | None = None) -> DataFrame:
     """R1 (no groups), R2 (group by fold), R3 (group by model), R5 (label = split flag).
 
     Ties count one half. Rows are first reduced to distinct scores (map-side combine), then a
     skew-safe running count of negatives gives AUC = sum(pos * (neg_below + neg/2)) / (P * N).
     ``counts=(pos_col, neg_col)``: the rows are already (score, positives, negatives) counts and
-    ``label`` is ignored."""
+    ``label`` is ignored. ``num_bins``: scores in 0..1 are taken as equal inside 1/num_bins wide bins,
+    so that at most that many rows a group are shuffled (approximate; exact without it)."""
     group_cols = list(group_cols)
     if counts is None:
         y = F.col(label).cast("long")
@@ -23,12 +25,14 @@ def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc",
     else:
         base = df.filter(F.col(score).isNotNull())
         pos, neg = F.col(counts[0]).cast("long"), F.col(counts[1]).cast("long")
-    dist = (base.groupBy(*group_cols, F.col(score).cast("double").alias("_s"))
-                .agg(F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg")))
+    value = F.col(score).cast("double")
+    if num_bins:
+        value = F.floor(value * num_bins).cast("double")
+    dist = base.groupBy(*group_cols, value.alias("_s")).agg(F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg"))
     run = prefix_sums(dist, ["_s"], ["_neg"], group_cols)
     return run.groupBy(*group_cols).agg(
         F.try_divide(F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0)),
-                     (F.sum("_pos") * F.sum("_neg")).cast("double")).alias(out),
+                     F.sum("_pos").cast("double") * F.sum("_neg").cast("double")).alias(out),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
 
 
@@ -41,12 +45,7 @@ def rank_table(df: DataFrame, score: str, group_cols=()) -> DataFrame:
     """Per distinct score (per group): average-tie rank and rank / n."""
     group_cols = list(group_cols)
     dist = df.filter(F.col(score).isNotNull()).groupBy(*group_cols, score).agg(F.count(F.lit(1)).alias("_c"))
-    run = prefix_sums(dist, [score], ["_c"], group_cols)
-    sizes = dist.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
-    if group_cols:
-        run = run.join(sizes, group_cols)
-    else:
-        run = run.withColumn("_n", sizes.select("_n").scalar())  # one-row scalar subquery
+    run = prefix_sums(dist, [score], ["_c"], group_cols, total_suffix="_total").withColumnRenamed("_c_total", "_n")
     rank = F.col("_c_before") + (F.col("_c") + F.lit(1)) / 2.0
     return run.select(*group_cols, score, rank.alias("avg_rank"), (rank / F.col("_n")).alias("rank_pct"))
 

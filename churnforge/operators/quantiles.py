@@ -22,12 +22,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, group_cols=()) -> DataFrame:
     dist = (df.filter(F.col(col).isNotNull())
               .groupBy(*group_cols, F.col(col).cast("double").alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
-    run = prefix_sums(dist, ["_v"], ["_c"], group_cols)
-    if group_cols:
-        sizes = dist.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
-        run = run.join(sizes, group_cols)
-    else:
-        run = run.withColumn("_n", dist.select(F.sum("_c")).scalar())
+    run = prefix_sums(dist, ["_v"], ["_c"], group_cols, total_suffix="_total").withColumnRenamed("_c_total", "_n")
     lo_of = lambda p: F.floor(p * (F.col("_n") - 1))
     hi_of = lambda p: F.ceil(p * (F.col("_n") - 1))
     first, last = F.col("_c_before"), F.col("_c_before") + F.col("_c") - 1
@@ -43,9 +38,3 @@ def exact_quantiles(df: DataFrame, col: str, probs, group_cols=()) -> DataFrame:
     frac = F.col("p") * (F.col("_n") - 1) - F.floor(F.col("p") * (F.col("_n") - 1))
     return agg.select(*group_cols, "p", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("q"))
 
-
-def quantile_row(df: DataFrame, col: str, probs, names=None) -> DataFrame:
-    """One row with a column per probability (names default to q25-style)."""
-    names = names or [f"q{int(round(p * 100))}" for p in probs]
-    qs = exact_quantiles(df, col, probs)
-    return qs.agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(n) for p, n in zip(probs, names)])

@@ -7,6 +7,7 @@ read from the session and only set here when it is absent (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,16 @@ def get_session(app: str = "churnforge", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if none is configured."""
+    """Return the shared checkpoint folder. Without a configured one, a scratch folder is made for a local
+    session only: on a cluster a machine's own folder would not be seen by the others."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="churnforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -65,9 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = 500_000) -> DataFrame:
-    """Fewer, fuller partitions for iterative ML jobs: coalesce (no shuffle) to about
-    n_rows / rows_per_partition partitions when the frame is over-partitioned."""
-    want = max(1, -(-int(n_rows) // rows_per_partition))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else df
+def balance(df: DataFrame) -> DataFrame:
+    """Partitions of about the advisory size in bytes, for frames that iterative jobs read many times."""
+    return df.hint("rebalance")
