@@ -3,31 +3,33 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnforge.operators.quantiles import exact_quantiles
 from churnforge.operators.running import prefix_sums, row_numbers
 from churnforge.session import cut_lineage
 
-# Fitted maps up to MAX_LITERAL_ENTRIES rows are inlined as literal maps (a lookup in a literal map
-# scans its keys, so this stays small); up to MAX_BROADCAST_ROWS they are broadcast (hash probe);
-# larger ones use a shuffle join (AQE splits a hot key's partition).
+# Physical choices for a fitted map; values and types are the same whichever is taken. Maps up to
+# MAX_LITERAL_ENTRIES rows are inlined as literal maps (a lookup scans its keys, so this stays small);
+# up to MAX_BROADCAST_ROWS rows and MAX_BROADCAST_BYTES of keys they are broadcast; larger ones are
+# shuffled (AQE splits a hot key's partition). More than MAX_LOOKUP_JOINS columns go to long form:
+# one join for all of them.
 MAX_LITERAL_ENTRIES = 64
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def persist_small(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
+MAX_LOOKUP_JOINS = 8
 
 
 def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only a table whose row count was checked to be within the bound.
-    The table is persisted first so the count and the join read one materialisation."""
-    table = persist_small(table)
-    n = table.count()
-    return F.broadcast(table) if n <= max_rows else table
+    """Broadcast only a table whose row count was checked to be within the bound. The table is
+    written to a reliable checkpoint first, so the count and the join read one evaluation."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if table.count() <= max_rows else table
 
 
 def long_form(df: DataFrame, cols, keep=()) -> DataFrame:
@@ -45,7 +47,11 @@ def fit_scaler(df: DataFrame, cols) -> DataFrame:
 def apply_scaler(df: DataFrame, stats: DataFrame, cols, suffix: str = "") -> DataFrame:
     """D2 apply: (x - mean) / std; a zero-variance column gives 0. The fitted state is two numbers
     per column, read once and inlined as literals (a flat plan Catalyst can constant-fold)."""
-    row = stats.first()
+    return scale_by(df, stats.first(), cols, suffix)
+
+
+def scale_by(df: DataFrame, row, cols, suffix: str = "") -> DataFrame:
+    """D2 apply with the fitted row at hand, for several frames."""
     out = {}
     for c in cols:
         mean = F.lit(row[f"{c}__mean"]).cast("double")
@@ -66,65 +72,75 @@ def fit_ordinal(df: DataFrame, cols) -> DataFrame:
     return row_numbers(keys, ["key"], ["feature"], out="code").withColumn("code", F.col("code").cast("int"))
 
 
-def apply_lookup(df: DataFrame, fitted: DataFrame, cols, value: str, default, suffix: str,
-                 extra_keys=(), id_col: str | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Put one value per (feature, key[, extra_keys]) onto each listed column; unknown -> default.
-
-    Size-checked strategy: a map of at most MAX_LITERAL_ENTRIES rows (checked by fetching one row
-    more than the bound) is inlined as a literal map lookup (pure projection, no join); larger
-    maps are broadcast (row count checked) up to ``max_broadcast_rows``. Beyond that, with a unique
-    ``id_col`` and several columns, the rows go to long form (id, feature, key) for ONE shuffle join
-    and are regrouped by id (3 shuffles whatever the column count, instead of one per column);
-    otherwise each column is joined with a shuffle (AQE splits a hot key's partition)."""
-    dflt = None if default is None else (default if isinstance(default, Column) else F.lit(default))
-    if not extra_keys:
-        head = fitted.select("feature", "key", value).limit(MAX_LITERAL_ENTRIES + 1).collect()
-        if len(head) <= MAX_LITERAL_ENTRIES:
-            by_col: dict = {}
-            for r in head:
-                if r["key"] is not None:
-                    by_col.setdefault(r["feature"], []).append((r["key"], r[value]))
-            out = {}
-            for c in cols:
-                pairs = by_col.get(c, [])
-                if pairs:
-                    m = F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
-                    looked = F.try_element_at(m, F.col(c).cast("string"))
-                else:
-                    looked = F.lit(None)
-                out[c + suffix] = F.coalesce(looked, dflt) if dflt is not None else looked
-            return df.withColumns(out)
-    table = persist_small(fitted)
-    n_rows = table.count()
-    if n_rows <= max_broadcast_rows:
-        table = F.broadcast(table)
-    elif id_col is not None and not extra_keys and len(cols) > 1:
-        return _apply_lookup_long(df, table, cols, value, dflt, suffix, id_col)
-    out = df
-    for c in cols:
-        part = table.filter(F.col("feature") == c).select(
-            *[F.col(k).alias(f"_lk_{k}") for k in extra_keys],
-            F.col("key").alias("_lk_key"), F.col(value).alias(c + suffix))
-        cond = out[c].cast("string") == part["_lk_key"]
-        for k in extra_keys:
-            cond = cond & (out[k] == part[f"_lk_{k}"])
-        out = out.join(part, cond, "left").drop("_lk_key", *[f"_lk_{k}" for k in extra_keys])
-        if dflt is not None:
-            out = out.withColumn(c + suffix, F.coalesce(F.col(c + suffix), dflt))
-    return out
-
-
-def _apply_lookup_long(df: DataFrame, table: DataFrame, cols, value: str, dflt, suffix: str,
-                       id_col: str) -> DataFrame:
-    """Large-map path of apply_lookup: explode -> one join on (feature, key) -> regroup by id."""
-    rows = long_form(df.select(id_col, *cols), cols, keep=[id_col])
-    looked = rows.join(table.select("feature", "key", F.col(value).alias("_lk_v")), ["feature", "key"], "left")
-    wide = looked.groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == c, F.col("_lk_v"))).alias(c + suffix)
-                                        for c in cols])
-    out = df.join(wide, id_col, "left")
-    if dflt is not None:
-        out = out.withColumns({c + suffix: F.coalesce(F.col(c + suffix), dflt) for c in cols})
-    return out
+@dataclass(frozen=True)
+class Lookup:
+    """A fitted (feature, key) -> value map, sized and read once and applied to any number of frames."""
+    kind: T.DataType
+    literals: dict | None = None        # feature -> [(key, value)]
+    table: DataFrame | None = None      # feature, key, value
+    small: bool = True                  # within the broadcast bounds
+    prior: float | None = None          # of a target encoding
+
+
+def resolve_lookup(fitted: DataFrame, value: str, prior: str | None = None, max_literals: int = MAX_LITERAL_ENTRIES,
+                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> Lookup:
+    """Choose how a fitted map is held. One job for a map that can be inlined, two more for others."""
+    kind = fitted.schema[value].dataType
+    cols = ["feature", "key", F.col(value).alias("value"), *([F.col(prior).alias("prior")] if prior else [])]
+    table = fitted.select(*cols)
+    head = table.limit(max_literals + 1).collect()
+    if len(head) <= max_literals:
+        by_col: dict = {}
+        for r in head:
+            by_col.setdefault(r["feature"], []).append((r["key"], r["value"]))
+        return Lookup(kind, literals=by_col, prior=head[0]["prior"] if prior and head else None)
+    table = cut_lineage(table)
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("key")).alias("bytes"),
+                     *([F.max("prior").alias("prior")] if prior else [])).first()
+    small = size["n"] <= max_broadcast_rows and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
+    return Lookup(kind, table=table.drop("prior"), small=small, prior=size["prior"] if prior else None)
+
+
+def apply_lookup(df: DataFrame, fitted: DataFrame | Lookup, cols, value: str, default, suffix: str,
+                 max_joins: int = MAX_LOOKUP_JOINS, **bounds) -> DataFrame:
+    """Put one value per (feature, key) onto each listed column; a key that was not fitted -> default.
+
+    Null is a key like any other: it meets a fitted null key, else gets the default. Rows are never
+    merged, whatever ids they repeat: the long form keys them by a row number of its own."""
+    look = fitted if isinstance(fitted, Lookup) else resolve_lookup(fitted, value, **bounds)
+
+    def filled(x: Column) -> Column:
+        x = x.cast(look.kind)
+        return x if default is None else F.coalesce(x, (default if isinstance(default, Column) else F.lit(default)).cast(look.kind))
+
+    if look.literals is not None:
+        return df.withColumns({c + suffix: filled(_literal_lookup(look.literals.get(c, []), F.col(c))) for c in cols})
+    hint = F.broadcast if look.small else (lambda t: t)
+    if (look.small and len(cols) <= max_joins) or df.isStreaming:       # a stream's rows are never regrouped
+        out = df
+        for c in cols:
+            part = look.table.filter(F.col("feature") == c).select(F.col("key").alias("_lk_key"), F.col("value").alias("_lk_value"))
+            out = out.join(hint(part), F.col(c).cast("string").eqNullSafe(F.col("_lk_key")), "left") \
+                .withColumn(c + suffix, filled(F.col("_lk_value"))).drop("_lk_key", "_lk_value")
+        return out
+    # row numbers must not change between the two uses of the rows: a reliable checkpoint holds them
+    rows = cut_lineage(df.withColumn("_lk_row", F.monotonically_increasing_id()))
+    long = long_form(rows, cols, keep=["_lk_row"]).alias("l")
+    looked = long.join(hint(look.table).alias("t"), (F.col("l.feature") == F.col("t.feature")) & F.col("l.key").eqNullSafe(F.col("t.key")))
+    wide = looked.groupBy("l._lk_row").agg(*[F.max(F.when(F.col("l.feature") == c, F.col("t.value"))).alias(f"_lk_{i}")
+                                             for i, c in enumerate(cols)])
+    out = rows.join(wide, "_lk_row", "left")
+    return out.withColumns({c + suffix: filled(F.col(f"_lk_{i}")) for i, c in enumerate(cols)}) \
+        .drop("_lk_row", *[f"_lk_{i}" for i in range(len(cols))])
+
+
+def _literal_lookup(pairs: list, key: Column) -> Column:
+    known = [(k, v) for k, v in pairs if k is not None]
+    of_null = next((F.lit(v) for k, v in pairs if k is None), F.lit(None))
+    if not known:
+        return F.when(key.isNull(), of_null)
+    found = F.try_element_at(F.create_map(*[x for k, v in known for x in (F.lit(k), F.lit(v))]), key.cast("string"))
+    return F.when(key.isNull(), of_null).otherwise(found)
 
 
 def apply_ordinal(df: DataFrame, fitted: DataFrame, cols, unknown: int = -1, suffix: str = "_ord") -> DataFrame:
@@ -151,18 +167,16 @@ def l2_normalize(cols) -> dict[str, Column]:
     return {c: F.coalesce(F.try_divide(F.col(c), F.nullif(norm, F.lit(0.0))), F.lit(0.0)) for c in cols}
 
 
-def preprocessor(numeric, categorical, scaled_col: str = "features"):
-    """One fitted pipeline (scale numerics, ordinal-encode categoricals) reused for every split.
-    Spark's StandardScaler uses the sample std; D2 above gives the population form."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-    stages = [StringIndexer(inputCols=list(categorical), outputCols=[c + "_ord" for c in categorical],
-                            handleInvalid="keep", stringOrderType="alphabetAsc")] if categorical else []
-    stages.append(VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol="_num", outputCol="_num_scaled", withMean=True, withStd=True))
-    stages.append(VectorAssembler(inputCols=["_num_scaled"] + [c + "_ord" for c in categorical],
-                                  outputCol=scaled_col))
-    return Pipeline(stages=stages)
+def fit_preprocessor(df: DataFrame, numeric, categorical) -> tuple[DataFrame, DataFrame]:
+    """D1 fit: D2 statistics of the numerics and D3 codes of the categories, two small tables
+    (sources.save_fitted / load_fitted keep them)."""
+    return fit_scaler(df, numeric), fit_ordinal(df, categorical)
+
+
+def apply_preprocessor(df: DataFrame, fitted: tuple[DataFrame, DataFrame], numeric, categorical) -> DataFrame:
+    """D1 apply, the same for every split: numerics scaled in place (population std), categories as
+    ``<c>_ord`` (unknown or null -> -1)."""
+    return apply_ordinal(apply_scaler(df, fitted[0], numeric), fitted[1], categorical)
 
 
 # ---------------------------------------------------------------- D6 quantile bins
@@ -243,12 +257,21 @@ def fit_fold_target_encoder(df: DataFrame, cols, label: str, fold_col: str, k: i
     per_fold = long_form(df.select(fold_col, label, *cols), cols, keep=[fold_col, label]) \
         .groupBy("feature", "key", fold_col).agg(F.count(F.lit(1)).alias("n_f"), F.sum(y).alias("s_f"))
     totals = per_fold.groupBy("feature", "key").agg(F.sum("n_f").alias("n_all"), F.sum("s_f").alias("s_all"))
-    folds = df.groupBy(fold_col).agg(F.count(F.lit(1)).alias("rows_f"), F.sum(y).alias("pos_f"))
-    folds = folds.select(fold_col, ((F.sum("pos_f").over(_all()) - F.col("pos_f"))
-                                    / (F.sum("rows_f").over(_all()) - F.col("rows_f"))).alias("prior"))
+    # one row per fold (k rows); a fold without rows is excluded from nothing
+    sums = {r[0]: (r[1], r[2] or 0.0) for r in df.groupBy(fold_col).agg(F.count(F.lit(1)), F.sum(y)).collect()}
+    n_rows, n_pos = sum(n for n, _ in sums.values()), sum(p for _, p in sums.values())
+    prior = F.lit(None).cast("double")
+    for f in range(k):
+        n_f, p_f = sums.get(f, (0, 0.0))
+        if n_rows > n_f:
+            prior = F.when(F.col(fold_col) == f, F.lit((n_pos - p_f) / (n_rows - n_f))).otherwise(prior)
     grid = totals.select("feature", "key", "n_all", "s_all",
                          F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(fold_col))
-    joined = grid.join(per_fold, ["feature", "key", fold_col], "left").join(F.broadcast(folds), fold_col)
+    g, p = grid.alias("g"), per_fold.alias("p")
+    same = ((F.col("g.feature") == F.col("p.feature")) & F.col("g.key").eqNullSafe(F.col("p.key"))
+            & (F.col(f"g.{fold_col}") == F.col(f"p.{fold_col}")))
+    joined = g.join(p, same, "left").select(f"g.{fold_col}", "g.feature", "g.key", "n_all", "s_all", "n_f", "s_f") \
+        .withColumn("prior", prior)
     n = F.col("n_all") - F.coalesce(F.col("n_f"), F.lit(0))
     s = F.col("s_all") - F.coalesce(F.col("s_f"), F.lit(0.0))
     return cut_lineage(joined.select(F.col(fold_col).alias("fold"), "feature", "key", n.alias("n"),
@@ -256,36 +279,44 @@ def fit_fold_target_encoder(df: DataFrame, cols, label: str, fold_col: str, k: i
                                      "prior"))
 
 
-def _all():
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0))  # over the k-row fold table only
+def resolve_target_encoding(fitted: DataFrame, fold: int | None = None, **bounds) -> Lookup:
+    """The lookup of one fit (or one fold's), with its prior."""
+    table = fitted if fold is None else fitted.filter(F.col("fold") == fold)
+    return resolve_lookup(table, "enc", prior="prior", **bounds)
 
 
-def apply_target_encoding(df: DataFrame, fitted: DataFrame, cols, fold: int | None = None,
-                          suffix: str = "_te", id_col: str | None = None,
-                          max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """D7 apply (wide): each column gets its encoding; unseen key -> prior of that fit.
-    Give ``id_col`` (unique) to allow the long-form path for maps too large to broadcast."""
-    table = fitted if fold is None else fitted.filter(F.col("fold") == fold)
-    prior = F.lit(table.select(F.max("prior")).first()[0]).cast("double")
-    return apply_lookup(df, table.select("feature", "key", "enc"), cols, "enc", prior, suffix,
-                        id_col=id_col, max_broadcast_rows=max_broadcast_rows)
+def apply_target_encoding(df: DataFrame, fitted: DataFrame | Lookup, cols, fold: int | None = None,
+                          suffix: str = "_te", **bounds) -> DataFrame:
+    """D7 apply (wide): each column gets its encoding; unseen key -> prior of that fit. Resolve the
+    lookup once (resolve_target_encoding) when several frames get the same fit."""
+    look = fitted if isinstance(fitted, Lookup) else resolve_target_encoding(fitted, fold, **bounds)
+    return apply_lookup(df, look, cols, "enc", look.prior, suffix)
 
 
 def oof_target_encoding(df: DataFrame, fitted_folds: DataFrame, id_col: str, fold_col: str, cols) -> DataFrame:
     """Long form (id, fold, feature, key, enc): every training row encoded by the model of its own
     fold, i.e. with statistics that exclude its fold (what the validation rows see)."""
-    rows = long_form(df.select(id_col, fold_col, *cols), cols, keep=[id_col, fold_col])
-    m = fitted_folds.select(F.col("fold").alias(fold_col), "feature", "key", "enc", "prior")
-    out = rows.join(m, [fold_col, "feature", "key"], "left")
-    return out.select(id_col, fold_col, "feature", "key", "enc")
+    rows = long_form(df.select(id_col, fold_col, *cols), cols, keep=[id_col, fold_col]).alias("r")
+    m = fitted_folds.select("fold", "feature", "key", "enc").alias("m")
+    same = ((F.col(f"r.{fold_col}") == F.col("m.fold")) & (F.col("r.feature") == F.col("m.feature"))
+            & F.col("r.key").eqNullSafe(F.col("m.key")))
+    return rows.join(m, same, "left").select(f"r.{id_col}", f"r.{fold_col}", "r.feature", "r.key", "m.enc")
 
 
-def add_noise(df: DataFrame, cols, sigma: float, seed: int = 42, only_when: Column | None = None) -> DataFrame:
-    """Gaussian noise on encoded columns (training rows only when ``only_when`` is given)."""
+def hashed_normal(id_col: str, salt: str) -> Column:
+    """A standard normal number from md5(id|salt) (Box-Muller): the same for a row in every run."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{salt}")))
+    part = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("double") / float(1 << 48)
+    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - part(1))) * F.cos(F.lit(2 * math.pi) * part(13))
+
+
+def add_noise(df: DataFrame, cols, sigma: float, id_col: str = "id", seed: int = 42,
+              only_when: Column | None = None) -> DataFrame:
+    """Gaussian noise on encoded columns (training rows only when ``only_when`` is given), drawn
+    from the row's id, so that it does not depend on partitions or reruns."""
     out = {}
-    for i, c in enumerate(cols):
-        noisy = F.col(c) + F.lit(float(sigma)) * F.randn(seed + i)
+    for c in cols:
+        noisy = F.col(c) + F.lit(float(sigma)) * hashed_normal(id_col, f"{seed}|{c}")
         out[c] = F.when(only_when, noisy).otherwise(F.col(c)) if only_when is not None else noisy
     return df.withColumns(out)
 
@@ -306,10 +337,28 @@ def ordered_target_encoding(df: DataFrame, cols, label: str, id_col: str, a: flo
     return run.select(id_col, "feature", "key", enc.alias("enc"))
 
 
+def fit_ordered_encoder(df: DataFrame, cols, label: str, a: float = 1.0) -> DataFrame:
+    """D9 fit for rows outside the training set: (feature, key, enc, prior) from all training rows,
+    (s + a * prior) / (n + a); an unseen key gets the prior."""
+    prior = F.lit(df.select(F.avg(F.col(label).cast("double"))).first()[0]).cast("double")
+    stats = long_form(df.select(*cols, label), cols, keep=[label]).groupBy("feature", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("s"))
+    enc = (F.col("s") + F.lit(float(a)) * prior) / (F.col("n") + F.lit(float(a)))
+    return stats.select("feature", "key", enc.alias("enc"), prior.alias("prior"))
+
+
+def ordered_encoding_wide(df: DataFrame, cols, label: str, id_col: str, a: float = 1.0, seed: int = 42,
+                          suffix: str = "_cbe") -> DataFrame:
+    """D9 on training rows as columns ``<c><suffix>``; ids are unique in a training set."""
+    long = ordered_target_encoding(df, cols, label, id_col, a, seed)
+    wide = long.groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == c, F.col("enc"))).alias(c + suffix) for c in cols])
+    return df.join(wide, id_col)
+
+
 # ---------------------------------------------------------------- D10 count, D11 group mean, D13 weights
 def fit_count_encoder(df: DataFrame, cols) -> DataFrame:
-    """(feature, key, n) frequency table."""
-    return long_form(df.select(*cols), cols).groupBy("feature", "key").agg(F.count(F.lit(1)).alias("n"))
+    """(feature, key, n) frequency table; nulls are not counted (a null gets 0 when applied)."""
+    return long_form(df.select(*cols), cols).filter(F.col("key").isNotNull()).groupBy("feature", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def apply_count_encoding(df: DataFrame, fitted: DataFrame, cols, suffix: str = "_freq") -> DataFrame:
@@ -325,9 +374,19 @@ def fit_group_mean(ref: DataFrame, key: Column | str, value: str) -> DataFrame:
 def apply_group_mean(df: DataFrame, fitted: DataFrame, key: Column | str, out: str, default: float = 0.0) -> DataFrame:
     """D11 apply: unseen key -> default (0)."""
     k = F.col(key) if isinstance(key, str) else key
-    table = broadcast_if_small(fitted)
-    joined = df.withColumn("_gm_key", k).join(table.withColumnRenamed("key", "_gm_key"), "_gm_key", "left")
-    return joined.withColumn(out, F.coalesce(F.col("mean"), F.lit(float(default)))).drop("_gm_key", "mean")
+    table = broadcast_if_small(fitted.select(F.col("key").alias("_gm_fit"), F.col("mean").alias("_gm_mean")))
+    joined = df.withColumn("_gm_key", k).join(table, F.col("_gm_key").eqNullSafe(F.col("_gm_fit")), "left")
+    return joined.withColumn(out, F.coalesce(F.col("_gm_mean"), F.lit(float(default)))).drop("_gm_key", "_gm_fit", "_gm_mean")
+
+
+def group_modes(df: DataFrame, group: str, cols, suffix: str = "_mode") -> DataFrame:
+    """(group, <c>_mode...): the most frequent value of each column per group, the smallest on a tie,
+    nulls ignored. Counts per (group, column, value) are combined map-side; no group's values are
+    gathered. A group without any value has no row."""
+    counts = long_form(df, cols, keep=[group]).filter(F.col("key").isNotNull()).groupBy(group, "feature", "key") \
+        .agg((-F.count(F.lit(1))).alias("n"))
+    best = counts.groupBy(group, "feature").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+    return best.groupBy(group).agg(*[F.max(F.when(F.col("feature") == c, F.col("key"))).alias(c + suffix) for c in cols])
 
 
 def class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

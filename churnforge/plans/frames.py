@@ -26,13 +26,15 @@ DOC_SPEC = ColumnSpec(id="doc_id", label="quality", numeric=("n_chars",), catego
 
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order line count, mean line price and most common return flag (smallest on tie).
-    One aggregation with map-side combine; keyed by order so the order join reuses it."""
+    """Per-order line count, mean line price and most common return flag (smallest on tie): counts by
+    (order, flag) with map-side combine, then by order; no order's lines are gathered."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_returnflag"])
-    return li.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.avg("l_extendedprice").alias("avg_line_price"),
-        F.mode("l_returnflag", True).alias("flag_mode"))
+    by_flag = li.groupBy("l_orderkey", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.count("l_extendedprice").alias("n_priced"), F.sum("l_extendedprice").alias("price"))
+    return by_flag.groupBy("l_orderkey").agg(
+        F.sum("n").alias("n_lines"),
+        F.try_divide(F.sum("price"), F.sum("n_priced")).alias("avg_line_price"),
+        F.min(F.when(F.col("l_returnflag").isNotNull(), F.struct(-F.col("n"), "l_returnflag")))["l_returnflag"].alias("flag_mode"))
 
 
 def raw_order_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,38 @@ def order_frame(spark: SparkSession, sf_dir: str, fill: float | None = 0.0) -> D
         "acctbal", "priority", "segment", "nation", "flag")
 
 
+#: Nineteen category sources for the all-pairs pattern: as they are, or as quantile bins of a number.
+PAIR_CATEGORIES = ("priority", "year", "month", "weekday", "segment", "nation", "region", "flag",
+                   "brand", "type", "size", "supp_nation", "supp_region")
+PAIR_BINS = {"tenure": 15, "monthly": 20, "total": 20, "acctbal": 10, "supp_acctbal": 10, "retail": 15}
+
+
+def category_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_frame with calendar parts and the part and supplier of the order's first line (smallest line
+    number, then part, then supplier), all as text; an order without lines has nulls there."""
+    f = order_frame(spark, sf_dir)
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    n = F.broadcast(read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"]))      # 25 rows
+    r = F.broadcast(read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]))                      # 5 rows
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    first = li.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("l")) \
+        .select("l_orderkey", "l.l_partkey", "l.l_suppkey")
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"])
+    supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]).join(
+        places, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_acctbal", F.col("n_name").alias("supp_nation"),
+                                                                    F.col("r_name").alias("supp_region"))
+    lines = first.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
+        supp, F.col("l_suppkey") == F.col("s_suppkey"), "left").select(
+        "l_orderkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("size"),
+        "supp_nation", "supp_region", F.col("s_acctbal").alias("supp_acctbal"), F.col("p_retailprice").alias("retail"))
+    dates = o.select("o_orderkey", F.year("o_orderdate").cast("string").alias("year"),
+                     F.month("o_orderdate").cast("string").alias("month"), F.dayofweek("o_orderdate").cast("string").alias("weekday"))
+    home = places.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    return (f.join(dates, F.col("id") == F.col("o_orderkey")).drop("o_orderkey").join(F.broadcast(home), "nation", "left")
+             .join(lines, F.col("id") == F.col("l_orderkey"), "left").drop("l_orderkey"))
+
+
 def doc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents left-joined to labels: labelled rows are train, the rest score."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars"])
