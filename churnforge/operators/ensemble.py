@@ -3,13 +3,14 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnforge.functions.clean import clip
 from churnforge.operators.metrics import auc, average_rank
+from churnforge.session import cut_lineage
 
 
 def fold_average(fold_preds: DataFrame, id_col: str = "id", score: str = "score") -> DataFrame:
@@ -23,13 +24,38 @@ def wide_scores(long: DataFrame, models, id_col: str = "id", score: str = "score
                                               for m in models])
 
 
+def require_models(long: DataFrame, models, id_col: str = "id") -> None:
+    """J3 for a long table: stop if any id lacks one of the models or has one of them twice."""
+    n = len(set(models))
+    per_id = long.filter(F.col("model").isin(*models)).groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("model").alias("n_models"))
+    bad = per_id.filter((F.col("n") != n) | (F.col("n_models") != n))
+    if not bad.isEmpty():
+        raise ValueError(f"prediction tables have different ids, for example {bad.select(id_col).first()[0]}")
+
+
+def _check_uneven(uneven: str) -> None:
+    if uneven not in ("error", "report"):
+        raise ValueError("uneven is 'error' or 'report'")
+
+
 def weighted_blend(long: DataFrame, weights: dict, id_col: str = "id", score: str = "score",
-                   normalise: bool = True) -> DataFrame:
-    """Per-id weighted sum (weights normalised to sum 1)."""
+                   normalise: bool = True, uneven: str = "error") -> DataFrame:
+    """Per-id weighted sum (weights normalised to sum 1). Ids that lack a weighted model stop
+    the blend, or with ``uneven='report'`` stay with a null score; n_models counts what an id has."""
+    _check_uneven(uneven)
+    if uneven == "error":
+        require_models(long, list(weights), id_col)
     total = float(sum(weights.values())) if normalise else 1.0
     w = F.create_map(*[x for m, v in weights.items() for x in (F.lit(m), F.lit(float(v) / total))])
-    return long.filter(F.col("model").isin(*weights.keys())).groupBy(id_col).agg(
-        F.sum(F.col(score) * w[F.col("model")]).alias(score))
+    needed = sum(1 for v in weights.values() if v)
+    part = long.filter(F.col("model").isin(*weights.keys()))
+    weight = F.try_element_at(w, F.col("model"))
+    out = part.groupBy(id_col).agg(
+        F.sum(F.when(weight != 0, F.col(score) * weight)).alias("_sum"),
+        F.count(F.when((weight != 0) & F.col(score).isNotNull(), F.lit(1))).alias("n_models"))
+    whole = F.when(F.col("n_models") == needed, F.col("_sum")).alias(score)
+    return out.select(id_col, whole) if uneven == "error" else out.select(id_col, whole, "n_models")
 
 
 def equal_blend(long: DataFrame, id_col: str = "id", score: str = "score") -> DataFrame:
@@ -37,10 +63,16 @@ def equal_blend(long: DataFrame, id_col: str = "id", score: str = "score") -> Da
     return long.groupBy(id_col).agg(F.avg(score).alias(score))
 
 
-def fixed_blends(first: DataFrame, second: DataFrame, variants, id_col: str = "id", score: str = "score") -> DataFrame:
-    """Several two-table blends at once, tagged by a variant name such as '95_05'.
-    The variants are a fixed small list expanded per row (no join)."""
-    pair = first.select(id_col, F.col(score).alias("_a")).join(second.select(id_col, F.col(score).alias("_b")), id_col)
+def fixed_blends(first: DataFrame, second: DataFrame, variants, id_col: str = "id", score: str = "score",
+                 uneven: str = "error") -> DataFrame:
+    """Several two-table blends at once, tagged by a variant name such as '95_05'. Tables with
+    different ids stop the blend (J3); with ``uneven='report'`` every id of either table stays and one
+    that lacks a table has a null score. The variants are a fixed small list expanded per row."""
+    from churnforge.operators.joins import require_same_ids
+    _check_uneven(uneven)
+    if uneven == "error":
+        require_same_ids(first, second, id_col)
+    pair = first.select(id_col, F.col(score).alias("_a")).join(second.select(id_col, F.col(score).alias("_b")), id_col, "full")
     arr = F.array(*[F.struct(F.lit(f"{int(round(a * 100)):02d}_{int(round(b * 100)):02d}").alias("variant"),
                              F.lit(float(a)).alias("wa"), F.lit(float(b)).alias("wb")) for a, b in variants])
     ex = pair.select(id_col, "_a", "_b", F.explode(arr).alias("_v"))
@@ -63,29 +95,45 @@ def calibrate(preds: DataFrame, base_rate, score: str = "score", lo: float = 0.0
 
 
 def simplex_grid(n_models: int, step: float):
-    """Weight vectors on the simplex with the given step (step 0.1, 3 models -> 66 points)."""
+    """Weight vectors on the simplex with the given step (step 0.1, 3 models -> 66 points), in
+    lexicographic order; only the points themselves are listed."""
     k = int(round(1 / step))
-    pts = [c for c in itertools.product(range(k + 1), repeat=n_models) if sum(c) == k]
-    return [tuple(round(x / k, 10) for x in p) for p in pts]
+
+    def rest(n: int, left: int):
+        if n == 1:
+            yield (left,)
+            return
+        for first in range(left + 1):
+            for tail in rest(n - 1, left - first):
+                yield (first, *tail)
+
+    return [tuple(round(x / k, 10) for x in p) for p in rest(n_models, k)]
 
 
 def blend_grid_auc(oof_long: DataFrame, models, grid, label: str = "label", id_col: str = "id",
-                   score: str = "score") -> DataFrame:
-    """L12 core: AUC of every weight vector in ``grid`` in one job. Rows are first reduced to distinct
-    score combinations with positive / negative counts; the grid is a fixed-size literal expanded per
-    combination; the AUC is grouped by weight id (skew-safe running sums per group)."""
+                   score: str = "score", num_bins: int | None = None, chunk: int = 16) -> DataFrame:
+    """L12 core: AUC of every weight vector in ``grid``. Every id must have every model once. Rows are
+    first reduced to distinct score combinations with positive / negative counts; the grid is taken in
+    chunks of fixed size, expanded per combination, and the AUC is grouped by weight id (skew-safe
+    running sums per group), so at most ``chunk`` copies of the combinations exist at a time.
+    ``num_bins`` bins the blends first (metrics.auc): then a chunk shuffles chunk x num_bins rows at
+    most, whatever the data size."""
+    require_models(oof_long, models, id_col)
     wide = wide_scores(oof_long, models, id_col, score, keep=[label])
     # pre-aggregate: rows sharing all model scores blend identically, so count them once
     y = F.col(label).cast("long")
-    cells = wide.filter(F.col(label).isNotNull()).groupBy(*[f"s_{m}" for m in models]).agg(
-        F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg"))
-    arr = F.array(*[F.struct(F.lit(i).alias("wid"), *[F.lit(float(w)).alias(f"w_{m}") for w, m in zip(ws, models)])
-                    for i, ws in enumerate(grid)])
-    ex = cells.select("_pos", "_neg", *[f"s_{m}" for m in models], F.explode(arr).alias("_g"))
+    cells = cut_lineage(wide.filter(F.col(label).isNotNull()).groupBy(*[f"s_{m}" for m in models]).agg(
+        F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))
     blend = sum((F.col(f"_g.w_{m}") * F.col(f"s_{m}") for m in models), F.lit(0.0))
-    scored = ex.select("_g.*", "_pos", "_neg", blend.alias("_blend"))
-    res = auc(scored, label, "_blend", ["wid"] + [f"w_{m}" for m in models], counts=("_pos", "_neg"))
-    return res.select("wid", *[f"w_{m}" for m in models], "auc")
+    results = []
+    for at in range(0, len(grid), chunk):
+        arr = F.array(*[F.struct(F.lit(at + i).alias("wid"), *[F.lit(float(w)).alias(f"w_{m}") for w, m in zip(ws, models)])
+                        for i, ws in enumerate(grid[at:at + chunk])])
+        ex = cells.select("_pos", "_neg", *[f"s_{m}" for m in models], F.explode(arr).alias("_g"))
+        scored = ex.select("_g.*", "_pos", "_neg", blend.alias("_blend"))
+        res = auc(scored, label, "_blend", ["wid"] + [f"w_{m}" for m in models], counts=("_pos", "_neg"), num_bins=num_bins)
+        results.append(cut_lineage(res.select("wid", *[f"w_{m}" for m in models], "auc")))      # chunk rows
+    return functools.reduce(DataFrame.unionByName, results)
 
 
 def search_blend_weights(oof_long: DataFrame, models, label: str = "label", step: float = 0.1,

@@ -10,13 +10,13 @@ import json
 import random
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnforge.operators import encode
 from churnforge.operators.metrics import auc, auc_value
-from churnforge.session import cut_lineage, right_size
+from churnforge.session import balance, cut_lineage
+from churnforge.sources.tables import positive_probability
 
 
 def estimator(family: str, label: str = "label", features: str = "features", n_rows: int | None = None,
@@ -61,25 +61,60 @@ def estimator(family: str, label: str = "label", features: str = "features", n_r
     raise ValueError(f"unknown family {family}")
 
 
-def _positive_score(df: DataFrame, out: str = "score") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    return df.withColumn(out, vector_to_array(F.col("probability"))[1])
+def _positive_score(df: DataFrame) -> DataFrame:
+    return positive_probability(df)
 
 
-def _pipeline(feature_cols, est):
+def _prepare(df: DataFrame, numeric, categorical=(), onehot=()):
+    """Fitted feature stages: raw categories as indexed inputs that trees split by category (a level
+    unseen in the fit is one more level), others as one-hot slots, one assembled vector. Returns
+    (PipelineModel, largest number of levels)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    return Pipeline(stages=[VectorAssembler(inputCols=list(feature_cols), outputCol="features",
-                                            handleInvalid="keep"), est])
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    stages, inputs = [], list(numeric)
+    if categorical:
+        out = [c + "_cat" for c in categorical]
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=out, handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        inputs += out
+    if onehot:
+        stages += encode.one_hot_stages(onehot)
+        inputs += [c + "_ohe" for c in onehot]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    fitted = Pipeline(stages=stages).fit(df)
+    levels = max((len(labels) + 1 for labels in fitted.stages[0].labelsArray), default=0) if categorical else 0
+    return fitted, levels
+
+
+def fit_family(df: DataFrame, family: str, label: str, numeric, categorical=(), onehot=(), n_rows: int | None = None,
+               **params):
+    """One fitted pipeline (feature stages, then the model). Trees get as many bins as the widest
+    category has levels; a network's first layer is as wide as the features."""
+    from pyspark.ml import PipelineModel
+    from churnforge.functions.clean import feature_dim
+    prep, levels = _prepare(df, numeric, categorical, onehot)
+    ready = prep.transform(df)
+    kw = dict(params)
+    if family in ("gbt", "gbt_shallow", "rf") and levels:
+        kw["maxBins"] = max(kw.get("maxBins", 64), levels)
+    if family == "mlp":
+        kw.setdefault("layers", [feature_dim(ready, "features"), 512, 256, 128, 2])
+    model = estimator(family, label, n_rows=n_rows, **kw).fit(ready)
+    return PipelineModel(stages=[*prep.stages, model])
 
 
 def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
              family: str = "logreg", score_rows: DataFrame | None = None, te_cols=(), te_map: DataFrame | None = None,
              model_name: str | None = None, early_stopping: bool = False, parallelism: int | None = None,
-             keep_models: bool = False, **params):
+             keep_models: bool = False, categorical=(), onehot=(), ordered_cols=(), scale: bool = False, **params):
     """L1: K models, each fitted on the other folds; every training row is scored once (OOF) and the
-    score rows are scored by every fold model and averaged. With ``te_map`` (from
-    encode.fit_fold_target_encoder) fold f's model, validation and score rows all use map f.
+    score rows are scored by every fold model and averaged.
+
+    Encodings are those of the fold: with ``te_map`` (from encode.fit_fold_target_encoder) fold f's
+    model, validation and score rows all use map f; ``ordered_cols`` (L5, D9) show a training row the
+    rows before it and all others the full statistics of the fold's training rows; ``categorical`` (L3)
+    are indexed on the fold's training rows; ``onehot`` (D4) likewise; ``scale`` (D2) standardises the
+    numbers and encodings by the fold's training rows.
     L9: early_stopping carves a validation slice out of fold-train (never the scored fold).
     Up to ``parallelism`` (default: all K, at most 10) fold models are fitted concurrently, as
     CrossValidator's parallelism does; each fit is still a distributed job.
@@ -87,29 +122,36 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
     when ``keep_models``."""
     from concurrent.futures import ThreadPoolExecutor
     name = model_name or family
-    # K fits read the same rows: size the partitions to the row count, then cut the lineage once
-    # (reliable checkpoint in the shared folder, so a lost executor re-reads rather than recomputes)
-    n_rows = train.count()
-    train = cut_lineage(right_size(train, n_rows))
+    # K fits read the same rows: balance them by bytes, then cut the lineage once (reliable checkpoint
+    # in the shared folder, so a lost executor re-reads rather than recomputes)
+    train = cut_lineage(balance(train))
+    sizes = {r[0]: r[1] for r in train.groupBy(fold_col).count().collect()}     # k rows
+    n_rows = sum(sizes.values())
     if score_rows is not None:
-        score_rows = cut_lineage(right_size(score_rows, score_rows.count()))
-    te_out = [c + "_te" for c in te_cols]
-    feats = list(feature_cols) + te_out
+        score_rows = cut_lineage(balance(score_rows))
+    feats = list(feature_cols) + [c + "_te" for c in te_cols] + [c + "_cbe" for c in ordered_cols]
 
     def one_fold(f: int):
-        tr, va = train.filter(F.col(fold_col) != f), train.filter(F.col(fold_col) == f)
-        sc = score_rows
+        rows, sc = train, score_rows
         if te_map is not None and te_cols:
-            tr = encode.apply_target_encoding(tr, te_map, te_cols, fold=f, id_col=id_col)
-            va = encode.apply_target_encoding(va, te_map, te_cols, fold=f, id_col=id_col)
-            sc = encode.apply_target_encoding(sc, te_map, te_cols, fold=f, id_col=id_col) if sc is not None else None
+            look = encode.resolve_target_encoding(te_map, fold=f)
+            rows = encode.apply_target_encoding(rows, look, te_cols)
+            sc = encode.apply_target_encoding(sc, look, te_cols) if sc is not None else None
+        tr, va = rows.filter(F.col(fold_col) != f), rows.filter(F.col(fold_col) == f)
+        if ordered_cols:
+            full = encode.resolve_target_encoding(encode.fit_ordered_encoder(tr, ordered_cols, label))
+            tr = encode.ordered_encoding_wide(tr, ordered_cols, label, id_col)
+            va, sc = (encode.apply_target_encoding(d, full, ordered_cols, suffix="_cbe") if d is not None else None
+                      for d in (va, sc))
+        if scale and feats:
+            stats = encode.fit_scaler(tr, feats)
+            row = stats.first()
+            tr, va, sc = (encode.scale_by(d, row, feats) if d is not None else None for d in (tr, va, sc))
         kw = dict(params)
-        if family == "mlp":
-            kw.setdefault("layers", [len(feats), 512, 256, 128, 2])
         if early_stopping and family.startswith("gbt"):
             tr = tr.withColumn("_es_val", F.pmod(F.xxhash64(F.col(id_col), F.lit(f)), F.lit(10)) == 0)
             kw.update(validationIndicatorCol="_es_val", validationTol=0.001)
-        model = _pipeline(feats, estimator(family, label, n_rows=n_rows, **kw)).fit(tr)
+        model = fit_family(tr, family, label, feats, categorical, onehot, n_rows=n_rows - sizes.get(f, 0), **kw)
         oof_f = _positive_score(model.transform(va)).select(
             F.lit(name).alias("model"), id_col, F.lit(f).alias("fold"), label, "score")
         test_f = _positive_score(model.transform(sc)).select(id_col, "score") if sc is not None else None
@@ -129,6 +171,13 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
     return oof, test
 
 
+def oof_checks(oof: DataFrame, id_col: str = "id") -> DataFrame:
+    """Per model and fold: rows, distinct ids and scores inside 0..1 (invariants, not values)."""
+    return oof.groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(id_col).alias("n_ids"),
+        F.count_if(F.col("score").between(0, 1)).alias("n_in_range"))
+
+
 def fold_importances(spark, fold_models, feature_cols, how: str = "mean") -> DataFrame:
     """A9 (mean over the fold models) / A10 (sum): tree feature importances x 100, sorted.
     The table has one row per feature, so it is built on the driver."""
@@ -146,12 +195,16 @@ def top_features(importances: DataFrame, k: int = 5) -> DataFrame:
 
 def multi_crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int, families,
                    score_rows: DataFrame | None = None, te_cols=(), te_map=None, params=None):
-    """Several families on the same folds -> one long OOF table and one long test table."""
+    """Several families on the same folds -> one long OOF table and one long test table. A family
+    is a name, or (model name, family, crossfit options): options replace the shared inputs, so that one
+    member may take raw categories (L3), another ordered encodings (L5)."""
     params = params or {}
     oofs, tests = [], []
-    for fam in families:
-        oof, test = crossfit(train, feature_cols, label, id_col, fold_col, k, fam, score_rows, te_cols, te_map,
-                             **params.get(fam, {}))
+    for member in families:
+        name, fam, options = (member, member, {}) if isinstance(member, str) else member
+        shared = {"te_cols": te_cols, "te_map": te_map, "feature_cols": feature_cols}
+        oof, test = crossfit(train, label=label, id_col=id_col, fold_col=fold_col, k=k, family=fam, score_rows=score_rows,
+                             model_name=name, **(shared | params.get(name, {}) | options))
         oofs.append(oof)
         if test is not None:
             tests.append(test)
@@ -159,12 +212,15 @@ def multi_crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold
 
 
 # ---------------------------------------------------------------- L10 tuning
+# The reference's ranges by Spark ML's names; minimum child weight, minimum gain and column share have no
+# exact counterpart and take the nearest one.
 DEFAULT_SPACE = {
-    "stepSize": ("log", 0.005, 0.3),
+    "stepSize": ("log", 0.005, 0.05),
     "maxDepth": ("int", 3, 9),
     "subsamplingRate": ("float", 0.4, 0.95),
+    "featureSubsetStrategy": ("share", 0.3, 0.95),
     "minInstancesPerNode": ("int", 1, 20),
-    "minInfoGain": ("log", 0.001, 1.0),
+    "minInfoGain": ("log", 0.001, 10.0),
     "te_smoothing": ("float", 1.0, 50.0),
 }
 
@@ -176,6 +232,8 @@ def _draw(rng: random.Random, spec):
     if kind == "log":
         import math
         return math.exp(rng.uniform(math.log(lo), math.log(hi)))
+    if kind == "share":  # Spark takes a share of the columns as text
+        return f"{rng.uniform(lo, hi):.3f}"
     return rng.uniform(lo, hi)
 
 
@@ -199,10 +257,10 @@ def random_search(train: DataFrame, feature_cols, label: str, id_col: str, n_tri
         tr, va, feats = fit, valid, list(feature_cols)
         if te_cols:
             m = encode.fit_target_encoder(fit, te_cols, label, smoothing=smoothing)
-            tr = encode.apply_target_encoding(fit, m, te_cols, id_col=id_col)
-            va = encode.apply_target_encoding(valid, m, te_cols, id_col=id_col)
+            look = encode.resolve_target_encoding(m)
+            tr, va = (encode.apply_target_encoding(d, look, te_cols) for d in (fit, valid))
             feats += [c + "_te" for c in te_cols]
-        model = _pipeline(feats, estimator(family, label, maxIter=max_iter, **p)).fit(tr)
+        model = fit_family(tr, family, label, feats, maxIter=max_iter, **p)
         a = auc_value(_positive_score(model.transform(va)), label, "score")
         p["te_smoothing"] = smoothing
         return (t, json.dumps(p, sort_keys=True), float(a))
@@ -227,39 +285,49 @@ def stack(oof_long: DataFrame, test_long: DataFrame | None, models, label: str,
     oof, _ = crossfit(wide, feats, label, id_col, "_stack_fold", k, "logreg", model_name="stack", C=1.0)
     test = None
     if test_long is not None:
-        n = wide.count()
-        final = _pipeline(feats, estimator("logreg", label, n_rows=n, C=1.0)).fit(wide)
+        final = fit_family(wide, "logreg", label, feats, n_rows=wide.count(), C=1.0)
         test = _positive_score(final.transform(wide_scores(test_long, models, id_col))).select(id_col, "score")
     return oof, test
 
 
 def adversarial_validation(df: DataFrame, feature_cols, split_col: str = "split", score_tag: str = "score",
                            id_col: str = "id", k: int = 5, family: str = "gbt", drift_auc: float = 0.52,
-                           importance_pct: float = 15.0, **params):
+                           importance_pct: float = 15.0, categorical=(), **params):
     """Classify score rows against training rows with K cross-fitted models. Returns (OOF AUC,
     drifted?, importances DataFrame(feature, importance_pct) averaged over the fold models (A9) and
     sorted (T1), [features above the threshold])."""
     from churnforge.operators.folds import stratified_folds
+    from churnforge.operators.shift import drift_flags
     lab = df.withColumn("_is_score", (F.col(split_col) == score_tag).cast("int"))
     lab = stratified_folds(lab, id_col, "_is_score", k=k, out="_adv_fold")
     oof, _, fold_models = crossfit(lab, feature_cols, "_is_score", id_col, "_adv_fold", k, family,
-                                   keep_models=True, **params)
+                                   keep_models=True, categorical=categorical, **params)
     a = auc_value(oof, "_is_score", "score")
-    imps = fold_importances(df.sparkSession, fold_models, feature_cols, "mean")
-    flagged = [r["feature"] for r in imps.collect() if r["importance_pct"] > importance_pct]
+    imps = fold_importances(df.sparkSession, fold_models, [*feature_cols, *categorical], "mean")
+    flagged = [r["feature"] for r in drift_flags(imps, importance_pct).collect()]      # at most the features
     return a, a > drift_auc, imps, flagged
 
 
+def drift_summary(df: DataFrame, feature_cols, top: int = 5, **options) -> DataFrame:
+    """L18 report: one row with the AUC, the drift flag, the top features and the flagged ones."""
+    a, drifted, imps, flagged = adversarial_validation(df, feature_cols, **options)
+    best = [r["feature"] for r in top_features(imps, top).collect()]
+    return df.sparkSession.createDataFrame([(a, bool(drifted), best, sorted(flagged))],
+                                           "auc double, drifted boolean, top_features array<string>, flagged array<string>")
+
+
 def leaderboard(oof_long: DataFrame, label: str = "label", top: int = 15) -> DataFrame:
     """Models ranked by OOF AUC."""
     return auc(oof_long, label, "score", ["model"]).orderBy(F.desc("auc"), "model").limit(top)
 
 
+AUTOML_FAMILIES = ("gbt", "rf", "logreg", "gbt_shallow", "fm", "nb", "mlp")
+
+
 def automl(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
-           families=("gbt", "rf", "logreg", "gbt_shallow", "fm", "nb"), score_rows: DataFrame | None = None,
-           params=None):
+           families=AUTOML_FAMILIES, score_rows: DataFrame | None = None, params=None):
     """Cross-fit several families on the same folds, stack them, rank everything by OOF AUC.
-    Returns (leaderboard DataFrame, oof_long, test_long)."""
+    Returns (leaderboard DataFrame, oof_long, test_long); best_model picks the winner."""
     oof, test = multi_crossfit(train, feature_cols, label, id_col, fold_col, k, families, score_rows,
                                params=params)
     st_oof, st_test = stack(oof, test, list(families), label, id_col, k=k)
@@ -269,11 +337,18 @@ def automl(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: st
     return leaderboard(all_oof, label), all_oof, test
 
 
+def best_model(board: DataFrame, among=None) -> str:
+    """L22 tail: the best model of a leaderboard, of those in ``among`` if given (a stack is not one fit)."""
+    rows = board if among is None else board.filter(F.col("model").isin(*among))
+    return rows.orderBy(F.desc("auc"), "model").first()["model"]
+
+
 def fit_final(train: DataFrame, feature_cols, label: str, family: str = "gbt", **params):
     """L23 half one: refit the chosen family on all training rows (save with sources.save_model)."""
-    return _pipeline(feature_cols, estimator(family, label, n_rows=train.count(), **params)).fit(train)
+    return fit_family(train, family, label, feature_cols, n_rows=train.count(), **params)
 
 
-def score_with(model, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Score rows with a (re)loaded pipeline; positive-class probability."""
-    return _positive_score(model.transform(df)).select(id_col, "score")
+def score_with(model, df: DataFrame, id_col: str = "id", labels=None) -> DataFrame:
+    """Score rows with a (re)loaded pipeline; positive-class probability, found by the label
+    names if the model has them (S12)."""
+    return positive_probability(model.transform(df), labels=labels).select(id_col, "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnforge.functions.clean import confident
 from churnforge.operators.metrics import auc
 
 
@@ -28,7 +29,7 @@ def pseudo_label(train: DataFrame, score_rows: DataFrame, preds: DataFrame, id_c
     """L20 (J1 + P12 + U2 + U3): score rows whose earlier prediction is >= high (label 1) or
     <= low (label 0), both inclusive, appended to the training rows with ``flag`` = true."""
     cand = score_rows.drop(label).join(preds.select(id_col, score), id_col, "inner")
-    conf = cand.filter((F.col(score) >= high) | (F.col(score) <= low)) \
+    conf = confident(cand, score, high, low) \
         .withColumn(label, F.when(F.col(score) >= high, F.lit(1)).otherwise(F.lit(0))).drop(score)
     return train.withColumn(flag, F.lit(False)).unionByName(conf.withColumn(flag, F.lit(True)),
                                                             allowMissingColumns=True)

@@ -6,7 +6,6 @@ exact OOF AUC per fold and overall (R1, R2)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from churnforge.functions import clean
 from churnforge.functions import features as fe
 from churnforge.operators import encode, folds, metrics, models
 from churnforge.plans import frames
+from churnforge.session import cut_lineage
 
 CATS = ["priority", "segment", "nation", "flag"]
 BASE_NUMS = ["tenure", "monthly", "total", "acctbal"]
@@ -33,7 +33,7 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded_train(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
     mf = model_frame(spark, sf_dir)
     tr = folds.stratified_folds(mf.filter(F.col("split") == "train"), "id", "label", k=k)
-    return tr.persist(StorageLevel.MEMORY_AND_DISK), mf.filter(F.col("split") == "score")
+    return cut_lineage(tr), mf.filter(F.col("split") == "score")
 
 
 def crossfit_oof(spark: SparkSession, sf_dir: str, family: str = "logreg", k: int = 5, **params):
@@ -45,7 +45,7 @@ def crossfit_oof(spark: SparkSession, sf_dir: str, family: str = "logreg", k: in
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     oof, _test = crossfit_oof(spark, sf_dir, "logreg", k, C=1.0)
-    oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
+    oof = cut_lineage(oof)
     per_fold = metrics.auc(oof, "label", "score", ["fold"]).select(
         F.concat(F.lit("fold_"), F.col("fold").cast("string")).alias("scope"), "auc", "n_pos", "n_neg")
     overall = metrics.auc(oof, "label", "score").select(F.lit("oof").alias("scope"), "auc", "n_pos", "n_neg")
@@ -66,11 +66,11 @@ def pair_logreg_oof(spark: SparkSession, sf_dir: str, k: int = 3, C: float = 0.1
     tr = folds.stratified_folds(wide.filter(F.col("split") == "train"), "id", "label", k=k)
     te_map = encode.fit_fold_target_encoder(tr, list(pairs), "label", "fold", k, smoothing=20.0)
     return models.crossfit(tr, [], "label", "id", "fold", k, "logreg", score_rows=wide.filter(F.col("split") == "score"),
-                           te_cols=list(pairs), te_map=te_map, model_name="pair_logreg", C=C)
+                           te_cols=list(pairs), te_map=te_map, model_name="pair_logreg", scale=True, C=C)
 
 
 def reference_distribution_features(df: DataFrame, ref: DataFrame, label: str = "label",
-                                    nums=("tenure", "monthly", "total"), k: int = 8, n_init: int = 3) -> DataFrame:
+                                    nums=("tenure", "monthly", "total"), k: int = 8, n_init: int = 10) -> DataFrame:
     """Reference-distribution feature build against a reference population ``ref``:
     E7 surcharge, E14/E15 class z-scores and quartile distances, K4 k-means fitted once on the
     (unscaled) reference, E12 + D11 n-gram churn rate from the reference (unseen -> 0), E13 count."""

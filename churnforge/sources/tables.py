@@ -84,12 +84,13 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append_run_metrics(spark: SparkSession, path: str, run_id: str, metrics: dict) -> DataFrame:
-    """The run report as rows (run_id, key, value, written_at) appended to a table."""
+    """The run report as rows (run_id, key, value, written_at) appended to a table. Returns this
+    run's rows as the table now holds them."""
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     rows = [(run_id, str(k), str(v), now) for k, v in metrics.items()]
-    df = spark.createDataFrame(rows, "run_id string, key string, value string, written_at timestamp")
-    df.write.mode("append").parquet(path)
-    return df
+    spark.createDataFrame(rows, "run_id string, key string, value string, written_at timestamp") \
+        .write.mode("append").parquet(path)
+    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
 
 
 def save_fitted(df: DataFrame, path: str) -> None:
