@@ -8,6 +8,8 @@ order-insensitive value hash compares values, not last-bit summation order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -567,8 +569,8 @@ SELECT o.nation, count(*) AS n_rows, round(avg(CAST(o.label AS DOUBLE)), 6) AS l
 FROM order_frame o LEFT JOIN fm ON o.nation = fm.nation GROUP BY o.nation""")
 def q_a5(spark, sf):
     f = _orders(spark, sf)
-    return f.groupBy("nation").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("label")).alias("label_rate"),
-                                   F.mode("flag", True).alias("flag_mode"))
+    rates = f.groupBy("nation").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("label")).alias("label_rate"))
+    return rates.join(encode.group_modes(f, "nation", ["flag"]), "nation", "left")
 
 
 @register("a8_fold_average", with_orders(*te_map_sql(), "sc AS (" + _filled_sql(where="split = 'score'") + ")") + """
@@ -797,17 +799,64 @@ def q_l1_test(spark, sf):
     return test
 
 
-@register("l2_l8_trimodel_oof")
-def q_l8(spark, sf):
+def _trimodel(spark, sf, k=3):
+    """L8 over the reference's three boosters and a linear model: L3 on raw categories, L4 shallow trees on
+    target encodings, L5 on ordered encodings, logistic regression on target encodings."""
     from churnforge.operators.models import multi_crossfit
     from churnforge.plans.presets import BASE_NUMS, CATS, RESIDUALS, folded_train
-    tr, sc = folded_train(spark, sf, k=3)
-    te_map = encode.fit_fold_target_encoder(tr, CATS, "label", "fold", 3, smoothing=20.0)
-    oof, _ = multi_crossfit(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3, ["gbt", "gbt_shallow", "logreg"],
-                            te_cols=CATS, te_map=te_map, params={"gbt": {"maxIter": 10}, "gbt_shallow": {"maxIter": 10}})
+    tr, _sc = folded_train(spark, sf, k=k)
+    te_map = encode.fit_fold_target_encoder(tr, CATS, "label", "fold", k, smoothing=20.0)
+    plain = {"te_cols": (), "te_map": None}
+    members = [("gbt_native", "gbt", plain | {"categorical": CATS, "maxIter": 10}),
+               ("gbt_shallow", "gbt_shallow", {"maxIter": 10}),
+               ("gbt_ordered", "gbt", plain | {"ordered_cols": CATS, "maxIter": 10}),
+               "logreg"]
+    oof, _ = multi_crossfit(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", k, members, te_cols=CATS, te_map=te_map)
     return oof
 
 
+@register("l2_l8_trimodel_oof")
+def q_l8(spark, sf):
+    return _trimodel(spark, sf)
+
+
+def _oof_checks_sql(models, k, frame="folded"):
+    rows = ", ".join(f"('{m}')" for m in models)
+    return with_orders(folds_cte(k=k), f"ms(model) AS (VALUES {rows})") + f"""
+SELECT model, fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(*) AS n_in_range
+FROM {frame} CROSS JOIN ms GROUP BY model, fold"""
+
+
+def _checked(oof):
+    """An invariant check, not a value check: every training id once per model, in its fold, scored in 0..1."""
+    from churnforge.operators.models import oof_checks
+    out = oof_checks(oof)
+    return out.select("model", F.col("fold").cast("int").alias("fold"), "n_rows", "n_ids", "n_in_range")
+
+
+@register("l3_l4_l5_l8_oof_invariants", _oof_checks_sql(["gbt_native", "gbt_shallow", "gbt_ordered", "logreg"], 3))
+def q_l8_checks(spark, sf):
+    return _checked(_trimodel(spark, sf))
+
+
+@register("l1_crossfit_oof_invariants", _oof_checks_sql(["logreg"], 5))
+def q_l1_checks(spark, sf):
+    from churnforge.plans.presets import crossfit_oof
+    return _checked(crossfit_oof(spark, sf, "logreg", k=5, C=1.0)[0])
+
+
+@register("l6_pair_te_oof_invariants", _oof_checks_sql(["pair_logreg"], 3))
+def q_l6_checks(spark, sf):
+    from churnforge.plans.presets import pair_logreg_oof
+    return _checked(pair_logreg_oof(spark, sf, k=3, C=0.1)[0])
+
+
+@register("l9_early_stopping_oof_invariants", _oof_checks_sql(["gbt"], 3))
+def q_l9_checks(spark, sf):
+    from churnforge.plans.presets import crossfit_oof
+    return _checked(crossfit_oof(spark, sf, "gbt", k=3, early_stopping=True, maxIter=15)[0])
+
+
 @register("l9_gbt_early_stopping_oof")
 def q_l9(spark, sf):
     from churnforge.plans.presets import crossfit_oof
@@ -820,7 +869,7 @@ def q_l10(spark, sf):
     from churnforge.operators.models import random_search
     from churnforge.plans.presets import BASE_NUMS, CATS, RESIDUALS, model_frame
     tr = model_frame(spark, sf).filter(F.col("split") == "train")
-    trials, _best = random_search(tr, BASE_NUMS + RESIDUALS, "label", "id", n_trials=3, te_cols=CATS, max_iter=8)
+    trials, _best = random_search(tr, BASE_NUMS + RESIDUALS, "label", "id", n_trials=30, te_cols=CATS, max_iter=8)
     return trials
 
 
@@ -835,31 +884,41 @@ def q_l11(spark, sf):
 @register("l18_adversarial_importance")
 def q_l18(spark, sf):
     from churnforge.operators.models import adversarial_validation
-    from pyspark.ml.feature import StringIndexer
     d = frames.doc_frame(spark, sf)
-    d = StringIndexer(inputCols=["lang", "source"], outputCols=["lang_idx", "source_idx"],
-                      handleInvalid="keep").fit(d).transform(d)
-    _auc, _drift, imps, _flagged = adversarial_validation(d, ["n_chars", "lang_idx", "source_idx"], id_col="doc_id",
+    _auc, _drift, imps, _flagged = adversarial_validation(d, ["n_chars"], id_col="doc_id", categorical=["lang", "source"],
                                                          k=3, maxIter=10)
     return imps
 
 
-@register("l22_automl_leaderboard")
-def q_l22(spark, sf):
+@register("l18_drift_summary")
+def q_l18_summary(spark, sf):
+    from churnforge.operators.models import drift_summary
+    d = frames.doc_frame(spark, sf)
+    return drift_summary(d, ["n_chars"], id_col="doc_id", categorical=["lang", "source"], k=3, maxIter=10)
+
+
+AUTOML_PARAMS = {"gbt": {"maxIter": 10}, "rf": {"numTrees": 20}, "fm": {"maxIter": 20}, "mlp": {"maxIter": 20}}
+
+
+def _automl(spark, sf):
     from churnforge.operators.models import automl
     from churnforge.plans.presets import BASE_NUMS, RESIDUALS, folded_train
     tr, sc = folded_train(spark, sf, k=3)
     board, _oof, _test = automl(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3,
-                                families=("gbt", "rf", "logreg", "fm", "nb"), score_rows=sc,
-                                params={"gbt": {"maxIter": 10}, "rf": {"numTrees": 20}, "fm": {"maxIter": 20}})
-    return board
+                                families=("gbt", "rf", "logreg", "fm", "nb", "mlp"), score_rows=sc, params=AUTOML_PARAMS)
+    return board, tr, sc
+
+
+@register("l22_automl_leaderboard")
+def q_l22(spark, sf):
+    return _automl(spark, sf)[0]
 
 
 @register("k1_k3_kmeans_embeddings")
 def q_k1(spark, sf):
     from churnforge.operators.cluster import kmeans_features
     e = frames.embedding_frame(spark, sf)
-    out = kmeans_features(e, e, k=10, array_col="embedding", n_init=3)
+    out = kmeans_features(e, e, k=10, array_col="embedding", n_init=10)
     return out.drop("embedding")
 
 
@@ -869,30 +928,90 @@ def q_k4(spark, sf):
     f = _orders(spark, sf)
     f = f.withColumn("surcharge", fe.charge_residual("total", "monthly", "tenure"))
     cols = ["tenure", "monthly", "total", "surcharge"]
-    return kmeans_features(f.select("id", *cols), f.filter(F.col("split") == "train"), k=8, cols=cols, n_init=3)
+    return kmeans_features(f.select("id", *cols), f.filter(F.col("split") == "train"), k=8, cols=cols, n_init=10)
+
+
+@register("k1_k3_two_resolutions")
+def q_k1_scaled(spark, sf):
+    """v18 pattern: k = 10 and k = 30 on the scaled numerics, fitted on train, ids and distances for every row."""
+    from churnforge.operators.cluster import kmeans_features
+    f = _orders(spark, sf)
+    train = f.filter(F.col("split") == "train")
+    scaled = encode.standard_scale(f.select("id", "split", *NUMS, "acctbal"), [*NUMS, "acctbal"], fit_df=train)
+    for k in (10, 30):
+        scaled = kmeans_features(scaled, scaled.filter(F.col("split") == "train"), k=k, cols=[*NUMS, "acctbal"], n_init=10,
+                                 prefix=f"k{k}_dist_", id_out=f"k{k}_cluster_id")
+    return scaled
+
+
+@register("k1_k3_fit_invariants", "SELECT count(*) AS n_rows, count(*) AS n_nearest, true AS beats_fixed_start FROM embeddings")
+def q_k1_checks(spark, sf):
+    """An invariant check: every row gets the cluster of its smallest distance, and the fit costs no more than centres
+    at the label means."""
+    from churnforge.operators.cluster import centroid_distances, kmeans_features
+    e = frames.embedding_frame(spark, sf)
+    out = kmeans_features(e, e, k=10, array_col="embedding", n_init=10)
+    dists = [f"kmeans_dist_{j}" for j in range(10)]
+    least = F.least(*[F.col(d) for d in dists])
+    own = F.element_at(F.array(*[F.col(d) for d in dists]), F.col("kmeans_cluster_id").cast("int") + 1)
+    fit = out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(own == least).alias("n_nearest"), F.sum(least * least).alias("cost"))
+    means = e.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("m")) \
+        .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("c")).orderBy("label").limit(10).collect()
+    fixed = centroid_distances(e, [[x["m"] for x in r["c"]] for r in means], array_col="embedding", prefix="fixed_")
+    start = F.least(*[F.col(f"fixed_{j}") for j in range(len(means))])
+    start_cost = fixed.agg(F.sum(start * start).alias("start_cost"))
+    return fit.crossJoin(F.broadcast(start_cost)).select(        # one row beside one row
+        "n_rows", "n_nearest", (F.col("cost") <= F.col("start_cost") * 1.02).alias("beats_fixed_start"))
 
 
 @register("k5_cosine_clusters")
 def q_k5(spark, sf):
-    from churnforge.operators.cluster import cosine_cluster_pipeline
+    from churnforge.operators.cluster import cosine_clusters
     f = _orders(spark, sf)
-    model = cosine_cluster_pipeline(NUMS, ["segment", "priority"], k=3).fit(f.filter(F.col("split") == "train"))
-    centers = model.stages[-1].clusterCenters()
-    from churnforge.operators.cluster import centroid_distances
+    out = cosine_clusters(f, f.filter(F.col("split") == "train"), NUMS, ["segment", "priority"], k=3)
+    return out.select("id", "cluster", *[f"cos_dist_{j}" for j in range(3)])
+
+
+def _unit_sql():
+    levels = {"segment": 5, "priority": 5}
+    z = ", ".join(f"coalesce(({c} - {c}_m) / nullif({c}_s, 0), 0) AS {c}_z" for c in NUMS)
+    stats = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in NUMS)
+    hot = " + ".join(f"CASE WHEN {c} IN (SELECT DISTINCT {c} FROM order_frame WHERE split = 'train') THEN 1 ELSE 0 END" for c in levels)
+    norm = " + ".join([f"{c}_z * {c}_z" for c in NUMS] + ["hot"])
+    return with_orders(f"st AS (SELECT {stats} FROM order_frame WHERE split = 'train')",
+                       f"zz AS (SELECT id, {z}, {hot} AS hot FROM order_frame, st)") + "SELECT id, " + ", ".join(
+        f"round(coalesce({c}_z / nullif(sqrt({norm}), 0), 0), 6) AS {c}_unit" for c in NUMS) + " FROM zz"
+
+
+@register("k5_unit_vectors", _unit_sql())
+def q_k5_units(spark, sf):
+    from churnforge.operators.cluster import apply_unit_vectors, fit_unit_vectors
     from pyspark.ml.functions import vector_to_array
-    out = model.transform(f).withColumn("_f", vector_to_array("features"))
-    return centroid_distances(out, [list(c) for c in centers], array_col="_f", prefix="cos_dist_") \
-        .select("id", "cluster", *[f"cos_dist_{j}" for j in range(3)])
+    f = _orders(spark, sf)
+    cats = ["segment", "priority"]
+    out = apply_unit_vectors(f, fit_unit_vectors(f.filter(F.col("split") == "train"), NUMS, cats), NUMS, cats)
+    unit = vector_to_array("features")
+    return out.select("id", *[r6(unit[i]).alias(f"{c}_unit") for i, c in enumerate(NUMS)])
 
 
 @register("k6_silhouette_scan")
 def q_k6(spark, sf):
     from churnforge.operators.cluster import array_to_features, choose_k_by_silhouette
     e = array_to_features(frames.embedding_frame(spark, sf), "embedding")
-    _k, scores = choose_k_by_silhouette(e, k_min=2, k_max=6)
+    _k, scores = choose_k_by_silhouette(e, k_min=2, k_max=20, n_init=2)
     return spark.createDataFrame(scores, "k int, silhouette double")
 
 
+@register("k6_k9_cluster_chain")
+def q_k_chain(spark, sf):
+    """K6 -> K7 -> K8 -> K9 in one path; rows are the score rows' cluster and rate."""
+    from churnforge.operators.cluster import cluster_then_rate
+    f = _orders(spark, sf)
+    _k, _profile, _train, scored = cluster_then_rate(f.filter("split = 'train'"), f.filter("split = 'score'"), NUMS,
+                                                     ["segment", "priority"], "label", k_max=20, n_init=2)
+    return scored
+
+
 # =============================================================== 2.1 sources and sinks
 def _scratch(spark, name):
     import uuid
@@ -931,22 +1050,122 @@ def q_s5(spark, sf):
 
 
 # =============================================================== remaining inventory items (rows-only)
-@register("d1_preprocessor_features")
+D1_NUMS = NUMS + ["acctbal"]
+
+
+@register("d1_preprocessor_features", with_orders(
+    "st AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in D1_NUMS)
+    + " FROM order_frame WHERE split = 'train')",
+    "filled AS (" + _filled_sql(where="true") + ")",
+    *[f"o_{c} AS (SELECT {c} AS k, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code FROM "
+      f"(SELECT DISTINCT {c} FROM filled WHERE split = 'train') t)" for c in CATS]) + "SELECT f.id, f.split, " + ", ".join(
+    [f"round(coalesce((f.{c} - {c}_m) / nullif({c}_s, 0), 0), 6) AS {c}" for c in D1_NUMS]
+    + [f"coalesce(o_{c}.code, -1) AS {c}_ord" for c in CATS]) + " FROM filled f, st "
+    + " ".join(f"LEFT JOIN o_{c} ON o_{c}.k = f.{c}" for c in CATS))
 def q_d1(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+    from churnforge.sources import tables
     f = clean.clean_frame(_orders(spark, sf), categorical=CATS)
-    model = encode.preprocessor(NUMS + ["acctbal"], CATS).fit(f.filter(F.col("split") == "train"))
-    return model.transform(f).select("id", "split", vector_to_array("features").alias("features"))
+    fitted = encode.fit_preprocessor(f.filter(F.col("split") == "train"), D1_NUMS, CATS)
+    base = _scratch(spark, "preprocessor")
+    for name, state in zip(("scaler", "ordinal"), fitted, strict=True):     # S10
+        tables.save_fitted(state, f"{base}/{name}")
+    loaded = tuple(tables.load_fitted(spark, f"{base}/{name}") for name in ("scaler", "ordinal"))
+    out = encode.apply_preprocessor(f, loaded, D1_NUMS, CATS)
+    return out.select("id", "split", *[r6(c).alias(c) for c in D1_NUMS], *[f"{c}_ord" for c in CATS])
+
+
+def _hash_normal_sql(column):
+    digest = f"md5(CAST(id AS VARCHAR) || '|42|{column}')"
+    u = lambda at: f"CAST('0x' || substr({digest}, {at}, 12) AS BIGINT) / 281474976710656.0"
+    return f"sqrt(-2.0 * ln(1.0 - {u(1)})) * cos({2 * math.pi!r} * ({u(13)}))"
+
+
+D8_TE = [
+    "tr AS (" + _filled_sql() + ")",
+    "fa AS (" + _filled_sql(where="true") + ")",
+    "lf AS (" + _long_sql("tr", "label") + ")",
+    "pr AS (SELECT avg(CAST(label AS DOUBLE)) AS prior FROM tr)",
+    "st AS (SELECT feature, key, count(*) AS n, sum(CAST(label AS DOUBLE)) AS s FROM lf GROUP BY feature, key)",
+    "te AS (SELECT feature, key, prior * (1.0 - w) + (s / n) * w AS enc FROM "
+    "(SELECT st.*, pr.prior, 1.0 / (1.0 + exp(-(n - 20.0) / 20.0)) AS w FROM st, pr) z)"]
 
 
-@register("d8_noisy_target_encoding")
+@register("d8_noisy_target_encoding", with_orders(*D8_TE) + "SELECT id, split, " + ", ".join(
+    f"round(coalesce((SELECT enc FROM te WHERE feature = '{c}' AND key = fa.{c}), (SELECT prior FROM pr)) "
+    f"+ CASE WHEN split = 'train' THEN 0.01 * {_hash_normal_sql(c + '_te')} ELSE 0 END, 6) AS {c}_te" for c in CATS) + " FROM fa")
 def q_d8(spark, sf):
     f = clean.clean_frame(_orders(spark, sf), categorical=CATS)
     fitted = encode.fit_target_encoder(f.filter(F.col("split") == "train"), CATS, "label", smoothing=20.0)
     enc = encode.apply_target_encoding(f, fitted, CATS)
     noisy = encode.add_noise(enc, [f"{c}_te" for c in CATS], sigma=0.01, seed=42,
                              only_when=F.col("split") == "train")
-    return noisy.select("id", "split", *[f"{c}_te" for c in CATS])
+    return noisy.select("id", "split", *[r6(f"{c}_te").alias(f"{c}_te") for c in CATS])
+
+
+@register("d9_ordered_te_apply_score", with_orders(
+    "tr AS (" + _filled_sql() + ")",
+    "sc AS (" + _filled_sql(where="split = 'score'") + ")",
+    "lf AS (" + _long_sql("tr", "label") + ")",
+    "pr AS (SELECT avg(CAST(label AS DOUBLE)) AS prior FROM tr)",
+    "te AS (SELECT feature, key, (sum(CAST(label AS DOUBLE)) + any_value(prior)) / (count(*) + 1.0) AS enc "
+    "FROM lf, pr GROUP BY feature, key)") + "SELECT sc.id, " + ", ".join(
+    f"round(coalesce((SELECT enc FROM te WHERE feature = '{c}' AND key = sc.{c}), (SELECT prior FROM pr)), 6) AS {c}_cbe"
+    for c in CATS) + " FROM sc")
+def q_d9_apply(spark, sf):
+    f = clean.clean_frame(_orders(spark, sf), categorical=CATS)
+    fitted = encode.fit_ordered_encoder(f.filter(F.col("split") == "train"), CATS, "label", a=1.0)
+    out = encode.apply_target_encoding(f.filter(F.col("split") == "score"), fitted, CATS, suffix="_cbe")
+    return out.select("id", *[r6(f"{c}_cbe").alias(f"{c}_cbe") for c in CATS])
+
+
+@register("d7_te_fold_map_null_keys", with_orders(
+    folds_cte(k=5), "lf AS (SELECT fold, label, 'priority' AS feature, priority AS key FROM folded)",
+    "tr AS (SELECT * FROM folded)", *[c.replace("pf.key = t.key", "pf.key IS NOT DISTINCT FROM t.key") for c in te_map_sql()[3:]]) + """
+SELECT fold, feature, key, n, round(enc, 6) AS enc FROM te""")
+def q_d7_nulls(spark, sf):
+    """Unfilled priority: the null key is a category whose rows a fold's map leaves out like any other."""
+    tr = folds.stratified_folds(_orders(spark, sf).filter(F.col("split") == "train"), "id", "label", k=5)
+    m = encode.fit_fold_target_encoder(tr, ["priority"], "label", "fold", 5, smoothing=20.0, min_samples_leaf=20.0)
+    return m.select(F.col("fold").cast("int"), "feature", "key", F.col("n").cast("long"), r6("enc").alias("enc"))
+
+
+@register("d10_count_encoding_many_keys", """
+WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_orderkey AS id, n AS customer_freq FROM orders JOIN c USING (o_custkey)""")
+def q_d10_many(spark, sf):
+    """A column with far more keys than a literal map holds: same values, same type."""
+    from churnforge.sources import tables
+    o = tables.read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"]).select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
+    return encode.apply_count_encoding(o, encode.fit_count_encoder(o, ["customer"]), ["customer"]).select("id", "customer_freq")
+
+
+UNEVEN = "SELECT * FROM score_tables WHERE NOT (model = 'b' AND id % 7 = 0) AND NOT (model = 'a' AND id % 11 = 0)"
+
+
+@register("l13_uneven_weighted_blend", with_orders(f"un AS ({UNEVEN})") + """
+SELECT id, round(CASE WHEN count(*) = 3 THEN sum(score * CASE model WHEN 'a' THEN 0.5 WHEN 'b' THEN 0.3 ELSE 0.2 END) END, 6)
+  AS score, count(*) AS n_models FROM un GROUP BY id""")
+def q_l13_uneven(spark, sf):
+    """Prediction tables with missing ids: every id stays, and only ids with all tables have a score."""
+    from churnforge.operators.ensemble import weighted_blend
+    s = frames.score_tables(spark, sf).filter("NOT (model = 'b' AND id % 7 = 0) AND NOT (model = 'a' AND id % 11 = 0)")
+    return weighted_blend(s, {"a": 0.5, "b": 0.3, "c": 0.2}, uneven="report").select("id", r6("score").alias("score"), "n_models")
+
+
+@register("l14_uneven_fixed_blends", with_orders(
+    f"un AS ({UNEVEN})",
+    "p AS (SELECT coalesce(a.id, b.id) AS id, a.score AS sa, b.score AS sb FROM (SELECT * FROM un WHERE model = 'a') a "
+    "FULL JOIN (SELECT * FROM un WHERE model = 'b') b ON a.id = b.id)",
+    "v(variant, wa, wb) AS (VALUES " + ", ".join(
+        f"('{int(round(a * 100)):02d}_{int(round(b * 100)):02d}', CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))"
+        for a, b in VARIANTS) + ")") + """
+SELECT variant, id, round(sa * wa + sb * wb, 6) AS score FROM p CROSS JOIN v""")
+def q_l14_uneven(spark, sf):
+    from churnforge.operators.ensemble import fixed_blends
+    s = frames.score_tables(spark, sf).filter("NOT (model = 'b' AND id % 7 = 0) AND NOT (model = 'a' AND id % 11 = 0)")
+    out = fixed_blends(s.filter(F.col("model") == "a"), s.filter(F.col("model") == "b"), VARIANTS, uneven="report")
+    return out.select("variant", "id", r6("score").alias("score"))
 
 
 def _search_sql():
@@ -997,32 +1216,64 @@ def q_l19(spark, sf):
     return prune_features(mf, flagged)
 
 
+@register("l19_drift_flags_fixed_importances", """
+SELECT feature, importance_pct FROM (
+  SELECT l_returnflag AS feature, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS importance_pct
+  FROM lineitem GROUP BY l_returnflag) t WHERE importance_pct > 30""")
+def q_l19_flags(spark, sf):
+    """The threshold step on an importance table that SQL can state (shares of the return flags)."""
+    from churnforge.operators.shift import drift_flags
+    from churnforge.sources import tables
+    counts = tables.read_table(spark, sf, "lineitem", ["l_returnflag"]).groupBy(F.col("l_returnflag").alias("feature")).count()
+    total = counts.select(F.sum("count")).scalar()
+    return drift_flags(counts.select("feature", r6(F.lit(100.0) * F.col("count") / total).alias("importance_pct")), 30.0)
+
+
 @register("l23_s10_s12_saved_model_scoring")
 def q_l23(spark, sf):
-    from churnforge.operators.models import fit_final, score_with
-    from churnforge.plans.presets import BASE_NUMS, RESIDUALS, model_frame
+    """The leaderboard's best single family, refitted on all training rows, saved, reloaded and used for scoring."""
+    from churnforge.operators.models import best_model, fit_final, score_with
+    from churnforge.plans.presets import BASE_NUMS, RESIDUALS
     from churnforge.sources import tables
-    mf = model_frame(spark, sf)
-    model = fit_final(mf.filter(F.col("split") == "train"), BASE_NUMS + RESIDUALS, "label", "gbt", maxIter=10)
+    board, tr, sc = _automl(spark, sf)
+    family = best_model(board, among=list(AUTOML_PARAMS) + ["logreg", "nb"])          # L22
+    model = fit_final(tr, BASE_NUMS + RESIDUALS, "label", family, **AUTOML_PARAMS.get(family, {}))
     path = _scratch(spark, "best-model")
-    tables.save_model(model, path)                       # S10
-    reloaded = tables.load_model(path)                   # S11
-    return score_with(reloaded, mf.filter(F.col("split") == "score"))  # S12: positive-class probability
+    tables.save_model(model, path)                                 # S10
+    reloaded = tables.load_model(path)                             # S11
+    return score_with(reloaded, sc, labels=["0", "1"])             # S12: positive-class probability
 
 
-@register("s9_run_metrics")
+@register("s9_run_metrics", with_orders(auc_sql("(SELECT * FROM score_tables WHERE split = 'train')", "model")) + """
+SELECT 'bench-run' AS run_id, 'auc_' || model AS key,
+       round(sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS value FROM run GROUP BY model""")
 def q_s9(spark, sf):
     from churnforge.sources import tables
     s = frames.score_tables(spark, sf).filter(F.col("split") == "train")
     aucs = {f"auc_{r['model']}": r["auc"] for r in metrics.auc(s, "label", "score", ["model"]).collect()}
-    return tables.append_run_metrics(spark, _scratch(spark, "run-metrics"), "bench-run", aucs)
+    back = tables.append_run_metrics(spark, _scratch(spark, "run-metrics"), "bench-run", aucs)
+    return back.select("run_id", "key", r6(F.col("value").cast("double")).alias("value"))
+
+
+def _mlp_oof(spark, sf):
+    from churnforge.operators.models import crossfit
+    from churnforge.plans.presets import BASE_NUMS, CATS, RESIDUALS
+    f = clean.clean_frame(frames.order_frame(spark, sf), categorical=CATS)
+    f = f.withColumns(fe.residual_features("total", "monthly", "tenure"))
+    f = f.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in RESIDUALS})
+    tr = folds.stratified_folds(f.filter(F.col("split") == "train"), "id", "label", k=3)
+    return crossfit(tr, BASE_NUMS + RESIDUALS, "label", "id", "fold", 3, "mlp", onehot=CATS, scale=True, maxIter=20)[0]
 
 
 @register("l7_mlp_crossfit_oof")
 def q_l7(spark, sf):
-    from churnforge.plans.presets import crossfit_oof
-    oof, _ = crossfit_oof(spark, sf, "mlp", k=3, maxIter=20)
-    return oof
+    """L7 inputs as the reference's network has them: D2-scaled numbers and D4 one-hot categories, per fold."""
+    return _mlp_oof(spark, sf)
+
+
+@register("l7_mlp_oof_invariants", _oof_checks_sql(["mlp"], 3))
+def q_l7_checks(spark, sf):
+    return _checked(_mlp_oof(spark, sf))
 
 
 # =============================================================== v19 / v20 pattern: bins -> all pair crosses -> fold TE
@@ -1063,6 +1314,63 @@ def q_pair_te(spark, sf):
     return m.select(F.col("fold").cast("int"), "feature", "key", F.col("n").cast("long"), r6("enc").alias("enc"))
 
 
+def _pair171_sql(k=5, smoothing=20.0, msl=20.0):
+    from churnforge.functions.features import pair_names
+    src = [*frames.PAIR_CATEGORIES, *(f"{c}_bin" for c in frames.PAIR_BINS)]
+    pairs = pair_names(src)
+    ctes = [
+        "places AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)",
+        "fl AS (SELECT l_orderkey, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey "
+        "ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) t WHERE rn = 1)",
+        "cf AS (SELECT f.*, CAST(year(o.o_orderdate) AS VARCHAR) AS year, CAST(month(o.o_orderdate) AS VARCHAR) AS month, "
+        "CAST(dayofweek(o.o_orderdate) + 1 AS VARCHAR) AS weekday, h.r_name AS region, p_brand AS brand, p_type AS type, "
+        "CAST(p_size AS VARCHAR) AS size, sp.n_name AS supp_nation, sp.r_name AS supp_region, s_acctbal AS supp_acctbal, "
+        "p_retailprice AS retail FROM order_frame f JOIN orders o ON f.id = o.o_orderkey LEFT JOIN places h ON h.n_name = f.nation "
+        "LEFT JOIN fl ON fl.l_orderkey = f.id LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey "
+        "LEFT JOIN places sp ON sp.n_nationkey = s_nationkey)",
+        "e AS (SELECT " + ", ".join(f"list_sort(list_distinct(quantile_cont({c}, {_plist(q)}))) AS {c}_e"
+                                    for c, q in frames.PAIR_BINS.items()) + " FROM cf)",
+        "fb AS (SELECT id, label, split, " + ", ".join(f"coalesce({c}, 'Missing') AS {c}" for c in frames.PAIR_CATEGORIES) + ", "
+        + ", ".join(f"coalesce(CAST({_bin_sql(c)} AS VARCHAR), 'Missing') AS {c}_bin" for c in frames.PAIR_BINS) + " FROM cf, e)",
+        "pr AS (SELECT id, label, split, " + ", ".join(f"{a} || '_X_' || {b} AS {n}" for n, a, b in pairs) + " FROM fb)",
+        folds_cte(k=k, source="pr"), "tr AS (SELECT * FROM folded)",
+        "lf AS (SELECT fold, label, feature, key FROM (UNPIVOT (SELECT fold, label, " + ", ".join(n for n, _a, _b in pairs)
+        + " FROM tr) ON " + ", ".join(n for n, _a, _b in pairs) + " INTO NAME feature VALUE key))"]
+    return with_orders(*ctes, *te_map_sql(k, smoothing, msl)[3:])
+
+
+def _pair171_train(spark, sf, k=5):
+    f = frames.category_frame(spark, sf)
+    bins = frames.PAIR_BINS
+    src = [*frames.PAIR_CATEGORIES, *(f"{c}_bin" for c in bins)]
+    binned = encode.apply_quantile_bins_multi(f, encode.fit_quantile_bins_multi(f, bins), list(bins))
+    filled = clean.clean_frame(binned.select("id", "label", "split", *src), categorical=src)
+    tr = folds.stratified_folds(filled.filter(F.col("split") == "train"), "id", "label", k=k)
+    pairs = fe.all_pair_crosses(src, sep="_X_", null_rule="fill")           # crosses are built after the folds
+    return tr.select("id", "label", "fold", *[v.alias(n) for n, v in pairs.items()]), list(pairs)
+
+
+@register("e11_d7_pair171_te_fold_map", _pair171_sql() + """
+SELECT fold, feature, key, n, round(enc, 6) AS enc FROM te""")
+def q_pair171(spark, sf):
+    """The reference's full width: 19 sources, 171 pairs, leave-fold-out maps of all of them in one pass."""
+    tr, pairs = _pair171_train(spark, sf)
+    m = encode.fit_fold_target_encoder(tr, pairs, "label", "fold", 5, smoothing=20.0, min_samples_leaf=20.0)
+    return m.select(F.col("fold").cast("int"), "feature", "key", F.col("n").cast("long"), r6("enc").alias("enc"))
+
+
+@register("d7_pair171_apply_fold0", _pair171_sql() + """
+SELECT tr.id, round(sum(coalesce(te.enc, p.prior)), 6) AS enc_sum FROM (UNPIVOT tr ON COLUMNS('PAIR_.*') INTO NAME feature VALUE key) tr
+CROSS JOIN (SELECT max(prior) AS prior FROM te WHERE fold = 0) p
+LEFT JOIN te ON te.fold = 0 AND te.feature = tr.feature AND te.key = tr.key GROUP BY tr.id""")
+def q_pair171_apply(spark, sf):
+    """All 171 encodings of a row by one join in long form, checked by their sum."""
+    tr, pairs = _pair171_train(spark, sf)
+    m = encode.fit_fold_target_encoder(tr, pairs, "label", "fold", 5, smoothing=20.0, min_samples_leaf=20.0)
+    out = encode.apply_target_encoding(tr, m, pairs, fold=0)
+    return out.select("id", r6(sum((F.col(f"{n}_te") for n in pairs), F.lit(0.0))).alias("enc_sum"))
+
+
 @register("l6_pair_te_logreg_oof")
 def q_l6(spark, sf):
     from churnforge.plans.presets import pair_logreg_oof

@@ -56,12 +56,12 @@ def test_count_equal_and_pairs(spark):
 def test_schema_helpers_and_origin_union(spark):
     from churnforge.operators.shift import append_with_origin
     from churnforge.spec import categorical_complement, string_columns
-    from churnforge.operators.cluster import assemble
+    from pyspark.ml.feature import VectorAssembler
     df = spark.createDataFrame([(1, "a", 2.0, "x")], "id long, c string, n double, label string")
     assert clean.drop_if_present(df, ["c", "absent"]).columns == ["id", "n", "label"]
     assert categorical_complement(df, ["n"], exclude=["id", "label"]) == ["c"]
     assert string_columns(df, exclude=["label"]) == ["c"]
-    assert clean.feature_dim(assemble(df, ["n", "id"]), "features") == 2
+    assert clean.feature_dim(VectorAssembler(inputCols=["n", "id"], outputCol="features").transform(df), "features") == 2
     other = spark.createDataFrame([(9, 1.0)], "id long, n double")
     u = append_with_origin(df, other).collect()
     assert sorted(r["origin"] for r in u) == ["original", "synthetic"]

@@ -51,18 +51,53 @@ def test_fold_encoder_hot_key_one_fold_key(spark):
         assert hot.loc[f, "n"] == len(sub)
 
 
-def test_all_three_large_map_paths_agree(spark):
-    pdf = _hot_frame()
-    pdf["d"] = pdf["c"].str[::-1]
+def _paths(df, fitted, cols, value, default):
+    """The same lookup by every physical way: literals, broadcast joins, one join in long form, shuffled join."""
+    return {"literal": encode.apply_lookup(df, fitted, cols, value, default, "_v", max_literals=10_000),
+            "joins": encode.apply_lookup(df, fitted, cols, value, default, "_v", max_literals=0),
+            "long": encode.apply_lookup(df, fitted, cols, value, default, "_v", max_literals=0, max_joins=0),
+            "shuffled": encode.apply_lookup(df, fitted, cols, value, default, "_v", max_literals=0, max_broadcast_rows=0)}
+
+
+def test_all_lookup_paths_agree_in_values_and_types(spark):
+    pdf = _hot_frame(600)
+    pdf["d"] = pdf["c"].str[::-1].where(pdf["id"] % 5 != 0, None)
+    pdf["id"] = pdf["id"] // 2                                  # repeated ids
     df = spark.createDataFrame(pdf)
-    fitted = encode.fit_target_encoder(df, ["c", "d"], "y", smoothing=5.0)
-    cols = ["id", "c_te", "d_te"]
-    bcast = encode.apply_target_encoding(df, fitted, ["c", "d"]).select(*cols).toPandas().sort_values("id")
-    per_col = encode.apply_target_encoding(df, fitted, ["c", "d"], max_broadcast_rows=0).select(*cols) \
-        .toPandas().sort_values("id")
-    long = encode.apply_target_encoding(df, fitted, ["c", "d"], id_col="id", max_broadcast_rows=0)
-    plan = long._jdf.queryExecution().executedPlan().toString()
-    assert "Generate explode" in plan  # long-form path (Spark may still broadcast a tiny map itself)
-    long = long.select(*cols).toPandas().sort_values("id")
-    for other in (per_col, long):
-        assert np.allclose(bcast[["c_te", "d_te"]].to_numpy(), other[["c_te", "d_te"]].to_numpy(), atol=1e-12)
+    for n in (1, 65, 500):
+        fitted = encode.long_form(df, ["c", "d"]).distinct().orderBy("feature", "key").limit(n).select(
+            "feature", "key", F.xxhash64("feature", "key").alias("n"))
+        outs = _paths(df, fitted, ["c", "d"], "n", 0)
+        want = {(r["feature"], r["key"]): r["n"] for r in fitted.collect()}
+        for name, out in outs.items():
+            assert dict(out.dtypes)["c_v"] == dict(out.dtypes)["d_v"] == "bigint", name
+            rows = out.collect()
+            assert len(rows) == len(pdf)
+            for r in rows:
+                assert r["c_v"] == want.get(("c", r["c"]), 0) and r["d_v"] == want.get(("d", r["d"]), 0), name
+
+
+def test_null_keys_are_left_out_of_their_own_fold(spark):
+    pdf = pd.DataFrame({"id": range(12), "c": [None] * 12, "y": [1, 0] * 6, "fold": [0, 1, 2] * 4})
+    df = spark.createDataFrame(pdf, "id long, c string, y int, fold int")
+    m = encode.fit_fold_target_encoder(df, ["c"], "y", "fold", 4, smoothing=1.0).orderBy("fold").collect()
+    assert [r["n"] for r in m] == [8, 8, 8, 12]                # fold 3 has no rows and keeps its map
+    assert m[3]["prior"] == 0.5
+    maps = spark.createDataFrame(m, "fold int, feature string, key string, n long, enc double, prior double")
+    oof = encode.oof_target_encoding(df, maps, "id", "fold", ["c"])
+    assert oof.filter("enc IS NULL").count() == 0
+    enc = encode.apply_target_encoding(df, maps, ["c"], fold=0)
+    assert {r["c_te"] for r in enc.collect()} == {m[0]["enc"]}
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    df = spark.range(100).withColumn("e", F.lit(0.0))
+    a, b = ({r["id"]: r["e"] for r in encode.add_noise(df.repartition(n), ["e"], 1.0).collect()} for n in (2, 7))
+    assert a == b and abs(np.mean(list(a.values()))) < 0.4 and 0.7 < np.std(list(a.values())) < 1.3
+
+
+def test_group_modes_of_a_hot_group(spark):
+    pdf = _hot_frame()
+    pdf["g"] = np.where(pdf["id"] % 3 == 0, None, "x")
+    got = {r["g"]: r["c_mode"] for r in encode.group_modes(spark.createDataFrame(pdf), "g", ["c"]).collect()}
+    assert got == {None: "HOT", "x": "HOT"}
