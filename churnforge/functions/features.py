@@ -115,3 +115,9 @@ def household_flags(partner, dependents, senior, yes: str = "Yes") -> dict[str,
     d = F.coalesce(_col(dependents) == F.lit(yes), F.lit(False))
     s = F.coalesce(_col(senior).cast("string").isin("1", "1.0", yes), F.lit(False))
     return {"is_family": (p & d).cast("int"), "is_vulnerable": (s & ~p & ~d).cast("int")}
+
+
+def listed_crosses(pairs, sep: str = "_", null_rule: str = "propagate") -> dict[str, Column]:
+    """An explicit list of column pairs, crossed first and filled after: a null in either makes the
+    whole cross `Missing`. Columns are named a_b."""
+    return {f"{a}_{b}": cross(a, b, sep=sep, null_rule=null_rule) for a, b in pairs}

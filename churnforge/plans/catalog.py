@@ -151,6 +151,15 @@ def q_e8(spark, sf):
     return f.select("id", fe.cross("priority", "segment", null_rule="propagate").alias("priority_segment"))
 
 
+LISTED_PAIRS = [("priority", "segment"), ("segment", "nation"), ("nation", "flag"), ("priority", "flag")]
+
+
+@register("e9_listed_pairs", with_orders() + "SELECT id, " + ", ".join(
+    f"coalesce({a} || '_' || {b}, 'Missing') AS {a}_{b}" for a, b in LISTED_PAIRS) + " FROM order_frame")
+def q_e9(spark, sf):
+    return _orders(spark, sf).select("id", *[v.alias(n) for n, v in fe.listed_crosses(LISTED_PAIRS).items()])
+
+
 @register("e10_triple_cross", with_orders() + """
 SELECT id, coalesce(priority || '_' || segment || '_' || flag, 'Missing') AS triple FROM order_frame""")
 def q_e10(spark, sf):
@@ -1074,6 +1083,32 @@ def q_d1(spark, sf):
     return out.select("id", "split", *[r6(c).alias(c) for c in D1_NUMS], *[f"{c}_ord" for c in CATS])
 
 
+@register("s2_p8_p7_d1_flow", with_orders(
+    "raw2 AS (SELECT id, split, CAST(CASE WHEN churn_text = 'Yes' THEN 1 WHEN churn_text = 'No' THEN 0 END AS INTEGER) AS label, "
+    + num("monthly_txt") + " AS monthly, " + num("total_txt") + " AS total, priority, segment FROM raw_orders)",
+    "kept AS (SELECT * FROM raw2 WHERE label IS NOT NULL AND monthly IS NOT NULL AND total IS NOT NULL AND priority IS NOT NULL)",
+    "st AS (SELECT avg(monthly) AS mm, stddev_pop(monthly) AS ms, avg(total) AS tm, stddev_pop(total) AS ts FROM kept WHERE split = 'train')",
+    *[f"o_{c} AS (SELECT {c} AS k, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code FROM "
+      f"(SELECT DISTINCT {c} FROM kept WHERE split = 'train') t)" for c in ("priority", "segment")]) + """
+SELECT id, split, label, round((monthly - mm) / ms, 6) AS monthly, round((total - tm) / ts, 6) AS total,
+       coalesce(o_priority.code, -1) AS priority_ord, coalesce(o_segment.code, -1) AS segment_ord
+FROM kept CROSS JOIN st LEFT JOIN o_priority ON o_priority.k = priority LEFT JOIN o_segment ON o_segment.k = segment""")
+def q_s2(spark, sf):
+    """The older schema's load: raw CSV (S2) -> rows without a label (P8) or with nulls (P7) go -> preprocessor (D1),
+    fitted on train and applied to both splits."""
+    from churnforge.sources import tables
+    raw = frames.raw_order_frame(spark, sf).select("id", "split", "churn_text", "monthly_txt", "total_txt", "priority", "segment")
+    path = _scratch(spark, "subscription-csv")
+    tables.write_table(raw, path, fmt="csv")
+    back = spark.read.schema(raw.schema).option("header", True).csv(path)
+    typed = back.select("id", "split", clean.label_strict("churn_text").alias("label"), clean.to_number("monthly_txt").alias("monthly"),
+                        clean.to_number("total_txt").alias("total"), "priority", "segment")
+    kept = clean.drop_null_rows(clean.drop_null_label(typed, "label"), ["monthly", "total", "priority"])
+    nums, cats = ["monthly", "total"], ["priority", "segment"]
+    out = encode.apply_preprocessor(kept, encode.fit_preprocessor(kept.filter(F.col("split") == "train"), nums, cats), nums, cats)
+    return out.select("id", "split", "label", r6("monthly").alias("monthly"), r6("total").alias("total"), "priority_ord", "segment_ord")
+
+
 def _hash_normal_sql(column):
     digest = f"md5(CAST(id AS VARCHAR) || '|42|{column}')"
     u = lambda at: f"CAST('0x' || substr({digest}, {at}, 12) AS BIGINT) / 281474976710656.0"
