@@ -199,7 +199,7 @@ def _strip(plan: PrefixPlan, carry: bool):
             kept.append(b" ".join(words))
             spans.append(span)
         return pa.table({
-            "id": rows.column("id"), **({"carried": rows.column("carried")} if carry else {}), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+            "id": rows.column("id"), **({c: rows.column(c) for c in ("text", "carried")} if carry else {}), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
             "spans": pa.array(spans, pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64())])))})
 
@@ -209,14 +209,14 @@ def _strip(plan: PrefixPlan, carry: bool):
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    config: SubstringConfig = SubstringConfig(), carry: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_text and spans (first and last word of each removed run) per row of df; with `carry`
-    also all columns of df, as the struct `carried`.
+    also the text as it was, as `text`, and all other columns of df, as the struct `carried`.
 
     Every word covered by `config.words` consecutive words of its text that also start anywhere else, in the same text or
     another, is removed, all copies alike; kept words are joined by one space. Words are separated by ASCII white space
     and compared byte by byte. A null or empty text has no words. Repeated rows are copies of each other and stay rows of
     the result; ids may be null."""
-    whole = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("carried")] if carry else []
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *whole)
+    others = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("carried")] if carry else []
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *others)
     plan, n_blocks = plan_prefixes(docs, "text", config, shuffle_partitions(df.sparkSession))
     key = F.xxhash64(F.col("id"), F.octet_length("text"), F.substring("text", 1, 64))
     blocks = docs.withColumn("block", F.pmod(key, F.lit(n_blocks)))
@@ -225,7 +225,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     answers = paths.groupBy("grp").applyInArrow(_grow, "grp int, block long, shared binary")
     spans = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())]))
     schema = T.StructType([
-        T.StructField("id", df.schema[id_col].dataType), *(docs.select("carried").schema.fields if carry else []),
+        T.StructField("id", df.schema[id_col].dataType), *(docs.select("text", "carried").schema.fields if carry else []),
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_text", T.StringType()), T.StructField("spans", spans)])
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_strip(plan, carry), schema)

@@ -45,9 +45,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that also stand elsewhere; texts without such passages stay as they are. n_chars follows."""
     out = substrings.remove_repeats(docs, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
-           .otherwise(F.col("carried.n_chars")) if "n_chars" in docs.columns else None}
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+           "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(
+               F.col("carried.n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return out.select(*[(new[c] if c in new else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
 
