@@ -10,6 +10,7 @@ import string
 from pyspark.sql import Column, functions as F
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -32,6 +33,6 @@ def count_words(pieces: Column) -> Column:
     return (F.size(pieces) - lead(pieces) - last).cast("long")
 
 
-def only_words(pieces: Column) -> Column:
-    """The words without the empty pieces at the ends."""
-    return F.slice(pieces, lead(pieces) + 1, count_words(pieces).cast("int"))
+def only_words(lowered: Column) -> Column:
+    """The words of a lower-cased text, without empty pieces; cutting by gaps is faster where their places matter less."""
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))

@@ -36,8 +36,8 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, config: Deconta
     """(item, exact, folded): every window's words, exactly lower-cased and joined, and folded for the candidate search."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = items.select(F.col(item_col).cast("string").alias("item"),
-                         only_words(split_words(ascii_lower(text))).alias("exact"),
-                         only_words(split_words(F.lower(text))).alias("folded")).where(F.size("exact") > 0)
+                         only_words(ascii_lower(text)).alias("exact"),
+                         only_words(F.lower(text)).alias("folded")).where(F.size("exact") > 0)
     last = F.greatest(F.size("exact") - config.window, F.lit(0))
     return words.select("item", "exact", "folded", F.explode(F.sequence(F.lit(1), last + 1)).alias("at")).select(
         "item", F.array_join(F.slice("exact", F.col("at"), config.window), " ").alias("exact"),

@@ -69,8 +69,7 @@ def _phrase_places(found: DataFrame, config: LicenseConfig) -> DataFrame:
     """(id, body, start, label) of every place where a phrase's words stand consecutively."""
     phrases = F.broadcast(_local(found.sparkSession, [
         {"first": p.split()[0], "phrase": p, "len": len(p.split()), "label": v} for p, v in config.phrases.items()]))
-    words = only_words(split_words(ascii_lower(F.col("text"))))
-    places = found.select("id", "body", words.alias("words")).select("id", "body", "words", F.posexplode("words").alias("start", "first"))
+    places = found.select("id", "body", only_words(F.col("text")).alias("words")).select("id", "body", "words", F.posexplode("words").alias("start", "first"))
     stands = F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " ") == F.col("phrase")
     return places.join(phrases, "first").where(stands).select("id", "body", F.col("start").cast("long").alias("start"), "label")
 
@@ -83,8 +82,8 @@ def _template_blocks(found: DataFrame, rank: dict[str, int], entries: list[dict]
         {"rank": r, "label": e["label"], "place": k, "need": e["need"], "size": len(e["ranks"])}
         for e in entries for k, r in enumerate(e["ranks"][:len(e["ranks"]) - e["need"] + 1])]))
     sets = F.broadcast(_local(spark, [{"label": e["label"], "ranks": e["ranks"]} for e in entries]))
-    lines = found.select("id", "body", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("line", "block"))
-    words = lines.select("id", "body", "line", F.explode(F.array_distinct(only_words(split_words(F.col("block"))))).alias("word"))
+    lines = found.select("id", "body", F.posexplode(F.split("text", "\n")).alias("line", "block"))
+    words = lines.select("id", "body", "line", F.explode(F.array_distinct(only_words(F.col("block")))).alias("word"))
     blocks = (words.join(ranks, "word").groupBy("id", "body", "line")       # at most the templates' words a block
               .agg(F.array_sort(F.collect_list("rank")).alias("have")))
     shared = blocks.select("id", "body", "line", "have", F.posexplode("have").alias("at", "rank")).join(prefix, "rank")
@@ -111,7 +110,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     may = F.arrays_overlap("pieces", F.array(*[F.lit(w) for w in sorted(anchors)])) if anchors else F.lit(False)
     rows = materialise(docs.select("id", "text", pieces.alias("pieces")).select(
         "id", F.xxhash64("text").alias("body"), count_words(F.col("pieces")).alias("n_words"),
-        F.when(may, F.col("text")).alias("text")))
+        F.when(may, ascii_lower(F.col("text"))).alias("text")))
     found = rows.where("text IS NOT NULL").select("id", "body", "text").distinct()
     texts = rows.groupBy("id", "body").agg(F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"))
     parts = []
