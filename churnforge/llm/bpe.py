@@ -22,6 +22,9 @@ PIECE_CHARS = 1 << 16
 #: A single space between two other characters that are no white space: the pattern starts a new match there whatever
 #: stands on either side, since a match holds white space only at its start or throughout.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Unicode white space, as the pattern's engine has it. That engine runs out of stack on very long runs, so runs of this
+#: length are matched here: all but the last character before a word is one match, at the text's end the whole run is.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 SCHEMA = "n_tokens long, ids binary, decoded binary"
 
@@ -34,8 +37,8 @@ def vocabulary(rank_file: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def codec(rank_file: str, pattern: str | None):
-    """(encoder, id -> bytes) once per Python worker."""
+def codec(rank_file: str):
+    """(encoder, encoder that takes a text as one match, id -> bytes) once per Python worker."""
     import public_tokenizers
     import tiktoken
     with open(vocabulary(rank_file), "rb") as f:
@@ -43,9 +46,9 @@ def codec(rank_file: str, pattern: str | None):
     table: list = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    encoder = tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                special_tokens={})
-    return encoder, table
+    encoder, whole = (tiktoken.Encoding(name, pat_str=pat, mergeable_ranks=ranks, special_tokens={})
+                      for name, pat in (("ranks", public_tokenizers.PATTERN), ("whole", "(?s:.+)")))
+    return encoder, whole, table
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -60,27 +63,33 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str, encoder) -> list[int]:
-    """Token ids of a text; special-token strings are ordinary text."""
-    if len(text) <= PIECE_CHARS:
+def encode(text: str, encoder, whole) -> list[int]:
+    """Token ids of a text by the default pattern; special-token strings are ordinary text."""
+    if len(text) < 1_000:
         return encoder.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in encoder.encode_ordinary(piece)]
+    ids, start = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += [i for piece in pieces(text[start:run.start()]) for i in encoder.encode_ordinary(piece)]
+        ids += whole.encode_ordinary(text[run.start():end])
+        start = end
+    return ids + [i for piece in pieces(text[start:]) for i in encoder.encode_ordinary(piece)]
 
 
 def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   rank_file: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
+                   rank_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the bytes the ids stand for) per row.
 
     One row per input row, repeated rows and null ids included; a null or empty text has no tokens. Nothing is
     shuffled. `rank_file` is an absolute path that every executor has, or the name of a file of the installed
-    tokenizer package; `pattern` defaults to that package's."""
+    tokenizer package, whose pre-splitting pattern applies."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = codec(rank_file, pattern)
+        encoder, whole, table = codec(rank_file)
         for batch in batches:
             for part in slices(batch, text_col):
-                found = [encode(t, encoder) for t in texts(part.column(text_col))]
+                found = [encode(t, encoder, whole) for t in texts(part.column(text_col))]
                 yield pa.RecordBatch.from_arrays([
                     part.column(id_col),
                     pa.array([len(x) for x in found], pa.int64()),

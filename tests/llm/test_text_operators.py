@@ -12,7 +12,7 @@ from churnforge.llm.textbatch import held_out
 from tests.conftest import SF001, SF01
 from tests.llm.brute import sha
 
-LONG = "word " * 40_000 + "x" * 70_000 + " don't 12ab\n\n  end"
+LONG = "word " * 40_000 + "x" * 70_000 + " don't 12ab\n\n  end" + " " * 5_000 + "tail\n" + "\n" * 3_000
 EDGES = [(1, "Plain text, it's 3 o'clock.", "x"), (2, None, "x"), (3, "", "x"), (4, " \t\n", "x"), (4, "Repeated row", "x"),
          (4, "Repeated row", "x"), (None, "no id é ß 日本語 👍", "x"), (5, LONG, "x"), (6, "<|endoftext|> nul\x00 byte", None),
          (7, "12345 67,8 ...", "x")]
@@ -26,7 +26,7 @@ def edges(spark):
 
 
 def test_bpe_matches_the_library_and_decodes_back(spark):
-    encoder, _ = bpe.codec("byte_bpe_50k.tiktoken", None)
+    encoder, whole, _ = bpe.codec("byte_bpe_50k.tiktoken")
     assert isinstance(encoder, tiktoken.Encoding)
     got = sorted((r["doc_id"] or 0, r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.bpe_round_trip(edges(spark)).collect())
     want = sorted((i or 0, len(x), np.array(x, "<u4").tobytes(), (t or "").encode())
@@ -35,7 +35,7 @@ def test_bpe_matches_the_library_and_decodes_back(spark):
 
 
 def test_bpe_pieces_are_safe_whatever_the_cut():
-    encoder, _ = bpe.codec("byte_bpe_50k.tiktoken", None)
+    encoder, whole, _ = bpe.codec("byte_bpe_50k.tiktoken")
     rng = random.Random(3)
     for _ in range(300):
         text = "".join(rng.choice(["a", "b'll", " ", "  ", "\n", "1", "!", "'s", "é", "\u00a0", "👍"]) for _ in range(60))
@@ -44,11 +44,22 @@ def test_bpe_pieces_are_safe_whatever_the_cut():
         assert [i for p in cut for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
 
 
+def test_bpe_runs_of_white_space(monkeypatch):
+    encoder, whole, table = bpe.codec("byte_bpe_50k.tiktoken")
+    for text in (" " * 1_000_000 + "a", "a" + "\n" * 1_000_000, "\u3000" * 300_000 + " b " + "\t " * 2_000 + "!"):
+        assert b"".join(table[i] for i in bpe.encode(text, encoder, whole)) == text.encode()     # no stack overflow
+    monkeypatch.setattr(bpe, "LONG_RUN", bpe.re.compile(bpe.LONG_RUN.pattern.replace("1000", "3")))
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "'s", " ", "  ", "\n", "\t\n ", "\xa0", "1", "!", "é", "\u3000", "\x1c"]) for _ in range(1_100))
+        assert bpe.encode(text, encoder, whole) == encoder.encode_ordinary(text)
+
+
 def test_bpe_query_and_empty_table(spark):
     from churnforge.llm.catalog import op1_byte_bpe
     rows = op1_byte_bpe(spark, SF001).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
-    encoder, _ = bpe.codec("byte_bpe_50k.tiktoken", None)
+    encoder, whole, _ = bpe.codec("byte_bpe_50k.tiktoken")
     assert len(rows) == len(texts)
     for r in rows:
         ids = encoder.encode_ordinary(texts[r["doc_id"]] or "")
