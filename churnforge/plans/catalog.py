@@ -17,7 +17,7 @@ from churnforge.functions import clean
 from churnforge.functions import features as fe
 from churnforge.operators import encode, folds, metrics
 from churnforge.plans import frames
-from churnforge.plans.oracle import DOC_CTES, folds_cte, num, with_orders
+from churnforge.plans.oracle import folds_cte, num, with_orders
 
 REGISTRY: dict[str, tuple] = {}
 

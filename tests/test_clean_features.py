@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from churnforge.functions import clean
 from churnforge.functions import features as fe
