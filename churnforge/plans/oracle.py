@@ -66,14 +66,6 @@ score_tables AS (
   SELECT 'c', id, split, label, round((acctbal + 1000.0) / 12000.0, 3) FROM order_frame
 )"""
 
-DOC_CTES = """
-doc_frame AS (
-  SELECT d.doc_id, CAST(l.quality AS INTEGER) AS quality,
-         CASE WHEN l.quality IS NOT NULL THEN 'train' ELSE 'score' END AS split,
-         CAST(d.n_chars AS DOUBLE) AS n_chars, d.lang, d.source
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-)"""
-
 
 def with_orders(*ctes: str) -> str:
     """'WITH <order frame CTEs>, <extra CTEs>' prefix."""
