@@ -18,6 +18,15 @@ def _down(edges: DataFrame) -> DataFrame:
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
+#: Edges of a checkpoint file: small graphs are not spread over as many files as a shuffle has partitions.
+EDGES_A_FILE = 500_000
+
+
+def _written(edges: DataFrame, at_most: int) -> DataFrame:
+    """A checkpoint of edges that are known to be no more than `at_most`."""
+    return materialise(edges.coalesce(-(-max(1, at_most) // EDGES_A_FILE)))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -25,8 +34,10 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node reachable from it.
 
-    Self-edges, repeated edges and nulls are allowed (edges with a null end are left out); no edges give no rows."""
-    now = materialise(_down(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()))
+    Self-edges, repeated edges and nulls are allowed (edges with a null end are left out); no edges give no rows. The
+    edges are counted and then read: hand over a table that is cheap to read twice."""
+    given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
+    now = _written(_down(given), given.count())
     state = _state(now)
     while state[0]:
         # large-star: every node hands its larger neighbours to the smallest node around it
@@ -36,9 +47,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small-star: every node hands itself and its smaller neighbours to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
-        now = materialise(_down(small.select(F.explode(F.array(
+        now = _written(_down(small.select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")))
+            .select("e.u", "e.v")), 2 * state[0])
         before, state = state, _state(now)
         if state == before:
             break
