@@ -44,6 +44,10 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, config: Deconta
         F.slice("folded", F.col("at"), config.window).alias("folded")).distinct()
 
 
+#: Items whose windows share a checkpoint file.
+ITEMS_A_FILE = 10_000
+
+
 def _small(df: DataFrame, config: DecontaminationConfig) -> DataFrame:
     """Broadcast hint for a table that was counted and is under the bound."""
     return F.broadcast(df) if df.count() <= config.broadcast_rows else df
@@ -55,7 +59,8 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """(rows, hits). rows: id, body (hash of the text, tells rows with one id apart), copies, n_words. hits: id, body,
     start (word from 0), len, exact (the window's words)."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    windows = materialise(item_windows(items, item_col, item_text_col, config))
+    files = -(-max(1, items.count()) // ITEMS_A_FILE)        # tables of windows and shingles follow the items
+    windows = materialise(item_windows(items, item_col, item_text_col, config).coalesce(files))
     unique = windows.select("exact", "folded").distinct()
     n = F.least(F.size("folded"), F.lit(config.shingle))
     pieces = texts.select("id", "text", split_words(F.lower("text")).alias("pieces"))
@@ -66,7 +71,7 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     key = F.lit(None).cast("long")
     for k in lengths:
         key = F.when(F.col("n") == k, _shingle(F.col("folded"), F.col("at"), k)).otherwise(key)
-    parts = materialise(parts.select("exact", "folded", "at", key.alias("key")))
+    parts = materialise(parts.select("exact", "folded", "at", key.alias("key")).coalesce(files))
     wanted = _small(parts.select("key").distinct(), config)
 
     def keyed(source: DataFrame, k: int, *columns: str) -> DataFrame:
@@ -82,7 +87,7 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     empty = rows.limit(0).select("id", "body", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("exact"))
     if counts is None:
         return _copies(rows), empty
-    counts = materialise(counts)
+    counts = materialise(counts.coalesce(files))
 
     # the rarest shingle of each window that occurs at all
     scored = parts.join(F.broadcast(counts) if counts.count() <= config.broadcast_rows else counts, "key", "left")
@@ -90,7 +95,8 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         scored.groupBy("exact", "folded").agg(
             F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "at", "key")).alias("p"))
         .where("p.count > 0").select("exact", "folded", F.size("folded").alias("len"), F.col("p.at").alias("at"),
-                                     F.col("p.key").alias("key"), F.least(F.size("folded"), F.lit(config.shingle)).alias("n")))
+                                     F.col("p.key").alias("key"), F.least(F.size("folded"), F.lit(config.shingle)).alias("n"))
+        .coalesce(files))
     small = rarest.count() <= config.broadcast_rows
     # kept: the pieces with their capital letters, so that places can be decided without cutting the text again
     both = texts.select("id", F.xxhash64("text").alias("body"), split_words(F.lower("text")).alias("pieces"),
