@@ -24,7 +24,7 @@ class LanguageIdConfig:
     buckets: int = 1 << 15                  #: hash buckets, all lengths together
     smoothing: float = 0.5                  #: added to every count
     max_docs: int = 20_000                  #: about so many texts of each language are learned from
-    max_languages: int = 1_000              #: bound of the model's width; more is an error
+    max_languages: int = 200                #: bound of the model's width; more is an error
     evidence: int = 60                      #: n-grams of evidence that a long text's score is scaled to
     seed: int = 17
 
