@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from churnforge.llm.textbatch import mix64, slices, utf8
+from churnforge.llm.textbatch import materialise, mix64, slices, utf8
 from churnforge.llm.wordcodes import word_bounds, word_codes
 
 
@@ -83,7 +83,16 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
 
 def fit_vocabulary(df: DataFrame, text_col: str, config: LMConfig) -> Vocabulary:
     """The most frequent words, in classes of about equal mass by falling frequency."""
-    top = count_words(df, text_col).orderBy(F.desc("n"), "code").limit(config.vocabulary).collect()
+    counts = materialise(count_words(df, text_col))
+    # words by the size of their count, eight steps a doubling (512 rows at most): only those in question are ordered,
+    # so that the partitions do not each send a whole vocabulary to the driver
+    level = F.floor(F.log2("n") * 8).cast("int")
+    cut, held = 0, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        cut, held = row["level"], held + row["count"]
+        if held >= config.vocabulary:
+            break
+    top = counts.where(level >= cut).orderBy(F.desc("n"), "code").limit(config.vocabulary).collect()
     n = np.array([r["n"] for r in top], float)
     codes = np.array([r["code"] for r in top], np.int64).view(np.uint64)
     mass = np.cumsum(n) - n

@@ -26,7 +26,7 @@ def edges(spark):
 
 
 def test_bpe_matches_the_library_and_decodes_back(spark):
-    encoder, whole, _ = bpe.codec("byte_bpe_50k.tiktoken")
+    encoder, _ = bpe.codec("byte_bpe_50k.tiktoken")
     assert isinstance(encoder, tiktoken.Encoding)
     got = sorted((r["doc_id"] or 0, r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.bpe_round_trip(edges(spark)).collect())
     want = sorted((i or 0, len(x), np.array(x, "<u4").tobytes(), (t or "").encode())
@@ -35,7 +35,7 @@ def test_bpe_matches_the_library_and_decodes_back(spark):
 
 
 def test_bpe_pieces_are_safe_whatever_the_cut():
-    encoder, whole, _ = bpe.codec("byte_bpe_50k.tiktoken")
+    encoder, _ = bpe.codec("byte_bpe_50k.tiktoken")
     rng = random.Random(3)
     for _ in range(300):
         text = "".join(rng.choice(["a", "b'll", " ", "  ", "\n", "1", "!", "'s", "é", "\u00a0", "👍"]) for _ in range(60))
@@ -45,21 +45,21 @@ def test_bpe_pieces_are_safe_whatever_the_cut():
 
 
 def test_bpe_runs_of_white_space(monkeypatch):
-    encoder, whole, table = bpe.codec("byte_bpe_50k.tiktoken")
+    encoder, table = bpe.codec("byte_bpe_50k.tiktoken")
     for text in (" " * 1_000_000 + "a", "a" + "\n" * 1_000_000, "\u3000" * 300_000 + " b " + "\t " * 2_000 + "!"):
-        assert b"".join(table[i] for i in bpe.encode(text, encoder, whole)) == text.encode()     # no stack overflow
+        assert b"".join(table[i] for i in bpe.encode(text, encoder, "byte_bpe_50k.tiktoken")) == text.encode()     # no stack overflow
     monkeypatch.setattr(bpe, "LONG_RUN", bpe.re.compile(bpe.LONG_RUN.pattern.replace("1000", "3")))
     rng = random.Random(1)
     for _ in range(300):
         text = "".join(rng.choice(["a", "'s", " ", "  ", "\n", "\t\n ", "\xa0", "1", "!", "é", "\u3000", "\x1c"]) for _ in range(1_100))
-        assert bpe.encode(text, encoder, whole) == encoder.encode_ordinary(text)
+        assert bpe.encode(text, encoder, "byte_bpe_50k.tiktoken") == encoder.encode_ordinary(text)
 
 
 def test_bpe_query_and_empty_table(spark):
     from churnforge.llm.catalog import op1_byte_bpe
     rows = op1_byte_bpe(spark, SF001).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
-    encoder, whole, _ = bpe.codec("byte_bpe_50k.tiktoken")
+    encoder, _ = bpe.codec("byte_bpe_50k.tiktoken")
     assert len(rows) == len(texts)
     for r in rows:
         ids = encoder.encode_ordinary(texts[r["doc_id"]] or "")
@@ -158,6 +158,15 @@ def test_lm_scores_equal_a_plain_forward_pass(spark):
     assert len(got) >= 8 and lm.score_documents(edges(spark).limit(0), model, config=config).count() == 0
 
 
+def test_lm_vocabulary_is_the_most_frequent_words(spark):
+    rows = [(k, " ".join(["a"] * 40 + ["b"] * 40 + [f"w{k}_{j}" for j in range(5)] + ["c"] * k)) for k in range(6)]
+    vocabulary = lm.fit_vocabulary(spark.createDataFrame(rows, "doc_id long, text string"), "text", lm.LMConfig(vocabulary=3, rest=2))
+    data = np.frombuffer(b"a b c d", np.uint8)
+    starts, ends, _ = lm.word_bounds(data, np.array([0, len(data)]))
+    ids = vocabulary.ids(lm.word_codes(data, starts, ends))
+    assert sorted(ids[:3]) == [0, 1, 2] and ids[3] >= 3 and vocabulary.size == 5
+
+
 def test_lm_prefers_words_in_place_and_beats_word_shares(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     model = lm.fit_language_scorer(docs)
