@@ -36,19 +36,28 @@ def vocabulary(rank_file: str) -> str:
     return rank_file if os.path.isabs(rank_file) else public_tokenizers.path(rank_file)
 
 
+def ranks(rank_file: str) -> dict[bytes, int]:
+    with open(vocabulary(rank_file), "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def codec(rank_file: str):
-    """(encoder, encoder that takes a text as one match, id -> bytes) once per Python worker."""
+    """(encoder, id -> bytes) once per Python worker."""
     import public_tokenizers
     import tiktoken
-    with open(vocabulary(rank_file), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    table: list = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
+    known = ranks(rank_file)
+    table: list = [None] * (max(known.values()) + 1)
+    for token, rank in known.items():
         table[rank] = token
-    encoder, whole = (tiktoken.Encoding(name, pat_str=pat, mergeable_ranks=ranks, special_tokens={})
-                      for name, pat in (("ranks", public_tokenizers.PATTERN), ("whole", "(?s:.+)")))
-    return encoder, whole, table
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}), table
+
+
+@lru_cache(maxsize=4)
+def whole_encoder(rank_file: str):
+    """An encoder that takes a text as one match; made only where a text needs it."""
+    import tiktoken
+    return tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks(rank_file), special_tokens={})
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -63,7 +72,7 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(text: str, encoder, whole) -> list[int]:
+def encode(text: str, encoder, rank_file: str) -> list[int]:
     """Token ids of a text by the default pattern; special-token strings are ordinary text."""
     if len(text) < 1_000:
         return encoder.encode_ordinary(text)
@@ -71,7 +80,7 @@ def encode(text: str, encoder, whole) -> list[int]:
     for run in LONG_RUN.finditer(text):
         end = run.end() - (run.end() < len(text))
         ids += [i for piece in pieces(text[start:run.start()]) for i in encoder.encode_ordinary(piece)]
-        ids += whole.encode_ordinary(text[run.start():end])
+        ids += whole_encoder(rank_file).encode_ordinary(text[run.start():end])
         start = end
     return ids + [i for piece in pieces(text[start:]) for i in encoder.encode_ordinary(piece)]
 
@@ -86,10 +95,10 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, whole, table = codec(rank_file)
+        encoder, table = codec(rank_file)
         for batch in batches:
             for part in slices(batch, text_col):
-                found = [encode(t, encoder, whole) for t in texts(part.column(text_col))]
+                found = [encode(t, encoder, rank_file) for t in texts(part.column(text_col))]
                 yield pa.RecordBatch.from_arrays([
                     part.column(id_col),
                     pa.array([len(x) for x in found], pa.int64()),
