@@ -19,7 +19,7 @@ def _down(edges: DataFrame) -> DataFrame:
 
 
 #: Edges of a checkpoint file: small graphs are not spread over as many files as a shuffle has partitions.
-EDGES_A_FILE = 500_000
+EDGES_A_FILE = 50_000
 
 
 def _written(edges: DataFrame, at_most: int) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from churnforge.llm.components import connected_components
 from churnforge.llm.textbatch import materialise, slices, texts
+from churnforge.session import shuffle_partitions
 
 BITS = 64
 SEGMENT_LOW_BITS = 0x5555555555555555
@@ -229,7 +230,10 @@ def fingerprint_links(fps: DataFrame, config: SimHashConfig = SimHashConfig()) -
     """Edges (a, b) with at most max_bits differing bits that connect exactly the linked fingerprints of `fps` (one
     distinct long column fp); inside over-full cells an end may be a common neighbour value instead of a fingerprint."""
     at = embedding(F.col("fp"))
-    cells = fps.select(F.explode(F.array(*[
+    # narrow rows become 70 times as many: deal them out first (by another key than they may come by, else Spark leaves the
+    # step out), as adaptive execution would gather them in a few tasks
+    spread = fps.repartition(shuffle_partitions(fps.sparkSession), at)
+    cells = spread.select(F.explode(F.array(*[
         F.struct(F.lit(g).alias("grid"), at.bitwiseAND(F.lit(m)).alias("cell"), F.col("fp")) for g, m in
         enumerate(grid_masks(config))])).alias("c")).select("c.*")
     found = materialise(cells.repartition("grid", "cell").sortWithinPartitions("grid", "cell")
