@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from churnforge.llm import bpe, decontam, embdedup, langid, licenses, lm, quality, simhash, substrings, urlfilter
-from churnforge.llm.textbatch import held_out
+from churnforge.llm.textbatch import held_out, materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,7 +112,9 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN listed USING (r)
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every whole text under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
-    return lm.score_documents(docs, lm.fit_language_scorer(docs))
+    counts = materialise(lm.count_words(docs, "text"))
+    model = lm.fit_language_scorer(docs, counts=counts)
+    return lm.score_documents(docs, model, rest=lm.rest_words(counts, model.vocabulary))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

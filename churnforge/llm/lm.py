@@ -4,7 +4,8 @@ Every word of a text is predicted from the words on both sides by a small window
 hidden layer, a softmax over word classes; a word's probability is its class's times its share of the class in the
 corpus. A document's score is the sum of these conditional log-probabilities.
 
-The vocabulary comes from the counts of all words of all texts. The network is trained in numpy where the data is: in each
+The vocabulary comes from the counts of all words of all texts. Words beyond it share ids in the network, but not in the
+score: their counts stay a Spark table, which grows with the corpus and is joined to the texts' blocks. The network is trained in numpy where the data is: in each
 round every partition takes the shared weights through all its texts, a share of whose words is masked, and the new
 weights are averaged by the number of masked words. Only sums of weights reach the driver.
 """
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from churnforge.llm.textbatch import materialise, mix64, slices, utf8
@@ -62,6 +64,19 @@ class LanguageScorer:
     weights: np.ndarray             #: all weights in a row
 
 
+@dataclass(frozen=True)
+class RestWords:
+    """Shares of the words beyond the vocabulary in their rest ids (Witten-Bell: as much mass as there are different words
+    is left for unseen ones, in equal parts for all codes that a rest id may still get)."""
+    counts: DataFrame               #: (code, n) of all words
+    log_mass: np.ndarray            #: of each rest id: log of its words' number and the mass for unseen words
+    log_unseen: np.ndarray          #: of each rest id: log share of one unseen word
+
+
+#: Words beyond the vocabulary whose shares are asked for together (one text at least).
+BLOCK_WORDS = 2_000_000
+
+
 def count_words(df: DataFrame, text_col: str) -> DataFrame:
     """(code, n): how often each word stands in all texts."""
 
@@ -81,9 +96,10 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
             .groupBy("code").agg(F.sum("n").alias("n")))
 
 
-def fit_vocabulary(df: DataFrame, text_col: str, config: LMConfig) -> Vocabulary:
-    """The most frequent words, in classes of about equal mass by falling frequency."""
-    counts = materialise(count_words(df, text_col))
+def fit_vocabulary(df: DataFrame, text_col: str, config: LMConfig, counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words, in classes of about equal mass by falling frequency. counts: of count_words, if they are
+    there already."""
+    counts = materialise(count_words(df, text_col)) if counts is None else counts
     # words by the size of their count, eight steps a doubling (512 rows at most): only those in question are ordered,
     # so that the partitions do not each send a whole vocabulary to the driver
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -103,6 +119,34 @@ def fit_vocabulary(df: DataFrame, text_col: str, config: LMConfig) -> Vocabulary
                       np.concatenate([share[order], np.zeros(config.rest)]), config.rest)
 
 
+def rest_words(counts: DataFrame, vocabulary: Vocabulary) -> RestWords:
+    """Shares of all counted words beyond the vocabulary."""
+    rest = vocabulary.rest
+    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, words, kinds = len(shared.value.codes), np.zeros(rest, np.int64), np.zeros(rest, np.int64)
+        for batch in batches:
+            ids = shared.value.ids(batch.column(0).to_numpy().view(np.uint64)) - first
+            own = ids >= 0
+            n = batch.column(1).to_numpy()[own]
+            words += np.bincount(ids[own], n, rest).astype(np.int64)
+            kinds += np.bincount(ids[own], minlength=rest)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rest)), pa.array(words), pa.array(kinds)],
+                                         names=["id", "words", "kinds"])
+
+    sums = (counts.select("code", "n").mapInArrow(run, "id long, words long, kinds long")
+            .groupBy("id").agg(F.sum("words").alias("words"), F.sum("kinds").alias("kinds")).collect())
+    words, kinds = np.zeros(rest), np.zeros(rest)
+    for row in sums:
+        words[row["id"]], kinds[row["id"]] = row["words"], row["kinds"]
+    known = np.bincount((mix64(vocabulary.codes) % np.uint64(rest)).astype(np.int64), minlength=rest)
+    codes = np.array([((1 << 64) - k + rest - 1) // rest for k in range(rest)], float)     # that are hashed to each id
+    unseen = np.maximum(kinds, 1)
+    log_mass = np.log(words + unseen)
+    return RestWords(counts, log_mass, np.log(unseen) - log_mass - np.log(codes - kinds - known))
+
+
 class Network:
     """The window network over one row of weights; the id after the last stands beyond a text's ends."""
 
@@ -155,15 +199,16 @@ class Network:
             self.parts[k] -= rate * grad / np.sqrt(squares[k] + 1e-8)
 
 
-def neighbours(column: pa.Array, vocabulary: Vocabulary, config: LMConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all words, padded; place of each word in them; texts' offsets in words)."""
+def neighbours(column: pa.Array, vocabulary: Vocabulary, config: LMConfig) -> tuple[np.ndarray, ...]:
+    """(ids of all words, padded; place of each word in them; texts' offsets in words; the words' codes)."""
     data, offsets = utf8(column)
     starts, ends, words = word_bounds(data, offsets)
     of = np.repeat(np.arange(len(words) - 1), np.diff(words))
     at = np.arange(len(starts)) + config.window * (of + 1)
     padded = np.full(len(starts) + config.window * len(words), vocabulary.size, np.int64)
-    padded[at] = vocabulary.ids(word_codes(data, starts, ends))
-    return padded, at, words
+    codes = word_codes(data, starts, ends)
+    padded[at] = vocabulary.ids(codes)
+    return padded, at, words, codes
 
 
 def _around(padded: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -180,7 +225,7 @@ def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, confi
         squares = [np.zeros_like(p) for p in net.parts]
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                padded, at, _ = neighbours(part.column("text"), vocabulary, config)
+                padded, at, _, _ = neighbours(part.column("text"), vocabulary, config)
                 masked = at[(at + turn) % config.mask_every == 0]
                 masked = np.random.default_rng(config.seed + turn).permutation(masked)
                 for k in range(0, len(masked), config.batch):
@@ -199,39 +244,123 @@ def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, confi
     return out
 
 
-def fit_language_scorer(df: DataFrame, text_col: str = "text", config: LMConfig = LMConfig()) -> LanguageScorer:
+def fit_language_scorer(df: DataFrame, text_col: str = "text", config: LMConfig = LMConfig(),
+                        counts: DataFrame | None = None) -> LanguageScorer:
     """Vocabulary and network from all texts of df (null: empty); texts without words leave the starting weights."""
-    vocabulary = fit_vocabulary(df, text_col, config)
-    model = LanguageScorer(vocabulary, Network.start(vocabulary.size, config))
+    vocabulary = fit_vocabulary(df, text_col, config, counts)
+    weights = Network.start(vocabulary.size, config)
+    unused = np.setdiff1d(np.arange(config.classes + config.rest), vocabulary.class_of)
+    Network(weights, vocabulary.size, config).parts[4][unused] = -1e4       # classes without words get no probability
+    model = LanguageScorer(vocabulary, weights)
     for turn in range(config.rounds):
         model = LanguageScorer(vocabulary, _train(df, text_col, model, turn, config))
     return model
 
 
+def _block(kept: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a block's texts, each with the places of its rest words among the block's, and a row with their codes."""
+    codes, place = np.unique(np.concatenate([k[4] for k in kept]), return_inverse=True)
+    at, block = 0, (TaskContext.get().partitionId() << 32) + number
+    names = ["block", "id", "n_tokens", "log_prob", "places", "codes"]
+    for ids, n, sums, per, own in kept:
+        raw = place[at:at + len(own)].astype(np.uint32).tobytes()
+        ends = np.concatenate([[0], np.cumsum(per)]) * 4
+        places = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        at += len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), ids, pa.array(n, pa.int64()), pa.array(sums),
+                                          places, pa.nulls(len(n), pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([
+        pa.array([block], pa.int64()), pa.nulls(1, kept[0][0].type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()),
+        pa.nulls(1, pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=names)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, code) of every block's different rest words."""
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            codes = np.frombuffer(raw, np.int64)
+            for k in range(0, len(codes), 1 << 16):
+                part = codes[k:k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(part), block)), pa.array(np.arange(k, k + len(part), dtype=np.int32)),
+                    pa.array(part)], names=["block", "place", "code"])
+
+
+def _with_rest(blocks: DataFrame, rest: RestWords, vocabulary: Vocabulary, kind: str) -> DataFrame:
+    """(id, n_tokens, log_prob) of the blocks' texts, log_prob with the log shares of their rest words."""
+    asked = (blocks.where("codes IS NOT NULL").select("block", "codes")
+             .mapInArrow(_asked, "block long, place int, code long"))
+    size = vocabulary.rest
+    log_mass, log_unseen = rest.log_mass, rest.log_unseen
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (mix64(batch.column(2).to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64)
+            n = batch.column(3).fill_null(0).to_numpy()
+            share = np.where(n > 0, np.log(np.maximum(n, 1)) - log_mass[at], log_unseen[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)],
+                                             names=["block", "place", "share"])
+
+    # a word is asked for once a block, so that frequent words make no hot keys
+    shares = (asked.join(rest.counts, "code", "left").select("block", "place", "code", "n")
+              .mapInArrow(found, "block long, place int, share double"))
+
+    def add(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        share = np.zeros(answers.num_rows)
+        share[answers.column("place").to_numpy()] = answers.column("share").to_numpy()
+        texts = texts.combine_chunks()
+        sums = np.array([share[np.frombuffer(raw.as_py(), np.uint32)].sum() for raw in texts.column("places")])
+        n, total = texts.column("n_tokens"), texts.column("log_prob").to_numpy() + sums
+        return pa.table({"id": texts.column("id"), "n_tokens": n, "log_prob": pa.array(total, pa.float64())})
+
+    texts = blocks.where("codes IS NULL").select("block", "id", "n_tokens", "log_prob", "places")
+    return texts.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(
+        add, f"id {kind}, n_tokens long, log_prob double")
+
+
 def score_documents(df: DataFrame, model: LanguageScorer, id_col: str = "doc_id", text_col: str = "text",
-                    config: LMConfig = LMConfig()) -> DataFrame:
+                    config: LMConfig = LMConfig(), rest: RestWords | None = None) -> DataFrame:
     """id, n_tokens, log_prob (sum of the words' conditional log-probabilities, natural logarithm) and mean_log_prob per
-    row of df; a text without words has 0 tokens, log_prob 0 and no mean. Repeated rows get equal scores."""
+    row of df; a text without words has 0 tokens, log_prob 0 and no mean. Repeated rows get equal scores. With `rest`
+    every word is scored as itself; without it, words beyond the vocabulary are scored as their rest ids."""
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)
+    whole = rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value.vocabulary
         net = Network(shared.value.weights, vocabulary.size, config)
+        first, kept, held, number = len(vocabulary.codes), [], 0, 0
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                padded, at, words = neighbours(part.column(text_col), vocabulary, config)
+            for part in slices(batch, "text", 1 << 20):
+                padded, at, words, codes = neighbours(part.column("text"), vocabulary, config)
                 scores = np.empty(len(at))
-                for k in range(0, len(at), 4096):
-                    some = at[k:k + 4096]
+                for k in range(0, len(at), 1024):
+                    some = at[k:k + 1024]
                     ids = padded[some]
                     out = net.log_probs(_around(padded, some, config.window))[2]
-                    scores[k:k + 4096] = out[np.arange(len(some)), vocabulary.class_of[ids]] + vocabulary.log_share[ids]
+                    scores[k:k + 1024] = out[np.arange(len(some)), vocabulary.class_of[ids]] + vocabulary.log_share[ids]
                 n = np.diff(words)
                 sums = np.where(n > 0, np.add.reduceat(np.append(scores, 0.0), words[:-1]), 0.0) if len(n) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(id_col), pa.array(n, pa.int64()), pa.array(sums),
-                    pa.array(sums / np.maximum(n, 1), mask=n == 0)], names=[id_col, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return df.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(sums)],
+                                                     names=["id", "n_tokens", "log_prob"])
+                    continue
+                other = np.flatnonzero(padded[at] >= first)
+                kept.append((part.column("id"), n, sums, np.diff(np.searchsorted(other, words)), codes[other]))
+                held += len(other)
+                if held >= BLOCK_WORDS:
+                    yield from _block(kept, number)
+                    kept, held, number = [], 0, number + 1
+        if kept:
+            yield from _block(kept, number)
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if whole:
+        blocks = materialise(source.mapInArrow(
+            run, f"block long, id {kind}, n_tokens long, log_prob double, places binary, codes binary"))
+        out = _with_rest(blocks, rest, model.vocabulary, kind)
+    else:
+        out = source.mapInArrow(run, f"id {kind}, n_tokens long, log_prob double")
+    return out.select(F.col("id").alias(id_col), "n_tokens", "log_prob",
+                      F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -179,3 +179,45 @@ def test_lm_prefers_words_in_place_and_beats_word_shares(spark):
     mixed = french.withColumn("text", F.array_join(F.shuffle(F.split("text", " ")), " "))
     whole, moved = (lm.score_documents(d, model).agg(F.avg("mean_log_prob")).first()[0] for d in (french, mixed))
     assert whole >= moved - 0.05
+
+
+def test_lm_scores_every_word_with_its_own_share(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 7)
+    config = lm.LMConfig(vocabulary=3, rest=2, classes=2, hidden=5, dim=3)
+    rows = [(k, " ".join(["a"] * 9 + ["b"] * 8 + ["c"] * 7 + [f"w{j}" for j in range(k + 1) for _ in range(j + 1)])) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm.materialise(lm.count_words(docs, "text"))
+    model = lm.fit_language_scorer(docs, config=config, counts=counts)
+    rest, v = lm.rest_words(counts, model.vocabulary), model.vocabulary
+    new = spark.createDataFrame([*rows, rows[3], (None, "a w5 never b seen w5"), (8, ""), (9, None)], "doc_id long, text string")
+    got = lm.score_documents(new, model, config=config, rest=rest).collect()
+    plain = {(r["doc_id"], r["n_tokens"]): r for r in lm.score_documents(new, model, config=config).collect()}
+    assert len(got) == 10 and {r["doc_id"] for r in got if r["log_prob"] == 0 and r["mean_log_prob"] is None} == {8, 9}
+
+    def code(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return lm.word_codes(data, np.array([0]), np.array([len(data)]))
+
+    tally = {r["code"]: r["n"] for r in counts.collect()}
+    known = {c: n for c, n in tally.items() if v.ids(np.array([c]).view(np.uint64))[0] >= 3}
+    bucket = {c: int(v.ids(np.array([c]).view(np.uint64))[0]) - 3 for c in known}
+    kinds = [sum(b == k for b in bucket.values()) for k in range(2)]
+    mass = [sum(known[c] for c in known if bucket[c] == k) + max(1, kinds[k]) for k in range(2)]
+
+    def share(word):
+        c = code(word)
+        at, key = int(v.ids(c)[0]) - 3, int(c.view(np.int64)[0])
+        if at < 0:
+            return 0.0
+        return np.log(known[key] / mass[at]) if key in known else rest.log_unseen[at]
+
+    for r in got:
+        text = next(t for i, t in [*rows, (None, "a w5 never b seen w5"), (8, ""), (9, "")] if i == r["doc_id"])
+        want = plain[r["doc_id"], r["n_tokens"]]["log_prob"] + sum(share(w) for w in text.split())
+        assert r["log_prob"] == pytest.approx(want, rel=1e-6)
+    # over all codes, the shares of each rest id make 1, and so do the classes
+    free = [2.0 ** 63 - kinds[k] - sum(int(lm.mix64(v.codes[i:i + 1])[0]) % 2 == k for i in range(3)) for k in range(2)]
+    for k in range(2):
+        assert sum(known[c] / mass[k] for c in known if bucket[c] == k) + np.exp(rest.log_unseen[k]) * free[k] == pytest.approx(1)
+    out = lm.Network(model.weights, v.size, config).log_probs(np.zeros((1, 4), int))[2]
+    assert np.exp(out[0, np.unique(v.class_of)]).sum() == pytest.approx(1, abs=1e-5)
