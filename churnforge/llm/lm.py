@@ -7,7 +7,8 @@ corpus. A document's score is the sum of these conditional log-probabilities.
 The vocabulary comes from the counts of all words of all texts. Words beyond it share ids in the network, but not in the
 score: their counts stay a Spark table, which grows with the corpus and is joined to the texts' blocks. The network is trained in numpy where the data is: in each
 round every partition takes the shared weights through all its texts, a share of whose words is masked, and the new
-weights are averaged by the number of masked words. Only sums of weights reach the driver.
+weights are averaged: a word's vector by the number of masked windows that it stood in, the others by the number of masked
+words. All rounds together mask every word. Only sums of weights reach the driver.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ class LMConfig:
     window: int = 2                 #: neighbours on either side
     dim: int = 16
     hidden: int = 32
-    mask_every: int = 8             #: in a round, one word in so many is predicted
-    rounds: int = 2
+    mask_every: int = 8             #: in a turn, one word in so many is predicted; so many turns at least
+    rounds: int = 2                 #: times that weights are averaged; the turns are dealt out to them
     batch: int = 512
     rate: float = 0.01
     seed: int = 5
@@ -170,30 +171,51 @@ class Network:
             (rng.standard_normal(shape) / np.sqrt(shape[0] if k else config.dim)).ravel() if len(shape) > 1 else np.zeros(shape)
             for k, shape in enumerate(cls.shapes(size, config))]).astype(np.float32)
 
-    def log_probs(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(input, hidden layer, log-probabilities of the classes) for rows of neighbour ids."""
+    def outputs(self, around: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(input, hidden layer, outputs less their largest, their exponentials, sums of these) for rows of neighbour ids."""
         vectors, inner, inner_bias, outer, outer_bias = self.parts
-        x = vectors[around].reshape(len(around), -1)
+        x = vectors.take(around.ravel(), 0).reshape(len(around), -1)
         h = np.tanh(x @ inner + inner_bias)
-        out = h @ outer + outer_bias
+        out = h @ outer
+        out += outer_bias
         out -= out.max(1, keepdims=True)
-        out -= np.log(np.exp(out).sum(1, keepdims=True))
+        raised = np.exp(out)
+        return x, h, out, raised, raised @ np.ones((raised.shape[1], 1), raised.dtype)
+
+    def log_probs(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(input, hidden layer, log-probabilities of the classes) for rows of neighbour ids."""
+        x, h, out, _, total = self.outputs(around)
+        out -= np.log(total)
         return x, h, out
 
-    def step(self, around: np.ndarray, classes: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
-        """One step of gradient descent with rates that fall by each weight's past gradients (Adagrad)."""
+    def log_prob_of(self, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Log-probability of one class a row."""
+        _, _, out, _, total = self.outputs(around)
+        return out[np.arange(len(classes)), classes] - np.log(total[:, 0])
+
+    def step(self, around: np.ndarray, classes: np.ndarray, rate: float, squares: list[np.ndarray],
+             touched: np.ndarray) -> None:
+        """One step of gradient descent with rates that fall by each weight's past gradients (Adagrad). touched: gets the
+        number of windows that each id stood in."""
         vectors, inner, _, outer, _ = self.parts
-        x, h, out = self.log_probs(around)
-        error = np.exp(out)
+        x, h, _, error, total = self.outputs(around)
+        error /= total
         error[np.arange(len(classes)), classes] -= 1
         error /= len(classes)
         below = (error @ outer.T) * (1 - h * h)
         into = (below @ inner.T).reshape(-1, vectors.shape[1])
-        ids, place = np.unique(around.ravel(), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        lookup = np.add.reduceat(into[order], np.searchsorted(place[order], np.arange(len(ids))))
-        squares[0][ids] += lookup * lookup
-        vectors[ids] -= rate * lookup / np.sqrt(squares[0][ids] + 1e-8)
+        flat = around.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(vectors) <= 1 << 16 else flat, kind="stable")
+        held = flat[order]
+        firsts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        ids = held[firsts]
+        touched[ids] += np.diff(np.append(firsts, len(held)))
+        sums = np.cumsum(into.take(order, 0), 0, np.float64)[np.append(firsts[1:], len(held)) - 1]   # quicker than reduceat
+        sums[1:] -= sums[:-1].copy()
+        lookup = sums.astype(into.dtype)
+        square = squares[0].take(ids, 0) + lookup * lookup
+        squares[0][ids] = square
+        vectors[ids] = vectors.take(ids, 0) - rate * lookup / np.sqrt(square + 1e-8)
         for k, grad in ((1, x.T @ below), (2, below.sum(0)), (3, h.T @ error), (4, error.sum(0))):
             squares[k] += grad * grad
             self.parts[k] -= rate * grad / np.sqrt(squares[k] + 1e-8)
@@ -215,27 +237,38 @@ def _around(padded: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return padded[at[:, None] + np.array([k for k in range(-window, window + 1) if k])]
 
 
+def turns_of(turn: int, config: LMConfig) -> list[int]:
+    """Turns of a round: each of the first mask_every turns masks other words, and together they mask every word."""
+    return list(range(max(config.rounds, config.mask_every)))[turn::config.rounds]
+
+
 def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, config: LMConfig) -> np.ndarray:
-    """Weights after a round: every partition's own, averaged by its masked words."""
+    """Weights after a round: every partition's own, averaged by what moved them; those that nothing moved stay."""
     shared = df.sparkSession.sparkContext.broadcast(model)      # vocabulary and weights, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights, n = shared.value.vocabulary, shared.value.weights.copy(), 0
         net = Network(weights, vocabulary.size, config)
         squares = [np.zeros_like(p) for p in net.parts]
+        touched = np.zeros(vocabulary.size + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 padded, at, _, _ = neighbours(part.column("text"), vocabulary, config)
-                masked = at[(at + turn) % config.mask_every == 0]
-                masked = np.random.default_rng(config.seed + turn).permutation(masked)
-                for k in range(0, len(masked), config.batch):
-                    some = masked[k:k + config.batch]
-                    net.step(_around(padded, some, config.window), vocabulary.class_of[padded[some]], config.rate, squares)
-                n += len(masked)
+                for now in turns_of(turn, config):
+                    masked = at[(at + now) % config.mask_every == 0]
+                    masked = np.random.default_rng(config.seed + now).permutation(masked)
+                    for k in range(0, len(masked), config.batch):
+                        some = masked[k:k + config.batch]
+                        net.step(_around(padded, some, config.window), vocabulary.class_of[padded[some]], config.rate,
+                                 squares, touched)
+                    n += len(masked)
         if n:
+            by = np.full(len(weights), n, np.int64)
+            by[:net.parts[0].size] = np.repeat(touched, config.dim)
+            moved = np.flatnonzero(by)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(len(weights), dtype=np.int32)), pa.array(weights.astype(np.float64) * n),
-                pa.array(np.full(len(weights), n, np.int64))], names=["at", "w", "n"])
+                pa.array(moved.astype(np.int32)), pa.array(weights[moved].astype(np.float64) * by[moved]),
+                pa.array(by[moved])], names=["at", "w", "n"])
 
     sums = (df.select(F.col(text_col).alias("text")).mapInArrow(run, "at int, w double, n long")
             .groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas())      # one row a weight
@@ -338,8 +371,8 @@ def score_documents(df: DataFrame, model: LanguageScorer, id_col: str = "doc_id"
                 for k in range(0, len(at), 1024):
                     some = at[k:k + 1024]
                     ids = padded[some]
-                    out = net.log_probs(_around(padded, some, config.window))[2]
-                    scores[k:k + 1024] = out[np.arange(len(some)), vocabulary.class_of[ids]] + vocabulary.log_share[ids]
+                    scores[k:k + 1024] = (net.log_prob_of(_around(padded, some, config.window), vocabulary.class_of[ids])
+                                          + vocabulary.log_share[ids])
                 n = np.diff(words)
                 sums = np.where(n > 0, np.add.reduceat(np.append(scores, 0.0), words[:-1]), 0.0) if len(n) else np.zeros(0)
                 if not whole:

@@ -221,3 +221,32 @@ def test_lm_scores_every_word_with_its_own_share(spark, monkeypatch):
         assert sum(known[c] / mass[k] for c in known if bucket[c] == k) + np.exp(rest.log_unseen[k]) * free[k] == pytest.approx(1)
     out = lm.Network(model.weights, v.size, config).log_probs(np.zeros((1, 4), int))[2]
     assert np.exp(out[0, np.unique(v.class_of)]).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_masks_every_word_once_and_averages_vectors_by_their_windows(spark):
+    for rounds, every in ((2, 8), (3, 8), (8, 8), (1, 5)):
+        config = lm.LMConfig(rounds=rounds, mask_every=every)
+        assert sorted(t for r in range(rounds) for t in lm.turns_of(r, config)) == list(range(every))
+    config = lm.LMConfig(vocabulary=30, rest=1, classes=4, hidden=5, dim=3, rounds=1)
+    # only the first of two partitions holds x and y; z stands everywhere
+    rows = [(1, "x y z " * 200), (2, "z p q " * 2_000)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    model = lm.fit_language_scorer(docs, config=config)
+    v = model.vocabulary
+    alone = lm._train(docs.where("doc_id = 1"), "text", lm.LanguageScorer(v, _start(v, config)), 0, config)
+    both = lm._train(docs, "text", lm.LanguageScorer(v, _start(v, config)), 0, config)
+    rows_of = [lm.Network(w, v.size, config).parts[0] for w in (_start(v, config), alone, both, model.weights)]
+    data = np.frombuffer(b"x y z", np.uint8)
+    x, y, z = v.ids(lm.word_codes(data, np.array([0, 2, 4]), np.array([1, 3, 5])))
+    for word in (x, y):
+        assert np.abs(rows_of[1][word] - rows_of[0][word]).max() > 1e-3
+        assert np.allclose(rows_of[2][word], rows_of[1][word], atol=1e-6)        # the other partition does not dilute it
+        assert np.allclose(rows_of[3][word], rows_of[1][word], atol=1e-6)
+    assert not np.allclose(rows_of[2][z], rows_of[1][z], atol=1e-6)
+
+
+def _start(vocabulary, config):
+    weights = lm.Network.start(vocabulary.size, config)
+    unused = np.setdiff1d(np.arange(config.classes + config.rest), vocabulary.class_of)
+    lm.Network(weights, vocabulary.size, config).parts[4][unused] = -1e4
+    return weights
