@@ -25,7 +25,7 @@ class LanguageIdConfig:
     smoothing: float = 0.5                  #: added to every count
     max_docs: int = 20_000                  #: about so many texts of each language are learned from
     max_languages: int = 200                #: bound of the model's width; more is an error
-    evidence: int = 60                      #: n-grams of evidence that a long text's score is scaled to
+    evidence: int | None = 60               #: n-grams that a long text's score is scaled to; None: plain posterior
     seed: int = 17
 
 
@@ -99,15 +99,18 @@ def fit_language_model(df: DataFrame, learn: Column, text_col: str = "text", lan
 
 
 def score_texts(values: list[str], model: LanguageModel, config: LanguageIdConfig) -> tuple[np.ndarray, np.ndarray]:
-    """(best language's index, its posterior) of each text. Sums over more than `evidence` n-grams are scaled down to
-    that many, so that the score of a long text tells a mixed text from a pure one instead of always being 1."""
+    """(best language's index, its score) of each text. The best language is that of the sums over the whole text and
+    the prior. The score is its posterior; over more than `evidence` n-grams, sums and prior are scaled down alike to that
+    many, so that the score of a long text tells a mixed text from a pure one instead of always being 1."""
     total = np.zeros((len(values), len(model.languages)))
     seen = np.zeros(len(values))
     for buckets, starts in grams(values, config):
         total += np.add.reduceat(model.log_prob[buckets], starts[:-1], axis=0, dtype=np.float64)
         seen += np.diff(starts)
-    total = total * np.minimum(1.0, config.evidence / seen)[:, None] + model.log_prior
+    total += model.log_prior
     best = total.argmax(1)
+    if config.evidence is not None:
+        total *= np.minimum(1.0, config.evidence / seen)[:, None]
     odds = np.exp(total - total.max(1, keepdims=True))
     return best, odds[np.arange(len(values)), best] / odds.sum(1)
 

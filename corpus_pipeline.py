@@ -33,7 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in one of the languages learned from `docs`; texts without letters and those in no language by majority go."""
     model = langid.fit_language_model(docs, ~held_out("doc_id"))
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
-    return (langid.identify_language(docs, model, pred_col=pred, score_col=score)
+    plain = langid.LanguageIdConfig(evidence=None)      # a long text in one of several close languages has a majority
+    return (langid.identify_language(docs, model, config=plain, pred_col=pred, score_col=score)
             .where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*_columns(docs)))
 
 

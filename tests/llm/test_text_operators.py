@@ -250,3 +250,23 @@ def _start(vocabulary, config):
     unused = np.setdiff1d(np.arange(config.classes + config.rest), vocabulary.class_of)
     lm.Network(weights, vocabulary.size, config).parts[4][unused] = -1e4
     return weights
+
+
+def test_language_id_is_plain_bayes_on_long_texts_at_the_usual_setting():
+    config, rng = langid.LanguageIdConfig(), np.random.default_rng(1)
+    base = np.log(rng.dirichlet(np.ones(config.buckets)))
+    # a hot language, a rare one that fits 0.15 nats an n-gram better, and two close to it
+    model = langid.LanguageModel(["hot", "rare", "near", "nearer"],
+                                 np.stack([base, base + 0.15, base + 0.148, base + 0.149], 1).astype(np.float32),
+                                 np.log([0.9997, 0.0001, 0.0001, 0.0001]))
+    values = ["abcdefghij " * 9_000, "ab", "abcdefghij " * 3]
+    best, score = langid.score_texts(values, model, config)
+    for k, text in enumerate(values):
+        total = sum(model.log_prob[b].astype(float).sum(0) for b, _ in langid.grams([text], config)) + model.log_prior
+        n = sum(len(b) for b, _ in langid.grams([text], config))
+        assert best[k] == total.argmax()
+        soft = total * min(1.0, config.evidence / n)
+        assert score[k] == pytest.approx(1 / np.exp(soft - soft.max()).sum())
+    assert best.tolist() == [1, 0, 1] and score[0] < 0.5
+    plain = langid.score_texts(values, model, langid.LanguageIdConfig(evidence=None))
+    assert plain[0].tolist() == best.tolist() and plain[1][0] == pytest.approx(1)       # the pipeline keeps it
