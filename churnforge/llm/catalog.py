@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from churnforge.llm import bpe, decontam, embdedup, langid, licenses, lm, quality, simhash, substrings, urlfilter
+from churnforge.llm import bpe, decontam, embdedup, extract, langid, licenses, lm, quality, simhash, substrings, urlfilter
 from churnforge.llm.textbatch import held_out, materialise
 
 
@@ -212,6 +212,11 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT
 """
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
+    return extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -228,5 +233,6 @@ REGISTRY = {
     "op8_embedding_dedup": (op8_embedding_dedup, OP8_SQL),
     "op9_url_filter": (op9_url_filter, OP9_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
+    "op11_html_extraction": (op11_html_extraction, None),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
