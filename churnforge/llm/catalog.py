@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from churnforge.llm import bpe, decontam, embdedup, extract, langid, licenses, lm, quality, simhash, substrings, urlfilter
+from churnforge.llm import bpe, decontam, embdedup, extract, langid, licenses, lm, negatives, quality, simhash, substrings, urlfilter
 from churnforge.llm.textbatch import held_out, materialise
 
 
@@ -217,6 +217,38 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives among all embeddings."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.r AS a_row, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS b_row, b.vec_id,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT a_row, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY a_row ORDER BY score DESC, vec_id NULLS LAST, b_row) AS place
+  FROM scores WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (
+         PARTITION BY p.a_row, place ORDER BY score DESC, vec_id NULLS LAST, b_row) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON p.a_row = s.a_row AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -234,5 +266,6 @@ REGISTRY = {
     "op9_url_filter": (op9_url_filter, OP9_SQL),
     "op10_simhash_dedup": (op10_simhash_dedup, None),
     "op11_html_extraction": (op11_html_extraction, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
