@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from churnforge.llm import bpe, decontam, embdedup, extract, langid, licenses, lm, negatives, quality, simhash, substrings, urlfilter
+from churnforge.llm import bpe, decontam, embdedup, extract, langid, licenses, lm, negatives, quality, ranked, simhash, substrings, urlfilter
 from churnforge.llm.textbatch import held_out, materialise
 
 
@@ -249,6 +249,37 @@ QUALIFY rank <= 3
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {ASCII_WORDS} AS w FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, list_distinct({ASCII_WORDS}) AS terms FROM benchmark
+), wanted AS (
+  SELECT i, unnest(terms) AS term FROM items
+), totals AS (
+  SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nw FROM docs WHERE len(w) > 0
+), counts AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) t
+  SEMI JOIN wanted USING (term) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * max(nd) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM counts, totals GROUP BY term
+), impacts AS (
+  SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * nd) // nw))) AS impact
+  FROM counts JOIN weights USING (term) JOIN docs USING (r), totals
+), scores AS (
+  SELECT i, r, CAST(sum(impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY i, r HAVING sum(impact) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN items USING (i) JOIN docs USING (r) QUALIFY rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -267,5 +298,6 @@ REGISTRY = {
     "op10_simhash_dedup": (op10_simhash_dedup, None),
     "op11_html_extraction": (op11_html_extraction, None),
     "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_ranked_search": (op13_ranked_search, OP13_SQL),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
