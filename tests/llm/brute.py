@@ -122,3 +122,43 @@ def url(u, rules):
             if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits) if fits else (0, 0, None, None)
     return host, path, best[2], best[3]
+
+
+def negatives(rows, anchors, config):
+    """Rows (anchor_id, positive_id, rank, negative_id, positive_score, negative_score); rows are (id, vector, label)."""
+    good = [(i, [math.floor(config.scale * x) for x in v], c, k) for k, (i, v, c) in enumerate(rows)
+            if c is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    last = lambda i: (i is None, i)
+    out = []
+    for a in good:
+        if not anchors(a[0]):
+            continue
+        scored = [(sum(x * y for x, y in zip(a[1], b[1], strict=True)), b) for b in good if b[3] != a[3] and len(b[1]) == len(a[1])]
+        scored.sort(key=lambda x: (-x[0], last(x[1][0]), x[1][3]))
+        for p, pos in [x for x in scored if x[1][2] == a[2]][:config.positives]:
+            fits = [x for x in scored if x[1][2] != a[2] and config.low * p <= 100 * x[0] <= config.high * p]
+            out += [(a[0], pos[0], k + 1, neg[0], p, s) for k, (s, neg) in enumerate(fits[:config.negatives])]
+    return out
+
+
+def ranked(docs, items, config):
+    """Rows (item_id, rank, doc_id, score)."""
+    words = [(i, ascii_words(t)) for i, t in docs]
+    n_docs, n_words = sum(1 for _, w in words if w), sum(len(w) for _, w in words)
+    df = {}
+    for _, w in words:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for item, text in items:
+        found = []
+        for i, w in words:
+            score = 0
+            for t in set(ascii_words(text)) & set(w):
+                weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                m = 100 - config.length_share + config.length_share * len(w) * n_docs // n_words
+                score += weight * (10 ** 9 * w.count(t) // (1000 * w.count(t) + config.saturation * m))
+            if score > 0:
+                found.append((-score, i is None, i, score))
+        out += [(item, k + 1, i, s) for k, (_, _, i, s) in enumerate(sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:config.k])]
+    return out
