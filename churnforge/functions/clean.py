@@ -87,8 +87,9 @@ def confident(df: DataFrame, score: str = "score", high: float = 0.985, low: flo
 
 
 def clip(c, lo: float = 0.0001, hi: float = 0.9999) -> Column:
-    """P15."""
-    return F.greatest(F.least(_col(c), F.lit(hi)), F.lit(lo))
+    """Null and NaN are no score and give null."""
+    x = F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(hi))), F.lit(float(lo))))
 
 
 def feature_dim(df: DataFrame, vector_col: str) -> int:

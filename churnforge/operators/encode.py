@@ -88,7 +88,7 @@ def resolve_lookup(fitted: DataFrame, value: str, prior: str | None = None, max_
     kind = fitted.schema[value].dataType
     cols = ["feature", "key", F.col(value).alias("value"), *([F.col(prior).alias("prior")] if prior else [])]
     table = fitted.select(*cols)
-    head = table.limit(max_literals + 1).collect()
+    head = table.limit(max_literals + 1).collect() if max_literals >= 0 else []
     if len(head) <= max_literals:
         by_col: dict = {}
         for r in head:
@@ -245,6 +245,26 @@ def fit_target_encoder(df: DataFrame, cols, label: str, smoothing: float = 20.0,
                                     prior.alias("prior")))
 
 
+def fit_target_stats(df: DataFrame, cols, label: str) -> tuple[DataFrame, float]:
+    """D7 statistics without a smoothing: ((feature, key, stat = struct<n, s>), prior)."""
+    y = F.col(label).cast("double")
+    prior = df.select(F.avg(y)).first()[0]
+    stats = long_form(df.select(*cols, label), cols, keep=[label]).groupBy("feature", "key").agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s")).alias("stat"))
+    return cut_lineage(stats), prior
+
+
+def apply_target_stats(df: DataFrame, stats: DataFrame, cols) -> DataFrame:
+    """Columns ``<c>_stat`` with the counts of the row's key (null: a key that was not fitted)."""
+    return apply_lookup(df, resolve_lookup(stats, "stat", max_literals=-1), cols, "stat", None, "_stat")
+
+
+def smoothed_stats(col: str, prior: float, smoothing: float, min_samples_leaf: float = 20.0) -> Column:
+    """D7 value of a column whose ``<c>_stat`` is at hand: the same as a fit with this smoothing."""
+    n, s = F.coalesce(F.col(f"{col}_stat.n"), F.lit(0)), F.coalesce(F.col(f"{col}_stat.s"), F.lit(0.0))
+    return _smooth(n, s, F.lit(prior).cast("double"), smoothing, min_samples_leaf)
+
+
 def fit_fold_target_encoder(df: DataFrame, cols, label: str, fold_col: str, k: int,
                             smoothing: float = 20.0, min_samples_leaf: float = 20.0) -> DataFrame:
     """D7 for cross-fitting: the encoder of every fold model in ONE pass.
@@ -304,8 +324,9 @@ def oof_target_encoding(df: DataFrame, fitted_folds: DataFrame, id_col: str, fol
 
 
 def hashed_normal(id_col: str, salt: str) -> Column:
-    """A standard normal number from md5(id|salt) (Box-Muller): the same for a row in every run."""
-    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{salt}")))
+    """A standard normal number from md5(id|salt) (Box-Muller): the same for a row in every run. Rows
+    without an id share the number of the empty id."""
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"|{salt}")))
     part = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("double") / float(1 << 48)
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - part(1))) * F.cos(F.lit(2 * math.pi) * part(13))
 
@@ -322,19 +343,26 @@ def add_noise(df: DataFrame, cols, sigma: float, id_col: str = "id", seed: int =
 
 
 # ---------------------------------------------------------------- D9 ordered target encoding
+def _ordered_rows(df: DataFrame, cols, label: str, id_col: str, a: float, seed: int, row_col: str | None) -> DataFrame:
+    """(keep..., feature, key, enc). Rows come in the order of the shuffled id, then the id, then
+    ``row_col`` where given, so that repeated and null ids are rows of their own."""
+    from churnforge.operators.folds import shuffle_key
+    prior = F.lit(df.select(F.avg(F.col(label).cast("double"))).first()[0]).cast("double")
+    keep = [id_col, *([row_col] if row_col else [])]
+    rows = long_form(df.select(*keep, label, *cols).withColumn("_perm", F.coalesce(shuffle_key(id_col, seed), F.lit(""))), cols,
+                     keep=[*keep, label, "_perm"]).withColumn("_y", F.col(label).cast("double")) \
+        .withColumn("_one", F.lit(1).cast("long"))
+    run = prefix_sums(rows, ["_perm", *keep], ["_y", "_one"], ["feature", "key"])
+    enc = (F.col("_y_before") + F.lit(float(a)) * prior) / (F.col("_one_before") + F.lit(float(a)))
+    return run.select(*keep, "feature", "key", enc.alias("enc"))
+
+
 def ordered_target_encoding(df: DataFrame, cols, label: str, id_col: str, a: float = 1.0, seed: int = 42,
                             suffix: str = "_cbe") -> DataFrame:
     """Each row sees only the rows before it (in a fixed shuffled order) with its key:
     (s_before + a * prior) / (n_before + a). Skew-safe: the running sums are two-phase, so a key
     holding a third of the rows is spread over many tasks."""
-    from churnforge.operators.folds import shuffle_key
-    prior = F.lit(df.select(F.avg(F.col(label).cast("double"))).first()[0]).cast("double")
-    rows = long_form(df.select(id_col, label, *cols).withColumn("_perm", shuffle_key(id_col, seed)), cols,
-                     keep=[id_col, label, "_perm"]).withColumn("_y", F.col(label).cast("double")) \
-        .withColumn("_one", F.lit(1).cast("long"))
-    run = prefix_sums(rows, ["_perm", id_col], ["_y", "_one"], ["feature", "key"])
-    enc = (F.col("_y_before") + F.lit(float(a)) * prior) / (F.col("_one_before") + F.lit(float(a)))
-    return run.select(id_col, "feature", "key", enc.alias("enc"))
+    return _ordered_rows(df, cols, label, id_col, a, seed, None)
 
 
 def fit_ordered_encoder(df: DataFrame, cols, label: str, a: float = 1.0) -> DataFrame:
@@ -349,10 +377,12 @@ def fit_ordered_encoder(df: DataFrame, cols, label: str, a: float = 1.0) -> Data
 
 def ordered_encoding_wide(df: DataFrame, cols, label: str, id_col: str, a: float = 1.0, seed: int = 42,
                           suffix: str = "_cbe") -> DataFrame:
-    """D9 on training rows as columns ``<c><suffix>``; ids are unique in a training set."""
-    long = ordered_target_encoding(df, cols, label, id_col, a, seed)
-    wide = long.groupBy(id_col).agg(*[F.max(F.when(F.col("feature") == c, F.col("enc"))).alias(c + suffix) for c in cols])
-    return df.join(wide, id_col)
+    """D9 on training rows as columns ``<c><suffix>``. Every row of ``df`` comes out once: rows are told
+    apart by a number of their own (held still by a checkpoint), whatever ids they lack or repeat."""
+    rows = cut_lineage(df.withColumn("_cbe_row", F.monotonically_increasing_id()))
+    long = _ordered_rows(rows, cols, label, id_col, a, seed, "_cbe_row")
+    wide = long.groupBy("_cbe_row").agg(*[F.max(F.when(F.col("feature") == c, F.col("enc"))).alias(c + suffix) for c in cols])
+    return rows.join(wide, "_cbe_row").drop("_cbe_row")
 
 
 # ---------------------------------------------------------------- D10 count, D11 group mean, D13 weights
@@ -389,7 +419,60 @@ def group_modes(df: DataFrame, group: str, cols, suffix: str = "_mode") -> DataF
     return best.groupBy(group).agg(*[F.max(F.when(F.col("feature") == c, F.col("key"))).alias(c + suffix) for c in cols])
 
 
-def class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Positives weighted by negatives / positives (scale_pos_weight), negatives by 1."""
-    ratio = df.select(F.try_divide(F.sum(1 - F.col(label)), F.sum(F.col(label))).cast("double")).first()[0]
-    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
+def class_weight(df: DataFrame, label: str, out: str = "weight", weight_col: str | None = None) -> DataFrame:
+    """Positives weighted by negatives / positives (scale_pos_weight), negatives by 1; with
+    ``weight_col``, counts are sums of these weights, and a row's own weight is multiplied in. A table of
+    one class only weighs every row alike."""
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    ratio = df.select(F.try_divide(F.sum(w * (1 - F.col(label))), F.sum(w * F.col(label)))).first()[0] or 1.0
+    return df.withColumn(out, w * F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
+
+
+# ---------------------------------------------------------------- L4 / P4 nulls kept: medians and indicators
+IS_NULL = "_is_null"
+
+
+def fit_median_imputer(df: DataFrame, cols, fold_col: str | None = None, k: int = 0) -> DataFrame:
+    """(fold, feature, median, n, n_null): exact medians of the numbers that are there, for every fold model
+    at once. Model f is fitted on rows with fold != f, so its counts of a value are the totals minus fold f's.
+    Values are counted once per (feature, value, fold), and only these counts are set against each other;
+    without ``fold_col`` there is one fit, with fold null. A column without any number has a null median."""
+    fold = F.col(fold_col).cast("int") if fold_col else F.lit(None).cast("int")
+    long = df.select(fold.alias("fold"), F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("x")) for c in cols])).alias("_kv")) \
+        .select("fold", "_kv.feature", "_kv.x")
+    counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(k if fold_col else 0)])
+    if fold_col:
+        fits = F.array(*[F.struct(F.lit(f).alias("fold"), (F.col("n") - F.col(f"n{f}")).alias("c")) for f in range(k)])
+    else:
+        fits = F.array(F.struct(F.lit(None).cast("int").alias("fold"), F.col("n").alias("c")))
+    rest = cut_lineage(counts.select("feature", "x", F.explode(fits).alias("_f")).select("feature", "x", "_f.fold", "_f.c").filter("c > 0"))
+    mid = exact_quantiles(rest, "x", [0.5], ["fold", "feature"], counts="c").select("fold", "feature", F.col("q").alias("median")).alias("m")
+    sums = rest.groupBy("fold", "feature").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("c"))), F.lit(0))
+                                               .alias("n_null")).alias("s")
+    same = F.col("s.fold").eqNullSafe(F.col("m.fold")) & (F.col("s.feature") == F.col("m.feature"))
+    return cut_lineage(sums.join(mid, same, "left").select("s.fold", "s.feature", "median", "n", "n_null"))
+
+
+def median_table(fitted: DataFrame) -> dict:
+    """fold -> {column: median} of a fitted imputer: folds x columns numbers."""
+    out: dict = {}
+    for r in fitted.select("fold", "feature", "median").collect():
+        out.setdefault(r["fold"], {})[r["feature"]] = r["median"]
+    return out
+
+
+def impute_by(df: DataFrame, medians: dict, cols) -> DataFrame:
+    """Each column with its median in place of null and NaN (0 where there was no number to fit on), and
+    ``<c>_is_null``, 1.0 where it had none."""
+    out = {}
+    for c in cols:
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        out[c + IS_NULL] = x.isNull().cast("double")
+        out[c] = F.coalesce(x, F.lit(float(medians.get(c) or 0.0)))
+    return df.withColumns(out)
+
+
+def apply_median_imputer(df: DataFrame, fitted: DataFrame, cols, fold: int | None = None) -> DataFrame:
+    return impute_by(df, median_table(fitted).get(fold, {}), cols)

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,27 +88,36 @@ def rank_power_average(long: DataFrame, power: float = 2.5, id_col: str = "id",
 
 
 def calibrate(preds: DataFrame, base_rate, score: str = "score", lo: float = 0.0001, hi: float = 0.9999) -> DataFrame:
-    """Scale scores so their mean equals the training base rate, then clip.
-    ``base_rate`` is a number or a one-value Column (scalar subquery)."""
-    mean = preds.select(F.avg(score)).scalar()
+    """Scale scores so their mean equals the training base rate, then clip. Null and NaN scores do
+    not count in the mean and stay without a score (null).
+    ``base_rate`` is a number or a one-value Column (scalar subquery). The predictions are evaluated once:
+    the mean and the rows read one checkpoint."""
+    preds = cut_lineage(preds)
+    mean = preds.select(F.avg(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")))).scalar()
     rate = base_rate if not isinstance(base_rate, (int, float)) else F.lit(float(base_rate))
-    return preds.withColumn(score, clip(F.col(score) * rate / mean, lo, hi))
+    return preds.withColumn(score, clip(F.try_divide(F.col(score) * rate, mean), lo, hi))
 
 
-def simplex_grid(n_models: int, step: float):
+def simplex_grid(n_models: int, step: float, centre=None, reach: float = 1.0):
     """Weight vectors on the simplex with the given step (step 0.1, 3 models -> 66 points), in
-    lexicographic order; only the points themselves are listed."""
+    lexicographic order; with ``centre``, only those within ``reach`` of it in every weight. Only the
+    points asked for are made: each weight's range leaves room for the ranges of those after it."""
     k = int(round(1 / step))
-
-    def rest(n: int, left: int):
-        if n == 1:
-            yield (left,)
+    bounds = [(0, k)] * n_models
+    if centre is not None:
+        bounds = [(max(0, math.ceil((c - reach) * k - 1e-6)), min(k, math.floor((c + reach) * k + 1e-6))) for c in centre]
+    least = [sum(lo for lo, _ in bounds[i:]) for i in range(n_models + 1)]
+    most = [sum(hi for _, hi in bounds[i:]) for i in range(n_models + 1)]
+
+    def rest(i: int, left: int):
+        if i == n_models:
+            yield ()
             return
-        for first in range(left + 1):
-            for tail in rest(n - 1, left - first):
+        for first in range(max(bounds[i][0], left - most[i + 1]), min(bounds[i][1], left - least[i + 1]) + 1):
+            for tail in rest(i + 1, left - first):
                 yield (first, *tail)
 
-    return [tuple(round(x / k, 10) for x in p) for p in rest(n_models, k)]
+    return [tuple(round(x / k, 10) for x in p) for p in rest(0, k)]
 
 
 def blend_grid_auc(oof_long: DataFrame, models, grid, label: str = "label", id_col: str = "id",
@@ -143,7 +153,38 @@ def search_blend_weights(oof_long: DataFrame, models, label: str = "label", step
     coarse = blend_grid_auc(oof_long, models, simplex_grid(len(models), step), label, id_col, score)
     best = coarse.orderBy(F.desc("auc"), "wid").first()
     centre = [best[f"w_{m}"] for m in models]
-    fine = [w for w in simplex_grid(len(models), refine_step)
-            if all(abs(a - b) <= step + 1e-9 for a, b in zip(w, centre))]
+    fine = simplex_grid(len(models), refine_step, centre, step)
     res = blend_grid_auc(oof_long, models, fine, label, id_col, score).orderBy(F.desc("auc"), "wid").first()
     return {m: res[f"w_{m}"] for m in models}, res["auc"]
+
+
+def select_models(oof_long: DataFrame, models, label: str = "label", rounds: int = 20, num_bins: int = 1000, id_col: str = "id",
+                  score: str = "score"):
+    """L12 / L22 for any number of models: greedy forward selection with repetition. Starting from nothing, each
+    round adds the model whose score, averaged in, gives the highest AUC (of equal ones the first listed); the
+    weights are the shares of the picks up to the round with the highest AUC.
+
+    A round is one pass: a row gives one bin of 1 / num_bins per candidate, and only counts per (candidate, bin)
+    are shuffled, so memory follows candidates x bins and not the rows. Scores are in 0..1; every id must have
+    every model once. Returns (picks DataFrame(round, model, auc), weights dict)."""
+    models = list(models)
+    require_models(oof_long, models, id_col)
+    y = F.col(label).cast("long")
+    wide = wide_scores(oof_long, models, id_col, score, keep=[label]).filter(F.col(label).isNotNull())
+    # rows sharing all scores blend alike: count them once
+    cells = cut_lineage(wide.groupBy(*[f"s_{m}" for m in models]).agg(F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))
+    spark, picks, aucs = oof_long.sparkSession, [], []
+    for r in range(1, rounds + 1):
+        held = sum((F.col(f"s_{m}") * picks.count(m) for m in dict.fromkeys(picks)), F.lit(0.0))
+        tries = F.array(*[F.struct(F.lit(i).alias("at"), F.floor((held + F.col(f"s_{m}")) / F.lit(float(r)) * num_bins).alias("bin"))
+                          for i, m in enumerate(models)])
+        binned = cells.select("_pos", "_neg", F.explode(tries).alias("t")).select("t.at", F.col("t.bin").cast("double").alias("bin"), "_pos", "_neg")
+        table = auc(binned, label, "bin", ["at"], counts=("_pos", "_neg"))
+        best = max(table.select("at", "auc").collect(), key=lambda x: (x["auc"] if x["auc"] is not None else -1.0, -x["at"]))
+        picks.append(models[best["at"]])
+        aucs.append(best["auc"])
+    last = max(range(rounds), key=lambda i: (aucs[i] if aucs[i] is not None else -1.0, -i))
+    chosen = picks[:last + 1]
+    rows = [(i + 1, m, a) for i, (m, a) in enumerate(zip(picks, aucs, strict=True))]
+    return (spark.createDataFrame(rows, "round int, model string, auc double"),
+            {m: chosen.count(m) / len(chosen) for m in models if m in chosen})

@@ -9,19 +9,21 @@ from churnforge.operators.running import prefix_sums
 
 
 def auc(df: DataFrame, label: str, score: str, group_cols=(), out: str = "auc", counts=None,
-        num_bins: int | None = None) -> DataFrame:
+        num_bins: int | None = None, weight: str | None = None) -> DataFrame:
     """R1 (no groups), R2 (group by fold), R3 (group by model), R5 (label = split flag).
 
     Ties count one half. Rows are first reduced to distinct scores (map-side combine), then a
     skew-safe running count of negatives gives AUC = sum(pos * (neg_below + neg/2)) / (P * N).
     ``counts=(pos_col, neg_col)``: the rows are already (score, positives, negatives) counts and
     ``label`` is ignored. ``num_bins``: scores in 0..1 are taken as equal inside 1/num_bins wide bins,
-    so that at most that many rows a group are shuffled (approximate; exact without it)."""
+    so that at most that many rows a group are shuffled (approximate; exact without it). ``weight``: a row
+    counts as so many rows (null: none), n_pos and n_neg are sums of weights."""
     group_cols = list(group_cols)
     if counts is None:
         y = F.col(label).cast("long")
         base = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-        pos, neg = y, F.lit(1) - y
+        w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1)
+        pos, neg = y * w, (F.lit(1) - y) * w
     else:
         base = df.filter(F.col(score).isNotNull())
         pos, neg = F.col(counts[0]).cast("long"), F.col(counts[1]).cast("long")

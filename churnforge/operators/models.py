@@ -65,7 +65,7 @@ def _positive_score(df: DataFrame) -> DataFrame:
     return positive_probability(df)
 
 
-def _prepare(df: DataFrame, numeric, categorical=(), onehot=()):
+def prepare_features(df: DataFrame, numeric, categorical=(), onehot=()):
     """Fitted feature stages: raw categories as indexed inputs that trees split by category (a level
     unseen in the fit is one more level), others as one-hot slots, one assembled vector. Returns
     (PipelineModel, largest number of levels)."""
@@ -86,17 +86,29 @@ def _prepare(df: DataFrame, numeric, categorical=(), onehot=()):
     return fitted, levels
 
 
-def fit_family(df: DataFrame, family: str, label: str, numeric, categorical=(), onehot=(), n_rows: int | None = None,
-               **params):
+def tree_bins(params: dict, levels: int) -> dict:
+    """Tree parameters with as many bins as the widest category has levels."""
+    return params | ({"maxBins": max(params.get("maxBins", 64), levels)} if levels else {})
+
+
+#: Families whose Spark ML estimators take row weights.
+WEIGHTED_FAMILIES = ("gbt", "gbt_shallow", "rf", "logreg", "nb")
+
+
+def fit_family(df: DataFrame, family: str, label: str, numeric, categorical=(), onehot=(), n_rows: float | None = None,
+               weight_col: str | None = None, **params):
     """One fitted pipeline (feature stages, then the model). Trees get as many bins as the widest
-    category has levels; a network's first layer is as wide as the features."""
+    category has levels; a network's first layer is as wide as the features. ``weight_col``: a row of
+    weight w counts as w rows (``n_rows`` is then the sum of the weights)."""
     from pyspark.ml import PipelineModel
     from churnforge.functions.clean import feature_dim
-    prep, levels = _prepare(df, numeric, categorical, onehot)
+    prep, levels = prepare_features(df, numeric, categorical, onehot)
     ready = prep.transform(df)
-    kw = dict(params)
-    if family in ("gbt", "gbt_shallow", "rf") and levels:
-        kw["maxBins"] = max(kw.get("maxBins", 64), levels)
+    kw = tree_bins(params, levels) if family in ("gbt", "gbt_shallow", "rf") else dict(params)
+    if weight_col:
+        if family not in WEIGHTED_FAMILIES:
+            raise ValueError(f"{family} takes no row weights")
+        kw["weightCol"] = weight_col
     if family == "mlp":
         kw.setdefault("layers", [feature_dim(ready, "features"), 512, 256, 128, 2])
     model = estimator(family, label, n_rows=n_rows, **kw).fit(ready)
@@ -106,7 +118,9 @@ def fit_family(df: DataFrame, family: str, label: str, numeric, categorical=(),
 def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
              family: str = "logreg", score_rows: DataFrame | None = None, te_cols=(), te_map: DataFrame | None = None,
              model_name: str | None = None, early_stopping: bool = False, parallelism: int | None = None,
-             keep_models: bool = False, categorical=(), onehot=(), ordered_cols=(), scale: bool = False, **params):
+             keep_models: bool = False, categorical=(), onehot=(), ordered_cols=(), scale: bool = False, impute_cols=(),
+             weight_col: str | None = None, balanced: bool = False, patience: int | None = None, max_rounds: int = 200,
+             keep_rounds: bool = False, **params):
     """L1: K models, each fitted on the other folds; every training row is scored once (OOF) and the
     score rows are scored by every fold model and averaged.
 
@@ -115,21 +129,29 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
     rows before it and all others the full statistics of the fold's training rows; ``categorical`` (L3)
     are indexed on the fold's training rows; ``onehot`` (D4) likewise; ``scale`` (D2) standardises the
     numbers and encodings by the fold's training rows.
-    L9: early_stopping carves a validation slice out of fold-train (never the scored fold).
+    Numbers in ``impute_cols`` (L4) may be null: they get the median of the fold's training rows, and trees
+    see a null through one indicator column each. ``weight_col`` (D13) weighs the training rows, ``balanced``
+    weighs positives by the negatives per positive of the fold's training rows.
+    L9: early_stopping carves a validation slice out of fold-train (never the scored fold); it stops by
+    Spark's tolerance, or with ``patience`` after so many rounds without gain, at most ``max_rounds``, and keeps
+    the best round (boosting.fit_boosted).
     Up to ``parallelism`` (default: all K, at most 10) fold models are fitted concurrently, as
     CrossValidator's parallelism does; each fit is still a distributed job.
-    Returns (oof: model,id,fold,label,score ; test: model,id,score), plus the K fitted pipelines
-    when ``keep_models``."""
+    Returns (oof: model,id,fold,label,score ; test: model,id,score), plus the K fitted pipelines when
+    ``keep_models``, plus the loss curves (model, fold, round, loss) when ``keep_rounds``."""
     from concurrent.futures import ThreadPoolExecutor
     name = model_name or family
     # K fits read the same rows: balance them by bytes, then cut the lineage once (reliable checkpoint
     # in the shared folder, so a lost executor re-reads rather than recomputes)
     train = cut_lineage(balance(train))
-    sizes = {r[0]: r[1] for r in train.groupBy(fold_col).count().collect()}     # k rows
+    sizes = {r[0]: r[1] for r in train.groupBy(fold_col).agg(
+        F.sum(weight_col).cast("double") if weight_col else F.count(F.lit(1))).collect()}      # k rows
     n_rows = sum(sizes.values())
     if score_rows is not None:
         score_rows = cut_lineage(balance(score_rows))
-    feats = list(feature_cols) + [c + "_te" for c in te_cols] + [c + "_cbe" for c in ordered_cols]
+    feats = [*feature_cols, *(c for c in impute_cols if c not in feature_cols), *(c + encode.IS_NULL for c in impute_cols),
+             *(c + "_te" for c in te_cols), *(c + "_cbe" for c in ordered_cols)]
+    medians = encode.median_table(encode.fit_median_imputer(train, impute_cols, fold_col, k)) if impute_cols else {}
 
     def one_fold(f: int):
         rows, sc = train, score_rows
@@ -143,19 +165,31 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
             tr = encode.ordered_encoding_wide(tr, ordered_cols, label, id_col)
             va, sc = (encode.apply_target_encoding(d, full, ordered_cols, suffix="_cbe") if d is not None else None
                       for d in (va, sc))
+        if impute_cols:
+            tr, va, sc = (encode.impute_by(d, medians[f], impute_cols) if d is not None else None for d in (tr, va, sc))
+        weight = weight_col
+        if balanced:
+            tr, weight = encode.class_weight(tr, label, "_weight", weight_col), "_weight"
         if scale and feats:
             stats = encode.fit_scaler(tr, feats)
             row = stats.first()
             tr, va, sc = (encode.scale_by(d, row, feats) if d is not None else None for d in (tr, va, sc))
-        kw = dict(params)
-        if early_stopping and family.startswith("gbt"):
-            tr = tr.withColumn("_es_val", F.pmod(F.xxhash64(F.col(id_col), F.lit(f)), F.lit(10)) == 0)
-            kw.update(validationIndicatorCol="_es_val", validationTol=0.001)
-        model = fit_family(tr, family, label, feats, categorical, onehot, n_rows=n_rows - sizes.get(f, 0), **kw)
+        kw, curve = dict(params), []
+        slice_ = F.pmod(F.xxhash64(F.col(id_col), F.lit(f)), F.lit(10)) == 0
+        if patience is not None:
+            from churnforge.operators.boosting import fit_boosted
+            run = fit_boosted(tr.filter(~slice_), tr.filter(slice_), family, label, feats, categorical, onehot, patience=patience,
+                              max_rounds=max_rounds, **(kw | ({"weightCol": weight} if weight else {})))
+            model, curve = run.model, run.losses
+        else:
+            if early_stopping and family.startswith("gbt"):
+                tr = tr.withColumn("_es_val", slice_)
+                kw.update(validationIndicatorCol="_es_val", validationTol=0.001)
+            model = fit_family(tr, family, label, feats, categorical, onehot, n_rows=n_rows - sizes.get(f, 0), weight_col=weight, **kw)
         oof_f = _positive_score(model.transform(va)).select(
             F.lit(name).alias("model"), id_col, F.lit(f).alias("fold"), label, "score")
         test_f = _positive_score(model.transform(sc)).select(id_col, "score") if sc is not None else None
-        return oof_f, test_f, model
+        return oof_f, test_f, model, curve
 
     workers = min(k, 10) if parallelism is None else max(1, min(parallelism, k))
     with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -166,9 +200,13 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
     if tests:
         test = reduce(DataFrame.unionByName, tests).groupBy(id_col).agg(F.avg("score").alias("score")) \
             .withColumn("model", F.lit(name))
+    out = [oof, test]
     if keep_models:
-        return oof, test, [r[2] for r in results]
-    return oof, test
+        out.append([r[2] for r in results])
+    if keep_rounds:
+        rows = [(name, f, i, loss) for f, r in enumerate(results) for i, loss in enumerate(r[3], 1)]      # k x max_rounds at most
+        out.append(train.sparkSession.createDataFrame(rows, "model string, fold int, round int, loss double"))
+    return tuple(out)
 
 
 def oof_checks(oof: DataFrame, id_col: str = "id") -> DataFrame:
@@ -178,6 +216,20 @@ def oof_checks(oof: DataFrame, id_col: str = "id") -> DataFrame:
         F.count_if(F.col("score").between(0, 1)).alias("n_in_range"))
 
 
+def logreg_gradient(df: DataFrame, features, label: str, coefficients, intercept: float, reg: float,
+                    weight_col: str | None = None) -> DataFrame:
+    """(term, gradient): the gradient of the penalised mean log-loss at the given coefficients, as one
+    aggregate over the rows; the intercept is not penalised. At an optimum every component is 0."""
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    z = sum((F.lit(float(b)) * F.col(c) for b, c in zip(coefficients, features, strict=True)), F.lit(float(intercept)))
+    miss = w * (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col(label).cast("double"))
+    row = df.agg(F.sum(w).alias("n"), F.sum(miss).alias("g0"), *[F.sum(miss * F.col(c)).alias(f"g{i}") for i, c in enumerate(features, 1)])
+    terms = [F.struct(F.lit("intercept").alias("term"), (F.col("g0") / F.col("n")).alias("gradient"))]
+    terms += [F.struct(F.lit(c).alias("term"), (F.col(f"g{i}") / F.col("n") + F.lit(float(reg) * float(b))).alias("gradient"))
+              for i, (c, b) in enumerate(zip(features, coefficients, strict=True), 1)]
+    return row.select(F.explode(F.array(*terms)).alias("t")).select("t.term", "t.gradient")
+
+
 def fold_importances(spark, fold_models, feature_cols, how: str = "mean") -> DataFrame:
     """A9 (mean over the fold models) / A10 (sum): tree feature importances x 100, sorted.
     The table has one row per feature, so it is built on the driver."""
@@ -212,7 +264,7 @@ def multi_crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold
 
 
 # ---------------------------------------------------------------- L10 tuning
-# The reference's ranges by Spark ML's names; minimum child weight, minimum gain and column share have no
+# The reference's ranges by Spark ML's names; minimum child weight, minimum gain and column share have no
 # exact counterpart and take the nearest one.
 DEFAULT_SPACE = {
     "stepSize": ("log", 0.005, 0.05),
@@ -240,27 +292,29 @@ def _draw(rng: random.Random, spec):
 def random_search(train: DataFrame, feature_cols, label: str, id_col: str, n_trials: int = 30, seed: int = 42,
                   space=None, te_cols=(), family: str = "gbt", max_iter: int = 20, parallelism: int = 4):
     """Seeded random search on a stratified 80/20 hold-out (M1); target-encoding smoothing is
-    searched jointly. Parameters are drawn up front from one seeded generator, so the trial list does
-    not depend on ``parallelism`` (trials run concurrently, as TrainValidationSplit's parallelism).
+    searched jointly. The counts and sums per key are aggregated and looked up once, before the trials;
+    a trial's smoothing is an expression over them. Parameters are drawn up front from one seeded
+    generator, so the trial list does not depend on ``parallelism`` (trials run concurrently, as
+    TrainValidationSplit's parallelism).
     Returns (trials DataFrame(trial, params, auc), best params dict)."""
     from concurrent.futures import ThreadPoolExecutor
     from churnforge.operators.folds import holdout
     space = dict(space or DEFAULT_SPACE)
     rng = random.Random(seed)
     draws = [{k: _draw(rng, v) for k, v in space.items()} for _ in range(n_trials)]
-    ho = cut_lineage(holdout(train, id_col, label, seed=seed))
+    ho = cut_lineage(balance(holdout(train, id_col, label, seed=seed)))
+    prior = None
+    if te_cols:
+        stats, prior = encode.fit_target_stats(ho.filter(F.col("holdout") == "fit"), te_cols, label)
+        ho = cut_lineage(encode.apply_target_stats(ho, stats, te_cols))
     fit, valid = ho.filter(F.col("holdout") == "fit"), ho.filter(F.col("holdout") == "valid")
 
     def trial(t: int):
         p = dict(draws[t])
         smoothing = p.pop("te_smoothing", 20.0)
-        tr, va, feats = fit, valid, list(feature_cols)
-        if te_cols:
-            m = encode.fit_target_encoder(fit, te_cols, label, smoothing=smoothing)
-            look = encode.resolve_target_encoding(m)
-            tr, va = (encode.apply_target_encoding(d, look, te_cols) for d in (fit, valid))
-            feats += [c + "_te" for c in te_cols]
-        model = fit_family(tr, family, label, feats, maxIter=max_iter, **p)
+        enc = {c + "_te": encode.smoothed_stats(c, prior, smoothing) for c in te_cols}
+        tr, va = (d.withColumns(enc) if enc else d for d in (fit, valid))
+        model = fit_family(tr, family, label, [*feature_cols, *enc], maxIter=max_iter, **p)
         a = auc_value(_positive_score(model.transform(va)), label, "score")
         p["te_smoothing"] = smoothing
         return (t, json.dumps(p, sort_keys=True), float(a))
@@ -274,7 +328,7 @@ def random_search(train: DataFrame, feature_cols, label: str, id_col: str, n_tri
 
 # ---------------------------------------------------------------- L11 stacking, L18 adversarial, L22 AutoML
 def stack(oof_long: DataFrame, test_long: DataFrame | None, models, label: str, id_col: str = "id",
-          k: int = 5, seed: int = 42):
+          k: int = 5, seed: int = 42, **params):
     """Logistic regression on the K x models OOF matrix. The stacker itself is cross-fitted
     (its OOF AUC is honest); the final stacker fits all OOF rows and scores the averaged test scores."""
     from churnforge.operators.ensemble import wide_scores
@@ -282,10 +336,10 @@ def stack(oof_long: DataFrame, test_long: DataFrame | None, models, label: str,
     wide = wide_scores(oof_long, models, id_col, keep=[label])
     wide = stratified_folds(wide, id_col, label, k=k, seed=seed, out="_stack_fold")
     feats = [f"s_{m}" for m in models]
-    oof, _ = crossfit(wide, feats, label, id_col, "_stack_fold", k, "logreg", model_name="stack", C=1.0)
+    oof, _ = crossfit(wide, feats, label, id_col, "_stack_fold", k, "logreg", model_name="stack", **({"C": 1.0} | params))
     test = None
     if test_long is not None:
-        final = fit_family(wide, "logreg", label, feats, n_rows=wide.count(), C=1.0)
+        final = fit_family(wide, "logreg", label, feats, n_rows=wide.count(), **({"C": 1.0} | params))
         test = _positive_score(final.transform(wide_scores(test_long, models, id_col))).select(id_col, "score")
     return oof, test
 

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from churnforge.operators.running import prefix_sums
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, group_cols=()) -> DataFrame:
-    """Rows (group..., p, q) with q the linear-interpolated quantile of ``col`` at p (nulls ignored)."""
+def exact_quantiles(df: DataFrame, col: str, probs, group_cols=(), counts: str | None = None) -> DataFrame:
+    """Rows (group..., p, q) with q the linear-interpolated quantile of ``col`` at p (nulls ignored);
+    with ``counts``, a row stands for that many."""
     group_cols = list(group_cols)
     probs = [float(p) for p in probs]
     dist = (df.filter(F.col(col).isNotNull())
               .groupBy(*group_cols, F.col(col).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
+              .agg((F.sum(counts) if counts else F.count(F.lit(1))).alias("_c")))
     run = prefix_sums(dist, ["_v"], ["_c"], group_cols, total_suffix="_total").withColumnRenamed("_c_total", "_n")
     lo_of = lambda p: F.floor(p * (F.col("_n") - 1))
     hi_of = lambda p: F.ceil(p * (F.col("_n") - 1))

@@ -18,20 +18,7 @@ from churnforge.functions import features as fe
 from churnforge.operators import encode, folds, metrics
 from churnforge.plans import frames
 from churnforge.plans.oracle import folds_cte, num, with_orders
-
-REGISTRY: dict[str, tuple] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
-def r6(c) -> "F.Column":
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
+from churnforge.plans.registry import REGISTRY, r6, register
 
 def _orders(spark, sf, fill=0.0):
     return frames.order_frame(spark, sf, fill)
@@ -108,11 +95,22 @@ def q_p11(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@register("p15_clip", with_orders() + """
-SELECT model, id, greatest(least(score, 0.6), 0.2) AS score FROM score_tables""")
+#: score_tables with a null for every 13th id and NaN for every 17th, in both dialects.
+HOLED_SQL = ("holed AS (SELECT model, id, split, label, CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN CAST('nan' AS DOUBLE) "
+             "ELSE score END AS score FROM score_tables)")
+
+
+def _holed(spark, sf):
+    k = F.col("id")
+    return frames.score_tables(spark, sf).withColumn("score", F.when(k % 13 == 0, F.lit(None)).when(
+        k % 17 == 0, F.lit(float("nan"))).otherwise(F.col("score")))
+
+
+@register("p15_clip", with_orders(HOLED_SQL) + """
+SELECT model, id, CASE WHEN isnan(score) THEN NULL WHEN score > 0.6 THEN 0.6 WHEN score < 0.2 THEN 0.2 ELSE score END AS score
+FROM holed""")
 def q_p15(spark, sf):
-    s = frames.score_tables(spark, sf)
-    return s.select("model", "id", clean.clip("score", 0.2, 0.6).alias("score"))
+    return _holed(spark, sf).select("model", "id", clean.clip("score", 0.2, 0.6).alias("score"))
 
 
 # =============================================================== 2.3 features
@@ -688,11 +686,11 @@ def q_l21(spark, sf):
 
 
 # =============================================================== 2.10 combination operators
-def _grid_sql(step=0.1):
-    from churnforge.operators.ensemble import simplex_grid
-    rows = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE))"
-                     for i, (a, b, c) in enumerate(simplex_grid(3, step)))
-    return f"g(wid, w_a, w_b, w_c) AS (VALUES {rows})"
+def _grid_sql(steps=10):
+    """All weights in tenths that add up to 1, numbered in lexicographic order; made by SQL itself."""
+    return (f"g AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS wid, a / {steps}.0::DOUBLE AS w_a, "
+            f"b / {steps}.0::DOUBLE AS w_b, ({steps} - a - b) / {steps}.0::DOUBLE AS w_c "
+            f"FROM range({steps + 1}) t(a), range({steps + 1}) u(b) WHERE a + b <= {steps})")
 
 
 @register("l12_blend_grid_auc", with_orders(
@@ -752,15 +750,17 @@ def q_l16(spark, sf):
 
 
 @register("l17_calibrate", with_orders(
+    HOLED_SQL,
     "br AS (SELECT avg(CAST(label AS DOUBLE)) AS rate FROM order_frame WHERE split = 'train')",
-    "sa AS (SELECT id, score FROM score_tables WHERE model = 'a' AND split = 'score')",
+    "sa AS (SELECT id, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM holed WHERE model = 'a' AND split = 'score')",
     "ms AS (SELECT avg(score) AS m FROM sa)") + """
-SELECT id, round(greatest(least(score * rate / m, 0.9999), 0.0001), 6) AS score FROM sa, br, ms""")
+SELECT id, round(CASE WHEN score IS NULL THEN NULL ELSE greatest(least(score * rate / m, 0.9999), 0.0001) END, 6) AS score
+FROM sa, br, ms""")
 def q_l17(spark, sf):
     from churnforge.operators.ensemble import calibrate
     f = _orders(spark, sf)
     rate = f.filter(F.col("split") == "train").select(F.avg(F.col("label").cast("double"))).scalar()
-    sa = frames.score_tables(spark, sf).filter((F.col("model") == "a") & (F.col("split") == "score"))
+    sa = _holed(spark, sf).filter((F.col("model") == "a") & (F.col("split") == "score"))
     return calibrate(sa.select("id", "score"), rate).select("id", r6("score").alias("score"))
 
 
@@ -1038,8 +1038,7 @@ def q_s1(spark, sf):
     schema = T.StructType([T.StructField("id", T.LongType())] +
                           [T.StructField(f"{c}_txt", T.StringType()) for c in NUMS])
     # Declared schema; keep blanks as text so P4 decides what is a number
-    back = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", False) \
-        .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    back = tables.read_csv_typed(spark, path, schema, verbatim=True)
     return back.select("id", *[r6(clean.to_number(f"{c}_txt")).alias(c) for c in NUMS])
 
 
@@ -1100,7 +1099,7 @@ def q_s2(spark, sf):
     raw = frames.raw_order_frame(spark, sf).select("id", "split", "churn_text", "monthly_txt", "total_txt", "priority", "segment")
     path = _scratch(spark, "subscription-csv")
     tables.write_table(raw, path, fmt="csv")
-    back = spark.read.schema(raw.schema).option("header", True).csv(path)
+    back = tables.read_csv_typed(spark, path, raw.schema)
     typed = back.select("id", "split", clean.label_strict("churn_text").alias("label"), clean.to_number("monthly_txt").alias("monthly"),
                         clean.to_number("total_txt").alias("total"), "priority", "segment")
     kept = clean.drop_null_rows(clean.drop_null_label(typed, "label"), ["monthly", "total", "priority"])
@@ -1204,10 +1203,6 @@ def q_l14_uneven(spark, sf):
 
 
 def _search_sql():
-    from churnforge.operators.ensemble import simplex_grid
-    fine = simplex_grid(3, 0.02)
-    fine_rows = ", ".join(f"(CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE), CAST({c!r} AS DOUBLE), {i})"
-                          for i, (a, b, c) in enumerate(fine))
     auc_expr = "sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg))"
     return with_orders(
         "tr AS (SELECT id, label, max(CASE WHEN model = 'a' THEN score END) AS s_a, max(CASE WHEN model = 'b' THEN score END) AS s_b, "
@@ -1217,7 +1212,8 @@ def _search_sql():
         auc_sql("bl", "wid").strip(),
         f"coarse AS (SELECT wid, {auc_expr} AS auc FROM run GROUP BY wid)",
         "best AS (SELECT g.* FROM g JOIN (SELECT wid FROM coarse ORDER BY auc DESC, wid LIMIT 1) b ON g.wid = b.wid)",
-        f"fg(w_a, w_b, w_c, pos_in_grid) AS (VALUES {fine_rows})",
+        "fg AS (SELECT a / 50.0::DOUBLE AS w_a, b / 50.0::DOUBLE AS w_b, (50 - a - b) / 50.0::DOUBLE AS w_c, a * 51 + b AS pos_in_grid "
+        "FROM range(51) t(a), range(51) u(b) WHERE a + b <= 50)",
         "fsel AS (SELECT fg.w_a, fg.w_b, fg.w_c, CAST(row_number() OVER (ORDER BY pos_in_grid) - 1 AS INTEGER) AS wid "
         "FROM fg, best WHERE abs(fg.w_a - best.w_a) <= 0.1 + 1e-9 AND abs(fg.w_b - best.w_b) <= 0.1 + 1e-9 "
         "AND abs(fg.w_c - best.w_c) <= 0.1 + 1e-9)",
@@ -1449,3 +1445,6 @@ def q_k2_fixed(spark, sf):
     out = out.withColumn("kmeans_cluster_id", nearest_cluster(len(centers)))
     return out.select("id", *[r6(f"kmeans_dist_{j}").alias(f"kmeans_dist_{j}") for j in range(len(centers))],
                       "kmeans_cluster_id")
+
+
+from churnforge.plans import model_queries  # noqa: E402, F401 (registers its queries)

@@ -112,6 +112,22 @@ def category_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
              .join(lines, F.col("id") == F.col("l_orderkey"), "left").drop("l_orderkey"))
 
 
+def original_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second labelled population with the columns of order_frame, disjoint from it: one row per supplier
+    that has line items. Label: a higher share of returned lines than all lines have."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_extendedprice", "l_returnflag"])
+    s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
+    n = F.broadcast(read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]))                     # 25 rows
+    returned = F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
+    per = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("price"),
+                                      F.sum("l_extendedprice").alias("total"), returned.alias("share"))
+    rows = per.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return rows.select(F.col("l_suppkey").alias("id"), (F.col("share") > li.select(returned).scalar()).cast("int").alias("label"),
+                       F.col("n").cast("double").alias("tenure"), F.col("price").alias("monthly"), "total", F.col("s_acctbal").alias("acctbal"),
+                       F.lit(None).cast("string").alias("priority"), F.lit(None).cast("string").alias("segment"),
+                       F.col("n_name").alias("nation"), F.lit(None).cast("string").alias("flag"))
+
+
 def doc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents left-joined to labels: labelled rows are train, the rest score."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "n_chars"])

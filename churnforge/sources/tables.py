@@ -26,9 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df.select(*columns) if columns else df
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """CSV with a declared schema. Dirty numeric text should be declared string and cleaned."""
-    return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
+def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, verbatim: bool = False) -> DataFrame:
+    """CSV with a declared schema. Dirty numeric text should be declared string and cleaned.
+    ``verbatim`` leaves text as it stands: blanks around it stay, and an empty field is the empty text."""
+    reader = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+    if verbatim:
+        reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+            .option("nullValue", "\u0000").option("emptyValue", "")
+    return reader.csv(path)
 
 
 def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -49,6 +54,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def existing_sources(spark: SparkSession, paths) -> list[str]:
     """Keep optional sources that exist; the caller logs the skipped ones."""
     return [p for p in paths if _exists(spark, p)]
@@ -79,6 +89,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
         w.format(fmt).save(path)
 
 
+def write_partitions(df: DataFrame, path: str, partition_by) -> None:
+    """S8 by parts: the partitions that ``df`` has rows for are replaced, all others of the table stay (dynamic
+    partition overwrite). Rows are dealt by the partition columns and a share of their own, so that a partition
+    is written by several tasks, each with one file, however uneven the partitions are."""
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*partition_by).parquet(path)
+
+
+def read_partitions(spark: SparkSession, path: str, **values) -> DataFrame:
+    """Rows of some partitions (column = value, or a list of values); only their folders are read."""
+    df = spark.read.parquet(path)
+    for column, wanted in values.items():
+        df = df.filter(F.col(column).isin(*wanted) if isinstance(wanted, (list, tuple, set)) else F.col(column) == wanted)
+    return df
+
+
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     write_table(df.select(F.col("id").cast("long"), F.col("score").cast("double")), path, fmt)
 
