@@ -270,33 +270,60 @@ def fit_fold_target_encoder(df: DataFrame, cols, label: str, fold_col: str, k: i
     """D7 for cross-fitting: the encoder of every fold model in ONE pass.
 
     Model f is fitted on rows with fold != f, so its statistics are the totals minus fold f's
-    share: n = N - n_f, s = S - s_f, prior_f = (S_all - s_all_f) / (N_all - n_all_f). Emits
-    (fold, feature, key, n, enc, prior) for every key seen in training, including keys absent
-    from fold f's training rows (n = 0 -> prior)."""
+    share: n = N - n_f, s = S - s_f, prior_f = (S_all - s_all_f) / (N_all - n_all_f). One group-by with k
+    conditional counts and sums gives them all. Emits (fold, feature, key, n, enc, prior) for every key seen
+    in training, including keys absent from fold f's training rows (n = 0 -> prior)."""
     y = F.col(label).cast("double")
-    per_fold = long_form(df.select(fold_col, label, *cols), cols, keep=[fold_col, label]) \
-        .groupBy("feature", "key", fold_col).agg(F.count(F.lit(1)).alias("n_f"), F.sum(y).alias("s_f"))
-    totals = per_fold.groupBy("feature", "key").agg(F.sum("n_f").alias("n_all"), F.sum("s_f").alias("s_all"))
+    per_key = long_form(df.select(fold_col, label, *cols), cols, keep=[fold_col, label]).groupBy("feature", "key").agg(
+        F.count(F.lit(1)).alias("n_all"), F.sum(y).alias("s_all"),
+        *[x for f in range(k) for x in (F.count_if(F.col(fold_col) == f).alias(f"n{f}"), F.sum(F.when(F.col(fold_col) == f, y)).alias(f"s{f}"))])
     # one row per fold (k rows); a fold without rows is excluded from nothing
     sums = {r[0]: (r[1], r[2] or 0.0) for r in df.groupBy(fold_col).agg(F.count(F.lit(1)), F.sum(y)).collect()}
     n_rows, n_pos = sum(n for n, _ in sums.values()), sum(p for _, p in sums.values())
-    prior = F.lit(None).cast("double")
-    for f in range(k):
+
+    def fit(f: int) -> Column:
         n_f, p_f = sums.get(f, (0, 0.0))
-        if n_rows > n_f:
-            prior = F.when(F.col(fold_col) == f, F.lit((n_pos - p_f) / (n_rows - n_f))).otherwise(prior)
-    grid = totals.select("feature", "key", "n_all", "s_all",
-                         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(fold_col))
-    g, p = grid.alias("g"), per_fold.alias("p")
-    same = ((F.col("g.feature") == F.col("p.feature")) & F.col("g.key").eqNullSafe(F.col("p.key"))
-            & (F.col(f"g.{fold_col}") == F.col(f"p.{fold_col}")))
-    joined = g.join(p, same, "left").select(f"g.{fold_col}", "g.feature", "g.key", "n_all", "s_all", "n_f", "s_f") \
-        .withColumn("prior", prior)
-    n = F.col("n_all") - F.coalesce(F.col("n_f"), F.lit(0))
-    s = F.col("s_all") - F.coalesce(F.col("s_f"), F.lit(0.0))
-    return cut_lineage(joined.select(F.col(fold_col).alias("fold"), "feature", "key", n.alias("n"),
-                                     _smooth(n, s, F.col("prior"), smoothing, min_samples_leaf).alias("enc"),
-                                     "prior"))
+        prior = F.lit((n_pos - p_f) / (n_rows - n_f) if n_rows > n_f else None).cast("double")
+        n = F.col("n_all") - F.col(f"n{f}")
+        s = F.col("s_all") - F.coalesce(F.col(f"s{f}"), F.lit(0.0))
+        return F.struct(F.lit(f).alias("fold"), n.alias("n"), _smooth(n, s, prior, smoothing, min_samples_leaf).alias("enc"), prior.alias("prior"))
+
+    fits = per_key.select("feature", "key", F.explode(F.array(*[fit(f) for f in range(k)])).alias("_f"))
+    return cut_lineage(fits.select("_f.fold", "feature", "key", "_f.n", "_f.enc", "_f.prior"))
+
+
+def apply_fold_encodings(df: DataFrame, fitted: DataFrame, cols, k: int, keep=None) -> tuple[DataFrame, dict]:
+    """D7 for a cross-fit: the encodings of all k fold models for every row, looked up once. Returns the rows
+    with ``<c>_encs`` (array: fold -> encoding, null for a key that was not fitted) and fold -> prior;
+    ``fold_encodings`` picks one fold's.
+
+    Many columns go to long form after the rows were dealt by a number of their own: the keys are exploded, met
+    with the map and gathered again inside the partitions that the rows already have, so that the rows are
+    shuffled once and never joined back. ``df`` must read the same rows in the same order each time (a
+    checkpoint or a file). ``keep``: the other columns to carry (default: all but ``cols``)."""
+    priors = {r["fold"]: r["prior"] for r in fitted.groupBy("fold").agg(F.max("prior").alias("prior")).collect()}       # k rows
+    by_key = fitted.groupBy("feature", "key").agg(*[F.max(F.when(F.col("fold") == f, F.col("enc"))).alias(f"e{f}") for f in range(k)]) \
+        .select("feature", "key", F.array(*[f"e{f}" for f in range(k)]).alias("encs"))
+    if len(cols) <= MAX_LOOKUP_JOINS or df.isStreaming:
+        return apply_lookup(df, by_key, cols, "encs", None, "_encs"), priors
+    look = resolve_lookup(by_key, "encs", max_literals=-1)
+    rest = list(keep) if keep is not None else [c for c in df.columns if c not in set(cols)]
+    rows = df.withColumn("_fe_row", F.monotonically_increasing_id()).repartition("_fe_row")
+    keys = F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("_fe_at", "_fe_key")
+    long = rows.select("_fe_row", F.struct(*rest).alias("_fe_rest"), keys).alias("l")
+    place = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+    table = look.table.select(F.element_at(place, F.col("feature")).alias("at"), "key", "value").alias("t")
+    same = (F.col("l._fe_at") == F.col("t.at")) & F.col("l._fe_key").eqNullSafe(F.col("t.key"))
+    met = long.join(F.broadcast(table) if look.small else table, same, "left")
+    wide = met.groupBy("_fe_row").agg(F.first("_fe_rest").alias("r"), F.sort_array(F.collect_list(F.struct(
+        F.col("_fe_at").alias("at"), F.col("value").alias("v")))).alias("e"))
+    return wide.select("r.*", *[F.col("e")[i]["v"].alias(f"{c}_encs") for i, c in enumerate(cols)]), priors
+
+
+def fold_encodings(df: DataFrame, cols, fold: int, priors: dict, suffix: str = "_te") -> DataFrame:
+    """One fold's encodings of ``apply_fold_encodings`` as columns ``<c><suffix>``."""
+    prior = F.lit(priors.get(fold)).cast("double")
+    return df.withColumns({c + suffix: F.coalesce(F.get(F.col(f"{c}_encs"), F.lit(fold)), prior) for c in cols})
 
 
 def resolve_target_encoding(fitted: DataFrame, fold: int | None = None, **bounds) -> Lookup:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,11 +122,11 @@ def simplex_grid(n_models: int, step: float, centre=None, reach: float = 1.0):
 
 
 def blend_grid_auc(oof_long: DataFrame, models, grid, label: str = "label", id_col: str = "id",
-                   score: str = "score", num_bins: int | None = None, chunk: int = 16) -> DataFrame:
+                   score: str = "score", num_bins: int | None = None, chunk: int = 16, parallelism: int = 4) -> DataFrame:
     """L12 core: AUC of every weight vector in ``grid``. Every id must have every model once. Rows are
     first reduced to distinct score combinations with positive / negative counts; the grid is taken in
     chunks of fixed size, expanded per combination, and the AUC is grouped by weight id (skew-safe
-    running sums per group), so at most ``chunk`` copies of the combinations exist at a time.
+    running sums per group), so at most ``chunk`` x ``parallelism`` copies of the combinations exist at a time.
     ``num_bins`` bins the blends first (metrics.auc): then a chunk shuffles chunk x num_bins rows at
     most, whatever the data size."""
     require_models(oof_long, models, id_col)
@@ -135,14 +136,17 @@ def blend_grid_auc(oof_long: DataFrame, models, grid, label: str = "label", id_c
     cells = cut_lineage(wide.filter(F.col(label).isNotNull()).groupBy(*[f"s_{m}" for m in models]).agg(
         F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg")))
     blend = sum((F.col(f"_g.w_{m}") * F.col(f"s_{m}") for m in models), F.lit(0.0))
-    results = []
-    for at in range(0, len(grid), chunk):
+
+    def one_chunk(at: int) -> DataFrame:
         arr = F.array(*[F.struct(F.lit(at + i).alias("wid"), *[F.lit(float(w)).alias(f"w_{m}") for w, m in zip(ws, models)])
                         for i, ws in enumerate(grid[at:at + chunk])])
         ex = cells.select("_pos", "_neg", *[f"s_{m}" for m in models], F.explode(arr).alias("_g"))
         scored = ex.select("_g.*", "_pos", "_neg", blend.alias("_blend"))
         res = auc(scored, label, "_blend", ["wid"] + [f"w_{m}" for m in models], counts=("_pos", "_neg"), num_bins=num_bins)
-        results.append(cut_lineage(res.select("wid", *[f"w_{m}" for m in models], "auc")))      # chunk rows
+        return cut_lineage(res.select("wid", *[f"w_{m}" for m in models], "auc"))      # chunk rows
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, -(-len(grid) // chunk)))) as pool:
+        results = list(pool.map(one_chunk, range(0, len(grid), chunk)))
     return functools.reduce(DataFrame.unionByName, results)
 
 

@@ -153,12 +153,19 @@ def crossfit(train: DataFrame, feature_cols, label: str, id_col: str, fold_col:
              *(c + "_te" for c in te_cols), *(c + "_cbe" for c in ordered_cols)]
     medians = encode.median_table(encode.fit_median_imputer(train, impute_cols, fold_col, k)) if impute_cols else {}
 
+    priors: dict = {}
+    if te_map is not None and te_cols:              # all folds' encodings by one lookup, written once
+        inputs = {*feature_cols, *impute_cols, *categorical, *onehot, *ordered_cols, id_col, label, fold_col, weight_col}
+        rest = lambda d: [c for c in d.columns if c in inputs]
+        encoded, priors = encode.apply_fold_encodings(train, te_map, te_cols, k, keep=rest(train))
+        train = cut_lineage(encoded)
+        if score_rows is not None:
+            score_rows = cut_lineage(encode.apply_fold_encodings(score_rows, te_map, te_cols, k, keep=rest(score_rows))[0])
+
     def one_fold(f: int):
         rows, sc = train, score_rows
         if te_map is not None and te_cols:
-            look = encode.resolve_target_encoding(te_map, fold=f)
-            rows = encode.apply_target_encoding(rows, look, te_cols)
-            sc = encode.apply_target_encoding(sc, look, te_cols) if sc is not None else None
+            rows, sc = (encode.fold_encodings(d, te_cols, f, priors) if d is not None else None for d in (rows, sc))
         tr, va = rows.filter(F.col(fold_col) != f), rows.filter(F.col(fold_col) == f)
         if ordered_cols:
             full = encode.resolve_target_encoding(encode.fit_ordered_encoder(tr, ordered_cols, label))

@@ -394,7 +394,8 @@ def _plist(q):
     f"THEN CAST(greatest(len(list_filter({c}_e, lambda x: x < {c})) - 1, 0) AS INTEGER) END AS {c}_bin"
     for c in BINS) + " FROM order_frame, e")
 def q_d6(spark, sf):
-    f = _orders(spark, sf)
+    from churnforge.session import cut_lineage
+    f = cut_lineage(_orders(spark, sf).select("id", *BINS))     # fit and apply read it
     fitted = encode.fit_quantile_bins_multi(f, BINS)  # all columns in one pass
     out = encode.apply_quantile_bins_multi(f, fitted, list(BINS))
     return out.select("id", *[f"{c}_bin" for c in BINS])

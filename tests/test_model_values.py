@@ -262,3 +262,34 @@ def test_positive_class_by_name(spark):
     pick = lambda labels: tables.positive_probability(df, labels=labels).first()["score"]
     assert pick(None) == pick(["0", "1"]) == pick(["No", "Yes"]) == pick(["x", "y"]) == 0.8
     assert pick(["1", "0"]) == pick(["Yes", "No"]) == pick([1, 0]) == 0.2
+
+
+@pytest.mark.parametrize("n_cols", [3, 12])
+def test_encodings_of_all_folds_by_one_lookup(spark, n_cols, monkeypatch):
+    """Both ways give every row what each fold's own lookup gives it; repeated ids and null keys included."""
+    from churnforge.session import cut_lineage
+    rng = random.Random(14)
+    names = [f"c{i}" for i in range(n_cols)]
+    rows = [(k // 2, int(rng.random() < 0.4), k % 3, *(rng.choice([None, *map(str, range(3 + 9 * i))]) for i in range(n_cols))) for k in range(240)]
+    df = cut_lineage(spark.createDataFrame(rows, "id long, label int, fold int, " + ", ".join(f"{c} string" for c in names)))
+    fitted = encode.fit_fold_target_encoder(df.filter("id < 90"), names, "label", "fold", 3, smoothing=5.0, min_samples_leaf=2.0)
+    for bound in (encode.MAX_BROADCAST_ROWS, 0):
+        monkeypatch.setattr(encode.resolve_lookup, "__defaults__", (None, encode.MAX_LITERAL_ENTRIES, bound))
+        out, priors = encode.apply_fold_encodings(df, fitted, names, 3, keep=["id", "label", "fold"])
+        out = cut_lineage(out)
+        assert out.count() == 240
+        for f in range(3):
+            want = encode.apply_target_encoding(df, fitted, names, fold=f).select("id", "label", *[f"{c}_te" for c in names]).collect()
+            got = encode.fold_encodings(out, names, f, priors).select("id", "label", *[f"{c}_te" for c in names]).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_fold_encodings_shuffle_the_rows_once(spark):
+    from churnforge.session import cut_lineage
+    names = [f"c{i}" for i in range(12)]
+    df = cut_lineage(spark.createDataFrame([(k, k % 2, k % 3, *[str(k % (5 + i)) for i in range(12)]) for k in range(120)],
+                                           "id long, label int, fold int, " + ", ".join(f"{c} string" for c in names)))
+    fitted = encode.fit_fold_target_encoder(df, names, "label", "fold", 3)
+    out, _ = encode.apply_fold_encodings(df, fitted, names, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
