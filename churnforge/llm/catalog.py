@@ -113,8 +113,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every whole text under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
     counts = materialise(lm.count_words(docs, "text"))
-    model = lm.fit_language_scorer(docs, counts=counts)
-    return lm.score_documents(docs, model, rest=lm.rest_words(counts, model.vocabulary))
+    vocabulary = lm.fit_vocabulary(docs, "text", lm.LMConfig(), counts)
+    coded = materialise(lm.code_texts(docs, vocabulary))
+    model = lm.fit_language_scorer(docs, vocabulary=vocabulary, coded=coded)
+    return lm.score_documents(docs, model, rest=lm.rest_words(counts, vocabulary), coded=coded)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

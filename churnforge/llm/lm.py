@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -216,21 +217,37 @@ class Network:
         square = squares[0].take(ids, 0) + lookup * lookup
         squares[0][ids] = square
         vectors[ids] = vectors.take(ids, 0) - rate * lookup / np.sqrt(square + 1e-8)
-        for k, grad in ((1, x.T @ below), (2, below.sum(0)), (3, h.T @ error), (4, error.sum(0))):
+        each = np.ones(len(classes), error.dtype)                # sums of columns as products: quicker than sum(0)
+        for k, grad in ((1, x.T @ below), (2, each @ below), (3, h.T @ error), (4, each @ error)):
             squares[k] += grad * grad
             self.parts[k] -= rate * grad / np.sqrt(squares[k] + 1e-8)
 
 
-def neighbours(column: pa.Array, vocabulary: Vocabulary, config: LMConfig) -> tuple[np.ndarray, ...]:
-    """(ids of all words, padded; place of each word in them; texts' offsets in words; the words' codes)."""
-    data, offsets = utf8(column)
-    starts, ends, words = word_bounds(data, offsets)
+def _kind(vocabulary: Vocabulary) -> type:
+    """Type of a stored id; the id after the last is the padding."""
+    return np.uint16 if vocabulary.size < 1 << 16 else np.uint32
+
+
+def _padded(ids: pa.Array, vocabulary: Vocabulary, config: LMConfig) -> tuple[np.ndarray, ...]:
+    """(ids of all words, padded; place of each word in them; texts' offsets in words)."""
+    raw = np.frombuffer(b"".join(ids.to_pylist()), _kind(vocabulary))
+    words = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy() // _kind(vocabulary)().itemsize)]).astype(np.int64)
     of = np.repeat(np.arange(len(words) - 1), np.diff(words))
-    at = np.arange(len(starts)) + config.window * (of + 1)
-    padded = np.full(len(starts) + config.window * len(words), vocabulary.size, np.int64)
-    codes = word_codes(data, starts, ends)
-    padded[at] = vocabulary.ids(codes)
-    return padded, at, words, codes
+    at = np.arange(len(raw)) + config.window * (of + 1)
+    padded = np.full(len(raw) + config.window * len(words), vocabulary.size, np.int64)
+    padded[at] = raw
+    return padded, at, words
+
+
+def _runs(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of texts of about `limit` bytes of ids (one text at least)."""
+    ends = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right"))
+        end = min(batch.num_rows, max(start + 1, end))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _around(padded: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -243,8 +260,13 @@ def turns_of(turn: int, config: LMConfig) -> list[int]:
 
 
 def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, config: LMConfig) -> np.ndarray:
+    """A round over texts: see _round."""
+    return _round(code_texts(df.withColumn("_lm_id", F.lit(0)), model.vocabulary, "_lm_id", text_col), model, turn, config)
+
+
+def _round(coded: DataFrame, model: LanguageScorer, turn: int, config: LMConfig) -> np.ndarray:
     """Weights after a round: every partition's own, averaged by what moved them; those that nothing moved stay."""
-    shared = df.sparkSession.sparkContext.broadcast(model)      # vocabulary and weights, of fixed size
+    shared = coded.sparkSession.sparkContext.broadcast(model)      # vocabulary and weights, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights, n = shared.value.vocabulary, shared.value.weights.copy(), 0
@@ -252,8 +274,8 @@ def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, confi
         squares = [np.zeros_like(p) for p in net.parts]
         touched = np.zeros(vocabulary.size + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                padded, at, _, _ = neighbours(part.column("text"), vocabulary, config)
+            for part in _runs(batch):
+                padded, at, _ = _padded(part.column("ids"), vocabulary, config)
                 for now in turns_of(turn, config):
                     masked = at[(at + now) % config.mask_every == 0]
                     masked = np.random.default_rng(config.seed + now).permutation(masked)
@@ -270,7 +292,7 @@ def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, confi
                 pa.array(moved.astype(np.int32)), pa.array(weights[moved].astype(np.float64) * by[moved]),
                 pa.array(by[moved])], names=["at", "w", "n"])
 
-    sums = (df.select(F.col(text_col).alias("text")).mapInArrow(run, "at int, w double, n long")
+    sums = (coded.where("ids IS NOT NULL").select("ids").mapInArrow(run, "at int, w double, n long")
             .groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas())      # one row a weight
     out = model.weights.copy()
     out[sums["at"].to_numpy(np.int64)] = sums["w"].to_numpy(np.float32)
@@ -278,35 +300,72 @@ def _train(df: DataFrame, text_col: str, model: LanguageScorer, turn: int, confi
 
 
 def fit_language_scorer(df: DataFrame, text_col: str = "text", config: LMConfig = LMConfig(),
-                        counts: DataFrame | None = None) -> LanguageScorer:
-    """Vocabulary and network from all texts of df (null: empty); texts without words leave the starting weights."""
-    vocabulary = fit_vocabulary(df, text_col, config, counts)
+                        counts: DataFrame | None = None, vocabulary: Vocabulary | None = None,
+                        coded: DataFrame | None = None) -> LanguageScorer:
+    """Vocabulary and network from all texts of df (null: empty); texts without words and an empty table leave the
+    starting weights. counts, vocabulary, coded: of count_words, fit_vocabulary and code_texts, if they are there."""
+    if vocabulary is None:
+        vocabulary = fit_vocabulary(df, text_col, config, counts)
+    if coded is None:
+        coded = materialise(code_texts(df.withColumn("_lm_id", F.lit(0)), vocabulary, "_lm_id", text_col))
     weights = Network.start(vocabulary.size, config)
     unused = np.setdiff1d(np.arange(config.classes + config.rest), vocabulary.class_of)
     Network(weights, vocabulary.size, config).parts[4][unused] = -1e4       # classes without words get no probability
     model = LanguageScorer(vocabulary, weights)
     for turn in range(config.rounds):
-        model = LanguageScorer(vocabulary, _train(df, text_col, model, turn, config))
+        model = LanguageScorer(vocabulary, _round(coded, model, turn, config))
     return model
 
 
 def _block(kept: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a block's texts, each with the places of its rest words among the block's, and a row with their codes."""
-    codes, place = np.unique(np.concatenate([k[4] for k in kept]), return_inverse=True)
+    """The rows of a block's texts: their ids, and the places of their rest words among the block's; and a row with the
+    codes of these."""
+    codes, place = np.unique(np.concatenate([k[3] for k in kept]), return_inverse=True)
     at, block = 0, (TaskContext.get().partitionId() << 32) + number
-    names = ["block", "id", "n_tokens", "log_prob", "places", "codes"]
-    for ids, n, sums, per, own in kept:
+    names = ["block", "id", "ids", "places", "codes"]
+    for ids, held, per, own in kept:
         raw = place[at:at + len(own)].astype(np.uint32).tobytes()
         ends = np.concatenate([[0], np.cumsum(per)]) * 4
         places = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
         at += len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), ids, pa.array(n, pa.int64()), pa.array(sums),
-                                          places, pa.nulls(len(n), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block)), ids, held, places, pa.nulls(len(held), pa.binary())],
+                                         names=names)
     yield pa.RecordBatch.from_arrays([
-        pa.array([block], pa.int64()), pa.nulls(1, kept[0][0].type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()),
+        pa.array([block], pa.int64()), pa.nulls(1, kept[0][0].type), pa.nulls(1, pa.binary()),
         pa.nulls(1, pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=names)
 
 
+def code_texts(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts as word ids, so that training and scoring need not cut them again: rows (block, id, ids, places) of the texts,
+    in blocks, and a row (block, codes) for each block with the codes of its words beyond the vocabulary, once each;
+    places are a text's rest words among these. Null texts have no words; an empty table gives no rows."""
+    kind = df.schema[id_col].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kept, held, number = shared.value, [], 0, 0
+        first, width = len(known.codes), _kind(known)().itemsize
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                data, offsets = utf8(part.column("text"))
+                starts, ends, words = word_bounds(data, offsets)
+                codes = word_codes(data, starts, ends)
+                ids = known.ids(codes)
+                other = np.flatnonzero(ids >= first)
+                raw, cut = ids.astype(_kind(known)).tobytes(), (words * width).tolist()
+                kept.append((part.column("id"), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                             np.diff(np.searchsorted(other, words)), codes[other]))
+                held += len(other)
+                if held >= BLOCK_WORDS:
+                    yield from _block(kept, number)
+                    kept, held, number = [], 0, number + 1
+        if kept:
+            yield from _block(kept, number)
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"block long, id {kind}, ids binary, places binary, codes binary")
+
+
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, place, code) of every block's different rest words."""
     for batch in batches:
@@ -319,9 +378,9 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(part)], names=["block", "place", "code"])
 
 
-def _with_rest(blocks: DataFrame, rest: RestWords, vocabulary: Vocabulary, kind: str) -> DataFrame:
+def _with_rest(texts: DataFrame, coded: DataFrame, rest: RestWords, vocabulary: Vocabulary, kind: str) -> DataFrame:
     """(id, n_tokens, log_prob) of the blocks' texts, log_prob with the log shares of their rest words."""
-    asked = (blocks.where("codes IS NOT NULL").select("block", "codes")
+    asked = (coded.where("codes IS NOT NULL").select("block", "codes")
              .mapInArrow(_asked, "block long, place int, code long"))
     size = vocabulary.rest
     log_mass, log_unseen = rest.log_mass, rest.log_unseen
@@ -346,27 +405,28 @@ def _with_rest(blocks: DataFrame, rest: RestWords, vocabulary: Vocabulary, kind:
         n, total = texts.column("n_tokens"), texts.column("log_prob").to_numpy() + sums
         return pa.table({"id": texts.column("id"), "n_tokens": n, "log_prob": pa.array(total, pa.float64())})
 
-    texts = blocks.where("codes IS NULL").select("block", "id", "n_tokens", "log_prob", "places")
     return texts.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(
         add, f"id {kind}, n_tokens long, log_prob double")
 
 
 def score_documents(df: DataFrame, model: LanguageScorer, id_col: str = "doc_id", text_col: str = "text",
-                    config: LMConfig = LMConfig(), rest: RestWords | None = None) -> DataFrame:
+                    config: LMConfig = LMConfig(), rest: RestWords | None = None, coded: DataFrame | None = None) -> DataFrame:
     """id, n_tokens, log_prob (sum of the words' conditional log-probabilities, natural logarithm) and mean_log_prob per
-    row of df; a text without words has 0 tokens, log_prob 0 and no mean. Repeated rows get equal scores. With `rest`
-    every word is scored as itself; without it, words beyond the vocabulary are scored as their rest ids."""
+    row of df; null and empty texts and texts without words have 0 tokens, log_prob 0 and no mean. Repeated rows get equal
+    scores; an empty table gives an empty result. With `rest` every word is scored as itself; without it, words beyond
+    the vocabulary are scored as their rest ids. coded: of code_texts, if it is there."""
     kind = df.schema[id_col].dataType.simpleString()
+    if coded is None:
+        coded = code_texts(df, model.vocabulary, id_col, text_col)
+        coded = materialise(coded) if rest is not None else coded
     shared = df.sparkSession.sparkContext.broadcast(model)
-    whole = rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value.vocabulary
         net = Network(shared.value.weights, vocabulary.size, config)
-        first, kept, held, number = len(vocabulary.codes), [], 0, 0
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                padded, at, words, codes = neighbours(part.column("text"), vocabulary, config)
+            for part in _runs(batch):
+                padded, at, words = _padded(part.column("ids"), vocabulary, config)
                 scores = np.empty(len(at))
                 for k in range(0, len(at), 1024):
                     some = at[k:k + 1024]
@@ -375,25 +435,11 @@ def score_documents(df: DataFrame, model: LanguageScorer, id_col: str = "doc_id"
                                           + vocabulary.log_share[ids])
                 n = np.diff(words)
                 sums = np.where(n > 0, np.add.reduceat(np.append(scores, 0.0), words[:-1]), 0.0) if len(n) else np.zeros(0)
-                if not whole:
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(sums)],
-                                                     names=["id", "n_tokens", "log_prob"])
-                    continue
-                other = np.flatnonzero(padded[at] >= first)
-                kept.append((part.column("id"), n, sums, np.diff(np.searchsorted(other, words)), codes[other]))
-                held += len(other)
-                if held >= BLOCK_WORDS:
-                    yield from _block(kept, number)
-                    kept, held, number = [], 0, number + 1
-        if kept:
-            yield from _block(kept, number)
+                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("id"), pa.array(n, pa.int64()), pa.array(sums),
+                                                  part.column("places")], names=["block", "id", "n_tokens", "log_prob", "places"])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if whole:
-        blocks = materialise(source.mapInArrow(
-            run, f"block long, id {kind}, n_tokens long, log_prob double, places binary, codes binary"))
-        out = _with_rest(blocks, rest, model.vocabulary, kind)
-    else:
-        out = source.mapInArrow(run, f"id {kind}, n_tokens long, log_prob double")
+    texts = coded.where("ids IS NOT NULL").select("block", "id", "ids", "places").mapInArrow(
+        run, f"block long, id {kind}, n_tokens long, log_prob double, places binary")
+    out = _with_rest(texts, coded, rest, model.vocabulary, kind) if rest is not None else texts.select("id", "n_tokens", "log_prob")
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_prob",
                       F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
