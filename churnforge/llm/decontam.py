@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from churnforge.llm.asciiwords import ascii_lower, count_words, lead, only_words, split_words
+from churnforge.llm.asciiwords import ascii_lower, count_words, folded, lead, only_words, split_words
 from churnforge.llm.textbatch import materialise
 
 #: Gaps in a text whose capital letters are still there: boundaries fall in the same places.
@@ -37,7 +37,7 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, config: Deconta
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = items.select(F.col(item_col).cast("string").alias("item"),
                          only_words(ascii_lower(text)).alias("exact"),
-                         only_words(F.lower(text)).alias("folded")).where(F.size("exact") > 0)
+                         only_words(folded(text)).alias("folded")).where(F.size("exact") > 0)
     last = F.greatest(F.size("exact") - config.window, F.lit(0))
     return words.select("item", "exact", "folded", F.explode(F.sequence(F.lit(1), last + 1)).alias("at")).select(
         "item", F.array_join(F.slice("exact", F.col("at"), config.window), " ").alias("exact"),
@@ -63,7 +63,7 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     windows = materialise(item_windows(items, item_col, item_text_col, config).coalesce(files))
     unique = windows.select("exact", "folded").distinct()
     n = F.least(F.size("folded"), F.lit(config.shingle))
-    pieces = texts.select("id", "text", split_words(F.lower("text")).alias("pieces"))
+    pieces = texts.select("id", "text", split_words(folded(F.col("text"))).alias("pieces"))
 
     # the shingles of all windows and how often each occurs in the documents
     parts = unique.select("exact", "folded", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("folded") - n)).alias("at"))
@@ -99,7 +99,7 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         .coalesce(files))
     small = rarest.count() <= config.broadcast_rows
     # kept: the pieces with their capital letters, so that places can be decided without cutting the text again
-    both = texts.select("id", F.xxhash64("text").alias("body"), split_words(F.lower("text")).alias("pieces"),
+    both = texts.select("id", F.xxhash64("text").alias("body"), split_words(folded(F.col("text"))).alias("pieces"),
                         F.split("text", GAP_KEEPING_CASE).alias("kept"))
     out = None
     for k in lengths:
@@ -127,10 +127,9 @@ def _places(keyed, both: DataFrame, needles: DataFrame, k: int) -> DataFrame:
     """Places of windows, with a broadcast of their rarest shingles: positions never leave the scan's tasks."""
     start, first = _start(), lead(F.col("pieces"))
     inside = _inside(start, first, count_words(F.col("pieces")))
-    alike = F.slice("pieces", start + 1, F.col("len")) == F.col("folded")
     exact = _stands(F.col("kept"), start, F.col("len"), F.col("exact"))
     return (keyed(both, k, "id", "body", "kept").join(F.broadcast(needles), "key")
-            .where(F.when(inside, F.when(alike, exact)))
+            .where(F.when(inside, exact))
             .select("id", "body", (start - first).alias("start"), "len", "exact"))
 
 
@@ -158,7 +157,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                        item_col: str = "item_id", item_text_col: str = "text",
                        config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """id, n_words, n_hit (words inside any occurrence of a window), items (sorted ids, as strings, of the items whose
-    windows occur) and body (xxhash64 of the text) per row of docs.
+    windows occur) and body (xxhash64 of the text) per row of docs (no rows for an empty table).
 
     Null and empty texts have no words; repeated rows stay repeated; an item without words has no window; items with one
     id count once, items without an id hit words but are not listed. No items: nothing is hit."""
