@@ -137,7 +137,7 @@ WITH docs AS (
 ), phrases(phrase, label) AS (
   VALUES {_values(list(licenses.PHRASES.items()))}
 ), templates AS (
-  SELECT label, list_distinct(string_split(notice, ' ')) AS t
+  SELECT label, list_distinct(string_split(notice, ' ')) AS t, CAST(ceil(len(string_split(notice, ' ')) / 0.8 - 1e-9) AS INTEGER) AS width
   FROM (VALUES {_values(list(licenses.TEMPLATES.items()))}) v(label, notice)
 ), places AS (
   SELECT r, i - 1 AS start, label
@@ -147,10 +147,9 @@ WITH docs AS (
   SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY r
-), lines AS (
-  SELECT r, {ASCII_WORDS} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM docs) t
 ), blocks AS (
-  SELECT r, label, len(list_intersect(t, w)) AS hit, len(t) AS n FROM lines, templates
+  SELECT r, label, len(list_intersect(t, w[i:i + width - 1])) AS hit, len(t) AS n FROM (
+    SELECT r, w, label, t, width, unnest(range(1, greatest(len(w) - width + 1, 1) + 1)) AS i FROM docs, templates) x
 ), met AS (
   SELECT r, label, max(hit / n) AS score FROM blocks WHERE hit >= ceil(n * 0.8) GROUP BY r, label
 ), labels AS (

@@ -1,11 +1,13 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, taken as the set of its words; a template is the set of words of a license notice. A block
-meets a template if it holds at least `threshold` of the template's words. Words of all templates are ordered by how
-often they occur in all documents, rarest first. A template of n words of which k are needed shares one of its n - k + 1
-rarest words with every block that meets it (prefix filter); the block needs k words at least (length filter); and the
-words that follow the shared one in either order must suffice for what is still missing (positional filter). What is
-left is decided by the overlap itself. DataFrame operations only.
+A template is the set of words of a license notice. A block is a window of consecutive words, line breaks or not, taken as
+a set; its length is that up to which a template's words can make up the threshold's share of a block: the notice's words
+divided by the threshold (a shorter text is one block). A block meets a template if it holds at least `threshold` of the
+template's words. Words of all templates are ordered by how often they occur in all documents, rarest first. A template of
+n words of which k are needed shares one of its n - k + 1 rarest words with every block that meets it (prefix filter), so
+that blocks are looked at around these words only; the block needs k template words at least (length filter); and the words
+that follow the shared one in either order must suffice for what is still missing (positional filter). What is left is
+decided by the overlap itself. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from churnforge.llm.asciiwords import ascii_lower, count_words, only_words, split_words
 from churnforge.llm.textbatch import materialise
@@ -61,7 +63,8 @@ def ranked_templates(docs: DataFrame, config: LicenseConfig) -> tuple[dict[str,
     for label, text in sorted(config.templates.items()):
         ranks = sorted({rank[w] for w in text.split()})
         need = max(1, math.ceil(config.threshold * len(ranks) - 1e-9))
-        entries.append({"label": label, "ranks": ranks, "need": need})
+        width = max(1, math.ceil(len(text.split()) / config.threshold - 1e-9))
+        entries.append({"label": label, "ranks": ranks, "need": need, "width": width})
     return rank, entries
 
 
@@ -75,23 +78,31 @@ def _phrase_places(found: DataFrame, config: LicenseConfig) -> DataFrame:
 
 
 def _template_blocks(found: DataFrame, rank: dict[str, int], entries: list[dict]) -> DataFrame:
-    """(id, body, line, label, containment) of every block that meets a template."""
+    """(id, body, start, label, containment) of blocks that meet a template: all blocks around a prefix word that begin at a
+    template word. Any other block that meets it holds no more of the template than one of these."""
     spark = found.sparkSession
     ranks = F.broadcast(_local(spark, [{"word": w, "rank": r} for w, r in rank.items()]))
     prefix = F.broadcast(_local(spark, [
-        {"rank": r, "label": e["label"], "place": k, "need": e["need"], "size": len(e["ranks"])}
+        {"rank": r, "label": e["label"], "place": k, "need": e["need"], "size": len(e["ranks"]), "width": e["width"]}
         for e in entries for k, r in enumerate(e["ranks"][:len(e["ranks"]) - e["need"] + 1])]))
     sets = F.broadcast(_local(spark, [{"label": e["label"], "ranks": e["ranks"]} for e in entries]))
-    lines = found.select("id", "body", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    words = lines.select("id", "body", "line", F.explode(F.array_distinct(only_words(F.col("block")))).alias("word"))
-    blocks = (words.join(ranks, "word").groupBy("id", "body", "line")       # at most the templates' words a block
-              .agg(F.array_sort(F.collect_list("rank")).alias("have")))
-    shared = blocks.select("id", "body", "line", "have", F.posexplode("have").alias("at", "rank")).join(prefix, "rank")
-    rest = F.least(F.size("have") - F.col("at"), F.col("size") - F.col("place"))
-    passed = shared.where((F.size("have") >= F.col("need")) & (F.col("at") + rest >= F.col("need")))
+    words = found.select("id", "body", F.posexplode(only_words(F.col("text"))).alias("at", "word"))
+    hits = words.join(ranks, "word").select("id", "body", "at", "rank")
+    # the template words around each one: a frame of bounded width, so no text is gathered
+    reach = max(e["width"] for e in entries) - 1
+    around = Window.partitionBy("id", "body").orderBy("at").rangeBetween(-reach, reach)
+    near = hits.withColumn("near", F.collect_list(F.struct("at", "rank")).over(around))
+    shared = near.join(prefix, "rank")
+    starts = F.transform(F.filter("near", lambda x: (x["at"] > F.col("at") - F.col("width")) & (x["at"] <= F.col("at"))), lambda x: x["at"])
+    block = shared.select("id", "body", "rank", "near", "label", "place", "need", "size", "width", F.explode(starts).alias("start"))
+    inside = F.filter("near", lambda x: (x["at"] >= F.col("start")) & (x["at"] < F.col("start") + F.col("width")))
+    block = block.withColumn("have", F.array_sort(F.array_distinct(F.transform(inside, lambda x: x["rank"])))).drop("near")
+    before = F.array_position("have", F.col("rank")) - 1
+    rest = F.least(F.size("have") - before, F.col("size") - F.col("place"))
+    passed = block.where((F.size("have") >= F.col("need")) & (before + rest >= F.col("need")))
     both = F.size(F.array_intersect("have", "ranks"))
-    return (passed.select("id", "body", "line", "have", "label", "need", "size").distinct().join(sets, "label")
-            .where(both >= F.col("need")).select("id", "body", "line", "label", (both / F.col("size")).alias("containment")))
+    return (passed.select("id", "body", "start", "have", "label", "need", "size").distinct().join(sets, "label")
+            .where(both >= F.col("need")).select("id", "body", "start", "label", (both / F.col("size")).alias("containment")))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -100,7 +111,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from 0; else null), base_labels, labels (of phrases and templates; sorted arrays), score per row of df.
 
     score is 1 if a phrase stands in the text, else the largest containment of a template that a block meets, else 0.
-    Null and empty texts have no words; repeated rows stay repeated; ids may be null."""
+    Null and empty texts have no words; repeated rows stay repeated; ids may be null; an empty table gives an empty
+    result."""
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rank, entries = ranked_templates(docs, config)
     prefixes = {r for e in entries for r in e["ranks"][:len(e["ranks"]) - e["need"] + 1]}
