@@ -24,7 +24,7 @@ class LanguageIdConfig:
     buckets: int = 1 << 15                  #: hash buckets, all lengths together
     smoothing: float = 0.5                  #: added to every count
     max_docs: int = 20_000                  #: about so many texts of each language are learned from
-    max_languages: int = 200                #: bound of the model's width; more is an error
+    languages_a_block: int = 200            #: columns of the matrix that are counted, broadcast and scored at a time
     evidence: int | None = 60               #: n-grams that a long text's score is scaled to; None: plain posterior
     seed: int = 17
 
@@ -67,13 +67,21 @@ def fit_language_model(df: DataFrame, learn: Column, text_col: str = "text", lan
     language, chosen by a hash of the id. No such rows give a model without languages (every text is `und`)."""
     rows = df.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(config.max_languages + 1).collect()
-    if len(sizes) > config.max_languages:
-        raise ValueError(f"more than {config.max_languages} languages")
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()          # one row a language, as the model has columns
     if not sizes:
         return LanguageModel([], np.zeros((config.buckets, 0), np.float32), np.zeros(0))
     names = [r["lang"] for r in sizes]
     totals = np.array([r["count"] for r in sizes], float)
+    log_prob = np.empty((config.buckets, len(names)), np.float32)
+    for a in range(0, len(names), config.languages_a_block):
+        z = min(a + config.languages_a_block, len(names))
+        counts = _gram_counts(rows, names[a:z], totals[a:z], config) + config.smoothing
+        log_prob[:, a:z] = np.log(counts / counts.sum(0))
+    return LanguageModel(names, log_prob, np.log(totals / totals.sum()))
+
+
+def _gram_counts(rows: DataFrame, names: list[str], totals: np.ndarray, config: LanguageIdConfig) -> np.ndarray:
+    """buckets x languages: n-grams of the texts that a block of languages is learned from."""
     place = {name: k for k, name in enumerate(names)}
     share = F.lit(0.0)
     for name, total in zip(names, totals, strict=True):
@@ -91,17 +99,22 @@ def fit_language_model(df: DataFrame, learn: Column, text_col: str = "text", lan
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], names=["cell", "n"])
 
     cells = (rows.where(bounded_share("id", share, config.seed)).mapInArrow(count, "cell long, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())     # buckets x languages rows at most
+             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())     # buckets x languages of a block at most
     counts = np.zeros(config.buckets * len(names))
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    smooth = counts.reshape(config.buckets, len(names)) + config.smoothing
-    return LanguageModel(names, np.log(smooth / smooth.sum(0)).astype(np.float32), np.log(totals / totals.sum()))
+    return counts.reshape(config.buckets, len(names))
 
 
 def score_texts(values: list[str], model: LanguageModel, config: LanguageIdConfig) -> tuple[np.ndarray, np.ndarray]:
     """(best language's index, its score) of each text. The best language is that of the sums over the whole text and
     the prior. The score is its posterior; over more than `evidence` n-grams, sums and prior are scaled down alike to that
     many, so that the score of a long text tells a mixed text from a pure one instead of always being 1."""
+    best, _, odds = _odds(values, model, config)
+    return best, 1 / odds
+
+
+def _odds(values: list[str], model: LanguageModel, config: LanguageIdConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language's index, its logarithm, sum over the languages relative to it) of each text."""
     total = np.zeros((len(values), len(model.languages)))
     seen = np.zeros(len(values))
     for buckets, starts in grams(values, config):
@@ -111,8 +124,8 @@ def score_texts(values: list[str], model: LanguageModel, config: LanguageIdConfi
     best = total.argmax(1)
     if config.evidence is not None:
         total *= np.minimum(1.0, config.evidence / seen)[:, None]
-    odds = np.exp(total - total.max(1, keepdims=True))
-    return best, odds[np.arange(len(values)), best] / odds.sum(1)
+    top = total[np.arange(len(values)), best]
+    return best, top, np.exp(total - top[:, None]).sum(1)
 
 
 def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text",
@@ -121,23 +134,53 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     """All columns of df, then the predicted language and its score (columns of those names in df are replaced).
 
     The prediction is a learned language, or `und` with score 0 if the text is null or empty, has no letters, or nothing
-    was learned. Only the text decides. Rows keep their partitions; repeated rows get equal answers."""
+    was learned; an empty table gives an empty result. Only the text decides. Rows keep their partitions; repeated rows
+    get equal answers. Any number of languages: they are scored in blocks, the best one and the sum carried along."""
     source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (pred_col, score_col)])
-    shared = df.sparkSession.sparkContext.broadcast(model)      # buckets x languages floats
+    state = "_lid"
+    while state in (*source.columns, pred_col, score_col):
+        state = f"_{state}"
+    step, held = max(1, config.languages_a_block), T.StructField(state, T.StructType([
+        T.StructField("best", T.LongType()), T.StructField("top", T.DoubleType()), T.StructField("sum", T.DoubleType())]))
+    starts = list(range(0, len(model.languages), step)) or [0]
+    out = source
+    for a in starts:
+        block = LanguageModel(model.languages[a:a + step], np.ascontiguousarray(model.log_prob[:, a:a + step]), model.log_prior[a:a + step])
+        shared = df.sparkSession.sparkContext.broadcast(block)              # buckets x languages of a block
+        last = a == starts[-1]
+        added = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())] if last else [held]
+        run = _score_block(shared, a, a == 0, model.languages if last else None, text_col, state, (pred_col, score_col), config)
+        out = out.mapInArrow(run, T.StructType([*source.schema.fields, *added]))
+    return out
+
+
+def _score_block(shared, first: int, start: bool, languages: list[str] | None, text_col: str, state: str, names: tuple[str, str],
+                 config: LanguageIdConfig):
+    """Score a block of languages whose first is number `first`; `languages` names all of them in the last step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
-                values = texts(part.column(text_col))
-                letters = np.array([bool(known.languages) and any(map(str.isalpha, v)) for v in values], bool)
-                best, score = (score_texts(values, known, config) if known.languages
-                               else (np.zeros(len(values), int), np.zeros(len(values))))
-                names = [known.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())],
-                    names=[*part.schema.names, pred_col, score_col])
-
-    schema = T.StructType([*source.schema.fields, T.StructField(pred_col, T.StringType()),
-                           T.StructField(score_col, T.DoubleType())])
-    return source.mapInArrow(run, schema)
+                values, n = texts(part.column(text_col)), part.num_rows
+                best, top, total = (_odds(values, known, config) if known.languages
+                                    else (np.zeros(n, np.int64), np.zeros(n), np.ones(n)))
+                best = best + first
+                if not start:
+                    b, t, s = (x.to_numpy(zero_copy_only=False) for x in part.column(state).flatten())
+                    highest = np.maximum(t, top)
+                    best = np.where(top > t, best, b)
+                    total = s * np.exp(t - highest) + total * np.exp(top - highest)
+                    top = highest
+                plain = [c for name, c in zip(part.schema.names, part.columns, strict=True) if name != state]
+                kept = [name for name in part.schema.names if name != state]
+                if languages is None:
+                    now = pa.StructArray.from_arrays([pa.array(best, pa.int64()), pa.array(top), pa.array(total)], names=["best", "top", "sum"])
+                    yield pa.RecordBatch.from_arrays([*plain, now], names=[*kept, state])
+                    continue
+                letters = np.array([bool(languages) and any(map(str.isalpha, v)) for v in values], bool)
+                pred = [languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+                yield pa.RecordBatch.from_arrays([*plain, pa.array(pred, pa.string()), pa.array(np.where(letters, 1 / total, 0.0), pa.float64())],
+                                                 names=[*kept, *names])
+
+    return run
