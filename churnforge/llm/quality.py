@@ -112,16 +112,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, config:
 def fit_quality_model(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
                       label_col: str = "quality", config: QualityConfig = QualityConfig()) -> QualityModel:
     """Learn `label_col` (0 or 1, other values are passed over) from rows of `labels` where `learn` holds; about
-    `config.max_docs` of them, chosen by a hash of the id. Without labels every text scores 0.5."""
+    `config.max_docs` of them, chosen by a hash of the id. Without labels every text scores 0.5. Of an id with several
+    labels the largest counts, of an id with several texts the smallest (null first), however the rows are dealt."""
     known = (labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")))
     share = min(1.0, config.max_docs / max(1, known.count()))
     some = known.where(bounded_share("id", F.lit(share), config.seed)).groupBy("id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    rows = (texts.join(F.broadcast(some), "id").select("id", "label", "text")       # about max_docs rows
-            .mapInArrow(_sparse(config), f"id {kind}, label int, buckets array<int>, weights array<float>")
-            .dropDuplicates(["id"]).orderBy("id").select("label", "buckets", "weights").toArrow())
+    one = (texts.join(F.broadcast(some), "id").groupBy("id", "label")               # about max_docs rows
+           .agg(F.min(F.struct("text")).alias("t")).select("id", "label", "t.text"))
+    rows = (one.mapInArrow(_sparse(config), f"id {kind}, label int, buckets array<int>, weights array<float>").orderBy("id").select("label", "buckets", "weights").toArrow())
     if not rows.num_rows:
         return QualityModel(np.zeros(config.buckets, np.float32), 0.0)
     cells = [(b.values.to_numpy(), w.values.to_numpy()) for b, w in zip(rows.column("buckets"), rows.column("weights"), strict=True)]
@@ -131,7 +132,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, learn: Column, id_col:
 def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text",
                   config: QualityConfig = QualityConfig()) -> DataFrame:
     """id and score (probability of label 1) per row of df; a null or empty text scores by the bias alone. Rows keep
-    their partitions; repeated rows get equal scores."""
+    their partitions; repeated rows get equal scores; an empty table gives an empty result."""
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)          # one number a bucket
 
