@@ -23,8 +23,9 @@ EDGES_A_FILE = 50_000
 
 
 def _written(edges: DataFrame, at_most: int) -> DataFrame:
-    """A checkpoint of edges that are known to be no more than `at_most`."""
-    return materialise(edges.coalesce(-(-max(1, at_most) // EDGES_A_FILE)))
+    """A checkpoint of edges that are known to be no more than `at_most`, in few files; the step that makes them keeps its
+    own tasks."""
+    return materialise(edges.repartition(-(-max(1, at_most) // EDGES_A_FILE), F.xxhash64("u", "v")))
 
 
 def _state(edges: DataFrame) -> tuple:

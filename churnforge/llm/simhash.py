@@ -240,14 +240,16 @@ def fingerprint_links(fps: DataFrame, config: SimHashConfig = SimHashConfig()) -
                         .mapInArrow(_links(config), "a long, b long"))
     links = found.where("b IS NOT NULL").distinct()
     full = found.where("b IS NULL").select("a").distinct()
-    if config.max_bits % 2 or full.isEmpty():
-        if not full.isEmpty():
-            raise ValueError("an over-full cell needs an even bit distance")
+    if full.isEmpty():
         return links
-    # groups here are bounded: a value has at most as many neighbours as there are flips
-    near = full.mapInArrow(_neighbours(config.max_bits // 2), "v long, fp long")
-    hubs = near.groupBy("v").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("v", "b")
-    return links.unionByName(near.join(hubs, "v").where("fp > b").select(F.col("fp").alias("a"), "b").distinct())
+    # any two linked ones have a value within d // 2 bits of one and d - d // 2 of the other; all that come near such a value
+    # are linked with the first of those within d // 2. Groups here are bounded: a value has at most as many neighbours
+    # as there are flips
+    d = config.max_bits
+    near = full.mapInArrow(_neighbours(d // 2), "v long, fp long")
+    wide = near if d % 2 == 0 else full.mapInArrow(_neighbours(d - d // 2), "v long, fp long")
+    hubs = near.groupBy("v").agg(F.min("fp").alias("b"))
+    return links.unionByName(wide.join(hubs, "v").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -256,7 +258,8 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     component_id is the smallest id in the row's group of fingerprints reachable by links of at most
     `config.max_bits` differing bits, itself included; null only if no row of the group has an id. Null and empty
-    texts share fingerprint 0, which links like any other. Repeated rows stay repeated."""
+    texts share fingerprint 0, which links like any other. Repeated rows stay repeated; an empty table gives an empty
+    result."""
     rows = materialise(fingerprints(df, id_col, text_col, config))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(fingerprint_links(nodes.select("fp"), config)).withColumnRenamed("node", "fp")
@@ -269,7 +272,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def simhash_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  config: SimHashConfig = SimHashConfig()) -> DataFrame:
     """The columns of df, one row of each group: the one with the smallest id (of rows that repeat that id, one; of a
-    group without ids, one)."""
+    group without ids, one). Null and empty texts are one group; an empty table gives an empty result."""
     groups = simhash_groups(df, id_col, text_col, config)
     kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
         F.col(id_col).alias("_kept_id"), F.col("component_fp").alias("_kept_group")).distinct()
