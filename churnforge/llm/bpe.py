@@ -89,8 +89,8 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    rank_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (the bytes the ids stand for) per row.
 
-    One row per input row, repeated rows and null ids included; a null or empty text has no tokens. Nothing is
-    shuffled. `rank_file` is an absolute path that every executor has, or the name of a file of the installed
+    One row per input row, repeated rows and null ids included (none for an empty table); a null or empty text has no
+    tokens. Nothing is shuffled. `rank_file` is an absolute path that every executor has, or the name of a file of the installed
     tokenizer package, whose pre-splitting pattern applies."""
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -94,8 +94,11 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     Two rows are linked if their labels are equal and not null, their vectors have the same length and a cosine of
     `config.threshold` or more. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing. Repeated rows and equal vectors are linked copies. component_id is the smallest id reachable, the row's own
-    included (null only if the whole component has no id); kept: the row's id is that id."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    included (null only if the whole component has no id); kept: the row's id is that id. An empty table gives an empty
+    result."""
+    # floats travel as they are (a double holds each of them), other numbers as doubles
+    kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast(kind).alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0), F.lit(False))
     good = rows.where(usable)

@@ -37,6 +37,10 @@ TEMPLATES = {
 }
 
 
+#: Words of a stretch of a text.
+STRETCH_WORDS = 1_024
+
+
 @dataclass(frozen=True)
 class LicenseConfig:
     threshold: float = 0.8                  #: share of a template's words that a block must hold
@@ -88,11 +92,15 @@ def _template_blocks(found: DataFrame, rank: dict[str, int], entries: list[dict]
     sets = F.broadcast(_local(spark, [{"label": e["label"], "ranks": e["ranks"]} for e in entries]))
     words = found.select("id", "body", F.posexplode(only_words(F.col("text"))).alias("at", "word"))
     hits = words.join(ranks, "word").select("id", "body", "at", "rank")
-    # the template words around each one: a frame of bounded width, so no text is gathered
+    # the template words around each one: a frame of bounded width, so no text is gathered. A text is cut into stretches
+    # that overlap by that width, so that a very long one is not one group either
     reach = max(e["width"] for e in entries) - 1
-    around = Window.partitionBy("id", "body").orderBy("at").rangeBetween(-reach, reach)
-    near = hits.withColumn("near", F.collect_list(F.struct("at", "rank")).over(around))
-    shared = near.join(prefix, "rank")
+    stretch = max(STRETCH_WORDS, 2 * reach + 1)
+    of = lambda at: F.floor(at / stretch)
+    dealt = hits.withColumn("part", F.explode(F.array_distinct(F.array(of(F.col("at") - reach), of(F.col("at") + reach)))))
+    around = Window.partitionBy("id", "body", "part").orderBy("at").rangeBetween(-reach, reach)
+    near = dealt.withColumn("near", F.collect_list(F.struct("at", "rank")).over(around)).where(F.col("part") == of(F.col("at")))
+    shared = near.drop("part").join(prefix, "rank")
     starts = F.transform(F.filter("near", lambda x: (x["at"] > F.col("at") - F.col("width")) & (x["at"] <= F.col("at"))), lambda x: x["at"])
     block = shared.select("id", "body", "rank", "near", "label", "place", "need", "size", "width", F.explode(starts).alias("start"))
     inside = F.filter("near", lambda x: (x["at"] >= F.col("start")) & (x["at"] < F.col("start") + F.col("width")))

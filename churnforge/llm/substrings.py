@@ -32,22 +32,29 @@ class SubstringConfig:
     words: int = 35                     #: length of a repeat, in words
     block_bytes: int = 8 << 20          #: texts whose suffixes are packed together
     group_suffixes: int = 500_000       #: suffixes of a tree group
+    cell_bits: int = 16                 #: of a prefix's cell at most; the plan has 2^cell_bits entries a prefix length
 
 
 @dataclass(frozen=True)
 class PrefixPlan:
-    """Which group a prefix leads to: for each prefix length, by the prefix's cell; -1: take a longer prefix. The tables
-    have a few entries a group."""
+    """Which group a prefix leads to: for each prefix length, by the prefix's cell; -1: take a longer prefix. A cell that is
+    too large even at full length is split by its paths' hash into `splits` groups that end with its number. The tables
+    have a few entries a group, up to a bound."""
     words: int
     cell_bits: int
     lengths: list[int]
     groups: list[np.ndarray]
+    splits: np.ndarray
 
     def route(self, seq: Sequences, at: np.ndarray) -> np.ndarray:
         out = np.full(len(at), -1, np.int32)
         todo = np.arange(len(at))
         for length, table in zip(self.lengths, self.groups, strict=True):
-            out[todo] = table[prefix_cells(seq, at[todo], length, self.cell_bits)]
+            cells = prefix_cells(seq, at[todo], length, self.cell_bits)
+            out[todo] = table[cells]
+            if length == self.lengths[-1] and (self.splits > 1).any():
+                path = seq.fingerprint(at[todo], length, salt=length + 1)
+                out[todo] -= (path % self.splits[cells].astype(np.uint64)).astype(np.int32)
             todo = todo[out[todo] < 0]
         return out
 
@@ -83,7 +90,7 @@ def plan_prefixes(df: DataFrame, text_col: str, config: SubstringConfig, min_gro
     """(plan, number of blocks) from the text bytes and the counts of all suffixes' prefixes."""
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_groups = max(min_groups, -(-(size // 5) // config.group_suffixes))
-    bits = max(10, (4 * n_groups - 1).bit_length())
+    bits = min(config.cell_bits, max(10, (4 * n_groups - 1).bit_length()))
     lengths = prefix_lengths(config.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +104,7 @@ def plan_prefixes(df: DataFrame, text_col: str, config: SubstringConfig, min_gro
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums.ravel()[full])], names=["cell", "n"])
 
     cells = (df.select(F.col(text_col).alias("text")).mapInArrow(count, "cell long, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())     # lengths x cells rows: a few a group
+             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())     # lengths x cells rows
     counts = np.zeros(len(lengths) << bits, np.int64)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
     counts = counts.reshape(len(lengths), 1 << bits)
@@ -109,7 +116,8 @@ def plan_prefixes(df: DataFrame, text_col: str, config: SubstringConfig, min_gro
         tables.append(np.where(fits, base + packed, -1).astype(np.int32))
         base += int(packed[-1]) + 1
     blocks = max(min_groups, -(-size // config.block_bytes))
-    return PrefixPlan(config.words, bits, lengths, tables), blocks
+    splits = np.maximum(1, counts[-1] // limit)              # a cell's own count moves its group's number on by so many
+    return PrefixPlan(config.words, bits, lengths, tables, splits), blocks
 
 
 def _paths(block: Block, plan: PrefixPlan) -> tuple[np.ndarray, ...]:
@@ -214,7 +222,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every word covered by `config.words` consecutive words of its text that also start anywhere else, in the same text or
     another, is removed, all copies alike; kept words are joined by one space. Words are separated by ASCII white space
     and compared byte by byte. A null or empty text has no words. Repeated rows are copies of each other and stay rows of
-    the result; ids may be null."""
+    the result; ids may be null; an empty table gives an empty result."""
     others = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("carried")] if carry else []
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *others)
     plan, n_blocks = plan_prefixes(docs, "text", config, shuffle_partitions(df.sparkSession))

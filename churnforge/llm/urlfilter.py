@@ -153,7 +153,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     rules: host, path, verdict (`allow` or `block`), any number of rows up to the cascade's bound; repeated rules count
     once, and one listed with both verdicts blocks. A null url or one without `://` has an empty host and path and no
-    rule. Repeated rows and null ids stay."""
+    rule. Repeated rows and null ids stay; no rules leave every url to `default`, no pages give an empty result."""
     kind = pages.schema[id_col].dataType.simpleString()
     host, path = url_parts(F.col(url_col))
     listed = materialise(rules.select(F.concat(ascii_lower(F.col("host")), "path").alias("key"),
