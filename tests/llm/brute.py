@@ -95,13 +95,13 @@ def licenses(text, phrases, templates, threshold):
     places = [(i, v) for p, v in phrases.items() for i in range(len(words)) if words[i:i + len(p.split())] == p.split()]
     score = 1.0 if places else 0.0
     labels = {v for _, v in places}
-    for line in (text or "").split("\n"):
-        have = set(ascii_words(line))
-        for label, notice in templates.items():
-            want = set(notice.split())
-            if len(want & have) >= max(1, math.ceil(threshold * len(want) - 1e-9)):
+    for label, notice in templates.items():
+        want, width = set(notice.split()), math.ceil(len(notice.split()) / threshold - 1e-9)
+        for i in range(max(1, len(words) - width + 1)):
+            have = want & set(words[i:i + width])
+            if len(have) >= max(1, math.ceil(threshold * len(want) - 1e-9)):
                 labels.add(label)
-                score = max(score, len(want & have) / len(want))
+                score = max(score, len(have) / len(want))
     return len(words), sorted(i for i, _ in places), sorted({v for _, v in places}), sorted(labels), score
 
 

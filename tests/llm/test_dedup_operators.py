@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def passages(seed, n=40):
 
 
 @pytest.mark.parametrize("config", [
-    substrings.SubstringConfig(words=6, block_bytes=300, group_suffixes=20), substrings.SubstringConfig(words=6)])
+    substrings.SubstringConfig(words=6, block_bytes=300, group_suffixes=20), substrings.SubstringConfig(words=6),
+    substrings.SubstringConfig(words=6, block_bytes=300, group_suffixes=20, cell_bits=2)])
 def test_repeats_against_all_windows(spark, config):
     rows = passages(1)
     want = [(i, len(w), sum(c), " ".join(x for x, gone in zip(w, c, strict=True) if not gone))
@@ -48,6 +50,18 @@ def test_repeats_against_all_windows(spark, config):
         assert sum(s["last_word"] - s["first_word"] + 1 for s in r["spans"]) == r["n_removed"]
 
 
+def test_large_cells_are_split_by_path(spark):
+    """The plan keeps its size, groups keep theirs, and no two cells share a group's number by accident."""
+    docs = frame(spark, passages(3, 400)).select("doc_id", "text").where("doc_id <> 104")
+    config = substrings.SubstringConfig(words=6, group_suffixes=50, cell_bits=3)
+    plan, _ = substrings.plan_prefixes(docs, "text", config, 4)
+    assert plan.cell_bits == 3 and all(len(t) == 8 for t in plan.groups) and plan.splits.max() > 1
+    block = substrings.Block.of(pa.array([r["text"] for r in docs.collect()], pa.string()), 6)
+    group, path = plan.route(block.seq, block.at), block.seq.fingerprint(block.at, 6)
+    assert (group >= 0).all() and np.bincount(group).max() < 250
+    assert len(set(zip(group.tolist(), path.tolist(), strict=True))) == len(np.unique(path))     # equal paths, one group
+
+
 def test_repeats_carry_all_columns_and_take_an_empty_table(spark):
     df = frame(spark, passages(2)[:5])
     out = substrings.remove_repeats(df, carry=True)
@@ -152,7 +166,9 @@ def test_contamination_against_all_places(spark):
     assert decontam.find_contamination(frame(spark, rows).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_license_scan_against_all_lines(spark):
+@pytest.mark.parametrize("stretch", [1_024, 1])
+def test_license_scan_against_all_windows(spark, stretch, monkeypatch):
+    monkeypatch.setattr(licenses, "STRETCH_WORDS", stretch)
     notices = list(licenses.TEMPLATES.values()) + list(licenses.PHRASES)
     rng = random.Random(10)
     rows = []
@@ -173,6 +189,23 @@ def test_license_scan_against_all_lines(spark):
     assert licenses.scan_licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_notices_across_lines_and_scattered_words(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    gpl = "This work is licensed\nunder the GNU General\nPublic License, version 3."
+    scattered = "word " * 30 + "released " + "word " * 200 + "under " + "word " * 200 + "the " + "word " * 30 + "license"
+    rows = [(1, bsd), (2, gpl), (3, scattered), (4, "x " * 500 + bsd + " y" * 500), (5, ("the of to " * 3_000) + gpl)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {1: ["redistribution-notice"], 2: ["gpl", "gpl-notice"], 3: [], 4: ["redistribution-notice"], 5: ["gpl", "gpl-notice"]}
+
+
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_a_sigma_is_one_letter_wherever_it_stands(spark, bound):
+    rows = [(1, "ΜΕΓΑΣ.ΑΒ ΓΔ ΕΖ ΗΘ"), (2, "ΜΕΓΑΣ:ΑΒ ΓΔ ΕΖ ΗΘ"), (3, "ΜΕΓΑΣ ΑΒ ΓΔ ΕΖ ΗΘ"), (4, "μεγας αβ γδ εζ ηθ"), (5, "ΜΕΓΑς ΑΒ ΓΔ ΕΖ ΗΘ")]
+    items = spark.createDataFrame([(1, "ΜΕΓΑΣ ΑΒ ΓΔ ΕΖ ΗΘ")], "item_id long, text string")
+    out = decontam.find_contamination(frame(spark, rows), items, config=decontam.DecontaminationConfig(broadcast_rows=bound)).collect()
+    assert {r["doc_id"]: r["n_hit"] for r in out} == {1: 5, 2: 5, 3: 5, 4: 0, 5: 0}     # only A-Z are the same as a-z
+
+
 def vectors(seed, n=300, dim=16):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((12, dim))
@@ -248,3 +281,20 @@ def test_simhash_query_on_the_given_table(spark):
     roots = brute.components(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
     want = {i: (f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute.least_ids([i for i, _ in rows], roots), strict=True)}
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op10_simhash_dedup(spark, SF001).collect()} == want
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5])
+def test_links_of_dense_groups_at_odd_distances(spark, bits):
+    rng = np.random.default_rng(16)
+    fps = {int(c) ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, bits + 1), replace=False)))
+           for c in rng.integers(0, 1 << 62, 2) for _ in range(90)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), simhash.SimHashConfig(cell_rows=36, max_bits=bits))
+    got = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    roots = brute.components(len(fps), lambda i, j: ((fps[i] ^ fps[j]) % (1 << 64)).bit_count() <= bits)
+    groups = {}
+    for f, r in zip(fps, roots, strict=True):
+        groups.setdefault(r, []).append(f)
+    for group in groups.values():
+        assert len({got.get(f, f) for f in group}) == 1
+    assert len({got.get(g[0], g[0]) for g in groups.values()}) == len(groups)

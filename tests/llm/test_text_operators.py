@@ -270,3 +270,51 @@ def test_language_id_is_plain_bayes_on_long_texts_at_the_usual_setting():
     assert best.tolist() == [1, 0, 1] and score[0] < 0.5
     plain = langid.score_texts(values, model, langid.LanguageIdConfig(evidence=None))
     assert plain[0].tolist() == best.tolist() and plain[1][0] == pytest.approx(1)       # the pipeline keeps it
+
+
+def test_language_id_with_more_languages_than_a_block(spark):
+    """201 languages, and the same answers whatever the width of a block."""
+    rng = np.random.default_rng(12)
+    letters = [chr(0x4E00 + k) for k in range(201)]
+    rows = [(k, "".join(rng.choice(letters[k % 201: k % 201 + 3], 12)), f"l{k % 201:03d}") for k in range(402)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_lid", F.lit(1))
+    answers = []
+    for width in (200, 1_000, 7):
+        config = langid.LanguageIdConfig(buckets=1 << 10, languages_a_block=width)
+        model = langid.fit_language_model(df, F.lit(True), config=config)
+        assert len(model.languages) == 201
+        out = langid.identify_language(df, model, config=config)
+        assert out.columns == [*df.columns, "lang_pred", "score"]
+        answers.append({r["doc_id"]: (r["lang_pred"], r["score"]) for r in out.collect()})
+    assert sum(answers[0][k][0] == lang for k, _, lang in rows) > 380
+    for other in answers[1:]:
+        assert {k: (other[k], v) for k, v in answers[0].items() if other[k][0] != v[0] or abs(other[k][1] - v[1]) > 1e-6} == {}
+
+
+def test_quality_learns_the_same_from_any_partitions(spark):
+    """Repeated ids with different texts: weights do not depend on how the rows are dealt."""
+    rng = np.random.default_rng(13)
+    docs = spark.createDataFrame([(k % 40, " ".join(rng.choice(list("abcdefgh"), 8)) if k % 9 else None) for k in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0), (4, 1)], "doc_id long, quality int")
+    config = quality.QualityConfig(buckets=1 << 10, epochs=2)
+    models = [quality.fit_quality_model(docs.repartition(n), labels.repartition(n), F.lit(True), config=config) for n in (1, 2, 3, 4)]
+    assert all(np.array_equal(m.share, models[0].share) and m.bias == models[0].bias for m in models)
+
+
+def test_scores_on_the_registered_path_handle_edges(spark):
+    """Words coded once, every word scored as itself: empty tables, very long texts and clashing columns."""
+    docs = edges(spark)
+    docs = docs.select("*", *[F.lit(1).alias(c) for c in ("id", "block", "ids", "places", "codes", "n", "code", "_lm_id") if c not in docs.columns])
+    long = spark.createDataFrame([(900, "alpha beta gamma " * 60_000)], "doc_id long, text string").select(
+        *[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
+    for df in (docs.unionByName(long), docs.limit(0)):
+        counts = lm.materialise(lm.count_words(df, "text"))
+        vocabulary = lm.fit_vocabulary(df, "text", lm.LMConfig(), counts)
+        coded = lm.materialise(lm.code_texts(df, vocabulary))
+        model = lm.fit_language_scorer(df, vocabulary=vocabulary, coded=coded)
+        rest = lm.rest_words(counts, vocabulary)
+        once = lm.score_documents(df, model, rest=rest, coded=coded).collect()
+        again = lm.score_documents(df, model, rest=rest).collect()
+        assert sorted(map(str, once)) == sorted(map(str, again)) and len(once) == df.count()
+        assert all(r["n_tokens"] > 0 or (r["log_prob"] == 0 and r["mean_log_prob"] is None) for r in once)
+        assert not once or {r["n_tokens"] for r in once if r["doc_id"] == 900} == {180_000}
