@@ -238,10 +238,18 @@ def logreg_gradient(df: DataFrame, features, label: str, coefficients, intercept
 
 
 def fold_importances(spark, fold_models, feature_cols, how: str = "mean") -> DataFrame:
-    """A9 (mean over the fold models) / A10 (sum): tree feature importances x 100, sorted.
+    """A9 (mean over the fold models) / A10 (sum): feature importances x 100, sorted (T1); of trees their own,
+    of a linear model the shares of the absolute coefficients.
     The table has one row per feature, so it is built on the driver."""
     import numpy as np
-    mats = np.array([m.stages[-1].featureImportances.toArray() for m in fold_models])
+
+    def of(model) -> np.ndarray:
+        if hasattr(model, "featureImportances"):
+            return model.featureImportances.toArray()
+        size = np.abs(model.coefficients.toArray())
+        return size / size.sum() if size.sum() else size
+
+    mats = np.array([of(m.stages[-1]) for m in fold_models])
     agg = mats.mean(axis=0) if how == "mean" else mats.sum(axis=0)
     rows = sorted(((c, float(v) * 100.0) for c, v in zip(feature_cols, agg)), key=lambda t: -t[1])
     return spark.createDataFrame(rows, "feature string, importance_pct double")
@@ -386,13 +394,24 @@ AUTOML_FAMILIES = ("gbt", "rf", "logreg", "gbt_shallow", "fm", "nb", "mlp")
 
 
 def automl(train: DataFrame, feature_cols, label: str, id_col: str, fold_col: str, k: int,
-           families=AUTOML_FAMILIES, score_rows: DataFrame | None = None, params=None):
-    """Cross-fit several families on the same folds, stack them, rank everything by OOF AUC.
+           families=AUTOML_FAMILIES, score_rows: DataFrame | None = None, params=None, weighted: bool = False):
+    """Cross-fit several families on the same folds, stack them, rank everything by OOF AUC; with
+    ``weighted`` also their greedily weighted blend (L12; its AUC is that of the rows the weights were chosen on).
     Returns (leaderboard DataFrame, oof_long, test_long); best_model picks the winner."""
     oof, test = multi_crossfit(train, feature_cols, label, id_col, fold_col, k, families, score_rows,
                                params=params)
     st_oof, st_test = stack(oof, test, list(families), label, id_col, k=k)
     all_oof = oof.unionByName(st_oof.select(*oof.columns))
+    if weighted:
+        from churnforge.operators.ensemble import select_models, weighted_blend
+        oof = cut_lineage(oof)
+        _, weights = select_models(oof, list(families), label, id_col=id_col)
+        rows = oof.filter(F.col("model") == families[0]).select(id_col, "fold", label)
+        blend = rows.join(weighted_blend(oof, weights, id_col), id_col).withColumn("model", F.lit("weighted"))
+        all_oof = all_oof.unionByName(blend.select(*oof.columns))
+        if test is not None:
+            blended = weighted_blend(test, weights, id_col).withColumn("model", F.lit("weighted"))
+            test = test.unionByName(blended.select(*test.columns))
     if test is not None and st_test is not None:
         test = test.unionByName(st_test.withColumn("model", F.lit("stack")).select(*test.columns))
     return leaderboard(all_oof, label), all_oof, test

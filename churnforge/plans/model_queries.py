@@ -12,8 +12,8 @@ from churnforge.functions import clean
 from churnforge.functions import features as fe
 from churnforge.operators import boosting, cluster, encode, ensemble, folds, metrics, models, scorer, sketches
 from churnforge.plans import frames
-from churnforge.plans.catalog import (CATS, D1_NUMS, NUMS, VARIANTS, _checked, _filled_sql, _holed, _long_sql, _oof_checks_sql,  # noqa: F401
-                                      _scratch, auc_sql)
+from churnforge.plans.catalog import (CATS, D1_NUMS, NUMS, VARIANTS, _checked, _filled_sql, _holed, _long_sql, _oof_checks_sql,
+                                      _reread, _scratch, auc_sql)
 from churnforge.plans.oracle import folds_cte, num, with_orders
 from churnforge.plans.registry import r6, register
 from churnforge.sources import tables
@@ -250,7 +250,7 @@ def _patience(spark, sf):
                                      keep_rounds=True, stepSize=0.3)
     path = _scratch(spark, "loss-curves")
     tables.write_table(rounds, path)
-    return oof, spark.read.parquet(path)
+    return oof, _reread(spark.read.parquet(path), path)
 
 
 @register("l9_patience_rounds")
@@ -291,7 +291,7 @@ def _saved_scorer(spark, raw, steps, **model):
     fitted = scorer.fit_scorer(raw.filter("split = 'train'"), steps, "label", **model)
     path = _scratch(spark, "scorer")
     scorer.save_scorer(fitted, path)
-    return fitted, scorer.load_scorer(spark, path)
+    return fitted, scorer.load_scorer(spark, path), path
 
 
 @register("s10_scorer_features", with_orders(
@@ -309,9 +309,10 @@ def _saved_scorer(spark, raw, steps, **model):
 def q_scorer_features(spark, sf):
     """Raw text-typed score rows through the steps of a scorer that was read back from its folder."""
     raw = _raw_labelled(spark, sf)
-    _, loaded = _saved_scorer(spark, raw, SCORER_STEPS, family=None)
+    _, loaded, path = _saved_scorer(spark, raw, SCORER_STEPS, family=None)
     out = loaded.features(raw.filter("split = 'score'"))
-    return out.select("id", *[r6(c).alias(c) for c in D1_NUMS], *[x for c in CATS for x in (F.col(f"{c}_ord"), r6(f"{c}_te").alias(f"{c}_te"))])
+    return _reread(out.select("id", *[r6(c).alias(c) for c in D1_NUMS],
+                              *[x for c in CATS for x in (F.col(f"{c}_ord"), r6(f"{c}_te").alias(f"{c}_te"))]), path)
 
 
 @register("l23_whole_scorer", with_orders() + "SELECT id, true AS same, true AS in_range FROM raw_orders WHERE split = 'score'")
@@ -323,11 +324,11 @@ def q_whole_scorer(spark, sf):
              {"op": "ordered", "columns": ["segment_X_total_bin"]}, {"op": "counts", "columns": ["nation"]},
              {"op": "target", "columns": [*CATS, "priority_X_flag"], "smoothing": 20.0}]
     feats = [*D1_NUMS, "charge_residual", "charge_residual_relative", "segment_X_total_bin_cbe", "nation_freq", *(f"{c}_te" for c in [*CATS, "priority_X_flag"])]
-    fitted, loaded = _saved_scorer(spark, raw, steps, family="gbt", features=feats, categorical=["priority"], labels=["0", "1"], maxIter=10)
+    fitted, loaded, path = _saved_scorer(spark, raw, steps, family="gbt", features=feats, categorical=["priority"], labels=["0", "1"], maxIter=10)
     rows = raw.filter("split = 'score'").drop("label")
     here, there = fitted.score(rows).withColumnRenamed("score", "s1"), loaded.score(rows).withColumnRenamed("score", "s2")
-    return rows.select("id").join(here, "id", "left").join(there, "id", "left").select(
-        "id", F.col("s1").eqNullSafe(F.col("s2")).alias("same"), F.coalesce(F.col("s2").between(0, 1), F.lit(False)).alias("in_range"))
+    return _reread(rows.select("id").join(here, "id", "left").join(there, "id", "left").select(
+        "id", F.col("s1").eqNullSafe(F.col("s2")).alias("same"), F.coalesce(F.col("s2").between(0, 1), F.lit(False)).alias("in_range")), path)
 
 
 # =============================================================== L4 / P4: nulls kept
@@ -390,6 +391,39 @@ def q_r4(spark, sf):
     return out.select("vec_id", r6("silhouette").alias("silhouette"))
 
 
+K5_CENTRES = (0.3, -0.1, 0.05)         # every component of a fixed centre
+
+
+def _k5_sql():
+    stats = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in NUMS)
+    z = ", ".join(f"coalesce(({c} - {c}_m) / nullif({c}_s, 0), 0) AS {c}_z" for c in NUMS)
+    cats = ("segment", "priority")
+    hot = ", ".join(f"(CASE WHEN {c} IN (SELECT {c} FROM lv_{c}) THEN 1.0 ELSE 0.0 END)::DOUBLE AS {c}_h, "
+                    f"(SELECT count(*) FROM lv_{c}) AS {c}_n" for c in cats)
+    norm = " + ".join([f"{c}_z * {c}_z" for c in NUMS] + [f"{c}_h" for c in cats])
+    dist = []
+    for j, m in enumerate(K5_CENTRES):
+        parts = [f"pow({c}_z / norm - ({m}), 2)" for c in NUMS]
+        parts += [f"{c}_h * (pow(1 / norm - ({m}), 2) - {m * m!r}) + {c}_n * {m * m!r}" for c in cats]
+        dist.append(f"sqrt({' + '.join(parts)}) AS d{j}")
+    return with_orders(
+        *[f"lv_{c} AS (SELECT DISTINCT {c} FROM order_frame WHERE split = 'train' AND {c} IS NOT NULL)" for c in cats],
+        f"st AS (SELECT {stats} FROM order_frame WHERE split = 'train')", f"zz AS (SELECT id, {z}, {hot} FROM order_frame, st)",
+        f"un AS (SELECT *, sqrt({norm}) AS norm FROM zz)", f"ds AS (SELECT id, {', '.join(dist)} FROM un)") + """
+SELECT id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster,
+       round(d0, 6) AS cos_dist_0, round(d1, 6) AS cos_dist_1, round(d2, 6) AS cos_dist_2 FROM ds"""
+
+
+@register("k5_fixed_centre_clusters", _k5_sql())
+def q_k5_fixed(spark, sf):
+    """K5 by value: unit vectors against fixed centres."""
+    f, cats = frames.order_frame(spark, sf), ["segment", "priority"]
+    prep = cluster.fit_unit_vectors(f.filter("split = 'train'"), NUMS, cats)
+    width = len(NUMS) + sum(f.filter(f"split = 'train' and {c} is not null").select(c).distinct().count() for c in cats)
+    out = cluster.apply_cosine_clusters(f, prep, [[m] * width for m in K5_CENTRES], NUMS, cats)
+    return out.select("id", "cluster", *[r6(f"cos_dist_{j}").alias(f"cos_dist_{j}") for j in range(3)])
+
+
 SOFT_COLS = ["tenure", "monthly", "total"]
 SOFT_SCALE = 40000.0
 
@@ -433,8 +467,8 @@ def q_sketch(spark, sf):
     ranks = sketches.true_ranks(f, edges, list(SKETCH_BINS))
     bound = sketches.rank_error()
     near = (F.col("below") <= F.col("p") + bound) & (F.col("upto") >= F.col("p") - bound)
-    return ranks.groupBy("feature").agg(F.count(F.lit(1)).cast("int").alias("n_edges"), F.min(near).alias("in_bound")).join(
-        whole.select("feature", "n"), "feature").select("feature", "n", "n_edges", "in_bound")
+    return _reread(ranks.groupBy("feature").agg(F.count(F.lit(1)).cast("int").alias("n_edges"), F.min(near).alias("in_bound")).join(
+        whole.select("feature", "n"), "feature").select("feature", "n", "n_edges", "in_bound"), base)
 
 
 # =============================================================== L12 / L22: many models
@@ -475,7 +509,7 @@ def q_partitioned(spark, sf):
     tables.write_partitions(ensemble.fixed_blends(a, b, VARIANTS), path, ["variant"])
     tables.write_partitions(ensemble.fixed_blends(b, a, [VARIANTS[1]]), path, ["variant"])
     back = tables.read_partitions(spark, path, variant=["95_05", "90_10", "80_20"])
-    return back.select("variant", "id", r6("score").alias("score"))
+    return _reread(back.select("variant", "id", r6("score").alias("score")), path)
 
 
 # =============================================================== S4 / U4: a second labelled population
@@ -513,3 +547,31 @@ def q_e14_original(spark, sf):
     out = reference_features(frames.order_frame(spark, sf), class_stats(frames.original_frame(spark, sf), "label", cols), cols)
     return out.select("id", r6("zscore_pos_tenure").alias("zscore_pos_tenure"), r6("zscore_neg_monthly").alias("zscore_neg_monthly"),
                       r6("dist_q50_pos_monthly").alias("dist_q50_pos_monthly"))
+
+
+# =============================================================== L18 / L19 by value
+@register("l18_adversarial_values", with_orders(
+    "st AS (SELECT avg(total) AS tm, stddev_pop(total) AS ts, avg(acctbal) AS am, stddev_pop(acctbal) AS asd FROM order_frame)",
+    "sc AS (SELECT id, CASE WHEN split = 'score' THEN 1 ELSE 0 END AS label, (total - tm) / ts AS x1, (acctbal - am) / asd AS x2 FROM order_frame, st)",
+    folds_cte(k=3, source="sc", where="true"), held_out_sql("folded", 3), *logreg_sql("ho", 1.0),
+    "oof AS (SELECT label, 1.0 / (1.0 + exp(-(b0 + b1 * x1 + b2 * x2))) AS score FROM folded JOIN b ON fold = b.grp)", auc_sql("oof", None).strip(),
+    "a AS (SELECT sum(pos * (neg_before + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM run)",
+    "i AS (SELECT 'total' AS feature, avg(100 * abs(b1) / (abs(b1) + abs(b2))) AS pct FROM b UNION ALL "
+    "SELECT 'acctbal', avg(100 * abs(b2) / (abs(b1) + abs(b2))) FROM b)") + """
+SELECT feature, round(pct, 3) AS importance_pct, round(auc, 5) AS auc, auc > 0.52 AS drifted, pct > 15 AS flagged FROM i, a""")
+def q_l18_values(spark, sf):
+    """L18 with a linear classifier of train against score rows: AUC, flag, importances over the fold models."""
+    f = encode.standard_scale(frames.order_frame(spark, sf).select("id", "split", "total", "acctbal"), ["total", "acctbal"])
+    a, drifted, imps, flagged = models.adversarial_validation(f, ["total", "acctbal"], k=3, family="logreg", C=1.0, **EXACT)
+    return imps.select("feature", F.round("importance_pct", 3).alias("importance_pct"), F.lit(round(a, 5)).alias("auc"),
+                       F.lit(bool(drifted)).alias("drifted"), F.col("feature").isin(*flagged).alias("flagged"))
+
+
+@register("l19_prune_fixed_flags", with_orders() + "SELECT id, split, label, round(monthly, 6) AS monthly, round(total, 6) AS total FROM order_frame")
+def q_l19_fixed(spark, sf):
+    """L18's threshold and L19's pruning on given importances: above 15 goes, 15 itself stays."""
+    from churnforge.operators.shift import drift_flags, prune_features
+    imps = spark.createDataFrame([("tenure", 40.0), ("monthly", 15.0), ("acctbal", 15.1), ("total", 2.0)], "feature string, importance_pct double")
+    f = frames.order_frame(spark, sf).drop(*CATS)
+    out = prune_features(f, [r["feature"] for r in drift_flags(imps).collect()])
+    return out.withColumns({c: r6(c) for c in out.columns if c in NUMS})

@@ -247,6 +247,10 @@ def test_automl_and_the_saved_best_model(spark):
     board, oof, _ = models.automl(tr, ["a", "b"], "label", "id", "fold", 2, families=("logreg", "nb"), params={})
     aucs = {r["model"]: r["auc"] for r in board.collect()}
     assert set(aucs) == {"logreg", "nb", "stack"} and min(aucs.values()) > 0.8
+    blended, oof, _ = models.automl(tr, ["a", "b"], "label", "id", "fold", 2, families=("logreg", "nb"), weighted=True)
+    scores = {r["model"]: r["auc"] for r in blended.collect()}
+    assert set(scores) == {"logreg", "nb", "stack", "weighted"} and scores["weighted"] > max(scores["logreg"], scores["nb"]) - 0.01
+    assert oof.groupBy("model").count().select("count").distinct().collect()[0][0] == 240
     best = models.best_model(board, among=["logreg", "nb"])
     assert aucs[best] == max(aucs["logreg"], aucs["nb"])
     model = models.fit_final(tr, ["a", "b"], "label", best)
