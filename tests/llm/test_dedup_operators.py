@@ -264,6 +264,17 @@ def test_url_filter_against_all_rules(spark, bits):
     assert {(r["rule"], r["verdict"]) for r in nothing.collect()} == {(None, "allow")}
 
 
+def test_keys_beyond_a_level_go_to_several_cascades(spark):
+    """Small levels: many segments, the same answers; a host with very many labels is one url like any other."""
+    rules = urlfilter.RULES + [(f"h{k}.com", "/" * (k % 3), ("allow", "block")[k % 2]) for k in range(60)] + [("a.b.c.d.org", "/x", "block")]
+    urls = URLS + [f"http://{a}h{k}.com//{k}" for k in range(120) for a in ("", "s.")] + ["http://" + "l." * 3_000 + "a.b.c.d.org/x/y"]
+    rows = list(enumerate(urls))
+    out = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urlfilter.rules_frame(spark, rules),
+                                config=urlfilter.CascadeConfig(bits_per_key=6, hashes=3, max_bits=128))
+    want = [(i, *(x if x[3] else (*x[:3], "allow"))) for i, u in rows for x in [brute.url(u, rules)]]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_cascade_is_exact_for_its_whole_universe(spark):
     keys = spark.range(5_000).select(F.concat(F.lit("k"), "id").alias("key")).select("key", *urlfilter._hashed(F.col("key")))
     listed = keys.where("cast(substring(key, 2) as int) % 7 = 0")
