@@ -30,7 +30,8 @@ def _columns(df: DataFrame) -> list:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in one of the languages learned from `docs`; texts without letters and those in no language by majority go."""
+    """Texts in one of the languages learned from `docs`; null and empty texts, those without letters and those in no
+    language by majority go. Repeated rows stay or go alike."""
     model = langid.fit_language_model(docs, ~held_out("doc_id"))
     pred, score = _free(docs, "lang_pred"), _free(docs, "lang_score")
     plain = langid.LanguageIdConfig(evidence=None)      # a long text in one of several close languages has a majority
@@ -39,12 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One document of each near-duplicate group, the one with the smallest id; of repeated rows one stays. Null and empty
+    texts are one group."""
     return simhash.simhash_keep(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that also stand elsewhere; texts without such passages stay as they are. n_chars follows."""
+    """Texts without passages that also stand elsewhere; texts without such passages, null ones included, stay as they are.
+    Repeated rows are passages of each other and lose them alike. n_chars follows."""
     out = substrings.remove_repeats(docs, carry=True)
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
@@ -54,7 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts stay, repeated rows stay or go alike."""
     found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("n_hit > 0").select("doc_id", "body").distinct().alias("bad")
     same = (F.col("docs.doc_id").eqNullSafe(F.col("bad.doc_id"))
@@ -63,7 +66,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text that the ids decode to."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the text that the ids decode to, a row for each
+    row; a null text decodes to the empty one."""
     return bpe.bpe_round_trip(docs).select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 
@@ -80,15 +84,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and reread. Intermediate tables go once they were used."""
+    """All stages over documents; each result is written and reread. Intermediate tables go once they were used, all of them
+    if a stage fails; the last one stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base, last = scratch_path(spark, f"corpus_pipeline-{uuid.uuid4().hex}"), None
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if last:
-            _delete(spark, last)
-        docs, last = spark.read.parquet(path), path
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{base}/{k}_{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if last:
+                _delete(spark, last)
+            docs, last = spark.read.parquet(path), path
+    except BaseException:
+        _delete(spark, base)
+        raise
     return docs
 
 
