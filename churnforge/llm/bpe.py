@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from churnforge.llm.textbatch import slices, texts
+from churnforge.llm.textbatch import give_back, slices, texts
 
 #: Texts longer than this many characters are encoded in pieces.
 PIECE_CHARS = 1 << 16
@@ -95,9 +95,10 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()                                         # of the stage before
         encoder, table = codec(rank_file)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 20):
                 found = [encode(t, encoder, rank_file) for t in texts(part.column(text_col))]
                 yield pa.RecordBatch.from_arrays([
                     part.column(id_col),

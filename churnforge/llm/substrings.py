@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from churnforge.llm.textbatch import slices, utf8
+from churnforge.llm.textbatch import give_back, slices, utf8
 from churnforge.llm.wordcodes import Sequences, word_bounds, word_codes
 from churnforge.session import shuffle_partitions
 
@@ -52,9 +52,10 @@ class PrefixPlan:
         for length, table in zip(self.lengths, self.groups, strict=True):
             cells = prefix_cells(seq, at[todo], length, self.cell_bits)
             out[todo] = table[cells]
-            if length == self.lengths[-1] and (self.splits > 1).any():
-                path = seq.fingerprint(at[todo], length, salt=length + 1)
-                out[todo] -= (path % self.splits[cells].astype(np.uint64)).astype(np.int32)
+            if length == self.lengths[-1]:
+                many = np.flatnonzero(self.splits[cells] > 1)
+                path = seq.fingerprint(at[todo[many]], length, salt=length + 1)
+                out[todo[many]] -= (path % self.splits[cells[many]].astype(np.uint64)).astype(np.int32)
             todo = todo[out[todo] < 0]
         return out
 
@@ -144,6 +145,7 @@ def _send(plan: PrefixPlan):
     """Block of texts -> its distinct paths for each group."""
 
     def run(rows: pa.Table) -> pa.Table:
+        give_back()                                         # of the block before
         block = Block.of(_column(_in_order(rows), "text"), plan.words)
         _, group, path, first = _paths(block, plan)
         group, path = group[first], path[first]
@@ -176,6 +178,7 @@ def _strip(plan: PrefixPlan, carry: bool):
     """Block of texts and its groups' answers -> texts without repeats."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()                                         # of the block before
         rows = _in_order(rows)
         text = _column(rows, "text")
         block = Block.of(text, plan.words)
