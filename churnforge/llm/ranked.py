@@ -34,6 +34,7 @@ class RankedConfig:
     items_a_leaf: int = 4
     docs_a_leaf: int = 32
     docs_a_batch: int = 4_096
+    entries_a_batch: int = 2_000_000        #: terms of a batch's documents, all together (one document at least)
     first_look: int = 64                    #: one document in so many gives the weakest scores to start with
 
 
@@ -253,14 +254,23 @@ class _Search:
 _FOUND = "number long, doc_id long, score long"
 
 
+def _parts(batch: pa.RecordBatch, config: RankedConfig) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.binary_length(batch.column("terms")).to_numpy() // 4)
+    start = 0
+    while start < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + config.entries_a_batch, side="right"))
+        end = min(batch.num_rows, start + config.docs_a_batch, max(start + 1, full))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _best(items: Items, weight: np.ndarray, floor: np.ndarray, n_docs: int, n_words: int, config: RankedConfig):
     schema = pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _Search(items, weight, floor, config)
         for batch in batches:
-            for at in range(0, batch.num_rows, config.docs_a_batch):
-                part = batch.slice(at, config.docs_a_batch)
+            for part in _parts(batch, config):
                 ids = part.column("doc_id").fill_null(_LARGE).to_numpy()
                 held = part.column("terms").to_pylist()
                 doc = np.repeat(np.arange(len(ids)), [len(t) // 4 for t in held])
