@@ -163,7 +163,7 @@ def passages(seed, n=120):
     return docs, items + [(50, None), (51, ""), (52, "É zz a1"), (52, "É zz a1"), (None, "zz A1"), (53, "nowhere"), (54, " ".join(f"a{k}" for k in range(40)))]
 
 
-@pytest.mark.parametrize("config", [ranked.RankedConfig(), ranked.RankedConfig(k=3, items_a_leaf=2, docs_a_leaf=3, docs_a_batch=17, first_look=2),
+@pytest.mark.parametrize("config", [ranked.RankedConfig(), ranked.RankedConfig(k=3, items_a_leaf=2, docs_a_leaf=3, docs_a_batch=17, first_look=2, entries_a_batch=60),
                                     ranked.RankedConfig(terms_a_block=9, docs_a_leaf=1, items_a_leaf=1)])
 def test_ranked_search_against_all_pairs(spark, config):
     docs, items = passages(6)
