@@ -1,0 +1,35 @@
+"""Restarts that share their passes end where Spark's own fits end."""
+
+import numpy as np
+from pyspark.ml.clustering import KMeans
+
+from churnforge.operators import cluster
+
+
+def _vectors(spark, n=600):
+    rng = np.random.default_rng(5)
+    at = rng.normal(size=(6, 3)) * 4
+    rows = [(i, *map(float, at[i % 6] + rng.normal(size=3))) for i in range(n)]
+    return cluster.assemble(spark.createDataFrame(rows, "id long, a double, b double, c double"), ["a", "b", "c"]).repartition(3)
+
+
+def test_shared_passes_end_where_sparks_fits_end(spark):
+    vectors = cluster.cut_lineage(_vectors(spark).select("features"))
+    blocks = cluster._blocks(vectors, "features")
+    for k in (2, 5):
+        theirs = [KMeans(k=k, seed=42 + i, maxIter=300, featuresCol="features").fit(vectors) for i in range(3)]
+        starts = [np.array(KMeans(k=k, seed=42 + i, maxIter=0, featuresCol="features").fit(vectors).clusterCenters()) for i in range(3)]
+        for model, (cost, centres) in zip(theirs, cluster._moved(blocks, starts, 300), strict=True):
+            assert np.allclose(np.array(model.clusterCenters()), centres, atol=1e-9)
+            assert abs(model.summary.trainingCost - cost) < 1e-6 * cost
+        own = cluster._fit_all(vectors, blocks, [k], "features", 3, 42, 300, 3)[k]
+        best = min(theirs, key=lambda m: round(m.summary.trainingCost, 6))
+        assert np.allclose(np.array(own.clusterCenters()), np.array(best.clusterCenters()), atol=1e-9)
+        assert own.transform(vectors).select("prediction").collect() == best.transform(vectors).select("prediction").collect()
+
+
+def test_a_pass_is_one_job_for_all_restarts(spark, monkeypatch):
+    passes, one = [], cluster._pass
+    monkeypatch.setattr(cluster, "_pass", lambda blocks, fits: passes.append(len(fits)) or one(blocks, fits))
+    k, scores = cluster.choose_k_by_silhouette(_vectors(spark, 120), k_min=2, k_max=4, n_init=2, stop_above=2.0)
+    assert passes[0] == 6 and [x for x, _ in scores] == [2, 3, 4] and k in (2, 3, 4)
