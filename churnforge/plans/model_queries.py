@@ -16,6 +16,7 @@ from churnforge.plans.catalog import (CATS, D1_NUMS, NUMS, VARIANTS, _checked, _
                                       _reread, _scratch, auc_sql)
 from churnforge.plans.oracle import folds_cte, num, with_orders
 from churnforge.plans.registry import r6, register
+from churnforge.session import cut_lineage
 from churnforge.sources import tables
 
 #: A fit that stands still: Spark's optimiser stops on the relative gain of a step.
@@ -68,9 +69,10 @@ def fold_fits(oof: DataFrame, fitted, label: str = "label") -> DataFrame:
     return fits.join(aucs, "fold").select("fold", *[F.round(c, 4).alias(c) for c in ("intercept", "coef_1", "coef_2")], r6("auc").alias("auc"))
 
 
-def _scaled_pair(spark, sf, k=5):
+def _scaled_pair(spark, sf, orders=None, k=5):
     """Training rows with two numbers scaled by all of them, in folds."""
-    tr = frames.order_frame(spark, sf).filter("split = 'train'").select("id", "label", "total", "acctbal")
+    orders = frames.order_frame(spark, sf) if orders is None else orders
+    tr = orders.filter("split = 'train'").select("id", "label", "total", "acctbal")
     tr = encode.standard_scale(tr, ["total", "acctbal"])
     return folds.stratified_folds(tr, "id", "label", k=k)
 
@@ -186,20 +188,20 @@ def q_gradient(spark, sf):
 SELECT model, n_terms, true AS at_optimum FROM (VALUES ('crossfit', 15), ('pairs', 22), ('stack', 4)) v(model, n_terms)""")
 def q_optimality(spark, sf):
     """The gradient of the penalised likelihood at the coefficients of Spark's fits: no component above 1e-4."""
-    from churnforge.session import cut_lineage
     parts = []
+    orders = cut_lineage(frames.order_frame(spark, sf))     # scaled numbers, bins, pairs and score tables read it
 
     def check(name, rows, features, model, c):
         lr = model.stages[-1]
         n = rows.count()
         parts.append(models.logreg_gradient(rows, features, "label", list(lr.coefficients), lr.intercept, 1.0 / (c * n)).withColumn("model", F.lit(name)))
 
-    tr = cut_lineage(_scaled_pair(spark, sf))
+    tr = cut_lineage(_scaled_pair(spark, sf, orders))
     _, _, fitted = models.crossfit(tr, ["total", "acctbal"], "label", "id", "fold", 5, "logreg", keep_models=True, C=1.0)
     for f, m in enumerate(fitted):
         check("crossfit", tr.filter(F.col("fold") != f), ["total", "acctbal"], m, 1.0)
     bins = {"tenure": 15, "monthly": 20, "total": 20}
-    o = frames.order_frame(spark, sf).filter("split = 'train'")
+    o = orders.filter("split = 'train'")
     binned = encode.apply_quantile_bins_multi(o, encode.fit_quantile_bins_multi(o, bins), list(bins))
     src = CATS + [f"{c}_bin" for c in bins]
     pairs = fe.all_pair_crosses(src, sep="_X_", null_rule="fill")
@@ -208,7 +210,7 @@ def q_optimality(spark, sf):
     wide = encode.apply_target_encoding(wide, encode.fit_target_encoder(wide, list(pairs), "label"), list(pairs))
     wide = cut_lineage(encode.standard_scale(wide.select("label", *enc), enc))
     check("pairs", wide, enc, models.fit_final(wide, enc, "label", "logreg", C=0.1), 0.1)
-    s = cut_lineage(ensemble.wide_scores(frames.score_tables(spark, sf).filter("split = 'train'"), ["a", "b", "c"], keep=["label"]))
+    s = cut_lineage(ensemble.wide_scores(frames.score_tables(spark, sf, orders).filter("split = 'train'"), ["a", "b", "c"], keep=["label"]))
     check("stack", s, ["s_a", "s_b", "s_c"], models.fit_final(s, ["s_a", "s_b", "s_c"], "label", "logreg", C=1.0), 1.0)
     whole = parts[0]
     for p in parts[1:]:
@@ -361,8 +363,8 @@ def q_l4_columns(spark, sf):
 @register("l4_null_routed_oof_invariants", _oof_checks_sql(["gbt_shallow"], 3))
 def q_l4_oof(spark, sf):
     """The shallow booster on numbers whose nulls were kept: medians and indicators per fold, raw categories."""
-    f = clean.clean_frame(frames.order_frame(spark, sf, fill=None), categorical=CATS)
-    tr = folds.stratified_folds(f.filter("split = 'train'"), "id", "label", k=3)
+    f = cut_lineage(clean.clean_frame(frames.order_frame(spark, sf, fill=None), categorical=CATS).filter("split = 'train'"))
+    tr = folds.stratified_folds(f, "id", "label", k=3)
     oof, _ = models.crossfit(tr, ["acctbal"], "label", "id", "fold", 3, "gbt_shallow", impute_cols=KEPT, categorical=CATS, maxIter=10)
     return _checked(oof)
 

@@ -37,3 +37,15 @@ def test_model_frame_reads_the_tables_once(spark):
     """What folds, statistics, train and score rows read holds no join or table any more."""
     plan = presets.model_frame(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "parquet" not in plan and "LogicalRDD" in plan
+
+
+def test_weight_search_scores_once(counted):
+    oof, seen = counted
+    weights, best = ensemble.search_blend_weights(oof, ["a", "b", "c"], step=0.5, refine_step=0.25)
+    assert sum(weights.values()) == pytest.approx(1.0) and 0 <= best <= 1 and seen.value == 3 * N
+
+
+def test_summed_tables_come_from_one_pass(spark):
+    from __spark_entry__ import queries
+    plan = queries()["j2_sum_tables"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "parquet" not in plan
