@@ -51,9 +51,15 @@ class Vocabulary:
     def ids(self, codes: np.ndarray) -> np.ndarray:
         if not len(self.codes):
             return (mix64(codes) % np.uint64(self.rest)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        other = len(self.codes) + (mix64(codes) % np.uint64(self.rest)).astype(np.int64)
-        return np.where(self.codes[at] == codes, at, other)
+        # codes are hashes, so few share their highest bits: quicker than a binary search of each
+        of = np.bincount((self.codes >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        at = (np.cumsum(of) - of).take((codes >> np.uint64(48)).astype(np.int64))
+        last = np.append(self.codes, ~np.uint64(0))
+        for _ in range(of.max()):
+            at += last.take(at) < codes
+        other = np.flatnonzero(self.codes.take(np.minimum(at, len(self.codes) - 1)) != codes)
+        at[other] = len(self.codes) + (mix64(codes[other]) % np.uint64(self.rest)).astype(np.int64)
+        return at
 
     @property
     def size(self) -> int:
@@ -173,56 +179,72 @@ class Network:
             for k, shape in enumerate(cls.shapes(size, config))]).astype(np.float32)
 
     def outputs(self, around: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(input, hidden layer, outputs less their largest, their exponentials, sums of these) for rows of neighbour ids."""
+        """(input, hidden layer, outputs less their largest) for rows of neighbour ids."""
         vectors, inner, inner_bias, outer, outer_bias = self.parts
         x = vectors.take(around.ravel(), 0).reshape(len(around), -1)
-        h = np.tanh(x @ inner + inner_bias)
+        h = x @ inner
+        h += inner_bias
+        np.tanh(h, out=h)
         out = h @ outer
         out += outer_bias
         out -= out.max(1, keepdims=True)
-        raised = np.exp(out)
-        return x, h, out, raised, raised @ np.ones((raised.shape[1], 1), raised.dtype)
+        return x, h, out
 
     def log_probs(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(input, hidden layer, log-probabilities of the classes) for rows of neighbour ids."""
-        x, h, out, _, total = self.outputs(around)
-        out -= np.log(total)
+        x, h, out = self.outputs(around)
+        out -= np.log(_raised(out.copy()))
         return x, h, out
 
     def log_prob_of(self, around: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log-probability of one class a row."""
-        _, _, out, _, total = self.outputs(around)
-        return out[np.arange(len(classes)), classes] - np.log(total[:, 0])
+        out = self.outputs(around)[2]
+        own = out[np.arange(len(classes)), classes]
+        return own - np.log(_raised(out)[:, 0])
 
-    def step(self, around: np.ndarray, classes: np.ndarray, rate: float, squares: list[np.ndarray],
-             touched: np.ndarray) -> None:
-        """One step of gradient descent with rates that fall by each weight's past gradients (Adagrad). touched: gets the
-        number of windows that each id stood in."""
+    def step(self, around: np.ndarray, classes: np.ndarray, rate: float, squares: list[np.ndarray]) -> None:
+        """One step of gradient descent with rates that fall by each weight's past gradients (Adagrad)."""
         vectors, inner, _, outer, _ = self.parts
-        x, h, _, error, total = self.outputs(around)
-        error /= total
+        x, h, error = self.outputs(around)
+        error /= _raised(error)
         error[np.arange(len(classes)), classes] -= 1
         error /= len(classes)
         below = (error @ outer.T) * (1 - h * h)
         into = (below @ inner.T).reshape(-1, vectors.shape[1])
         flat = around.ravel()
-        order = np.argsort(flat.astype(np.uint16) if len(vectors) <= 1 << 16 else flat, kind="stable")
-        held = flat[order]
-        firsts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-        ids = held[firsts]
-        touched[ids] += np.diff(np.append(firsts, len(held)))
-        sums = np.cumsum(into.take(order, 0), 0, np.float64)[np.append(firsts[1:], len(held)) - 1]   # quicker than reduceat
+        order = np.argsort(flat, kind="stable")
+        held = flat.take(order)
+        last = np.append(np.flatnonzero(held[1:] != held[:-1]), len(held) - 1)
+        ids = held.take(last).astype(np.intp)
+        # sums of each id's rows; made wide before they are added up, which is quicker than cumsum's own conversion and reduceat
+        sums = _running(into.take(order, 0).astype(np.float64)).take(last, 0)
         sums[1:] -= sums[:-1].copy()
         lookup = sums.astype(into.dtype)
-        square = squares[0].take(ids, 0) + lookup * lookup
+        square = squares[0].take(ids, 0)
+        square += lookup * lookup
         squares[0][ids] = square
-        vectors[ids] = vectors.take(ids, 0) - rate * lookup / np.sqrt(square + 1e-8)
+        lookup *= rate
+        square += 1e-8
+        lookup /= np.sqrt(square, out=square)
+        vectors[ids] = vectors.take(ids, 0) - lookup
         each = np.ones(len(classes), error.dtype)                # sums of columns as products: quicker than sum(0)
         for k, grad in ((1, x.T @ below), (2, each @ below), (3, h.T @ error), (4, each @ error)):
             squares[k] += grad * grad
             self.parts[k] -= rate * grad / np.sqrt(squares[k] + 1e-8)
 
 
+def _running(rows: np.ndarray) -> np.ndarray:
+    """Running sums down the columns; two columns are added at a time, as the parts of complex numbers."""
+    if rows.shape[1] % 2:
+        return np.cumsum(rows, 0)
+    return np.cumsum(rows.view(np.complex128), 0).view(np.float64)
+
+
+def _raised(out: np.ndarray) -> np.ndarray:
+    """Sums of the rows' exponentials, as a column; out becomes these."""
+    return np.exp(out, out=out) @ np.ones((out.shape[1], 1), out.dtype)
+
+
 def _kind(vocabulary: Vocabulary) -> type:
     """Type of a stored id; the id after the last is the padding."""
     return np.uint16 if vocabulary.size < 1 << 16 else np.uint32
@@ -234,7 +256,7 @@ def _padded(ids: pa.Array, vocabulary: Vocabulary, config: LMConfig) -> tuple[np
     words = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy() // _kind(vocabulary)().itemsize)]).astype(np.int64)
     of = np.repeat(np.arange(len(words) - 1), np.diff(words))
     at = np.arange(len(raw)) + config.window * (of + 1)
-    padded = np.full(len(raw) + config.window * len(words), vocabulary.size, np.int64)
+    padded = np.full(len(raw) + config.window * len(words), vocabulary.size, _kind(vocabulary))
     padded[at] = raw
     return padded, at, words
 
@@ -251,7 +273,7 @@ def _runs(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBatc
 
 
 def _around(padded: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    return padded[at[:, None] + np.array([k for k in range(-window, window + 1) if k])]
+    return padded.take(at[:, None] + np.array([k for k in range(-window, window + 1) if k]))
 
 
 def turns_of(turn: int, config: LMConfig) -> list[int]:
@@ -279,10 +301,11 @@ def _round(coded: DataFrame, model: LanguageScorer, turn: int, config: LMConfig)
                 for now in turns_of(turn, config):
                     masked = at[(at + now) % config.mask_every == 0]
                     masked = np.random.default_rng(config.seed + now).permutation(masked)
-                    for k in range(0, len(masked), config.batch):
-                        some = masked[k:k + config.batch]
-                        net.step(_around(padded, some, config.window), vocabulary.class_of[padded[some]], config.rate,
-                                 squares, touched)
+                    for some in np.split(masked, range(config.batch << 6, len(masked), config.batch << 6)):
+                        around, classes = _around(padded, some, config.window), vocabulary.class_of[padded[some]]
+                        touched += np.bincount(around.ravel(), minlength=len(touched))
+                        for k in range(0, len(some), config.batch):
+                            net.step(around[k:k + config.batch], classes[k:k + config.batch], config.rate, squares)
                     n += len(masked)
         if n:
             by = np.full(len(weights), n, np.int64)

@@ -223,6 +223,60 @@ def test_lm_scores_every_word_with_its_own_share(spark, monkeypatch):
     assert np.exp(out[0, np.unique(v.class_of)]).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_scores_hold_one_row_of_outputs_a_word():
+    import tracemalloc
+    config = lm.LMConfig(classes=1_000)
+    net = lm.Network(lm.Network.start(50, config), 50, config)
+    around = np.random.default_rng(1).integers(0, 51, (1_000, 4)).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        net.log_prob_of(around, np.zeros(1_000, int))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * 1_000 * (config.classes + config.rest) * 4      # exponentials beside the outputs made it two
+
+
+@pytest.mark.parametrize("dim", [3, 4])
+def test_lm_step_is_plain_adagrad(dim):
+    config = lm.LMConfig(classes=6, rest=2, hidden=5, dim=dim)
+    rng = np.random.default_rng(2)
+    weights = lm.Network.start(9, config)
+    around, classes = rng.integers(0, 10, (40, 4)).astype(np.uint16), rng.integers(0, 8, 40)
+    around[around == 7] = 8                                     # 7 stands in no window
+    before = [p.astype(float) for p in lm.Network(weights.copy(), 9, config).parts]
+    net = lm.Network(weights.copy(), 9, config)
+    net.step(around, classes, 0.1, [np.zeros_like(p) for p in net.parts])
+    vectors, inner, inner_bias, outer, outer_bias = before
+    grads = [np.zeros_like(p) for p in before]
+    for row, own in zip(around, classes, strict=True):
+        x = np.concatenate([vectors[i] for i in row])
+        h = np.tanh(x @ inner + inner_bias)
+        error = np.exp(h @ outer + outer_bias)
+        error = error / error.sum() - np.eye(8)[own]
+        below = (outer @ error) * (1 - h * h)
+        for i, into in zip(row, (inner @ below).reshape(4, dim), strict=True):
+            grads[0][i] += into / 40
+        for k, g in ((1, np.outer(x, below)), (2, below), (3, np.outer(h, error)), (4, error)):
+            grads[k] += g / 40
+    for got, was, g in zip(net.parts, before, grads, strict=True):
+        assert np.allclose(got, was - 0.1 * g / np.sqrt(g * g + 1e-8), atol=2e-3)
+    assert (net.parts[0][7] == before[0][7]).all()
+
+
+def test_lm_word_ids_are_those_of_a_plain_lookup():
+    rng = np.random.default_rng(3)
+    low, high = np.uint64(0), ~np.uint64(0)
+    near = (np.uint64(77) << np.uint64(48)) + np.arange(0, 60, 3, dtype=np.uint64)       # with the same highest bits
+    for codes in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.array([low, high]),
+                  np.unique(np.concatenate([near, rng.integers(0, 1 << 64, 500, np.uint64, endpoint=False)]))):
+        place = {int(c): k for k, c in enumerate(codes)}
+        asked = np.concatenate([codes, codes + np.uint64(1), codes - np.uint64(1), rng.integers(0, 1 << 64, 300, np.uint64), [low, high]])
+        other = (lm.mix64(asked) % np.uint64(7)).astype(int) + len(codes)
+        got = lm.Vocabulary(codes, np.zeros(0), np.zeros(0), 7).ids(asked)
+        assert got.tolist() == [place.get(int(c), o) for c, o in zip(asked, other, strict=True)]
+
+
 def test_lm_masks_every_word_once_and_averages_vectors_by_their_windows(spark):
     for rounds, every in ((2, 8), (3, 8), (8, 8), (1, 5)):
         config = lm.LMConfig(rounds=rounds, mask_every=every)
